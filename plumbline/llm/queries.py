@@ -15,6 +15,20 @@ def _op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(common.documents(spark, sf_dir), keep_text=False).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def _op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from plumbline.llm.suffix import suffix_dedup
+
+    return suffix_dedup(common.documents(spark, sf_dir), keep_bytes=False).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+def _op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from plumbline.llm.simhash import simhash_components
+
+    return simhash_components(common.documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": _op1,
+    "op6_suffix_dedup": _op6,
+    "op7_simhash_near_dedup": _op7,
 }
