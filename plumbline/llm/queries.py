@@ -27,8 +27,34 @@ def _op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(common.documents(spark, sf_dir))
 
 
+def _op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from plumbline.llm.rans import token_files
+
+    return token_files(common.documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), keep_ids=False).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
+def _op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from plumbline.llm.bpe import bpe_round_trip
+
+    out = bpe_round_trip(common.documents(spark, sf_dir), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, keep=False)
+    return out.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+
+
+def _op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from plumbline.llm.media import text_media
+
+    return text_media(common.documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": _op1,
+    "op4_token_files": _op4,
     "op6_suffix_dedup": _op6,
     "op7_simhash_near_dedup": _op7,
+    "op8_byte_bpe": _op8,
+    "op9_media_columns": _op9,
 }
