@@ -12,7 +12,9 @@ A 400-byte string that starts in two places is found in three steps.
 3. One wide hash per class is compared across groups (see `matching`), each
    group learning by a bit per class whether another group has it.
 
-Documents are shuffled once; equal windows are never gathered.
+Documents are shuffled once; equal windows are never gathered. Copies of a
+whole text are found first, by their MD5 counts: every window of a copy is a
+repeat, and one copy in one group takes part in the three steps for all.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm import matching as M
-from plumbline.llm.common import Layout, cover, mix, prefix, runs, spans_hash, text_arrays
+from plumbline.llm.common import POWERS, Layout, cover, mix, prefix, runs, spans_hash, stored, text_arrays
 
 GRAM = 48
 STEP = 8
@@ -134,8 +136,12 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(tail[:n], head[width - 1 : width - 1 + n])
 
 
+#: Answers of kind 2 and 3: the MD5 of a text with copies, in a group that leaves it to another one or sorts it.
+ELSEWHERE, HERE = 2, 3
+
+
 class Group:
-    def __init__(self, docs: pa.Table, length: int):
+    def __init__(self, docs: pa.Table, answers: pa.Table, length: int):
         self.length = length
         self.data, self.offsets = text_arrays(docs.column("text"))
         n = len(self.data)
@@ -143,14 +149,17 @@ class Group:
         end = np.repeat(self.offsets[1:], size)
         self.left = end - np.arange(n)  # bytes to the document's end
         self.pre = prefix(self.data)
-        # copies of a text inside the group: only the first one is sorted
-        whole = spans_hash(self.pre, self.offsets[:-1], self.offsets[1:])
-        _, one, inv, cnt = np.unique(whole, return_index=True, return_inverse=True, return_counts=True)
-        extra = np.ones(len(size), bool)
-        extra[one] = False
-        self.copied = np.repeat(cnt[inv] > 1, size) if len(size) else np.zeros(0, bool)
+        raw = self.data.tobytes()
+        told = {v: k for k, v in zip(answers.column("kind").to_pylist(), answers.column("vals").to_pylist()) if k >= ELSEWHERE}
+        copied, extra = np.zeros(len(size), bool), np.zeros(len(size), bool)
+        seen = set()
+        for d, (i, j) in enumerate(zip(self.offsets[:-1].tolist(), self.offsets[1:].tolist())):
+            md5 = hashlib.md5(raw[i:j], usedforsecurity=False).digest()
+            copied[d] = md5 in told
+            extra[d] = told.get(md5) == ELSEWHERE or md5 in seen
+            seen.add(md5)
         fit = self.left >= length
-        self.copied &= fit
+        self.copied = np.repeat(copied, size) & fit
         self.fit = fit & ~np.repeat(extra, size)
 
     def picks(self, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -159,8 +168,6 @@ class Group:
         start = np.flatnonzero(self.fit)
         if not len(start):
             return start, start, np.zeros(0, np.uint64)
-        from plumbline.llm.common import POWERS
-
         h = mix((self.pre[k:] - self.pre[:-k]) * POWERS[0].down[: n - k + 1])
         rank = (h & np.uint64(0xFFFFFFFF00000000)) | (np.uint64(0xFFFFFFFF) - np.arange(len(h), dtype=np.uint64))
         at = np.uint64(0xFFFFFFFF) - (sliding_min(rank, w)[start] & np.uint64(0xFFFFFFFF))
@@ -198,7 +205,7 @@ class Group:
 
 
 def _send_classes(bid: int, docs: pa.Table, answers: pa.Table, length: int, buckets: int) -> pa.Table:
-    grp = Group(docs, length)
+    grp = Group(docs, answers, length)
     sa, _, first = grp.classes(grp.candidates(M.answered_keys(answers), buckets))
     ent = grp.entries(sa, first)
     order, present, cut = M.by_bucket(ent["h"].astype(np.uint64), buckets)
@@ -223,7 +230,7 @@ def _answer_any(key: tuple, t: pa.Table) -> pa.Table:
 
 
 def _remove(docs: pa.Table, answers: pa.Table, length: int, buckets: int, keep: bool) -> pa.Table:
-    grp = Group(docs, length)
+    grp = Group(docs, answers, length)
     sa, cls, first = grp.classes(grp.candidates(M.answered_keys(answers), buckets))
     repeat = np.bincount(cls, minlength=len(first)) > 1
     order, present, cut = M.by_bucket(grp.entries(sa, first)["h"].astype(np.uint64), buckets)
@@ -263,8 +270,8 @@ def suffix_dedup(docs: DataFrame, length: int = 400, keep_bytes: bool = True) ->
     nb = lay.buckets
     keyed = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", lay.group_of("doc_id").alias("bid")).repartition(lay.partitions, "bid")
 
-    def send(key: tuple, t: pa.Table) -> pa.Table:
-        return M.pack(key[0].as_py(), Group(t, length).picks(nb)[2])
+    def send(key: tuple, t: pa.Table, answers: pa.Table) -> pa.Table:
+        return M.pack(key[0].as_py(), Group(t, answers, length).picks(nb)[2])
 
     def send_classes(key: tuple, t: pa.Table, answers: pa.Table) -> pa.Table:
         return _send_classes(key[0].as_py(), t, answers, length, nb)
@@ -272,8 +279,19 @@ def suffix_dedup(docs: DataFrame, length: int = 400, keep_bytes: bool = True) ->
     def remove(key: tuple, t: pa.Table, answers: pa.Table) -> pa.Table:
         return _remove(t, answers, length, nb, keep_bytes)
 
-    shared = M.shared_values(keyed.groupBy("bid").applyInArrow(send, M.SENT_DDL), lay.partitions)
-    classes = keyed.groupBy("bid").cogroup(shared.repartition(lay.partitions, "bid").groupBy("bid")).applyInArrow(send_classes, SENT_DDL)
+    copies = stored(_copies(docs, lay, length), "copies")
+    shared = M.shared_values(keyed.groupBy("bid").cogroup(_to(copies, lay)).applyInArrow(send, M.SENT_DDL), lay.partitions)
+    classes = keyed.groupBy("bid").cogroup(_to(copies.unionByName(shared), lay)).applyInArrow(send_classes, SENT_DDL)
     found = classes.repartition(lay.partitions, "bucket").groupBy("bucket").applyInArrow(_answer_any, M.ANSWER_DDL)
-    answers = shared.unionByName(found).repartition(lay.partitions, "bid")
-    return keyed.groupBy("bid").cogroup(answers.groupBy("bid")).applyInArrow(remove, OUT_DDL)
+    return keyed.groupBy("bid").cogroup(_to(copies.unionByName(shared).unionByName(found), lay)).applyInArrow(remove, OUT_DDL)
+
+
+def _to(answers: DataFrame, lay: Layout):
+    return answers.repartition(lay.partitions, "bid").groupBy("bid")
+
+
+def _copies(docs: DataFrame, lay: Layout, length: int) -> DataFrame:
+    """Answers of kind 2 and 3, one for each text with copies and group that holds it; the lowest group sorts it."""
+    held = docs.where(F.octet_length("text") >= length).groupBy(F.unhex(F.md5(F.col("text").cast("binary"))).alias("vals"), lay.group_of(F.col("doc_id").cast("bigint")).alias("bid")).agg(F.count("*").alias("n"))
+    all_of = held.groupBy("vals").agg(F.sum("n").alias("n_all"), F.min("bid").alias("first")).where("n_all > 1")
+    return held.join(all_of, "vals").select("bid", F.when(F.col("bid") == F.col("first"), HERE).otherwise(ELSEWHERE).alias("kind"), F.lit(0).alias("bucket"), "vals")
