@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from plumbline.llm import common
 
@@ -50,11 +51,48 @@ def _op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text_media(common.documents(spark, sf_dir))
 
 
+def _op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every item found in every document: doc_id, item_id, distance."""
+    from plumbline.llm.decontam import matches
+
+    return matches(common.documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select("doc_id", "item_id", "distance")
+
+
+def _remainder(n: int) -> Column:
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % n, F.lit(-1))
+
+
+def _op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from plumbline.llm.langid import identify
+
+    out = identify(common.documents(spark, sf_dir), _remainder(5) != 0)
+    return out.select("doc_id", (_remainder(5) == 0).alias("held_out"), "lang_pred", "score", "rejected")
+
+
+def _op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from plumbline.llm.quality import classify
+
+    out = classify(common.documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"), "quality", _remainder(4) != 2)
+    return out.select("doc_id", (_remainder(4) == 2).alias("held_out"), "score", "predicted")
+
+
+def _op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from plumbline.llm import pii
+
+    out = pii.find_spans(common.documents(spark, sf_dir))
+    n = [pii.counts("spans", k).alias(f"n_{kind}") for k, kind in enumerate(pii.KINDS)]
+    return out.select("doc_id", *n[:4], F.sha2(pii.written("base"), 256).alias("base_sha256"), pii.written("spans").alias("spans"), n[4])
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": _op1,
+    "op2_decontamination": _op2,
+    "op3_language_id": _op3,
     "op4_token_files": _op4,
+    "op5_quality": _op5,
     "op6_suffix_dedup": _op6,
     "op7_simhash_near_dedup": _op7,
     "op8_byte_bpe": _op8,
     "op9_media_columns": _op9,
+    "op10_pii": _op10,
 }
