@@ -1,3 +1,39 @@
 """DuckDB SQL for the queries that it can express."""
 
-ORACLES: dict[str, str] = {}
+_OP1 = r"""
+WITH d AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+win AS (
+  SELECT doc_id, s, md5(array_to_string(w[s:s + 19], ' ')) AS k
+  FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - 19)) AS s FROM d)),
+one AS (SELECT k, min(doc_id) AS d0 FROM win GROUP BY k HAVING count(*) > 1),
+start AS (SELECT one.k, d0, min(s) AS s0 FROM one JOIN win ON win.k = one.k AND win.doc_id = d0 GROUP BY one.k, d0),
+late AS (SELECT win.doc_id, win.s FROM win JOIN start ON win.k = start.k WHERE win.doc_id > d0 OR win.doc_id = d0 AND win.s > s0),
+gone AS (SELECT DISTINCT doc_id, unnest(generate_series(s, s + 19)) AS p FROM late),
+g AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id),
+word AS (SELECT doc_id, unnest(w) AS x, generate_subscripts(w, 1) AS p FROM d),
+kept AS (SELECT word.doc_id, string_agg(x, ' ' ORDER BY word.p) AS t FROM word ANTI JOIN gone ON word.doc_id = gone.doc_id AND word.p = gone.p GROUP BY word.doc_id)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(g.n, 0)::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM d LEFT JOIN g ON d.doc_id = g.doc_id LEFT JOIN kept ON d.doc_id = kept.doc_id
+"""
+
+_OP6 = r"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+win AS (
+  SELECT doc_id, s, md5(substr(h, 2 * s + 1, 800)) AS k
+  FROM (SELECT doc_id, h, unnest(generate_series(0, length(h) // 2 - 400)) AS s FROM d)),
+rep AS (SELECT k FROM win GROUP BY k HAVING count(*) > 1),
+hit AS (SELECT doc_id, s FROM win SEMI JOIN rep ON win.k = rep.k),
+brk AS (SELECT doc_id, s, CASE WHEN s <= lag(s) OVER w + 400 THEN 0 ELSE 1 END AS b FROM hit WINDOW w AS (PARTITION BY doc_id ORDER BY s)),
+runs AS (SELECT doc_id, r, min(s) AS a, max(s) + 400 AS z FROM (SELECT doc_id, s, sum(b) OVER (PARTITION BY doc_id ORDER BY s) AS r FROM brk) GROUP BY doc_id, r),
+g AS (SELECT doc_id, sum(z - a) AS n, count(*) AS spans FROM runs GROUP BY doc_id),
+gaps AS (
+  SELECT d.doc_id, coalesce(lag(z) OVER w, 0) AS a, runs.a AS z, d.h FROM runs JOIN d ON d.doc_id = runs.doc_id WINDOW w AS (PARTITION BY d.doc_id ORDER BY runs.a)
+  UNION ALL
+  SELECT d.doc_id, coalesce(max(z), 0), length(any_value(h)) // 2, any_value(h) FROM d LEFT JOIN runs ON d.doc_id = runs.doc_id GROUP BY d.doc_id),
+kept AS (SELECT doc_id, string_agg(substr(h, (2 * a + 1)::BIGINT, (2 * (z - a))::BIGINT), '' ORDER BY a) AS t FROM gaps GROUP BY doc_id)
+SELECT d.doc_id, (length(h) // 2)::BIGINT AS n_bytes, coalesce(g.n, 0)::BIGINT AS n_removed, coalesce(g.spans, 0)::BIGINT AS n_spans, sha256(unhex(t)) AS kept_sha256
+FROM d LEFT JOIN g ON d.doc_id = g.doc_id LEFT JOIN kept ON d.doc_id = kept.doc_id
+"""
+
+ORACLES: dict[str, str] = {"op1_substring_dedup": _OP1, "op6_suffix_dedup": _OP6}
