@@ -278,9 +278,14 @@ def simhash_dedup(docs: DataFrame, shingle: int = 5, min_sim: float = 0.8) -> Da
     """The rows of docs with one row of each near-duplicate group kept, the one with the smallest doc_id.
 
     Columns stay as they are. Rows with a null or empty text are alike and one
-    stays; rows with a null doc_id are kept as they are.
+    stays. Rows with the same doc_id are one document; the row with the
+    smallest text stays for it. Rows with a null doc_id are kept as they are.
+    Only the ids to drop are joined, so texts move only if these are too many
+    to broadcast (Spark checks the size).
     """
-    known = docs.where("doc_id is not null")
-    groups = near_groups(known, shingle, min_sim)
-    keep = stored(groups.where("doc_id = group").select("doc_id").distinct(), "keep")
-    return known.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null"))
+    groups = stored(near_groups(docs.where("doc_id is not null"), shingle, min_sim), "groups")
+    again = stored(groups.groupBy("doc_id").count().where("count > 1").join(groups.where("doc_id = group").select("doc_id").distinct(), "doc_id").select("doc_id"), "again")
+    gone = stored(groups.where("doc_id <> group").select("doc_id").unionByName(again).distinct(), "gone")
+    rest = [c for c in docs.columns if c != "doc_id"]
+    one = docs.join(again, "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by(F.struct(*rest), F.coalesce("text", F.lit(""))).alias("_row"))
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns).unionByName(one.select("doc_id", "_row.*").select(*docs.columns))

@@ -125,8 +125,10 @@ def test_near_groups_against_jaccard(spark):
 
 
 def test_dedup_keeps_one_of_each_group_and_all_columns(spark):
-    rows = [(1, "a b c d e f g h", "x"), (2, "A b  c d e f g h", "y"), (3, "other words are here now ok", "z"), (4, None, "n"), (5, "", "e"), (None, "a b c d e f g h", "null")]
+    rows = [(1, "a b c d e f g h", "x"), (2, "A b  c d e f g h", "y"), (3, "other words are here now ok", "z"), (4, None, "n"), (5, "", "e"), (None, "a b c d e f g h", "null"), (3, "other words are here now ok", "z"), (7, "b second text of one id entirely", "p"), (7, "a first text of one id", "q"), (2, "A b  c d e f g h", "y")]
     df = spark.createDataFrame(rows, "doc_id long, text string, group string")
     out = simhash_dedup(df)
     assert out.columns == df.columns
-    assert sorted((str(r.doc_id) for r in out.collect())) == ["1", "3", "4", "None"]
+    got = out.collect()
+    assert sorted(str(r.doc_id) for r in got) == ["1", "3", "4", "7", "None"]
+    assert [r.group for r in got if r.doc_id == 7] == ["q"]
