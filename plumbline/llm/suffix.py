@@ -9,8 +9,9 @@ A 400-byte string that starts in two places is found in three steps.
    smaller than their successor are sorted directly, all others are induced by
    one scan over the byte buckets, and adjacent common prefixes cut the array
    into classes of equal windows. A class of two or more is a repeat.
-3. One wide hash per class is compared across groups (see `matching`), each
-   group learning by a bit per class whether another group has it.
+3. One wide hash per class, and whether it is a repeat already, go to hash
+   buckets (see `matching`). Each group gets back a bit per class: a repeat,
+   there or elsewhere. It finds the classes of its windows again by hash.
 
 Documents are shuffled once; equal windows are never gathered. Copies of a
 whole text are found first, by their MD5 counts: every window of a copy is a
@@ -31,7 +32,7 @@ from plumbline.llm.common import POWERS, Layout, cover, mix, prefix, runs, spans
 
 GRAM = 48
 STEP = 8
-SENT_DDL = "bucket int, bid int, h binary"
+SENT_DDL = "bucket int, bid int, h binary, own binary"
 OUT_DDL = "doc_id bigint, kept binary, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string"
 
 
@@ -195,35 +196,38 @@ class Group:
         same = common_prefixes(place[sa], e, self.length) if len(sa) else np.zeros(0, bool)
         return sa, np.cumsum(~same) - 1, np.flatnonzero(~same)
 
-    def entries(self, sa: np.ndarray, first: np.ndarray) -> np.ndarray:
-        """96 bits for each class: hashes of its window."""
-        a = sa[first]
-        out = np.empty(len(a), M.ENTRY)
-        out["h"] = spans_hash(self.pre, a, a + self.length)
-        out["g"] = spans_hash(prefix(self.data ^ np.uint8(0x5A), 1), a, a + self.length, 1) >> np.uint64(32)
+    def entries(self, at: np.ndarray) -> np.ndarray:
+        """96-bit hashes of the windows that start at `at`."""
+        out = np.empty(len(at), M.ENTRY)
+        out["h"] = spans_hash(self.pre, at, at + self.length)
+        out["g"] = spans_hash(prefix(self.data ^ np.uint8(0x5A), 1), at, at + self.length, 1) >> np.uint64(32)
         return out
 
 
 def _send_classes(bid: int, docs: pa.Table, answers: pa.Table, length: int, buckets: int) -> pa.Table:
     grp = Group(docs, answers, length)
-    sa, _, first = grp.classes(grp.candidates(M.answered_keys(answers), buckets))
-    ent = grp.entries(sa, first)
+    sa, cls, first = grp.classes(grp.candidates(M.answered_keys(answers), buckets))
+    ent = grp.entries(sa[first])
+    ranked = np.lexsort((ent["g"], ent["h"]))
+    ent, own = ent[ranked], (np.bincount(cls, minlength=len(first)) > 1)[ranked]
     order, present, cut = M.by_bucket(ent["h"].astype(np.uint64), buckets)
+    ij = list(zip(cut[:-1], cut[1:]))
     return pa.table([pa.array(present, pa.int32()), pa.array(np.full(len(present), bid), pa.int32()),
-                     pa.array([ent[order[i:j]].tobytes() for i, j in zip(cut[:-1], cut[1:])], pa.binary())], names=["bucket", "bid", "h"])
+                     pa.array([ent[order[i:j]].tobytes() for i, j in ij], pa.binary()), pa.array([np.packbits(own[order[i:j]]).tobytes() for i, j in ij], pa.binary())], names=["bucket", "bid", "h", "own"])
 
 
 def _answer_any(key: tuple, t: pa.Table) -> pa.Table:
-    """Answers of kind 1: a bit per class a group sent, 1 if another group sent it too."""
+    """Answers of kind 1: a bit per class a group sent, 1 if it repeats there or another group sent it too."""
     blobs = t.column("h").to_pylist()
+    sizes = [len(b) // M.ENTRY.itemsize for b in blobs]
     ent = np.frombuffer(b"".join(blobs), M.ENTRY)
     order = np.lexsort((ent["g"], ent["h"]))
     s = ent[order]
     eq = (s["h"][1:] == s["h"][:-1]) & (s["g"][1:] == s["g"][:-1])
-    hit = np.zeros(len(ent), bool)
+    hit = np.concatenate([np.unpackbits(np.frombuffer(o, np.uint8), count=n) for o, n in zip(t.column("own").to_pylist(), sizes)]).astype(bool)
     hit[order[1:][eq]] = True
     hit[order[:-1][eq]] = True
-    ends = np.cumsum([len(b) // M.ENTRY.itemsize for b in blobs])
+    ends = np.cumsum(sizes)
     k = t.num_rows
     return pa.table([t.column("bid").combine_chunks(), pa.array([1] * k, pa.int32()), pa.array([key[0].as_py()] * k, pa.int32()),
                      pa.array([np.packbits(hit[i:j]).tobytes() for i, j in zip([0, *ends[:-1]], ends)], pa.binary())], schema=M.ANSWER)
@@ -231,15 +235,19 @@ def _answer_any(key: tuple, t: pa.Table) -> pa.Table:
 
 def _remove(docs: pa.Table, answers: pa.Table, length: int, buckets: int, keep: bool) -> pa.Table:
     grp = Group(docs, answers, length)
-    sa, cls, first = grp.classes(grp.candidates(M.answered_keys(answers), buckets))
-    repeat = np.bincount(cls, minlength=len(first)) > 1
-    order, present, cut = M.by_bucket(grp.entries(sa, first)["h"].astype(np.uint64), buckets)
+    at = grp.candidates(M.answered_keys(answers), buckets)
+    ent = grp.entries(at)
+    ranked = np.lexsort((ent["g"], ent["h"]))
+    ent = ent[ranked]
+    new = np.append(True, (ent["h"][1:] != ent["h"][:-1]) | (ent["g"][1:] != ent["g"][:-1]))[: len(ent)]
+    cls, heads = np.cumsum(new) - 1, ent[new]
+    order, present, cut = M.by_bucket(heads["h"].astype(np.uint64), buckets)
     got = {b: v for k, b, v in zip(*(answers.column(c).to_pylist() for c in ("kind", "bucket", "vals"))) if k == 1}
+    repeat = np.zeros(len(heads), bool)
     for b, i, j in zip(present.tolist(), cut[:-1], cut[1:]):
-        if b in got:
-            repeat[order[i:j]] |= np.unpackbits(np.frombuffer(got[b], np.uint8), count=j - i).astype(bool)
+        repeat[order[i:j]] = np.unpackbits(np.frombuffer(got[b], np.uint8), count=j - i)
     hit = grp.copied.copy()
-    hit[sa[repeat[cls]]] = True
+    hit[at[ranked[repeat[cls]]]] = True
     gone = cover(np.flatnonzero(hit), length, len(grp.data))
     kept, removed, spans, sha = [], [], [], []
     for i, j in zip(grp.offsets[:-1], grp.offsets[1:]):
