@@ -12,10 +12,10 @@ different contexts, discloses it. In the documents that hold the entity such
 terms become spans of their own.
 
 n(t, e) counts documents with t among the CONTEXT words on either side of e;
-n(t) and n(e) count all documents with the term and the entity. Only terms
-that pass SUPPORT are counted over the corpus, joined as Spark's size checks
-see fit. Texts move only in that join and in the last one, each time only if
-the other side is too large to broadcast.
+n(t) and n(e) count all documents with the term and the entity. Terms are
+counted over the corpus, combined before the shuffle, and joined with those
+that pass SUPPORT. Texts move only in the last join, and only if the
+documents with disclosing terms are too many to broadcast (Spark checks).
 
 A match's offsets come from the lengths of the pieces around it, so they are
 code points. The patterns are written so that each text is scanned once:
@@ -141,7 +141,7 @@ def disclosing_terms(docs: DataFrame, said: DataFrame) -> DataFrame:
     n_e = said.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("n_e"))
     cand = stored(contexts.where(F.col("contexts") >= SUPPORT).join(n_te, ["entity", "term"]).join(n_e, "entity"), "candidates")
     terms = stored(cand.select("term").distinct(), "terms")
-    n_t = docs.select(F.explode(F.array_distinct(_words(F.col("text")))).alias("term")).join(terms, "term").groupBy("term").agg(F.count("*").alias("n_t"))
+    n_t = docs.select(F.explode(F.array_distinct(_words(F.col("text")))).alias("term")).groupBy("term").agg(F.count("*").alias("n_t")).join(terms, "term")
     num = lambda c: F.col(c).cast("double")
     pmi = F.log(F.lit(float(n)) * num("n_te") / (num("n_t") * num("n_e")))
     share = pmi / F.log(F.lit(float(n)) / num("n_e"))
@@ -190,7 +190,7 @@ def sanitise(docs: DataFrame) -> DataFrame:
     Overlapping spans become one, under the first one's kind. All columns stay;
     n_chars, if there, becomes the new length. Null texts stay null.
     """
-    src = docs.select(F.struct(*docs.columns).alias("_row"), "text")
+    src = docs.select(F.struct(*[c for c in docs.columns if c != "text"]).alias("_row"), "text")
     labels = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
     text = F.col("text")
     new = F.aggregate(
@@ -201,10 +201,8 @@ def sanitise(docs: DataFrame) -> DataFrame:
     out = _find(src).select("_row", F.when(F.size("spans") > 0, new).otherwise(text).alias("_new"))
     cols = []
     for f in docs.schema.fields:
-        c = F.col(f"_row.`{f.name}`")
-        if f.name == "text":
-            c = F.col("_new")
-        elif f.name == "n_chars":
+        c = F.col("_new") if f.name == "text" else F.col(f"_row.`{f.name}`")
+        if f.name == "n_chars":
             c = F.when(F.col("_new").isNull(), c).otherwise(F.length("_new").cast(f.dataType))
         cols.append(c.alias(f.name))
     return out.select(*cols)
