@@ -67,6 +67,18 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def texts(docs: DataFrame, *more: Column) -> DataFrame:
+    """doc_id (bigint), text and further columns of docs, for a map over Arrow batches.
+
+    Rows may be long, so batches are bounded by bytes, not by Spark's 64 MB;
+    a session that sets its own bound keeps it.
+    """
+    conf, name = docs.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if conf.get(name).rstrip("b") == str(64 << 20):
+        conf.set(name, str(4 << 20))
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", *more)
+
+
 @dataclass(frozen=True)
 class Layout:
     """Sizes of a run. group_bytes: text of one group of documents; task_bytes: text of one task."""
@@ -181,9 +193,7 @@ def runs(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def cover(start: np.ndarray, length: int, n: int) -> np.ndarray:
     """Mask over n places of the union of [s, s + length)."""
-    d = np.zeros(n + 1, np.int32)
-    np.add.at(d, start, 1)
-    np.add.at(d, np.minimum(start + length, n), -1)
+    d = np.bincount(start, minlength=n + 1) - np.bincount(np.minimum(start + length, n), minlength=n + 1)
     return np.cumsum(d[:-1]) > 0
 
 

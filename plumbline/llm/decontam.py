@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import slices, stored, text_arrays
+from plumbline.llm.common import slices, stored, text_arrays, texts
 
 #: Edits allowed per character of an item, and the shortest piece worth a search.
 RATE, LEAST = 0.08, 10
@@ -146,7 +146,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> DataFr
     with a budget below one edit, must occur unaltered. Items with equal texts
     are one, under the smallest id; an item without an id is -1.
     """
-    src = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    src = texts(docs)
     spark, out = docs.sparkSession, None
     for block in _blocks(benchmark):
         shared = spark.sparkContext.broadcast(block)

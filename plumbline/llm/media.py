@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import new_path, slices, text_arrays
+from plumbline.llm.common import new_path, slices, text_arrays, texts
 
 UNIT = 576
 UNKNOWN = "application/octet-stream"
@@ -287,7 +287,7 @@ def wav_column(docs: DataFrame) -> DataFrame:
                     data.append(wav(body + b"\xff" * (UNIT - len(body) if not body else -len(body) % UNIT)))
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(np.diff(off[i : j + 1])), pa.array(data, pa.binary()), pa.array([UNKNOWN] * (j - i))], ["doc_id", "n_bytes", "data", "media_type"])
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, "doc_id bigint, n_bytes bigint, data binary, media_type string")
+    return texts(docs).mapInArrow(run, "doc_id bigint, n_bytes bigint, data binary, media_type string")
 
 
 def text_media(docs: DataFrame) -> DataFrame:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import prefix, slices, spans_hash, stored, text_arrays, words_of
+from plumbline.llm.common import prefix, slices, spans_hash, stored, text_arrays, texts, words_of
 
 NAMES = (
     "log_bytes", "log_words", "log_mean_word", "log_dev_word", "upper", "digit", "punctuation", "odd_symbols", "white",
@@ -116,7 +116,7 @@ def features(docs: DataFrame) -> DataFrame:
                 x = statistics(data[off[i] : off[j]], off[i : j + 1] - off[i])
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(list(x), pa.list_(pa.float64()))], ["doc_id", "x"])
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, "doc_id bigint, x array<double>")
+    return texts(docs).mapInArrow(run, "doc_id bigint, x array<double>")
 
 
 class Discriminant:
