@@ -15,9 +15,11 @@ Two kinds of link:
   their differences is at most the number of differing bits.
 * `near_groups`: word-shingle sets of Jaccard similarity `min_sim` or more.
   Cells are size classes (sets that similar have sizes within that ratio).
-  256-bit SimHash fingerprints leave out pairs far from it, and 256 one-byte
-  minimum-hash bins decide; those count nearly all shingles of sets up to a
-  few hundred and have a standard error of 0.025 beyond.
+  128-bit SimHash fingerprints leave out pairs far from it and accept those
+  well inside. For what lies between, the tile pair names the documents, and a
+  second comparison of just these decides on 256 one-byte minimum-hash bins;
+  those count nearly all shingles of sets up to a few hundred and have a
+  standard error of 0.025 beyond. Bins never travel with the tiles.
 
 The comparison is quadratic in the distinct fingerprints of neighbouring
 cells. It is dealt over tile pairs, so it spreads over any cluster, but its
@@ -36,14 +38,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import mix, slices, stored, text_arrays
+from plumbline.llm.common import mix, slices, stored, text_arrays, texts
 from plumbline.llm.components import components, forest
 
 SEED = 42
-#: Fingerprints of a tile, at most about this many.
-TILE = 4096
+#: Fingerprints of a tile: a 64th of all, within these bounds.
+TILE_LEAST, TILE_MOST = 2048, 32768
 #: SimHash words and minimum-hash bins of near_groups.
-WORDS, BINS = 4, 256
+WORDS, BINS = 2, 256
+#: Differing bits of 128 up to which near_groups accepts and looks: similarity 0.8 has a mean of 19 and a deviation of 4.
+SURE, LOOSE = 8, 32
 #: Ids from here on stand for rows without one.
 NULL_ID = (1 << 63) - (1 << 41)
 
@@ -94,7 +98,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
             fp = np.concatenate(fp) if fp else np.zeros(0, np.uint64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, "doc_id bigint, fp bigint")
+    return texts(docs).mapInArrow(run, "doc_id bigint, fp bigint")
 
 
 def sketches(docs: DataFrame, shingle: int = 5) -> DataFrame:
@@ -122,86 +126,99 @@ def sketches(docs: DataFrame, shingle: int = 5) -> DataFrame:
                     b.column(0).slice(i, m), pa.array(np.diff(cut)), pa.array([x.tobytes() for x in fp], pa.binary()), pa.array([x.tobytes() for x in bins], pa.binary())],
                     ["doc_id", "n", "fp", "bins"])
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, "doc_id bigint, n bigint, fp binary, bins binary")
+    return texts(docs).mapInArrow(run, "doc_id bigint, n bigint, fp binary, bins binary")
 
 
-def _near_cells(cell: tuple[int, ...], reach: int) -> Iterator[tuple[int, ...]]:
-    """Cells from `cell` on (in order) whose counts differ by `reach` in sum at most."""
-    def walk(rest: tuple[int, ...], left: int) -> Iterator[tuple[int, ...]]:
-        if not rest:
-            yield ()
-            return
-        for d in range(-left, left + 1):
-            for tail in walk(rest[1:], left - abs(d)):
-                yield (rest[0] + d, *tail)
+def _ball(cell: tuple[int, ...], reach: int) -> Iterator[tuple[int, ...]]:
+    """Cells whose counts differ by `reach` in sum at most."""
+    if not cell:
+        yield ()
+        return
+    for d in range(-reach, reach + 1):
+        for tail in _ball(cell[1:], reach - abs(d)):
+            yield (cell[0] + d, *tail)
 
-    return (c for c in walk(cell, reach) if c >= cell)
 
+def _compare_tiles(reps: DataFrame, n: int, reach: int, match) -> DataFrame:
+    """Compare reps (node, cell array<int>, item binary) with those of neighbouring cells, tile by tile.
 
-def _tile_pairs(counts: dict[tuple[int, ...], int], reach: int) -> tuple[dict, dict]:
-    """First tile number and tile count of each cell; partners (from it on) of each tile's cell."""
-    tiles, at = {}, 0
-    for c in sorted(counts):
-        k = math.ceil(counts[c] / TILE)
-        tiles[c] = (at, k)
-        at += k
-    return tiles, {c: [x for x in _near_cells(c, reach) if x in tiles] for c in tiles}
-
-
-def _links(reps: DataFrame, n_parts: int, reach: int, match) -> DataFrame:
-    """Forest links between reps (node, cell array<int>, item binary) of neighbouring cells.
-
-    The number of cells is bounded by the cell's definition, so their counts
-    go to the driver; fingerprints never do.
+    match(x, y) takes items as rows of bytes and returns the index pairs that
+    link and those that are open. Rows of kind 0 are links (u, v), a forest
+    for each tile pair; rows of kind 1 say that node u has an open pair in the
+    tile pair (a, b), on side v. The number of cells is bounded by their
+    definition, so their counts go to the driver; fingerprints never do.
     """
     spark = reps.sparkSession
     counts = {tuple(r["cell"]): r["count"] for r in reps.groupBy("cell").count().toLocalIterator()}
-    tiles, near = _tile_pairs(counts, reach)
-    known = spark.sparkContext.broadcast((tiles, near))
-    width = {c: k for c, (_, k) in tiles.items()}
-    total = sum(width.values())
-    parts = max(n_parts, math.ceil(total / 8))
+    tile = max(TILE_LEAST, min(TILE_MOST, n // 64))
+    tiles: dict[tuple[int, ...], tuple[int, int]] = {}
+    total = 0
+    for c in sorted(counts):
+        tiles[c] = (total, math.ceil(counts[c] / tile))
+        total += tiles[c][1]
+    known = spark.sparkContext.broadcast(tiles)
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total)
     table = spark.createDataFrame([(list(c), at, k) for c, (at, k) in tiles.items()], "cell array<int>, first int, k int")
     tiled = reps.join(F.broadcast(table), "cell").select(
         (F.col("first") + F.pmod(F.xxhash64("node"), F.col("k"))).cast("int").alias("tile"), "cell", "node", "item")
 
     def spread(key: tuple, t: pa.Table) -> pa.Table:
-        tiles, near = known.value
         me, cell = key[0].as_py(), tuple(t.column("cell")[0].as_py())
         nodes, items = t.column("node").to_numpy().tobytes(), b"".join(t.column("item").to_pylist())
         out = []
-        for c in tiles:  # pairs are keyed by both numbers; the lower tile is side 0
-            lo, hi = (cell, c) if cell <= c else (c, cell)
-            if hi in near_set[lo]:
-                first, k = tiles[c]
-                out += [(min(me, x), max(me, x), int(x < me)) for x in range(first, first + k)]
-        del near
+        for c in _ball(cell, reach):
+            first, k = known.value.get(c, (0, 0))
+            out += [(min(me, x), max(me, x), int(x < me)) for x in range(first, first + k)]
         return pa.table([pa.array([o[0] for o in out], pa.int32()), pa.array([o[1] for o in out], pa.int32()), pa.array([o[2] for o in out], pa.int32()),
                          pa.array([nodes] * len(out), pa.binary()), pa.array([items] * len(out), pa.binary())], names=["a", "b", "side", "nodes", "items"])
 
-    near_set = {c: set(x) for c, x in near.items()}
-
     def compare(key: tuple, t: pa.Table) -> pa.Table:
         rows = sorted(zip(t.column("side").to_pylist(), t.column("nodes").to_pylist(), t.column("items").to_pylist()))
-        left, right = rows[0], rows[-1]
-        a, b = np.frombuffer(left[1], np.int64), np.frombuffer(right[1], np.int64)
-        size = len(left[2]) // max(len(a), 1)
-        x, y = (np.frombuffer(r[2], np.uint8).reshape(-1, size) for r in (left, right))
-        u, v = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        step = max(1, (1 << 20) // max(len(b), 1))
-        for i in range(0, len(a), step):
-            p, q = match(x[i : i + step], y)
-            nu, nv = np.concatenate([u, a[i + p]]), np.concatenate([v, b[q]])
-            u, v = forest(nu, nv)
-        return pa.table([pa.array(u), pa.array(v)], names=["u", "v"])
+        u, v, left, right = _compare_sides(rows[0][1:], rows[-1][1:], match)
+        a, b = key[0].as_py(), key[1].as_py()
+        sides = [(left, 0)] + ([(right, 1)] if a != b else [])
+        m, k = len(u), sum(len(x) for x, _ in sides)
+        return pa.table([pa.array([0] * m + [1] * k, pa.int32()), pa.array([a] * (m + k), pa.int32()), pa.array([b] * (m + k), pa.int32()),
+                         pa.array(np.concatenate([u, *[x for x, _ in sides]])), pa.array(np.concatenate([v, *[np.full(len(x), w, np.int64) for x, w in sides]]))], names=["kind", "a", "b", "u", "v"])
 
     pairs = tiled.repartition(parts, "tile").groupBy("tile").applyInArrow(spread, "a int, b int, side int, nodes binary, items binary")
-    return pairs.repartition(max(parts, n_parts), "a", "b").groupBy("a", "b").applyInArrow(compare, "u bigint, v bigint")
+    return pairs.repartition(parts, "a", "b").groupBy("a", "b").applyInArrow(compare, "kind int, a int, b int, u bigint, v bigint")
+
+
+def _compare_sides(left: tuple[bytes, bytes], right: tuple[bytes, bytes], match) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Forest links between two packed lists of (nodes, items), and the nodes of either side that keep an open pair.
+
+    If both are the same list, open nodes of both sides are given as the left ones.
+    """
+    same = left == right
+    a, b = np.frombuffer(left[0], np.int64), np.frombuffer(right[0], np.int64)
+    size = len(left[1]) // max(len(a), 1)
+    x, y = (np.frombuffer(r[1], np.uint8).reshape(-1, size) for r in (left, right))
+    u, v = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    open_a, open_b = np.zeros(len(a), bool), np.zeros(len(b), bool)
+    step = max(1, (1 << 20) // max(len(b), 1))
+    for i in range(0, len(a), step):
+        (p, q), (op, oq) = match(x[i : i + step], y)
+        if len(p):
+            u, v = forest(np.concatenate([u, a[i + p]]), np.concatenate([v, b[q]]))
+        if len(op):
+            apart = a[i + op] != b[oq]
+            if len(u):  # pairs that are connected already are settled
+                root = lambda z: np.where(u[np.minimum(np.searchsorted(u, z), len(u) - 1)] == z, v[np.minimum(np.searchsorted(u, z), len(u) - 1)], z)  # noqa: B023, E731
+                apart &= root(a[i + op]) != root(b[oq])
+            open_a[i + op[apart]] = True
+            open_b[oq[apart]] = True
+    if same:
+        open_a |= open_b
+    return u, v, a[open_a], b[open_b]
+
+
+NONE = (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
 
 def _parts_for(n: int) -> int:
-    """Parts of the fingerprint whose bits are counted: more for more fingerprints, so that cells stay near a tile."""
-    return 1 if n < 20 * TILE else 2 if n < 200 * TILE else 4
+    """Parts of the fingerprint whose bits are counted: more for more fingerprints. Any number gives the same links."""
+    return 1 if n < 20_000 else 2 if n < 400_000 else 4
 
 
 def simhash_components(docs: DataFrame, shingle: int = 3, radius: int = 2) -> DataFrame:
@@ -213,8 +230,6 @@ def simhash_components(docs: DataFrame, shingle: int = 3, radius: int = 2) -> Da
     is passed over: component_id is null where no linked row has an id. Rows
     that repeat keep a row each.
     """
-    spark = docs.sparkSession
-    n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     fps = stored(fingerprints(docs, shingle), "fingerprints")
     no_id = F.lit(NULL_ID) + F.xxhash64("fp").bitwiseAND(F.lit((1 << 40) - 1))
     reps = stored(fps.groupBy("fp").agg(F.min("doc_id").alias("m")).select("fp", F.coalesce("m", no_id).alias("node")), "reps")
@@ -225,11 +240,11 @@ def simhash_components(docs: DataFrame, shingle: int = 3, radius: int = 2) -> Da
     count = [F.bit_count(F.shiftrightunsigned("fp", i * bits).bitwiseAND(F.lit(mask if bits < 64 else -1))) for i in range(k)]
     cells = reps.select("node", F.array(*count).alias("cell"), F.unhex(F.lpad(F.hex("fp"), 16, "0")).alias("item"))
 
-    def match(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def match(x: np.ndarray, y: np.ndarray) -> tuple:
         a, b = (np.ascontiguousarray(z).view(np.uint64).ravel() for z in (x, y))
-        return np.nonzero(np.bitwise_count(a[:, None] ^ b[None, :]) <= radius)
+        return np.nonzero(np.bitwise_count(a[:, None] ^ b[None, :]) <= radius), NONE
 
-    comp = components(_links(cells, n_parts, radius, match))
+    comp = components(_compare_tiles(cells, n, radius, match).select("u", "v"))
     roots = reps.join(comp.select(F.col("u").alias("node"), "v"), "node", "left").select("fp", F.coalesce("v", "node").alias("root"))
     return fps.join(roots, "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
@@ -242,38 +257,55 @@ def near_groups(docs: DataFrame, shingle: int = 5, min_sim: float = 0.8) -> Data
     Rows whose texts have equal sketches (copies, up to case and white space)
     are always together. doc_id must not be null.
     """
-    spark = docs.sparkSession
-    n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     sk = stored(sketches(docs, shingle), "sketches")
     reps = stored(sk.groupBy("n", "fp", "bins").agg(F.min("doc_id").alias("node")), "reps")
-    cell = F.array(F.floor(F.log(F.greatest(F.col("n"), F.lit(1)).cast("double")) / F.lit(-math.log(min_sim)) + F.lit(1e-9)).cast("int"))
-    items = reps.where("n > 0").select("node", cell.alias("cell"), F.concat(F.unhex(F.lpad(F.hex("n"), 16, "0")), "fp", "bins").alias("item"))
+    # classes a quarter of the allowed ratio wide: similar sets are at most four apart
+    cell = F.array(F.floor(F.log(F.col("n").cast("double")) / F.lit(-math.log(min_sim) / 4) + F.lit(1e-9)).cast("int"))
+    packed = F.concat(F.unhex(F.lpad(F.hex("n"), 16, "0")), "fp")
+    some = reps.where("n > 0")
 
-    def match(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def far(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Pairs of similar size with at most LOOSE differing bits, and their number of bits."""
         n, m = (np.ascontiguousarray(z[:, :8]).view(">u8").ravel().astype(float) for z in (x, y))
         f, g = (np.ascontiguousarray(z[:, 8 : 8 + 8 * WORDS]).view(np.uint64) for z in (x, y))
-        d = np.bitwise_count(f[:, None, 0] ^ g[None, :, 0]).astype(np.uint16)
+        d = np.bitwise_count(f[:, None, 0] ^ g[None, :, 0])
         for k in range(1, WORDS):
             d += np.bitwise_count(f[:, None, k] ^ g[None, :, k])
         p, q = np.nonzero(d <= LOOSE)
         keep = np.minimum(n[p], m[q]) >= min_sim * np.maximum(n[p], m[q]) - 1e-9
         p, q = p[keep], q[keep]
+        return p, q, d[p, q]
+
+    def match(x: np.ndarray, y: np.ndarray) -> tuple:
+        p, q, d = far(x, y)
+        sure = d <= SURE
+        return (p[sure], q[sure]), (p[~sure], q[~sure])
+
+    def decide(x: np.ndarray, y: np.ndarray) -> tuple:
+        p, q, _ = far(x, y)
         ok = np.zeros(len(p), bool)
         for i in range(0, len(p), 1 << 14):
             a, b = x[p[i : i + (1 << 14)], 8 + 8 * WORDS :], y[q[i : i + (1 << 14)], 8 + 8 * WORDS :]
-            some = ((a | b) > 0).sum(1)
-            ok[i : i + (1 << 14)] = ((a == b) & (a > 0)).sum(1) >= min_sim * some - 1e-9
-        return p[ok], q[ok]
+            ok[i : i + (1 << 14)] = ((a == b) & (a > 0)).sum(1) >= min_sim * ((a | b) > 0).sum(1) - 1e-9
+        return (p[ok], q[ok]), NONE
+
+    def settle(key: tuple, t: pa.Table) -> pa.Table:
+        side, nodes, items = t.column("side").to_numpy(), t.column("node").to_numpy(), t.column("item").to_pylist()
+        packs = [(nodes[side == k].tobytes(), b"".join(x for x, w in zip(items, side) if w == k)) for k in (0, 1)]
+        if key[0].as_py() == key[1].as_py():
+            packs[1] = packs[0]
+        u, v, _, _ = _compare_sides(*packs, decide) if all(p[0] for p in packs) else (*NONE, *NONE)
+        return pa.table([pa.array(u), pa.array(v)], names=["u", "v"])
 
-    comp = components(_links(items, n_parts, 1, match))
+    first = stored(_compare_tiles(some.select("node", cell.alias("cell"), packed.alias("item")), reps.count(), 4, match), "links")
+    whole = some.select("node", F.concat(packed, "bins").alias("item"))
+    open_ = first.where("kind = 1").select("a", "b", F.col("v").alias("side"), F.col("u").alias("node")).join(whole, "node")
+    links = first.where("kind = 0").select("u", "v").unionByName(open_.groupBy("a", "b").applyInArrow(settle, "u bigint, v bigint"))
+    comp = components(links)
     roots = reps.join(comp.select(F.col("u").alias("node"), "v"), "node", "left").select("n", "fp", "bins", F.coalesce("v", "node").alias("group"))
     return sk.join(roots, ["n", "fp", "bins"]).select("doc_id", "group")
 
 
-#: Differing bits of 256 that near_groups looks at: similarity 0.8 has a mean of 39 and a deviation of 6.
-LOOSE = 66
-
-
 def simhash_dedup(docs: DataFrame, shingle: int = 5, min_sim: float = 0.8) -> DataFrame:
     """The rows of docs with one row of each near-duplicate group kept, the one with the smallest doc_id.
 

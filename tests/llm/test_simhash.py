@@ -61,9 +61,11 @@ def corpus(seed, n=120):
     return rows + [(900, None), (901, ""), (902, " \t"), (903, "one"), (904, "ONE"), (905, "one two"), (None, "no id"), (None, "other no id"), (None, rows[1][1]), rows[5], (907, "w " * 5000)]
 
 
-@pytest.mark.parametrize("tile", [4096, 16])
-def test_components_match_brute_force(spark, monkeypatch, tile):
-    monkeypatch.setattr(simhash, "TILE", tile)
+@pytest.mark.parametrize("tile", [2048, 16])
+@pytest.mark.parametrize("parts", [1, 4])
+def test_components_match_brute_force(spark, monkeypatch, tile, parts):
+    monkeypatch.setattr(simhash, "TILE_LEAST", tile)
+    monkeypatch.setattr(simhash, "_parts_for", lambda n: parts)
     rows = corpus(tile)
     df = spark.createDataFrame([(*r, 1, "f") for r in rows], "doc_id long, text string, fp int, fingerprint string").repartition(3)
     got = rows_of(simhash_components(df))
@@ -83,8 +85,7 @@ def test_cells_lose_no_pair(spark, monkeypatch, parts):
         return tuple((f >> i * bits & (1 << bits) - 1).bit_count() for i in range(parts))
 
     for f, g in pairs:
-        lo, hi = sorted((cell(f), cell(g)))
-        assert hi in set(simhash._near_cells(lo, 2))
+        assert cell(g) in set(simhash._ball(cell(f), 2))
 
 
 def test_table_and_empty(spark, sf):
@@ -103,7 +104,9 @@ def test_forest_and_components(spark):
     assert got == want
 
 
-def test_near_groups_against_jaccard(spark):
+@pytest.mark.parametrize("tile", [2048, 8])
+def test_near_groups_against_jaccard(spark, monkeypatch, tile):
+    monkeypatch.setattr(simhash, "TILE_LEAST", tile)
     rng = random.Random(11)
     word = lambda: "w" + str(rng.randrange(5000))
     rows = []
