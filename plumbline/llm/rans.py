@@ -23,6 +23,7 @@ import functools
 import os
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,11 +32,11 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import Layout, new_path, slices, stored, text_arrays
+from plumbline.llm.common import Layout, new_path, prefix, slices, spans_hash, stored, text_arrays, texts
 
 SCALE = 20
 LOW = 1 << 31
-LANES, BLOCK_IDS, CHECK_ROWS = 512, 1 << 18, 128
+LANES, BLOCK_IDS, CHECK_ROWS = 1024, 1 << 18, 128
 MAGIC = b"RNB1"
 
 
@@ -158,8 +159,41 @@ class Block:
 
 # --- tokenizing
 
-#: Words that a worker remembers, in two generations of this size; it changes speed and memory only.
-REMEMBER = 150_000
+#: Pieces that a worker remembers, in two generations of this size; it changes speed and memory only.
+REMEMBER = 350_000
+
+
+def _classes() -> np.ndarray:
+    t = np.full(256, 3, np.uint8)
+    t[[9, 10, 11, 12, 13, 32]] = 0
+    t[[*range(48, 58), *range(65, 91), *range(97, 123)]] = 1
+    t[list(b".,!*#$%&")] = 2
+    return t
+
+
+#: White space, letters and digits, punctuation that the tokenizer never joins with those, the rest.
+KIND = _classes()
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
+
+
+class Memory:
+    """A map that forgets what was not used for a generation."""
+
+    def __init__(self):
+        self.new: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+
+    def get(self, keys: list[bytes]) -> list[bytes | None]:
+        out = list(map(self.new.get, keys))
+        for i in [i for i, v in enumerate(out) if v is None]:
+            if (v := self.old.get(keys[i])) is not None:
+                out[i] = self.new[keys[i]] = v
+        return out
+
+    def turn(self) -> None:
+        if len(self.new) > REMEMBER:
+            self.new, self.old = {}, self.new
 
 
 @functools.lru_cache(maxsize=2)
@@ -167,39 +201,75 @@ def tokenizer(path: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
-    return Tokenizer.from_file(path), [{}, {}]
+    return Tokenizer.from_file(path), Memory()
 
 
-def encode_texts(texts: list[str], path: str, end: int) -> list[np.ndarray]:
-    """Ids of each text and the end id.
+def pieces_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end byte of the pieces, and the n + 1 piece offsets of the documents.
 
-    The tokenizer drops white space and no step of it reaches across, so a text's
-    ids are those of its pieces between ASCII white space; pieces seen before
-    are looked up.
+    The tokenizer drops white space, and no step of it reaches across white
+    space or between a letter or digit and punctuation of KIND 2.
     """
-    tok, gen = tokenizer(path)
-    pieces = [t.translate(SPACES).split(" ") for t in texts]
-    new, old = gen
-    missing = []
-    for p in set().union(*pieces):
-        if p not in new:
-            if (x := old.get(p)) is not None:
-                new[p] = x
-            else:
-                missing.append(p)
-    for i in range(0, len(missing), 4096):
-        part = missing[i : i + 4096]
-        for p, e in zip(part, tok.encode_batch_fast(part, add_special_tokens=False)):
-            new[p] = np.array(e.ids, "<u4").tobytes()
-    stop = np.uint32(end).tobytes()
-    out = [np.frombuffer(b"".join([*map(new.__getitem__, p), stop]), "<u4") for p in pieces]
-    if len(new) > REMEMBER:
-        gen[1] = new
-        gen[0] = {}
+    n = len(data)
+    kind = KIND[data]
+    edge = np.ones(n + 1, bool)
+    if n:
+        edge[1:n] = (kind[1:] == 0) | (kind[:-1] == 0) | (kind[1:] + kind[:-1] == 3) & (kind[1:] != 0) & (kind[:-1] != 0) & (kind[1:] != 3) & (kind[:-1] != 3)
+        edge[offsets] = True
+    at = np.flatnonzero(edge)
+    solid = kind[at[:-1]] != 0
+    start, end = at[:-1][solid], at[1:][solid]
+    return start, end, np.searchsorted(start, offsets)
+
+
+def _hashes(data: np.ndarray, offsets: np.ndarray, start: np.ndarray, stop: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Hash of each piece, a part of the documents at a time to keep the prefix sums small."""
+    out = np.empty(len(start), np.uint64)
+    for i, j in slices(offsets, 1 << 20):
+        at, k = offsets[i], slice(first[i], first[j])
+        out[k] = spans_hash(prefix(data[at : offsets[j]]), start[k] - at, stop[k] - at)
     return out
 
 
-SPACES = {c: " " for c in (9, 10, 11, 12, 13)}
+def encode_texts(data: np.ndarray, offsets: np.ndarray, path: str, end: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all texts (UTF-8 end to end), each with the end id, and the n + 1 offsets.
+
+    Distinct pieces are found by hash; each is looked up or encoded by the
+    library once. Lower case first, as the tokenizer does, makes fewer pieces;
+    special tokens are found before that, so bytes that could be one stay.
+    """
+    tok, memory = tokenizer(path)
+    raw = data.tobytes()
+    if b"<|" not in raw:
+        data = LOWER[data]
+        raw = data.tobytes()
+    start, stop, first = pieces_of(data, offsets)
+    _, index, which = np.unique(_hashes(data, offsets, start, stop, first), return_index=True, return_inverse=True)
+    keys = [raw[i:j] for i, j in zip(start[index].tolist(), stop[index].tolist())]
+    ids = memory.get(keys)
+    todo = []
+    for k in [k for k, v in enumerate(ids) if v is None]:
+        w = keys[k]
+        if w.isalpha() and w.islower():  # ASCII letters: one token sequence of the library's model, nothing to normalise
+            ids[k] = memory.new[w] = array("I", [t.id for t in tok.model.tokenize(w.decode())]).tobytes()
+        else:
+            todo.append(k)
+    for i in range(0, len(todo), 4096):
+        part = todo[i : i + 4096]
+        for k, e in zip(part, tok.encode_batch_fast([keys[k].decode("utf-8", "replace") for k in part], add_special_tokens=False)):
+            ids[k] = memory.new[keys[k]] = array("I", e.ids).tobytes()
+    memory.turn()
+    size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+    flat = np.frombuffer(b"".join(ids), "<u4")
+    begin = np.cumsum(size) - size
+    n = size[which]
+    off = np.concatenate([[0], np.cumsum(n)])
+    docs = len(offsets) - 1
+    cut = off[first] + np.arange(docs + 1)  # each document's end id takes a place
+    out = np.full(off[-1] + docs, end, "<u4")
+    doc = np.repeat(np.arange(docs), np.diff(off[first]))
+    out[np.arange(off[-1]) + doc] = flat[np.arange(off[-1]) + np.repeat(begin[which] - off[:-1], n)]
+    return out, cut
 
 
 def tokens(docs: DataFrame, path: str, end: int) -> DataFrame:
@@ -208,14 +278,14 @@ def tokens(docs: DataFrame, path: str, end: int) -> DataFrame:
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=1)
         for b in it:
-            _, off = text_arrays(b.column(1))
-            for i, j in slices(off, 1 << 20):
-                texts = [x or "" for x in b.column(1).slice(i, j - i).to_pylist()]
-                ids = encode_texts(texts, path, end)
+            data, off = text_arrays(b.column(1))
+            for i, j in slices(off, 4 << 20):
+                flat, cut = encode_texts(data[off[i] : off[j]], off[i : j + 1] - off[i], path, end)
+                ids = np.split(flat, cut[1:-1])
                 blobs = [pack.compress(np.ascontiguousarray(x.view(np.uint8).reshape(-1, 4).T).tobytes()) for x in ids]
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array([len(x) for x in ids], pa.int64()), pa.array(blobs, pa.binary())], ["doc_id", "n", "ids"])
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, "doc_id bigint, n bigint, ids binary")
+    return texts(docs).mapInArrow(run, "doc_id bigint, n bigint, ids binary")
 
 
 def unpack(blob: bytes) -> np.ndarray:
@@ -229,8 +299,9 @@ def frequencies(tok: DataFrame) -> np.ndarray:
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, np.int64)
         for b in it:
-            for blob in b.column(0):
-                c = np.bincount(unpack(blob.as_py()))
+            blobs = b.column(0).to_pylist()
+            for i in range(0, len(blobs), 512):
+                c = np.bincount(np.concatenate([unpack(x) for x in blobs[i : i + 512]]))
                 if len(c) > len(total):
                     total = np.concatenate([total, np.zeros(len(c) - len(total), np.int64)])
                 total[: len(c)] += c
