@@ -36,4 +36,55 @@ SELECT d.doc_id, (length(h) // 2)::BIGINT AS n_bytes, coalesce(g.n, 0)::BIGINT A
 FROM d LEFT JOIN g ON d.doc_id = g.doc_id LEFT JOIN kept ON d.doc_id = kept.doc_id
 """
 
-ORACLES: dict[str, str] = {"op1_substring_dedup": _OP1, "op6_suffix_dedup": _OP6}
+_KINDS = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+_FOUND = " UNION ALL ".join(
+    f"SELECT r, text, {k} AS kind, unnest(regexp_extract_all(text, '{p}')) AS v, unnest(regexp_split_to_array(text, '{p}')[:-2]) AS gap, generate_subscripts(regexp_extract_all(text, '{p}'), 1) AS i FROM d"
+    for k, p in enumerate(_KINDS.values()))
+_AT = "sum(length(gap) + length(v)) OVER (PARTITION BY r, kind ORDER BY i)"
+_WRITTEN = "string_agg(CASE kind WHEN 0 THEN 'email' WHEN 1 THEN 'ip' WHEN 2 THEN 'card' WHEN 3 THEN 'phone' ELSE 'term' END || ':' || a || ':' || z, ',' ORDER BY a, kind)"
+
+_OP10 = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+f AS ({_FOUND}),
+p AS (SELECT r, text, kind, v, ({_AT})::BIGINT AS z, regexp_replace(v, '[^0-9]', '', 'g') AS dig FROM f),
+luhn AS (
+  SELECT dig, sum(CASE WHEN (length(dig) - j) % 2 = 0 THEN c ELSE 2 * c - 9 * (c > 4)::INT END) % 10 = 0 AS ok
+  FROM (SELECT dig, unnest(generate_series(1, length(dig))) AS j, substr(dig, j::INT, 1)::INT AS c FROM (SELECT DISTINCT dig FROM p WHERE kind = 2 AND length(dig) BETWEEN 12 AND 19)) GROUP BY dig),
+b AS (
+  SELECT r, text, kind, v, z - length(v) AS a, z, CASE kind WHEN 0 THEN '0:' || lower(v) WHEN 1 THEN '1:' || v ELSE kind || ':' || p.dig END AS e
+  FROM p LEFT JOIN luhn ON p.kind = 2 AND p.dig = luhn.dig
+  WHERE kind = 0 OR kind = 1 AND list_max(list_transform(string_split(v, '.'), lambda x: coalesce(try_cast(x AS BIGINT), 999))) <= 255
+    OR kind = 2 AND luhn.ok OR kind = 3 AND length(p.dig) BETWEEN 9 AND 15),
+c0 AS (
+  SELECT r, text, e,
+    regexp_extract_all(lower(CASE WHEN a > 96 THEN regexp_replace(substr(text, a - 95, 96), '^\p{{L}}+', '') ELSE substr(text, 1, a) END), '\p{{L}}{{3,}}') AS lw,
+    regexp_extract_all(lower(regexp_replace(substr(text, z + 1, 96), '\p{{L}}+$', '')), '\p{{L}}{{3,}}') AS rw FROM b),
+c AS (SELECT r, text, e, list_concat(lw[greatest(len(lw) - 5, 1):], rw[:6]) AS ctx FROM c0),
+t AS (SELECT DISTINCT r, text, e, ctx, unnest(ctx) AS term FROM c),
+te AS (SELECT e, term, count(DISTINCT r) AS n_te, count(DISTINCT ctx) AS contexts FROM t GROUP BY e, term HAVING count(DISTINCT ctx) >= 3),
+ne AS (SELECT e, count(DISTINCT r) AS n_e FROM b GROUP BY e),
+nt AS (SELECT term, count(*) AS n_t FROM (SELECT DISTINCT r, unnest(regexp_extract_all(lower(text), '\p{{L}}{{3,}}')) AS term FROM d) WHERE term IN (SELECT term FROM te) GROUP BY term),
+tells AS (
+  SELECT te.e, te.term FROM te JOIN ne ON te.e = ne.e JOIN nt ON te.term = nt.term, (SELECT count(*)::DOUBLE AS n FROM d)
+  WHERE n_e < n AND ln(n * n_te / (n_t::DOUBLE * n_e)) / ln(n / n_e) >= 0.9),
+own AS (SELECT DISTINCT t.r, t.text, t.term FROM t JOIN tells ON t.e = tells.e AND t.term = tells.term),
+w AS (
+  SELECT r, 4 AS kind, unnest(regexp_extract_all(text, '\p{{L}}+')) AS v, unnest(regexp_split_to_array(text, '\p{{L}}+')[:-2]) AS gap, generate_subscripts(regexp_extract_all(text, '\p{{L}}+'), 1) AS i
+  FROM (SELECT DISTINCT r, text FROM own)),
+wz AS (SELECT r, kind, v, ({_AT})::BIGINT AS z FROM w),
+s AS (
+  SELECT r, kind, a, z FROM b
+  UNION ALL SELECT wz.r, kind, z - length(v), z FROM wz JOIN own ON wz.r = own.r AND lower(wz.v) = own.term),
+g AS (
+  SELECT r, {" ".join(f"count(*) FILTER (WHERE kind = {k}) AS n_{n}," for k, n in enumerate([*_KINDS, "term"]))}
+    {_WRITTEN} FILTER (WHERE kind < 4) AS base, {_WRITTEN} AS spans FROM s GROUP BY r)
+SELECT doc_id, {" ".join(f"coalesce(n_{n}, 0)::BIGINT AS n_{n}," for n in [*_KINDS, "term"])}
+  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN g ON d.r = g.r
+"""
+
+ORACLES: dict[str, str] = {"op1_substring_dedup": _OP1, "op6_suffix_dedup": _OP6, "op10_pii": _OP10}
