@@ -32,9 +32,10 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import Layout, slices, text_arrays
+from plumbline.llm.common import Layout, slices, text_arrays, texts
 
 BATCH_BYTES = 4 << 20
+PACK, UNPACK = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
 OUT_DDL = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string, ids array<int>, decoded string"
 
 
@@ -65,22 +66,22 @@ def gather(data: np.ndarray, offsets: np.ndarray, which: np.ndarray) -> tuple[np
 def planes(x: np.ndarray) -> bytes:
     """Unsigned integers as compressed byte planes."""
     raw = np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T)
-    return zstandard.ZstdCompressor(level=1).compress(raw.tobytes())
+    return PACK.compress(raw.tobytes())
 
 
 def unplanes(blob: bytes, dtype: type) -> np.ndarray:
-    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8)
+    raw = np.frombuffer(UNPACK.decompress(blob), np.uint8)
     size = np.dtype(dtype).itemsize
     return np.ascontiguousarray(raw.reshape(size, -1).T).view(dtype).ravel()
 
 
 def pack_words(words: list[bytes]) -> bytes:
     size = np.array([len(words), *map(len, words)], np.uint32)
-    return zstandard.ZstdCompressor(level=1).compress(size.tobytes() + b"".join(words))
+    return PACK.compress(size.tobytes() + b"".join(words))
 
 
 def unpack_words(blob: bytes) -> list[bytes]:
-    raw = zstandard.ZstdDecompressor().decompress(blob)
+    raw = UNPACK.decompress(blob)
     n = int.from_bytes(raw[:4], "little")
     ends = np.cumsum(np.frombuffer(raw, np.uint32, n, 4)).tolist()
     body = raw[4 + 4 * n :]
@@ -101,7 +102,7 @@ class Batch:
         self.words = [w.encode() for w in words]
         self.cut = np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int64)
         self.codes = np.fromiter((code[w] for x in lists for w in x), np.uint32, self.cut[-1])
-        self.bucket = np.fromiter((xxhash.xxh3_64_intdigest(w) % buckets for w in self.words), np.uint32, len(words))
+        self.bucket = np.fromiter((xxhash.xxh3_64_intdigest(w) % buckets for w in self.words), np.uint32, len(self.words))
         name = xxhash.xxh3_128(raw)
         name.update(np.ascontiguousarray(offsets).tobytes())
         name.update(repr(ids.to_pylist()).encode())
@@ -134,7 +135,7 @@ def bpe_round_trip(docs: DataFrame, path: str, pattern: str, keep: bool = True)
     """
     lay = Layout.of(docs)
     buckets = max(4 * lay.partitions, lay.bytes // (32 << 20))
-    src = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    src = texts(docs)
 
     def words(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, b in _batches(it, pattern, buckets):
@@ -178,17 +179,20 @@ def bpe_round_trip(docs: DataFrame, path: str, pattern: str, keep: bool = True)
             order = np.concatenate([a for a, _ in parts]) if parts else np.zeros(0, np.int64)
             begin = np.zeros(len(bucket), np.int64)
             begin[order] = np.cumsum(size[order]) - size[order]
-            n = size[codes]
-            off = np.concatenate([[0], np.cumsum(n)])
-            tokens = flat[np.arange(off[-1]) + np.repeat(begin[codes] - off[:-1], n)]
-            edge = off[cut]
-            text, text_off = gather(tab, tab_off, tokens)
-            for d in range(len(ids)):
-                mine = tokens[edge[d] : edge[d + 1]]
-                body = text[text_off[edge[d]] : text_off[edge[d + 1]]].tobytes()
-                for c, v in zip(cols, (int(ids[d]) if known[d] else None, len(mine), hashlib.sha256(mine.astype("<u4").tobytes()).hexdigest(),
-                                       hashlib.sha256(body).hexdigest(), mine.astype(np.int32) if keep else None, body.decode("utf-8", "replace") if keep else None)):
-                    c.append(v)
+            for i, j in slices(cut, 1 << 18):
+                part = codes[cut[i] : cut[j]]
+                n = size[part]
+                off = np.concatenate([[0], np.cumsum(n)])
+                tokens = flat[np.arange(off[-1]) + np.repeat(begin[part] - off[:-1], n)]
+                edge = off[cut[i : j + 1] - cut[i]]
+                text, text_off = gather(tab, tab_off, tokens)
+                for d in range(i, j):
+                    x, y = edge[d - i], edge[d - i + 1]
+                    mine = tokens[x:y]
+                    body = text[text_off[x] : text_off[y]].tobytes()
+                    for c, v in zip(cols, (int(ids[d]) if known[d] else None, len(mine), hashlib.sha256(mine.astype("<u4").tobytes()).hexdigest(),
+                                           hashlib.sha256(body).hexdigest(), mine.astype(np.int32) if keep else None, body.decode("utf-8", "replace") if keep else None)):
+                        c.append(v)
         types = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.int32()), pa.string())
         return pa.table([pa.array(c, t) for c, t in zip(cols, types)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded"])
 
