@@ -171,6 +171,17 @@ def spans_hash(pre: np.ndarray, start: np.ndarray, end: np.ndarray, which: int =
     return mix((pre[end] - pre[start]) * down[start])
 
 
+def window_hashes(values: np.ndarray, width: int, which: int = 0, chunk: int = 1 << 18) -> np.ndarray:
+    """`spans_hash` of values[i : i + width] for every i with room, a chunk at a time."""
+    out = np.empty(max(0, len(values) - width + 1), U64)
+    for a in range(0, len(out), chunk):
+        m = min(chunk, len(out) - a)
+        pre = prefix(values[a : a + m + width - 1], which)
+        _, down = POWERS[which].get(len(pre))
+        out[a : a + m] = mix((pre[width : width + m] - pre[:m]) * down[:m])
+    return out
+
+
 def words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start and end byte of every word [^\\x20\\x09-\\x0D]+, and the n + 1 word offsets of the documents."""
     n = len(data)
@@ -192,10 +203,9 @@ def runs(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def cover(start: np.ndarray, length: int, n: int) -> np.ndarray:
-    """Mask over n places of the union of [s, s + length)."""
-    d = np.bincount(start, minlength=n + 1) - np.bincount(np.minimum(start + length, n), minlength=n + 1)
-    return np.cumsum(d[:-1]) > 0
-
-
-def table(schema: pa.Schema, cols: list) -> pa.Table:
-    return pa.table([pa.array(c, t) if not isinstance(c, (pa.Array, pa.ChunkedArray)) else c for c, t in zip(cols, schema.types)], schema=schema)
+    """Mask over n places of the union of [s, s + length), for distinct starts."""
+    d = np.zeros(n + 1, np.int32)
+    d[start] = 1
+    end = np.minimum(start + length, n)
+    d[end[end < n]] -= 1
+    return np.cumsum(d[:-1], dtype=np.int32) > 0

@@ -28,10 +28,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm import matching as M
-from plumbline.llm.common import POWERS, Layout, cover, mix, prefix, runs, spans_hash, stored, text_arrays
+from plumbline.llm.common import Layout, cover, runs, stored, text_arrays, window_hashes
 
 GRAM = 48
 STEP = 8
+CHUNK = 1 << 18
 SENT_DDL = "bucket int, bid int, h binary, own binary"
 OUT_DDL = "doc_id bigint, kept binary, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string"
 
@@ -56,24 +57,23 @@ def is_small(t: np.ndarray) -> np.ndarray:
 
 
 def sort_directly(pos: np.ndarray, e: np.ndarray, depth: int) -> np.ndarray:
-    """Places in order of their first `depth` bytes, refined 8 bytes at a time where still tied."""
-    out = pos[np.argsort(e[pos], kind="stable")]
+    """Places in order of their first `depth` bytes: 8 bytes at once, then 5 more at a time where still tied."""
+    out = pos[np.argsort(e[pos])]
     key = e[out]
     group = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
     size = np.diff(np.append(group, len(out)))
     tied = np.repeat(size > 1, size)
     at, gid = np.flatnonzero(tied), np.repeat(np.arange(len(group)), size)[tied]
-    for d in range(STEP, depth, STEP):
+    for d in range(STEP, depth, 5):
         if not len(at):
             break
         p = out[at]
-        key = e[p + d]
-        order = np.lexsort((key, gid))
+        key = gid.astype(np.uint64) << np.uint64(40) | e[p + d] >> np.uint64(24)
+        order = np.argsort(key)
         out[at] = p[order]
-        key, gid = key[order], gid[order]
-        new = np.append(True, (gid[1:] != gid[:-1]) | (key[1:] != key[:-1]))
-        first = np.flatnonzero(new)
-        size = np.diff(np.append(first, len(at)))
+        key = key[order]
+        new = np.append(True, key[1:] != key[:-1])
+        size = np.diff(np.append(np.flatnonzero(new), len(at)))
         tied = np.repeat(size > 1, size)
         gid = (np.cumsum(new) - 1)[tied]
         at = at[tied]
@@ -84,15 +84,15 @@ def two_stage_suffix_array(t: np.ndarray, e: np.ndarray, depth: int) -> np.ndarr
     """Suffix array of the bytes t, exact to `depth` bytes (ties beyond that in any order)."""
     n = len(t)
     if n == 0:
-        return np.zeros(0, np.int64)
+        return np.zeros(0, np.int32)
     small = is_small(t)
-    direct = sort_directly(np.flatnonzero(small), e, depth)
+    direct = sort_directly(np.flatnonzero(small).astype(np.int32), e, depth)
     cut = np.searchsorted(t[direct], np.arange(257))
     queue: list[list[np.ndarray]] = [[] for _ in range(256)]
-    queue[t[n - 1]].append(np.array([n - 1]))
+    queue[t[n - 1]].append(np.array([n - 1], np.int32))
     out = []
     for c in range(256):
-        level = np.concatenate(queue[c]) if queue[c] else np.zeros(0, np.int64)
+        level = np.concatenate(queue[c]) if queue[c] else np.zeros(0, np.int32)
         bucket = []
         while len(level):  # predecessors with the same byte follow within the bucket
             bucket.append(level)
@@ -145,11 +145,9 @@ class Group:
     def __init__(self, docs: pa.Table, answers: pa.Table, length: int):
         self.length = length
         self.data, self.offsets = text_arrays(docs.column("text"))
-        n = len(self.data)
         size = np.diff(self.offsets)
-        end = np.repeat(self.offsets[1:], size)
-        self.left = end - np.arange(n)  # bytes to the document's end
-        self.pre = prefix(self.data)
+        end = np.repeat(self.offsets[1:].astype(np.int32), size)
+        left = end - np.arange(len(self.data), dtype=np.int32)  # bytes to the document's end
         raw = self.data.tobytes()
         told = {v: k for k, v in zip(answers.column("kind").to_pylist(), answers.column("vals").to_pylist()) if k >= ELSEWHERE}
         copied, extra = np.zeros(len(size), bool), np.zeros(len(size), bool)
@@ -159,21 +157,27 @@ class Group:
             copied[d] = md5 in told
             extra[d] = told.get(md5) == ELSEWHERE or md5 in seen
             seen.add(md5)
-        fit = self.left >= length
+        fit = left >= length
         self.copied = np.repeat(copied, size) & fit
         self.fit = fit & ~np.repeat(extra, size)
 
     def picks(self, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Windows (starts), the index of the pick of each, and the keys of the picks."""
-        n, k, w = len(self.data), GRAM, self.length - GRAM + 1
+        w = self.length - GRAM + 1
         start = np.flatnonzero(self.fit)
         if not len(start):
             return start, start, np.zeros(0, np.uint64)
-        h = mix((self.pre[k:] - self.pre[:-k]) * POWERS[0].down[: n - k + 1])
-        rank = (h & np.uint64(0xFFFFFFFF00000000)) | (np.uint64(0xFFFFFFFF) - np.arange(len(h), dtype=np.uint64))
-        at = np.uint64(0xFFFFFFFF) - (sliding_min(rank, w)[start] & np.uint64(0xFFFFFFFF))
+        h = window_hashes(self.data, GRAM)
+        at = np.empty(len(self.data) - self.length + 1, np.uint32)
+        low = np.uint64(0xFFFFFFFF)
+        for a in range(0, len(at), CHUNK):
+            m = min(CHUNK, len(at) - a)
+            part = h[a : a + m + w - 1]
+            rank = (part & ~low) | (low - np.arange(a, a + len(part), dtype=np.uint64))
+            at[a : a + m] = low - (sliding_min(rank, w) & low)
+        at = at[start]
         new = np.append(True, at[1:] != at[:-1])
-        return start, np.cumsum(new) - 1, M.keys32(h[at[new].astype(np.int64)], buckets)
+        return start, np.cumsum(new, dtype=np.int32) - 1, M.keys32(h[at[new]], buckets)
 
     def candidates(self, shared: np.ndarray, buckets: int) -> np.ndarray:
         start, which, keys = self.picks(buckets)
@@ -185,22 +189,22 @@ class Group:
     def classes(self, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Windows in suffix order, the class of each, and the index of each class's first."""
         region = cover(start, self.length, len(self.data))
-        back = np.flatnonzero(region)
+        back = np.flatnonzero(region).astype(np.int32)
         t = self.data[back]
         e = eights(t, self.length)
         sa = back[two_stage_suffix_array(t, e, self.length)] if len(t) else back
         wanted = np.zeros(len(self.data), bool)
         wanted[start] = True
         sa = sa[wanted[sa]]
-        place = np.cumsum(region) - 1
+        place = np.cumsum(region, dtype=np.int32) - 1
         same = common_prefixes(place[sa], e, self.length) if len(sa) else np.zeros(0, bool)
         return sa, np.cumsum(~same) - 1, np.flatnonzero(~same)
 
     def entries(self, at: np.ndarray) -> np.ndarray:
         """96-bit hashes of the windows that start at `at`."""
         out = np.empty(len(at), M.ENTRY)
-        out["h"] = spans_hash(self.pre, at, at + self.length)
-        out["g"] = spans_hash(prefix(self.data ^ np.uint8(0x5A), 1), at, at + self.length, 1) >> np.uint64(32)
+        out["h"] = window_hashes(self.data, self.length)[at]
+        out["g"] = window_hashes(self.data ^ np.uint8(0x5A), self.length, 1)[at] >> np.uint64(32)
         return out
 
 
