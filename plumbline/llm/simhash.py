@@ -218,7 +218,7 @@ NONE = (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
 def _parts_for(n: int) -> int:
     """Parts of the fingerprint whose bits are counted: more for more fingerprints. Any number gives the same links."""
-    return 1 if n < 20_000 else 2 if n < 400_000 else 4
+    return 1 if n < 300_000 else 2 if n < 3_000_000 else 4
 
 
 def simhash_components(docs: DataFrame, shingle: int = 3, radius: int = 2) -> DataFrame:
