@@ -46,10 +46,10 @@ def new_path(spark: SparkSession, what: str) -> str:
     return _WRITTEN[-1]
 
 
-def stored(df: DataFrame, what: str) -> DataFrame:
+def stored(df: DataFrame, what: str, compression: str = "snappy") -> DataFrame:
     """Write df to shared storage and read it back: later failures restart from the files."""
     spark, path = df.sparkSession, new_path(df.sparkSession, what)
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -28,7 +28,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -273,24 +272,23 @@ def encode_texts(data: np.ndarray, offsets: np.ndarray, path: str, end: int) ->
 
 
 def tokens(docs: DataFrame, path: str, end: int) -> DataFrame:
-    """(doc_id, n, ids): compressed little-endian 32-bit ids of every text with its end id."""
+    """(doc_id, n, ids): little-endian ids of every text with its end id, 16 bits each where that is enough."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pack = zstandard.ZstdCompressor(level=1)
         for b in it:
             data, off = text_arrays(b.column(1))
             for i, j in slices(off, 4 << 20):
                 flat, cut = encode_texts(data[off[i] : off[j]], off[i : j + 1] - off[i], path, end)
-                ids = np.split(flat, cut[1:-1])
-                blobs = [pack.compress(np.ascontiguousarray(x.view(np.uint8).reshape(-1, 4).T).tobytes()) for x in ids]
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array([len(x) for x in ids], pa.int64()), pa.array(blobs, pa.binary())], ["doc_id", "n", "ids"])
+                short = flat.astype("<u2") if len(flat) and flat.max() < 1 << 16 else flat
+                raw, size = short.tobytes(), short.itemsize
+                blobs = [raw[size * x : size * y] for x, y in zip(cut[:-1].tolist(), cut[1:].tolist())]
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(np.diff(cut)), pa.array(blobs, pa.binary())], ["doc_id", "n", "ids"])
 
     return texts(docs).mapInArrow(run, "doc_id bigint, n bigint, ids binary")
 
 
-def unpack(blob: bytes) -> np.ndarray:
-    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8)
-    return np.ascontiguousarray(raw.reshape(4, -1).T).view("<u4").ravel()
+def unpack(blob: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(blob, "<u2" if len(blob) == 2 * n else "<u4").astype("<u4")
 
 
 def frequencies(tok: DataFrame) -> np.ndarray:
@@ -299,16 +297,16 @@ def frequencies(tok: DataFrame) -> np.ndarray:
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, np.int64)
         for b in it:
-            blobs = b.column(0).to_pylist()
+            blobs, sizes = b.column(0).to_pylist(), b.column(1).to_pylist()
             for i in range(0, len(blobs), 512):
-                c = np.bincount(np.concatenate([unpack(x) for x in blobs[i : i + 512]]))
+                c = np.bincount(np.concatenate([unpack(x, n) for x, n in zip(blobs[i : i + 512], sizes[i : i + 512])]))
                 if len(c) > len(total):
                     total = np.concatenate([total, np.zeros(len(c) - len(total), np.int64)])
                 total[: len(c)] += c
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], ["id", "n"])
 
-    rows = tok.select("ids").mapInArrow(run, "id int, n bigint").groupBy("id").agg(F.sum("n").alias("n")).collect()
+    rows = tok.select("ids", "n").mapInArrow(run, "id int, n bigint").groupBy("id").agg(F.sum("n").alias("n")).collect()
     out = np.zeros(max((r.id for r in rows), default=-1) + 1, np.int64)
     for r in rows:
         out[r.id] = r.n
@@ -338,19 +336,18 @@ def write_blocks(tok: DataFrame, out: str, partitions: int) -> None:
             return pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([number], pa.int32()), pa.array([first], pa.int64()), pa.array([len(ids)], pa.int64()), pa.array([data], pa.binary())], ["shard", "block", "first", "n_ids", "data"])
 
         for b in it:
-            for s, d, blob in zip(b.column(0), b.column(1), b.column(2)):
-                shard = s.as_py()
-                ids = unpack(blob.as_py())
+            for shard, d, blob, n in zip(*(b.column(k).to_pylist() for k in range(4))):
+                ids = unpack(blob, n)
                 if held and size + len(ids) > BLOCK_IDS:
                     yield flush()
                     first, number, held, size = first + size, number + 1, [], 0
-                held.append((d.as_py(), ids))
+                held.append((d, ids))
                 size += len(ids)
         if held:
             yield flush()
 
     ordered = tok.repartitionByRange(partitions, "doc_id").sortWithinPartitions("doc_id", "ids")
-    ordered.select(F.spark_partition_id().alias("shard"), "doc_id", "ids").mapInArrow(run, "shard int, block int, first bigint, n_ids bigint, data binary").write.parquet(f"{out}/blocks")
+    ordered.select(F.spark_partition_id().alias("shard"), "doc_id", "ids", "n").mapInArrow(run, "shard int, block int, first bigint, n_ids bigint, data binary").write.parquet(f"{out}/blocks")
 
 
 def read_blocks(spark, out: str, keep_ids: bool = True) -> DataFrame:
@@ -396,5 +393,5 @@ def token_files(docs: DataFrame, path: str, end: int = 2, out: str | None = None
     spark = docs.sparkSession
     lay = Layout.of(docs)
     out = out or new_path(spark, "tokens")
-    write_blocks(stored(tokens(docs, path, end), "ids"), out, lay.partitions)
+    write_blocks(stored(tokens(docs, path, end), "ids", "zstd"), out, lay.partitions)
     return read_blocks(spark, out, keep_ids)
