@@ -13,27 +13,32 @@ Two kinds of link:
 * `simhash_components`: 64-bit fingerprints, at most `radius` differing bits.
   Cells are population counts of equal parts of the fingerprint; the sum of
   their differences is at most the number of differing bits.
-* `near_groups`: word-shingle sets of Jaccard similarity `min_sim` or more.
-  Cells are size classes (sets that similar have sizes within that ratio).
-  128-bit SimHash fingerprints leave out pairs far from it and accept those
-  well inside. For what lies between, the tile pair names the documents, and a
-  second comparison of just these decides on 256 one-byte minimum-hash bins;
-  those count nearly all shingles of sets up to a few hundred and have a
-  standard error of 0.025 beyond. Bins never travel with the tiles.
-
-The comparison is quadratic in the distinct fingerprints of neighbouring
-cells. It is dealt over tile pairs, so it spreads over any cluster, but its
-total work grows faster than the input; the README has figures.
+* `near_groups`: sets of word shingles (XXH64 hashes) of Jaccard similarity
+  `min_sim` or more. Nothing is estimated. Two sets that similar share one of
+  the first n - ceil(min_sim * n) + 1 hashes of either in any common order
+  (prefix filter); texts that do, and whose sizes and places allow it, are
+  candidates, and every candidate pair is decided on its two whole sets.
+  Hashes frequent in a sample come last in the order, so they rarely make
+  candidates; the order does not affect the result. Pairs of neighbours are
+  decided first and their components found; then all pairs that these leave
+  in different components.
+
+The comparison of tiles is quadratic in the distinct fingerprints of
+neighbouring cells. It is dealt over tile pairs, so it spreads over any
+cluster, but its total work grows faster than the input; candidates grow with
+the square of the texts that share a rare hash without being linked.
 """
 
 from __future__ import annotations
 
+import hashlib
 import itertools
 import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -44,10 +49,12 @@ from plumbline.llm.components import components, forest
 SEED = 42
 #: Fingerprints of a tile: a 64th of all, within these bounds.
 TILE_LEAST, TILE_MOST = 2048, 32768
-#: SimHash words and minimum-hash bins of near_groups.
-WORDS, BINS = 2, 256
-#: Differing bits of 128 up to which near_groups accepts and looks: similarity 0.8 has a mean of 19 and a deviation of 4.
-SURE, LOOSE = 8, 32
+#: Documents of the sample that orders hashes, and most hashes ranked by it.
+SAMPLE, RANKED = 5000, 1 << 20
+#: Bits of a parity map of a set: two maps differ in no more bits than their sets in hashes.
+PARITY = 512
+#: Prefix entries of a bucket, pairs of one step.
+BUCKET, STEP = 1 << 19, 1 << 20
 #: Ids from here on stand for rows without one.
 NULL_ID = (1 << 63) - (1 << 41)
 
@@ -101,32 +108,81 @@ def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
     return texts(docs).mapInArrow(run, "doc_id bigint, fp bigint")
 
 
-def sketches(docs: DataFrame, shingle: int = 5) -> DataFrame:
-    """(doc_id, n, fp, bins) of each text: distinct shingles, 256-bit SimHash of their set, minimum-hash bins (0: empty)."""
+ENTRY = np.dtype([("h", "<u8"), ("node", "<i8"), ("n", "<i4"), ("at", "<i4")])
+
+
+def _sets(b: pa.RecordBatch, size: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+    """Row ranges (i, j) of doc_id and text: sorted distinct shingle hashes, their rows, and the offsets."""
+    data, off = text_arrays(b.column(1))
+    for i, j, h, cut in _hash_lists(data, off, size):
+        doc = np.repeat(np.arange(j - i), np.diff(cut))
+        order = np.lexsort((h, doc))
+        h, doc = h[order], doc[order]
+        new = np.ones(len(h), bool)
+        new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
+        h, doc = h[new], doc[new]
+        yield i, j, h, doc, np.searchsorted(doc, np.arange(j - i + 1))
+
+
+def _set_key(h: np.ndarray) -> bytes:
+    return hashlib.md5(h.tobytes(), usedforsecurity=False).digest()
+
+
+def shingle_sets(docs: DataFrame, shingle: int = 5) -> DataFrame:
+    """(doc_id, key, hashes): the sorted distinct shingle hashes of each text, and the MD5 of them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            data, off = text_arrays(b.column(1))
-            for i, j, h, cut in _hash_lists(data, off, shingle):
-                m = j - i
-                doc = np.repeat(np.arange(m), np.diff(cut))
-                order = np.lexsort((h, doc))
-                h, doc = h[order], doc[order]
-                new = np.ones(len(h), bool)
-                new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
-                h, doc = h[new], doc[new]
-                cut = np.searchsorted(doc, np.arange(m + 1))
-                fp = np.stack([majority(mix(h + np.uint64(k * 0x9E3779B97F4A7C15 & (1 << 64) - 1)), cut) for k in range(WORDS)], axis=1)
-                bins = np.zeros((m, BINS), np.uint8)
-                which = (h >> np.uint64(56)).astype(np.int64)
-                first = np.ones(len(h), bool)
-                first[1:] = (which[1:] != which[:-1]) | (doc[1:] != doc[:-1])
-                bins[doc[first], which[first]] = 1 + mix(h[first]) % np.uint64(255)
+            for i, j, h, _, cut in _sets(b, shingle):
+                each = [h[x:y] for x, y in zip(cut[:-1], cut[1:])]
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array([_set_key(x) for x in each], pa.binary()), pa.array([x.tobytes() for x in each], pa.binary())], ["doc_id", "key", "hashes"])
+
+    return texts(docs).mapInArrow(run, "doc_id bigint, key binary, hashes binary")
+
+
+def _ranks(docs: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes that occur repeatedly in a sample of the documents, sorted, and how often; only the order of prefixes depends on it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for _, _, h, _, _ in _sets(b, shingle):
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64))], ["h"])
+
+    some = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(max(1, docs.count() // SAMPLE))) == 0)
+    t = texts(some).mapInArrow(run, "h bigint").groupBy("h").agg(F.count("*").alias("k")).where("k > 1").orderBy(F.desc("k"), "h").limit(RANKED).toArrow()
+    h, k = t.column("h").to_numpy().view(np.uint64), t.column("k").to_numpy()
+    order = np.argsort(h)
+    return h[order], k[order]
+
+
+def least_overlap(n: np.ndarray, min_sim: float) -> np.ndarray:
+    """Hashes that a set of n must share with any set as similar as min_sim."""
+    return np.ceil(n * min_sim - 1e-9).astype(np.int64)
+
+
+def prefixes(docs: DataFrame, shingle: int = 5, min_sim: float = 0.8) -> DataFrame:
+    """(doc_id, n, key, prefix, parity) of each text: distinct shingles, MD5 of the set, first hashes in the order of `_ranks`, parity map."""
+    shared = docs.sparkSession.sparkContext.broadcast(_ranks(docs, shingle))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, often = shared.value
+        for b in batches:
+            for i, j, h, doc, cut in _sets(b, shingle):
+                keys = [_set_key(h[x:y]) for x, y in zip(cut[:-1], cut[1:])]
+                odd = np.bincount(doc * PARITY + (mix(h) % np.uint64(PARITY)).astype(np.int64), minlength=(j - i) * PARITY) & 1
+                odd = np.packbits(odd.astype(bool).reshape(j - i, PARITY), axis=1)
+                rank = np.zeros(len(h), np.int64)
+                if len(known):
+                    at = np.minimum(np.searchsorted(known, h), len(known) - 1)
+                    rank = np.where(known[at] == h, often[at], 0)
+                h = h[np.lexsort((h, rank, doc))]
+                n = np.diff(cut)
+                size = np.where(n > 0, n - least_overlap(n, min_sim) + 1, 0)
                 yield pa.RecordBatch.from_arrays([
-                    b.column(0).slice(i, m), pa.array(np.diff(cut)), pa.array([x.tobytes() for x in fp], pa.binary()), pa.array([x.tobytes() for x in bins], pa.binary())],
-                    ["doc_id", "n", "fp", "bins"])
+                    b.column(0).slice(i, j - i), pa.array(n), pa.array(keys, pa.binary()), pa.array([h[x : x + k].tobytes() for x, k in zip(cut[:-1], size)], pa.binary()), pa.array([x.tobytes() for x in odd], pa.binary())],
+                    ["doc_id", "n", "key", "prefix", "parity"])
 
-    return texts(docs).mapInArrow(run, "doc_id bigint, n bigint, fp binary, bins binary")
+    return texts(docs).mapInArrow(run, "doc_id bigint, n bigint, key binary, prefix binary, parity binary")
 
 
 def _ball(cell: tuple[int, ...], reach: int) -> Iterator[tuple[int, ...]]:
@@ -251,59 +307,132 @@ def simhash_components(docs: DataFrame, shingle: int = 3, radius: int = 2) -> Da
         F.when(F.col("root") < F.lit(NULL_ID), F.col("root")).alias("component_id"))
 
 
+def _shared_hashes(reps: DataFrame) -> DataFrame:
+    """(bucket, h, node, n, at, prev): prefix entries whose hash several nodes have, and the one before in order of size.
+
+    reps has node, n and prefix. Entries travel packed by bucket of the hash.
+    """
+    spark = reps.sparkSession
+    total = reps.agg(F.sum(F.octet_length("prefix"))).first()[0] or 0
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(total / 8 / BUCKET))
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def rows() -> pa.RecordBatch:
+            e = np.concatenate(held)
+            which = (mix(e["h"]) % np.uint64(buckets)).astype(np.int64)
+            order = np.argsort(which, kind="stable")
+            cut = np.searchsorted(which[order], np.arange(buckets + 1))
+            some = np.flatnonzero(np.diff(cut))
+            return pa.RecordBatch.from_arrays([pa.array(some), pa.array([e[order[cut[k] : cut[k + 1]]].tobytes() for k in some], pa.binary())], ["bucket", "entries"])
+
+        for b in batches:
+            k = pa.compute.binary_length(b.column(2)).to_numpy() // 8
+            e = np.zeros(k.sum(), ENTRY)
+            e["h"] = np.frombuffer(b"".join(b.column(2).to_pylist()), np.uint64)
+            e["node"], e["n"] = np.repeat(b.column(0).to_numpy(), k), np.repeat(b.column(1).to_numpy(), k)
+            e["at"] = np.arange(len(e)) - np.repeat(np.cumsum(k) - k, k)
+            held.append(e)
+            size += len(e)
+            if size >= STEP:
+                yield rows()
+                held, size = [], 0
+        if size:
+            yield rows()
+
+    def gather(key: tuple, t: pa.Table) -> pa.Table:
+        e = np.frombuffer(b"".join(t.column("entries").to_pylist()), ENTRY)
+        e = e[np.lexsort((e["node"], e["n"], e["h"]))]
+        same = np.append(e["h"][1:] == e["h"][:-1], False)
+        keep = np.flatnonzero(same | np.append(False, same[:-1]))
+        first = np.append(False, same[:-1])[keep]
+        prev = np.where(first, e["node"][np.maximum(keep - 1, 0)], e["node"][keep])
+        e = e[keep]
+        return pa.table([pa.array(np.full(len(e), key[0].as_py())), *[pa.array(np.ascontiguousarray(e[c]).astype(np.int64, copy=False) if c != "h" else np.ascontiguousarray(e[c]).view(np.int64)) for c in ENTRY.names], pa.array(prev)],
+                        names=["bucket", *ENTRY.names, "prev"])
+
+    packed = reps.select("node", "n", "prefix").mapInArrow(pack, "bucket bigint, entries binary")
+    return packed.groupBy("bucket").applyInArrow(gather, "bucket bigint, h bigint, node bigint, n bigint, at bigint, prev bigint")
+
+
+def _apart(min_sim: float):  # noqa: ANN202
+    """A function of a bucket (h, node, n, at, root, parity): candidate pairs (u, v), u < v, of nodes with different roots."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = pa.Table.from_batches(list(batches))
+        h, node, n, at, root = (t.column(c).to_numpy() for c in ("h", "node", "n", "at", "root"))
+        odd = np.frombuffer(b"".join(t.column("parity").to_pylist()), np.uint64).reshape(len(h), -1)
+        order = np.lexsort((node, n, h))
+        odd = odd[order]
+        h, node, n, at, root = (x[order] for x in (h, node, n, at, root))
+        edge = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
+        for a, z in zip(edge, np.append(edge[1:], len(h))):
+            if (root[a:z] == root[a]).all():
+                continue
+            most = np.searchsorted(n[a:z], n[a:z] / min_sim + 1e-6, "right") + a  # partners end here: they are larger at most by the ratio
+            ahead = most - np.arange(a, z) - 1
+            upto = np.cumsum(ahead)
+            i = 0
+            while i < z - a:
+                j = max(i + 1, int(np.searchsorted(upto, (upto[i - 1] if i else 0) + STEP, "right")))
+                k = ahead[i:j]
+                p = np.repeat(np.arange(a + i, a + j), k)
+                q = p + 1 + np.arange(len(p)) - np.repeat(np.cumsum(k) - k, k)
+                # the first shared hash of a pair as similar as min_sim leaves room for its overlap
+                need = np.ceil((n[p] + n[q]) * (min_sim / (1 + min_sim)) - 1e-6)
+                ok = (root[p] != root[q]) & (np.minimum(n[p] - at[p], n[q] - at[q]) >= need)
+                p, q, need = p[ok], q[ok], need[ok]
+                ok = np.bitwise_count(odd[p] ^ odd[q]).sum(1, dtype=np.int64) <= n[p] + n[q] - 2 * need
+                u, v = node[p[ok]], node[q[ok]]
+                pair = np.unique(np.stack([np.minimum(u, v), np.maximum(u, v)], axis=1), axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pair[:, 0])), pa.array(np.ascontiguousarray(pair[:, 1]))], ["u", "v"])
+                i = j
+
+    return run
+
+
+def _linked(pairs: DataFrame, sets: DataFrame, min_sim: float) -> DataFrame:
+    """The pairs (u, v) whose sets (node, hashes) have a Jaccard similarity of min_sim or more."""
+
+    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ok = []
+            for x, y in zip(b.column(2), b.column(3)):
+                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                both = np.concatenate([x, y])
+                both.sort(kind="stable")  # merges the two sorted runs
+                k = int((both[1:] == both[:-1]).sum())
+                ok.append(k >= min_sim * (len(both) - k) - 1e-9)
+            keep = pa.array(ok, pa.bool_())
+            yield pa.RecordBatch.from_arrays([b.column(0).filter(keep), b.column(1).filter(keep)], ["u", "v"])
+
+    left, right = (sets.select(F.col("node").alias(c), F.col("hashes").alias(f"{c}_set")) for c in "uv")
+    return pairs.join(left, "u").join(right, "v").select("u", "v", "u_set", "v_set").mapInArrow(decide, "u bigint, v bigint")
+
+
 def near_groups(docs: DataFrame, shingle: int = 5, min_sim: float = 0.8) -> DataFrame:
     """doc_id and group (smallest doc_id of the rows linked by similarity `min_sim` or more) of each row.
 
-    Rows whose texts have equal sketches (copies, up to case and white space)
-    are always together. doc_id must not be null.
+    Rows whose texts have equal shingle sets (copies, up to case and white
+    space) are always together. doc_id must not be null.
     """
-    sk = stored(sketches(docs, shingle), "sketches")
-    reps = stored(sk.groupBy("n", "fp", "bins").agg(F.min("doc_id").alias("node")), "reps")
-    # classes a quarter of the allowed ratio wide: similar sets are at most four apart
-    cell = F.array(F.floor(F.log(F.col("n").cast("double")) / F.lit(-math.log(min_sim) / 4) + F.lit(1e-9)).cast("int"))
-    packed = F.concat(F.unhex(F.lpad(F.hex("n"), 16, "0")), "fp")
-    some = reps.where("n > 0")
-
-    def far(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Pairs of similar size with at most LOOSE differing bits, and their number of bits."""
-        n, m = (np.ascontiguousarray(z[:, :8]).view(">u8").ravel().astype(float) for z in (x, y))
-        f, g = (np.ascontiguousarray(z[:, 8 : 8 + 8 * WORDS]).view(np.uint64) for z in (x, y))
-        d = np.bitwise_count(f[:, None, 0] ^ g[None, :, 0])
-        for k in range(1, WORDS):
-            d += np.bitwise_count(f[:, None, k] ^ g[None, :, k])
-        p, q = np.nonzero(d <= LOOSE)
-        keep = np.minimum(n[p], m[q]) >= min_sim * np.maximum(n[p], m[q]) - 1e-9
-        p, q = p[keep], q[keep]
-        return p, q, d[p, q]
-
-    def match(x: np.ndarray, y: np.ndarray) -> tuple:
-        p, q, d = far(x, y)
-        sure = d <= SURE
-        return (p[sure], q[sure]), (p[~sure], q[~sure])
-
-    def decide(x: np.ndarray, y: np.ndarray) -> tuple:
-        p, q, _ = far(x, y)
-        ok = np.zeros(len(p), bool)
-        for i in range(0, len(p), 1 << 14):
-            a, b = x[p[i : i + (1 << 14)], 8 + 8 * WORDS :], y[q[i : i + (1 << 14)], 8 + 8 * WORDS :]
-            ok[i : i + (1 << 14)] = ((a == b) & (a > 0)).sum(1) >= min_sim * ((a | b) > 0).sum(1) - 1e-9
-        return (p[ok], q[ok]), NONE
-
-    def settle(key: tuple, t: pa.Table) -> pa.Table:
-        side, nodes, items = t.column("side").to_numpy(), t.column("node").to_numpy(), t.column("item").to_pylist()
-        packs = [(nodes[side == k].tobytes(), b"".join(x for x, w in zip(items, side) if w == k)) for k in (0, 1)]
-        if key[0].as_py() == key[1].as_py():
-            packs[1] = packs[0]
-        u, v, _, _ = _compare_sides(*packs, decide) if all(p[0] for p in packs) else (*NONE, *NONE)
-        return pa.table([pa.array(u), pa.array(v)], names=["u", "v"])
-
-    first = stored(_compare_tiles(some.select("node", cell.alias("cell"), packed.alias("item")), reps.count(), 4, match), "links")
-    whole = some.select("node", F.concat(packed, "bins").alias("item"))
-    open_ = first.where("kind = 1").select("a", "b", F.col("v").alias("side"), F.col("u").alias("node")).join(whole, "node")
-    links = first.where("kind = 0").select("u", "v").unionByName(open_.groupBy("a", "b").applyInArrow(settle, "u bigint, v bigint"))
-    comp = components(links)
-    roots = reps.join(comp.select(F.col("u").alias("node"), "v"), "node", "left").select("n", "fp", "bins", F.coalesce("v", "node").alias("group"))
-    return sk.join(roots, ["n", "fp", "bins"]).select("doc_id", "group")
+    sk = stored(prefixes(docs, shingle, min_sim), "prefixes")
+    reps = stored(sk.groupBy("key").agg(F.min("doc_id").alias("node")), "reps")
+    first = sk.where("n > 0").join(reps.withColumnRenamed("node", "doc_id"), ["key", "doc_id"], "left_semi").withColumnRenamed("doc_id", "node")
+    shared = stored(_shared_hashes(first), "shared")
+    nodes = reps.join(shared.select("node").distinct(), "node", "left_semi")
+    texts_of = docs.withColumn("doc_id", F.col("doc_id").cast("bigint")).join(nodes.select(F.col("node").alias("doc_id")), "doc_id", "left_semi")
+    sets = stored(shingle_sets(texts_of, shingle).join(nodes.withColumnRenamed("node", "doc_id"), ["key", "doc_id"], "left_semi").select(F.col("doc_id").alias("node"), "hashes").distinct(), "sets")
+    near = shared.where("node <> prev").select(F.least("node", "prev").alias("u"), F.greatest("node", "prev").alias("v")).distinct()
+    links = stored(_linked(near, sets, min_sim), "links")
+    comp = components(links).select(F.col("u").alias("node"), F.col("v").alias("root"))
+    maps = first.select("node", F.col("n"), "parity").distinct()  # an id with several texts has a map for each size
+    rooted = shared.join(maps, ["node", "n"]).join(comp, "node", "left").select("bucket", "h", "node", "n", "at", F.coalesce("root", "node").alias("root"), "parity")
+    rest = rooted.groupBy("bucket").applyInArrow(_apart(min_sim), "u bigint, v bigint").distinct()
+    comp = components(links.unionByName(_linked(rest, sets, min_sim)))
+    roots = reps.join(comp.select(F.col("u").alias("node"), "v"), "node", "left").select("key", F.coalesce("v", "node").alias("group"))
+    return sk.join(roots, "key").select("doc_id", "group")
 
 
 def simhash_dedup(docs: DataFrame, shingle: int = 5, min_sim: float = 0.8) -> DataFrame:

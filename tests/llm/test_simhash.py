@@ -135,3 +135,54 @@ def test_dedup_keeps_one_of_each_group_and_all_columns(spark):
     got = out.collect()
     assert sorted(str(r.doc_id) for r in got) == ["1", "3", "4", "7", "None"]
     assert [r.group for r in got if r.doc_id == 7] == ["q"]
+
+
+@pytest.mark.parametrize("shingles", [5, 9, 45, 450, 4500])
+def test_near_groups_at_exactly_the_threshold(spark, shingles):
+    """Pairs at 0.8 (8 of 10 parts shared) are all linked, pairs one hash short are not, whatever their size."""
+    total = shingles
+    common = round(total * 8 / 9) if total % 9 == 0 else None
+    rows, want = [], {}
+    for k in range(40):
+        # n tokens as shingles of one word each: sets a and b share c of n each, so the similarity is c / (2 n - c)
+        if common is None:  # 4 of 5: one side has one word more
+            a = [f"k{k}x{i}" for i in range(4)]
+            b = [*a, f"k{k}y"]
+            c = [f"k{k}z{i}" for i in range(4)]
+            d = [*c[:3], f"k{k}v"]
+        else:
+            a = [f"k{k}x{i}" for i in range(total)]
+            b = a[:common] + [f"k{k}y{i}" for i in range(total - common)]
+            c = [f"k{k}z{i}" for i in range(total)]
+            d = c[: common - 1] + [f"k{k}v{i}" for i in range(total - common + 1)]
+        for j, w in enumerate((a, b, c, d)):
+            rows.append((4 * k + j, " ".join(w)))
+            want[4 * k + j] = 4 * k if j < 2 else 4 * k + j
+    got = {r.doc_id: r.group for r in near_groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), shingle=1).collect()}
+    assert got == want
+
+
+def test_near_groups_equal_brute_force(spark):
+    rng = random.Random(5)
+    rows = []
+    for b in range(30):
+        base = [f"b{b}w{i}" for i in range(rng.choice((3, 6, 9, 40, 200)))] + [f"foot{i}" for i in range(12)]
+        for _ in range(6):
+            w = list(base)
+            for _ in range(rng.randrange(0, 4)):
+                w[rng.randrange(len(w))] = f"n{rng.randrange(10**6)}"
+            rows.append(w)
+    sets = [frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) for w in rows]
+    root = list(range(len(rows)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]) and find(i) != find(j):
+                root[max(find(i), find(j))] = min(find(i), find(j))
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(rows)], "doc_id long, text string").repartition(3)
+    assert {r.doc_id: r.group for r in near_groups(df).collect()} == {i: find(i) for i in range(len(rows))}
