@@ -12,8 +12,11 @@ rejected if that exceeds the language's threshold, calibrated on the training
 texts: a high quantile of their own cross-entropy plus a margin that shrinks
 with the root of the length.
 
-The model's size is bounded by MAX_GRAMS 4-grams a language, the most frequent
-ones; counting has no bound.
+All counts are kept. A model of more than SHARD_GRAMS counts is cut into shards
+by the two middle symbols of a 4-gram: continuation counts, contexts and
+back-off of orders 4 and 3 stay within a shard, discounts and the tables of
+orders 2 and 1 (bounded by the alphabet) are taken over all of it. The driver
+builds and broadcasts a shard at a time, a worker scores with one at a time.
 """
 
 from __future__ import annotations
@@ -30,8 +33,8 @@ from pyspark.sql import functions as F
 from plumbline.llm.common import mix, slices, stored, text_arrays, texts
 
 ORDER = 4
-#: Most 4-grams kept for a language: bounds what is broadcast (about 25 MB a language at most).
-MAX_GRAMS = 300_000
+#: Counts of one shard of the model, about: bounds what is broadcast at once, not what is kept.
+SHARD_GRAMS = 1_200_000
 #: Own-language quantile, margin at one character, and sharpness of the score.
 QUANTILE, MARGIN, SHARP = 0.999, 8.0, 12.0
 SPACE, OTHER = 32, 0xFFFF
@@ -157,9 +160,12 @@ def _discount(n: np.ndarray) -> float:
 class _Language:
     """Interpolated Kneser-Ney by order: (keys, probabilities) and (contexts, back-off weights), sorted."""
 
-    def __init__(self, keys: np.ndarray, counts: np.ndarray):
-        tables = {ORDER: (keys, counts)}
+    def __init__(self, keys: np.ndarray, counts: np.ndarray, whole: dict[int, tuple[np.ndarray, np.ndarray]] | None = None, discounts: dict[int, float] | None = None):
+        """For a shard: `whole` has the tables of orders 2 and 1, `discounts` those of all orders."""
+        tables = {ORDER: (keys, counts), **(whole or {})}
         for o in range(ORDER - 1, 0, -1):
+            if o in tables:
+                continue
             low = tables[o + 1][0] & np.uint64((1 << 16 * o) - 1)
             tables[o] = np.unique(low, return_counts=True)
         self.p: dict[int, tuple[np.ndarray, np.ndarray]] = {}
@@ -167,10 +173,10 @@ class _Language:
         self.unseen = 1.0 / (len(tables[1][0]) + 1)
         for o in range(1, ORDER + 1):
             k, n = tables[o]
-            d = _discount(n)
+            d = discounts[o] if discounts else _discount(n)
             ctx = k >> np.uint64(16) if o > 1 else np.zeros(len(k), np.uint64)
             c, first = np.unique(ctx, return_index=True)
-            total = np.add.reduceat(n, first).astype(float)
+            total = np.add.reduceat(n, first).astype(float) if len(n) else np.zeros(0)
             kinds = np.diff(np.append(first, len(k)))
             lam = d * kinds / total
             i = np.searchsorted(c, ctx)
@@ -182,9 +188,12 @@ class _Language:
         if o == 0:
             return np.full(len(keys), self.unseen)
         k, p = self.p[o]
-        at = np.minimum(np.searchsorted(k, keys), len(k) - 1)
-        hit = k[at] == keys
-        out = p[at].copy()
+        if len(k):
+            at = np.minimum(np.searchsorted(k, keys), len(k) - 1)
+            hit = k[at] == keys
+            out = p[at].copy()
+        else:
+            hit, out = np.zeros(len(keys), bool), np.zeros(len(keys))
         miss = ~hit
         if miss.any():
             m = keys[miss]
@@ -193,6 +202,8 @@ class _Language:
 
     def weight(self, o: int, ctx: np.ndarray) -> np.ndarray:
         c, lam = self.bow[o]
+        if not len(c):
+            return np.ones(len(ctx))
         at = np.minimum(np.searchsorted(c, ctx), len(c) - 1)
         return np.where(c[at] == ctx, lam[at], 1.0)
 
@@ -200,7 +211,7 @@ class _Language:
 class Model:
     """All languages together; scoring returns nats per character for each."""
 
-    def __init__(self, counts: dict[str, tuple[np.ndarray, np.ndarray]]):
+    def __init__(self, counts: dict[str, tuple]):
         self.langs = sorted(counts)
         each = [_Language(*counts[x]) for x in self.langs]
         self.p, self.bow = {}, {}
@@ -235,22 +246,67 @@ class Model:
         return n, out
 
 
-def train_model(train: DataFrame, max_grams: int = MAX_GRAMS) -> Model:
-    """The model of the texts of train (text, lang not null). At most max_grams rows a language reach the driver."""
+def shard_of(keys: np.ndarray, shards: int) -> np.ndarray:
+    """The shard of each 4-gram, by its two middle symbols."""
+    b, c = (keys >> np.uint64(32)) & np.uint64(0xFFFF), (keys >> np.uint64(16)) & np.uint64(0xFFFF)
+    return ((b * np.uint64(40503) + c * np.uint64(30011)) % np.uint64(65521) % np.uint64(shards)).astype(np.int64)
+
+
+def _shard_column(gram: Column, shards: int) -> Column:
+    b, c = (F.shiftrightunsigned(gram, k).bitwiseAND(F.lit(0xFFFF)) for k in (32, 16))
+    return (b * 40503 + c * 30011) % 65521 % shards
+
+
+def _tables(counts: DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+    """Sorted grams and their counts of each language, on the driver."""
+    rows: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+    for lang in sorted(r["lang"] for r in counts.select("lang").distinct().collect()):
+        t = counts.where(F.col("lang") == lang).select("gram", "n").toArrow()
+        g, n = t.column("gram").to_numpy().view(np.uint64), t.column("n").to_numpy()
+        order = np.argsort(g)
+        rows[lang] = (g[order], n[order])
+    return rows
+
+
+def train_models(train: DataFrame, max_grams: int | None = None) -> Iterator[tuple[int, Model]]:
+    """(number of shards, shard of the model) of the texts of train (text, lang not null), one after the other; max_grams: `bounded`, if given."""
     counts = stored(count_grams(train.where("lang is not null and text is not null")), "grams")
-    rows: dict[str, list[np.ndarray]] = {}
-    t = bounded(counts, max_grams).toArrow()
-    lang, g, n = (t.column(c) for c in ("lang", "gram", "n"))
-    g, n = g.to_numpy().view(np.uint64), n.to_numpy()
-    lang = np.array(lang.to_pylist(), object)
-    for x in sorted(set(lang)):
-        mine = lang == x
-        order = np.argsort(g[mine])
-        rows[x] = (g[mine][order], n[mine][order])
-    return Model(rows)
-
-
-def identify(docs: DataFrame, train: Column | None = None, max_grams: int = MAX_GRAMS) -> DataFrame:
+    if max_grams is not None:
+        counts = bounded(counts, max_grams)
+    shards = max(1, -(-counts.count() // SHARD_GRAMS))
+    if shards == 1:
+        yield 1, Model(_tables(counts))
+        return
+    orders = {ORDER: counts}
+    for o in range(ORDER - 1, 0, -1):
+        low = F.col("gram").bitwiseAND(F.lit((1 << 16 * o) - 1)).alias("gram")
+        orders[o] = stored(orders[o + 1].select("lang", low).groupBy("lang", "gram").agg(F.count("*").alias("n")), "grams")
+    discounts: dict[str, dict[int, float]] = {}
+    for o, t in orders.items():
+        for r in t.groupBy("lang").agg(F.count_if(F.col("n") == 1).alias("one"), F.count_if(F.col("n") == 2).alias("two")).collect():  # a row a language
+            discounts.setdefault(r["lang"], {})[o] = r["one"] / (r["one"] + 2 * r["two"]) if r["one"] and r["two"] else 0.75
+    two, one = _tables(orders[2]), _tables(orders[1])
+    none = (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+    for k in range(shards):
+        own = _tables(counts.where(_shard_column(F.col("gram"), shards) == k))
+        yield shards, Model({x: (*own.get(x, none), {2: two[x], 1: one[x]}, discounts[x]) for x in discounts})
+
+
+def sharded_entropies(texts: list[str], shards: int, langs: int, shard) -> tuple[np.ndarray, np.ndarray]:
+    """`Model.entropies` with a model of several shards; shard(k) gives one."""
+    keys, cut = grams(texts)
+    n, which = np.diff(cut), shard_of(keys, shards)
+    out = np.zeros((len(n), langs))
+    for k in range(shards):
+        mine = np.flatnonzero(which == k)
+        if len(mine):
+            at = np.searchsorted(mine, cut)
+            some = np.flatnonzero(np.diff(at))
+            out[some] += np.add.reduceat(shard(k).logs(keys[mine]), at[some], axis=0, dtype=np.float64)
+    return n, out / -np.maximum(n, 1)[:, None]
+
+
+def identify(docs: DataFrame, train: Column | None = None, max_grams: int | None = None) -> DataFrame:
     """doc_id, train, n, lang_pred, score, rejected and md5 (of the text) of each row of docs (doc_id, text, lang; other columns ignored).
 
     `train` says which rows to learn from (default: all); of these, the ones
@@ -263,24 +319,33 @@ def identify(docs: DataFrame, train: Column | None = None, max_grams: int = MAX_
     """
     spark = docs.sparkSession
     src = texts(docs, F.col("lang").cast("string").alias("lang"), F.coalesce(train if train is not None else F.lit(True), F.lit(False)).alias("train"))
-    model = train_model(src.where("train"), max_grams)
-    shared = spark.sparkContext.broadcast(model)
+    shared, langs = [], []
+    for _, model in train_models(src.where("train"), max_grams):
+        shared.append(spark.sparkContext.broadcast(model))
+        langs = model.langs
+        shared[-1].__dict__.pop("_value", None)  # the driver holds a shard at a time
+        del model
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
+        def shard(k: int) -> Model:
+            m = shared[k].value
+            if len(shared) > 1:  # so does a worker
+                shared[k].__dict__.pop("_value", None)
+            return m
+
         for b in it:
             _, off = text_arrays(b.column(1))
-            for i, j in slices(off, 1 << 20):
+            for i, j in slices(off, 1 << (20 if len(shared) == 1 else 22)):
                 body = [t or "" for t in b.column(1).slice(i, j - i).to_pylist()]
-                n, h = m.entropies(body)
-                if m.langs:
+                n, h = shard(0).entropies(body) if len(shared) == 1 else sharded_entropies(body, len(shared), len(langs), shard)
+                if langs:
                     best = h.argmin(1)
                     low = h[np.arange(len(h)), best]
                     score = 1 / np.exp(-SHARP * (h - low[:, None])).sum(1)
                 else:
                     best, low, score, n = np.zeros(len(n), int), np.zeros(len(n)), np.zeros(len(n)), n * 0
-                pred = [m.langs[k] if c else UND for k, c in zip(best, n)]
-                own = [h[k, m.langs.index(x)] if c and x in m.langs else None for k, (c, x) in enumerate(zip(n, b.column(2).slice(i, j - i).to_pylist()))]
+                pred = [langs[k] if c else UND for k, c in zip(best, n)]
+                own = [h[k, langs.index(x)] if c and x in langs else None for k, (c, x) in enumerate(zip(n, b.column(2).slice(i, j - i).to_pylist()))]
                 md5 = [hashlib.md5(t.encode(), usedforsecurity=False).digest() for t in body]
                 yield pa.RecordBatch.from_arrays([pa.array(md5, pa.binary()), b.column(0).slice(i, j - i), b.column(3).slice(i, j - i), pa.array(n), pa.array(pred, pa.string()), pa.array(np.where(n > 0, score, 0.0)), pa.array(low), b.column(2).slice(i, j - i), pa.array(own, pa.float64())],
                                                  ["md5", "doc_id", "train", "n", "lang_pred", "score", "h", "lang", "own"])

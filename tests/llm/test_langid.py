@@ -118,3 +118,23 @@ def test_bound_keeps_whole_frequency_classes(spark):
     c = spark.createDataFrame([("a", 1, 5), ("a", 2, 3), ("a", 3, 3), ("a", 4, 1), ("b", 1, 1)], "lang string, gram long, n long")
     assert sorted((r.lang, r.gram) for r in langid.bounded(c, 2).collect()) == [("a", 1), ("b", 1)]
     assert langid.bounded(c, 9).count() == 5
+
+
+def test_shards_score_as_the_whole_model_and_keep_all_counts(spark, sf, monkeypatch):
+    df = spark.read.parquet(f"{sf}/documents.parquet").where("lang is not null and text is not null")
+    texts = {}
+    for r in df.collect():
+        texts.setdefault(r.lang, []).append(r.text)
+    whole = langid.Model({k: counts_of(v) for k, v in texts.items()})
+    probe = [t[:3000] for v in texts.values() for t in v[:10]] + ["", "12", "qqxz unseen zzkw"]
+    monkeypatch.setattr(langid, "SHARD_GRAMS", 8000)
+    made = list(langid.train_models(df))
+    shards = [m for _, m in made]
+    assert len(shards) == made[0][0] > 2 and all(m.langs == whole.langs for m in shards)
+    assert sum(len(m.p[4].hash) for m in shards) == len(whole.p[4].hash)
+    n, h = whole.entropies(probe)
+    n2, h2 = langid.sharded_entropies(probe, len(shards), len(whole.langs), shards.__getitem__)
+    assert (n == n2).all() and abs(h - h2).max() < 1e-4
+    got = {r.doc_id: r.lang_pred for r in identify(df).collect()}
+    monkeypatch.setattr(langid, "SHARD_GRAMS", 1 << 30)
+    assert got == {r.doc_id: r.lang_pred for r in identify(df).collect()}
