@@ -11,8 +11,10 @@ PMI reaches DISCLOSURE of that, seen with the entity in at least SUPPORT
 different contexts, discloses it. In the documents that hold the entity such
 terms become spans of their own.
 
-n(t, e) counts documents with t among the CONTEXT words on either side of e;
-n(t) and n(e) count all documents with the term and the entity. Terms are
+A context is the CONTEXT words on either side of e; it only proposes terms.
+n(t, e) counts the documents that hold both, wherever in the text, n(t) and
+n(e) those with the term and with the entity, and a disclosing term is
+searched in the whole text of every document that holds its entity. Terms are
 counted over the corpus, combined before the shuffle, and joined with those
 that pass SUPPORT. Texts move only in the last join, and only if the
 documents with disclosing terms are too many to broadcast (Spark checks).
@@ -121,25 +123,32 @@ def _context(text: Column, s: Column) -> Column:
 
 
 def mentions(docs: DataFrame) -> DataFrame:
-    """(md5, pairs, entities) of each row with a base span; pairs are its distinct (entity, term, context hash)."""
+    """(md5, pairs, entities, words) of each row with a base span; pairs are its distinct (entity, term, context hash), words all its words."""
     m = with_base_spans(docs.select("text")).where(F.size("spans") > 0)
     m = m.select("text", F.transform("spans", lambda s: F.struct(_entity(s).alias("entity"), _context(F.col("text"), s).alias("words"))).alias("near"))
     pairs = F.flatten(F.transform("near", lambda x: F.transform(x["words"], lambda t: F.struct(x["entity"].alias("entity"), t.alias("term"), F.xxhash64(x["words"]).alias("context")))))
-    return m.select(_key("text").alias("md5"), F.array_distinct(pairs).alias("pairs"), F.array_distinct(F.transform("near", lambda x: x["entity"])).alias("entities"))
+    return m.select(_key("text").alias("md5"), F.array_distinct(pairs).alias("pairs"), F.array_distinct(F.transform("near", lambda x: x["entity"])).alias("entities"), F.array_distinct(_words(F.col("text"))).alias("words"))
 
 
 def _key(text: str) -> Column:
     return F.unhex(F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")))
 
 
+def held_terms(said: DataFrame, terms: DataFrame) -> DataFrame:
+    """(md5, entity, term) of each row of said and each of the terms (entity, term) whose entity and term it holds."""
+    of = terms.groupBy("entity").agg(F.collect_set("term").alias("terms"))
+    held = said.select("md5", "words", F.explode("entities").alias("entity")).join(of, "entity")
+    return held.select("md5", "entity", F.explode(F.array_intersect("words", "terms")).alias("term"))
+
+
 def disclosing_terms(docs: DataFrame, said: DataFrame) -> DataFrame:
     """(entity, term, disclosure) of the terms that reach DISCLOSURE; said is `mentions` of docs."""
     n = docs.count()
-    pair = lambda p: F.struct(p["entity"].alias("entity"), p["term"].alias("term"))
-    n_te = said.select(F.explode(F.array_distinct(F.transform("pairs", pair))).alias("p")).groupBy("p.entity", "p.term").agg(F.count("*").alias("n_te"))
     contexts = said.select(F.explode("pairs").alias("p")).select("p.*").distinct().groupBy("entity", "term").agg(F.count("*").alias("contexts"))
     n_e = said.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("n_e"))
-    cand = stored(contexts.where(F.col("contexts") >= SUPPORT).join(n_te, ["entity", "term"]).join(n_e, "entity"), "candidates")
+    seen = stored(contexts.where(F.col("contexts") >= SUPPORT).select("entity", "term"), "supported")
+    n_te = held_terms(said, seen).groupBy("entity", "term").agg(F.count("*").alias("n_te"))
+    cand = stored(n_te.join(n_e, "entity"), "candidates")
     terms = stored(cand.select("term").distinct(), "terms")
     n_t = docs.select(F.explode(F.array_distinct(_words(F.col("text")))).alias("term")).groupBy("term").agg(F.count("*").alias("n_t")).join(terms, "term")
     num = lambda c: F.col(c).cast("double")
@@ -163,8 +172,7 @@ def _find(src: DataFrame) -> DataFrame:
     """src (text and others) with spans and base."""
     said = stored(mentions(src), "mentions")
     reveal = stored(disclosing_terms(src.select("text"), said).select("entity", "term"), "disclosing")
-    mine = said.select("md5", F.explode("pairs").alias("p")).select("md5", "p.entity", "p.term").join(reveal, ["entity", "term"])
-    own = stored(mine.groupBy("md5").agg(F.array_join(F.array_sort(F.collect_set("term")), "|").alias("terms")), "own_terms")
+    own = stored(held_terms(said, reveal).groupBy("md5").agg(F.array_join(F.array_sort(F.collect_set("term")), "|").alias("terms")), "own_terms")
     rest = [c for c in src.columns if c != "text"]
     keyed = src.select(F.struct(*rest).alias("_rest"), "text", _key("text").alias("_md5"))
     joined = keyed.join(own.withColumnRenamed("md5", "_md5"), "_md5", "left").select("_rest", "text", "terms")

@@ -93,3 +93,16 @@ def test_digest_columns(spark, sf):
     r = QUERIES["op10_pii"](spark, sf).collect()
     t = {x.doc_id: plain(x.text) for x in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     assert all(x.base_sha256 == hashlib.sha256(t[x.doc_id].encode()).hexdigest() and x.n_email == t[x.doc_id].count("email:") for x in r)
+
+
+def test_disclosing_terms_far_from_the_entity(spark):
+    """A disclosing term goes wherever it stands in a document that holds the entity, and counts there too."""
+    rows, _ = revealing(spark)
+    rng = random.Random(4)
+    pad = lambda: " ".join("".join(rng.choice("mnop") for _ in range(9)) for _ in range(30))
+    rows += [(700 + i, f"Zebrawalker {pad()} boss@corp.example {pad()} zebrawalker") for i in range(12)]
+    got = {r.doc_id: (r.text, [s for s in r.spans if s.kind == 4]) for r in find_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i in range(700, 712):
+        text, spans = got[i]
+        assert [text[s.start : s.end] for s in spans] == ["Zebrawalker", "zebrawalker"]
+    assert not any(spans for i, (_, spans) in got.items() if 100 <= i < 700)
