@@ -81,7 +81,11 @@ def texts(docs: DataFrame, *more: Column) -> DataFrame:
 
 @dataclass(frozen=True)
 class Layout:
-    """Sizes of a run. group_bytes: text of one group of documents; task_bytes: text of one task."""
+    """Sizes of a run. group_bytes: text of one group of documents; task_bytes: text of one task.
+
+    Groups send packed rows to buckets, so both grow with the root of a corpus
+    beyond 64 GB, up to four times, lest a row hold less than a value.
+    """
 
     rows: int
     bytes: int
@@ -93,11 +97,17 @@ class Layout:
     def of(docs: DataFrame, text: str = "text", group_bytes: int = 2 << 20, task_bytes: int = 64 << 20, bucket_bytes: int = 64 << 20) -> Layout:
         n, total = docs.agg(F.count("*"), F.sum(F.octet_length(text))).first()
         total = int(total or 0)
+        grown = min(4.0, max(1.0, math.sqrt(total / (64 << 30))))
         parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(total / task_bytes))
-        return Layout(n, total, parts, max(1, math.ceil(total / group_bytes)), max(4 * parts, math.ceil(total / bucket_bytes)))
+        return Layout(n, total, parts, max(1, math.ceil(total / (group_bytes * grown))), max(4 * parts, math.ceil(total / (bucket_bytes * grown))))
+
+    def group(self) -> Column:
+        """The group of a row of (doc_id, text): by both, so that rows without an id or with a common one spread too."""
+        return F.pmod(F.xxhash64(F.col("doc_id").cast("bigint"), F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary"))), F.lit(self.groups)).cast("int")
 
-    def group_of(self, *cols: str | Column) -> Column:
-        return F.pmod(F.xxhash64(*cols), F.lit(self.groups)).cast("int")
+    def dealt(self, docs: DataFrame) -> DataFrame:
+        """doc_id, text and group (bid) of docs, one exchange by group that several passes can share."""
+        return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", self.group().alias("bid")).repartition(self.partitions, "bid")
 
 
 def text_arrays(col: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:

@@ -20,7 +20,6 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from plumbline.llm import matching as M
 from plumbline.llm.common import Layout, cover, mix, prefix, spans_hash, text_arrays, words_of
@@ -102,8 +101,9 @@ def _answer_first(key: tuple, t: pa.Table) -> pa.Table:
     order = np.lexsort((pos, doc, g, h))
     new = np.ones(len(h), bool)
     new[1:] = (h[order][1:] != h[order][:-1]) | (g[order][1:] != g[order][:-1])
+    first = order[new][np.cumsum(new) - 1]  # the earliest of each class; rows of one document may be in several groups
     late = np.empty(len(h), bool)
-    late[order] = ~new
+    late[order] = (doc[order] != doc[first]) | (pos[order] != pos[first])
     ends = np.cumsum([len(b) // 8 for b in col["h"]])
     bits = [np.packbits(late[i:j]).tobytes() for i, j in zip([0, *ends[:-1]], ends)]
     k = t.num_rows
@@ -152,7 +152,7 @@ def substring_dedup(docs: DataFrame, length: int = 20, keep_text: bool = True) -
         raise ValueError(f"length must be at least {PERIOD}")
     lay = Layout.of(docs)
     nb = lay.buckets
-    keyed = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", lay.group_of("doc_id").alias("bid")).repartition(lay.partitions, "bid")
+    keyed = lay.dealt(docs)
 
     def send(key: tuple, t: pa.Table) -> pa.Table:
         return M.pack(key[0].as_py(), Group(t, length).anchors(nb)[1])

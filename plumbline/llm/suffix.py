@@ -280,7 +280,7 @@ def suffix_dedup(docs: DataFrame, length: int = 400, keep_bytes: bool = True) ->
         raise ValueError(f"length must be a multiple of {STEP} and at least {GRAM + STEP}")
     lay = Layout.of(docs)
     nb = lay.buckets
-    keyed = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", lay.group_of("doc_id").alias("bid")).repartition(lay.partitions, "bid")
+    keyed = lay.dealt(docs)
 
     def send(key: tuple, t: pa.Table, answers: pa.Table) -> pa.Table:
         return M.pack(key[0].as_py(), Group(t, answers, length).picks(nb)[2])
@@ -304,6 +304,6 @@ def _to(answers: DataFrame, lay: Layout):
 
 def _copies(docs: DataFrame, lay: Layout, length: int) -> DataFrame:
     """Answers of kind 2 and 3, one for each text with copies and group that holds it; the lowest group sorts it."""
-    held = docs.where(F.octet_length("text") >= length).groupBy(F.unhex(F.md5(F.col("text").cast("binary"))).alias("vals"), lay.group_of(F.col("doc_id").cast("bigint")).alias("bid")).agg(F.count("*").alias("n"))
+    held = docs.where(F.octet_length("text") >= length).groupBy(F.unhex(F.md5(F.col("text").cast("binary"))).alias("vals"), lay.group().alias("bid")).agg(F.count("*").alias("n"))
     all_of = held.groupBy("vals").agg(F.sum("n").alias("n_all"), F.min("bid").alias("first")).where("n_all > 1")
     return held.join(all_of, "vals").select("bid", F.when(F.col("bid") == F.col("first"), HERE).otherwise(ELSEWHERE).alias("kind"), F.lit(0).alias("bucket"), "vals")

@@ -74,3 +74,19 @@ def test_table_and_empty(spark, sf):
     df = spark.read.parquet(f"{sf}/documents.parquet")
     assert rows_of(substring_dedup(df)) == brute([(r.doc_id, r.text) for r in df.collect()])
     assert substring_dedup(df.limit(0)).count() == 0
+
+
+def test_rows_without_ids_spread_over_groups(spark, monkeypatch):
+    """Rows with a null or a common id do not meet in one group, and their equal places are not earlier than each other."""
+    from plumbline.llm import common
+
+    old = common.Layout.of
+    made = []
+    monkeypatch.setattr(common.Layout, "of", staticmethod(lambda d, *a, **k: made.append(old(d, "text", 400, 4000, 900)) or made[-1]))
+    rng = random.Random(8)
+    shared = " ".join(f"s{i}" for i in range(30))
+    rows = [(rng.choice((None, None, 7)), " ".join(f"w{rng.randrange(50)}" for _ in range(rng.randrange(40))) + (f" {shared}" if i % 3 == 0 else "")) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert rows_of(substring_dedup(df)) == brute(rows)
+    lay = made[-1]
+    assert lay.groups > 40 and max(r["count"] for r in df.select(lay.group().alias("g")).groupBy("g").count().collect()) < 30

@@ -84,3 +84,10 @@ def test_table_and_empty(spark, sf):
     df = spark.read.parquet(f"{sf}/documents.parquet")
     assert rows_of(suffix_dedup(df)) == brute([(r.doc_id, r.text) for r in df.collect()])
     assert suffix_dedup(df.limit(0)).count() == 0
+
+
+def test_rows_without_ids(spark, monkeypatch):
+    old = common.Layout.of
+    monkeypatch.setattr(common.Layout, "of", staticmethod(lambda d, *a, **k: old(d, "text", 2000, 9000, 900)))
+    rows = [(None if i != 97 else 5, t) for i, t in corpus(6)]
+    assert rows_of(suffix_dedup(spark.createDataFrame(rows, "doc_id long, text string"))) == brute(rows)
