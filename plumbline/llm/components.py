@@ -44,7 +44,10 @@ def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """(u, v): every vertex that has a smaller one in its component, with the smallest. edges: u, v (bigint, not null)."""
+    """(u, v): every vertex that has a smaller one in its component, with the smallest.
+
+    edges: u, v (bigint, not null). Raises an error where max_rounds do not do.
+    """
     # stored first: two Python steps in one stage would take two workers a core
     e = stored(edges.where("u <> v").select("u", "v"), "edges")
     e = stored(e.mapInArrow(_contract, "u bigint, v bigint").distinct(), "edges")
@@ -63,4 +66,6 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         if tuple(after) == tuple(before):
             break
         before = after
+    else:
+        raise RuntimeError(f"components had not settled after {max_rounds} rounds")
     return e

@@ -14,14 +14,18 @@ Two kinds of link:
   Cells are population counts of equal parts of the fingerprint; the sum of
   their differences is at most the number of differing bits.
 * `near_groups`: sets of word shingles (XXH64 hashes) of Jaccard similarity
-  `min_sim` or more. Nothing is estimated. Two sets that similar share one of
-  the first n - ceil(min_sim * n) + 1 hashes of either in any common order
-  (prefix filter); texts that do, and whose sizes and places allow it, are
-  candidates, and every candidate pair is decided on its two whole sets.
-  Hashes frequent in a sample come last in the order, so they rarely make
-  candidates; the order does not affect the result. Pairs of neighbours are
-  decided first and their components found; then all pairs that these leave
-  in different components.
+  `min_sim` or more. Nothing is estimated. A set of n hashes shares at least
+  ceil(min_sim * n) of them with any set that similar, so a first pass finds
+  the hashes that occur in another set too (packed by bucket, see `matching`),
+  and only texts with that many of them go on. Two such sets share one of the
+  first n - ceil(min_sim * n) + 1 hashes of either in any common order (prefix
+  filter); texts that do, and whose sizes, places and parity maps allow it
+  (population count of an exclusive-or, as above), are candidates, and every
+  candidate pair is decided on its two whole sets. Hashes frequent in a sample
+  come last in the order, so they rarely make candidates; the order does not
+  affect the result. Pairs of neighbours are decided first and their
+  components found; then all pairs that these leave in different components,
+  a list of more than LIST entries in pairs of blocks.
 
 The comparison of tiles is quadratic in the distinct fingerprints of
 neighbouring cells. It is dealt over tile pairs, so it spreads over any
@@ -43,14 +47,17 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import mix, slices, stored, text_arrays, texts
+from plumbline.llm import matching as M
+from plumbline.llm.common import Layout, mix, slices, stored, text_arrays, texts
 from plumbline.llm.components import components, forest
 
 SEED = 42
 #: Fingerprints of a tile: a 64th of all, within these bounds.
 TILE_LEAST, TILE_MOST = 2048, 32768
-#: Documents of the sample that orders hashes, and most hashes ranked by it.
+#: Sets of the sample that orders hashes, and most hashes ranked by it.
 SAMPLE, RANKED = 5000, 1 << 20
+#: Entries of one block of a hash's list: longer lists are compared block by block.
+LIST = 4096
 #: Bits of a parity map of a set: two maps differ in no more bits than their sets in hashes.
 PARITY = 512
 #: Prefix entries of a bucket, pairs of one step.
@@ -111,9 +118,9 @@ def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
 ENTRY = np.dtype([("h", "<u8"), ("node", "<i8"), ("n", "<i4"), ("at", "<i4")])
 
 
-def _sets(b: pa.RecordBatch, size: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
-    """Row ranges (i, j) of doc_id and text: sorted distinct shingle hashes, their rows, and the offsets."""
-    data, off = text_arrays(b.column(1))
+def _sets(text: pa.Array, size: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+    """Row ranges (i, j) of the texts: sorted distinct shingle hashes, their rows, and the offsets."""
+    data, off = text_arrays(text)
     for i, j, h, cut in _hash_lists(data, off, size):
         doc = np.repeat(np.arange(j - i), np.diff(cut))
         order = np.lexsort((h, doc))
@@ -128,61 +135,95 @@ def _set_key(h: np.ndarray) -> bytes:
     return hashlib.md5(h.tobytes(), usedforsecurity=False).digest()
 
 
-def shingle_sets(docs: DataFrame, shingle: int = 5) -> DataFrame:
-    """(doc_id, key, hashes): the sorted distinct shingle hashes of each text, and the MD5 of them."""
+def least_overlap(n: np.ndarray, min_sim: float) -> np.ndarray:
+    """Hashes that a set of n must share with any set as similar as min_sim."""
+    return np.ceil(n * min_sim - 1e-9).astype(np.int64)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for i, j, h, _, cut in _sets(b, shingle):
-                each = [h[x:y] for x, y in zip(cut[:-1], cut[1:])]
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array([_set_key(x) for x in each], pa.binary()), pa.array([x.tobytes() for x in each], pa.binary())], ["doc_id", "key", "hashes"])
 
-    return texts(docs).mapInArrow(run, "doc_id bigint, key binary, hashes binary")
+def _distinct_sets(text: pa.Array, size: int) -> tuple[list[bytes], dict[bytes, np.ndarray]]:
+    """The key of each text's set, and the sets by key."""
+    keys, sets = [], {}
+    for _, _, h, _, cut in _sets(text, size):
+        for x, y in zip(cut[:-1], cut[1:]):
+            keys.append(_set_key(h[x:y]))
+            sets.setdefault(keys[-1], h[x:y])
+    return keys, sets
 
 
-def _ranks(docs: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes that occur repeatedly in a sample of the documents, sorted, and how often; only the order of prefixes depends on it."""
+def shared_sets(docs: DataFrame, shingle: int = 5, min_sim: float = 0.8) -> DataFrame:
+    """(doc_id, key, n, hashes): MD5 and size of each text's set of shingle hashes, and the set itself.
+
+    hashes is null for sets that share too few hashes with other sets to be
+    similar to any, and for all but the smallest doc_id of a key and group of
+    documents. A set in the same group with an equal key is no other set.
+    """
+    lay = Layout.of(docs)
+    nb = lay.buckets
+    keyed = lay.dealt(docs)
+
+    def send(key: tuple, t: pa.Table) -> pa.Table:
+        _, sets = _distinct_sets(t.column("text"), shingle)
+        return M.pack(key[0].as_py(), M.keys32(np.concatenate([np.zeros(0, np.uint64), *sets.values()]), nb))
+
+    def pick(key: tuple, t: pa.Table, answers: pa.Table) -> pa.Table:
+        keys, sets = _distinct_sets(t.column("text"), shingle)
+        elsewhere = M.answered_keys(answers)
+        found, often = np.unique(np.concatenate([np.zeros(0, np.uint64), *sets.values()]), return_counts=True)
+        again = found[(often > 1) | M.member(M.keys32(found, nb), elsewhere)]
+        live = {k for k, h in sets.items() if len(h) and M.member(h, again).sum() >= least_overlap(np.array(len(h)), min_sim)}
+        ids = t.column("doc_id").to_pylist()
+        first: dict[bytes, int] = {}
+        for i, k in zip(ids, keys):
+            first[k] = min(i, first.get(k, i))
+        body, given = [], set()
+        for i, k in zip(ids, keys):
+            ok = k in live and i == first[k] and k not in given
+            body.append(sets[k].tobytes() if ok else None)
+            if ok:
+                given.add(k)
+        return pa.table([t.column("doc_id").cast(pa.int64()), pa.array(keys, pa.binary()), pa.array([len(sets[k]) for k in keys], pa.int64()), pa.array(body, pa.binary())], names=["doc_id", "key", "n", "hashes"])
+
+    shared = M.shared_values(keyed.groupBy("bid").applyInArrow(send, M.SENT_DDL), lay.partitions)
+    return keyed.groupBy("bid").cogroup(shared.repartition(lay.partitions, "bid").groupBy("bid")).applyInArrow(pick, "doc_id bigint, key binary, n bigint, hashes binary")
+
+
+def _one_in(sets: DataFrame) -> int:
+    return max(1, sets.count() // SAMPLE)
+
+
+def _ranks(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes that occur repeatedly in a sample of the sets (node, hashes), sorted, and how often; only the order of prefixes depends on it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for _, _, h, _, _ in _sets(b, shingle):
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64))], ["h"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(b.column(0).to_pylist()), np.int64))], ["h"])
 
-    some = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(max(1, docs.count() // SAMPLE))) == 0)
-    t = texts(some).mapInArrow(run, "h bigint").groupBy("h").agg(F.count("*").alias("k")).where("k > 1").orderBy(F.desc("k"), "h").limit(RANKED).toArrow()
+    some = sets.where(F.pmod(F.xxhash64("node"), F.lit(_one_in(sets))) == 0)
+    t = some.select("hashes").mapInArrow(run, "h bigint").groupBy("h").agg(F.count("*").alias("k")).where("k > 1").orderBy(F.desc("k"), "h").limit(RANKED).toArrow()
     h, k = t.column("h").to_numpy().view(np.uint64), t.column("k").to_numpy()
     order = np.argsort(h)
     return h[order], k[order]
 
 
-def least_overlap(n: np.ndarray, min_sim: float) -> np.ndarray:
-    """Hashes that a set of n must share with any set as similar as min_sim."""
-    return np.ceil(n * min_sim - 1e-9).astype(np.int64)
-
-
-def prefixes(docs: DataFrame, shingle: int = 5, min_sim: float = 0.8) -> DataFrame:
-    """(doc_id, n, key, prefix, parity) of each text: distinct shingles, MD5 of the set, first hashes in the order of `_ranks`, parity map."""
-    shared = docs.sparkSession.sparkContext.broadcast(_ranks(docs, shingle))
+def prefixes(sets: DataFrame, ranks: tuple[np.ndarray, np.ndarray], min_sim: float = 0.8) -> DataFrame:
+    """(node, n, prefix, parity) of each set (node, n, hashes): its first hashes in the order of the ranks, and its parity map."""
+    shared = sets.sparkSession.sparkContext.broadcast(ranks)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, often = shared.value
         for b in batches:
-            for i, j, h, doc, cut in _sets(b, shingle):
-                keys = [_set_key(h[x:y]) for x, y in zip(cut[:-1], cut[1:])]
-                odd = np.bincount(doc * PARITY + (mix(h) % np.uint64(PARITY)).astype(np.int64), minlength=(j - i) * PARITY) & 1
-                odd = np.packbits(odd.astype(bool).reshape(j - i, PARITY), axis=1)
+            first, odd = [], []
+            for x in b.column(2).to_pylist():
+                h = np.frombuffer(x, np.uint64)
+                odd.append(np.packbits((np.bincount((mix(h) % np.uint64(PARITY)).astype(np.int64), minlength=PARITY) & 1).astype(bool)).tobytes())
                 rank = np.zeros(len(h), np.int64)
                 if len(known):
                     at = np.minimum(np.searchsorted(known, h), len(known) - 1)
                     rank = np.where(known[at] == h, often[at], 0)
-                h = h[np.lexsort((h, rank, doc))]
-                n = np.diff(cut)
-                size = np.where(n > 0, n - least_overlap(n, min_sim) + 1, 0)
-                yield pa.RecordBatch.from_arrays([
-                    b.column(0).slice(i, j - i), pa.array(n), pa.array(keys, pa.binary()), pa.array([h[x : x + k].tobytes() for x, k in zip(cut[:-1], size)], pa.binary()), pa.array([x.tobytes() for x in odd], pa.binary())],
-                    ["doc_id", "n", "key", "prefix", "parity"])
+                first.append(h[np.lexsort((h, rank))][: len(h) - least_overlap(np.array(len(h)), min_sim) + 1].tobytes())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(first, pa.binary()), pa.array(odd, pa.binary())], ["node", "n", "prefix", "parity"])
 
-    return texts(docs).mapInArrow(run, "doc_id bigint, n bigint, key binary, prefix binary, parity binary")
+    return sets.select("node", "n", "hashes").mapInArrow(run, "node bigint, n bigint, prefix binary, parity binary")
 
 
 def _ball(cell: tuple[int, ...], reach: int) -> Iterator[tuple[int, ...]]:
@@ -218,15 +259,14 @@ def _compare_tiles(reps: DataFrame, n: int, reach: int, match) -> DataFrame:
     tiled = reps.join(F.broadcast(table), "cell").select(
         (F.col("first") + F.pmod(F.xxhash64("node"), F.col("k"))).cast("int").alias("tile"), "cell", "node", "item")
 
-    def spread(key: tuple, t: pa.Table) -> pa.Table:
-        me, cell = key[0].as_py(), tuple(t.column("cell")[0].as_py())
-        nodes, items = t.column("node").to_numpy().tobytes(), b"".join(t.column("item").to_pylist())
-        out = []
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = pa.Table.from_batches(list(batches))
+        me, cell = t.column("tile")[0].as_py(), tuple(t.column("cell")[0].as_py())
+        body = [pa.array([t.column("node").to_numpy().tobytes()], pa.binary()), pa.array([b"".join(t.column("item").to_pylist())], pa.binary())]
         for c in _ball(cell, reach):
             first, k = known.value.get(c, (0, 0))
-            out += [(min(me, x), max(me, x), int(x < me)) for x in range(first, first + k)]
-        return pa.table([pa.array([o[0] for o in out], pa.int32()), pa.array([o[1] for o in out], pa.int32()), pa.array([o[2] for o in out], pa.int32()),
-                         pa.array([nodes] * len(out), pa.binary()), pa.array([items] * len(out), pa.binary())], names=["a", "b", "side", "nodes", "items"])
+            for x in range(first, first + k):  # a row at a time: one copy of the tile is held
+                yield pa.RecordBatch.from_arrays([*[pa.array([v], pa.int32()) for v in (min(me, x), max(me, x), int(x < me))], *body], ["a", "b", "side", "nodes", "items"])
 
     def compare(key: tuple, t: pa.Table) -> pa.Table:
         rows = sorted(zip(t.column("side").to_pylist(), t.column("nodes").to_pylist(), t.column("items").to_pylist()))
@@ -307,21 +347,33 @@ def simhash_components(docs: DataFrame, shingle: int = 3, radius: int = 2) -> Da
         F.when(F.col("root") < F.lit(NULL_ID), F.col("root")).alias("component_id"))
 
 
-def _shared_hashes(reps: DataFrame) -> DataFrame:
+def _shared_hashes(reps: DataFrame, hot: tuple[np.ndarray, np.ndarray]) -> DataFrame:
     """(bucket, h, node, n, at, prev): prefix entries whose hash several nodes have, and the one before in order of size.
 
     reps has node, n and prefix. Entries travel packed by bucket of the hash.
+    hot has hashes too frequent for one bucket, sorted, and how many parts
+    theirs are cut into; the first of a part is its own prev.
     """
     spark = reps.sparkSession
     total = reps.agg(F.sum(F.octet_length("prefix"))).first()[0] or 0
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(total / 8 / BUCKET))
+    shared = spark.sparkContext.broadcast(hot)
+
+    def parts_of(h: np.ndarray) -> np.ndarray:
+        """Parts of each hash, 1 for most."""
+        known, parts = shared.value
+        if not len(known):
+            return np.ones(len(h), np.int64)
+        at = np.minimum(np.searchsorted(known, h), len(known) - 1)
+        return np.where(known[at] == h, parts[at], 1)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
 
         def rows() -> pa.RecordBatch:
             e = np.concatenate(held)
-            which = (mix(e["h"]) % np.uint64(buckets)).astype(np.int64)
+            part = mix(e["node"].view(np.uint64)) % parts_of(e["h"]).astype(np.uint64)
+            which = (mix(e["h"] + part) % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(which, kind="stable")
             cut = np.searchsorted(which[order], np.arange(buckets + 1))
             some = np.flatnonzero(np.diff(cut))
@@ -345,7 +397,7 @@ def _shared_hashes(reps: DataFrame) -> DataFrame:
         e = np.frombuffer(b"".join(t.column("entries").to_pylist()), ENTRY)
         e = e[np.lexsort((e["node"], e["n"], e["h"]))]
         same = np.append(e["h"][1:] == e["h"][:-1], False)
-        keep = np.flatnonzero(same | np.append(False, same[:-1]))
+        keep = np.flatnonzero(same | np.append(False, same[:-1]) | (parts_of(e["h"]) > 1))
         first = np.append(False, same[:-1])[keep]
         prev = np.where(first, e["node"][np.maximum(keep - 1, 0)], e["node"][keep])
         e = e[keep]
@@ -357,15 +409,19 @@ def _shared_hashes(reps: DataFrame) -> DataFrame:
 
 
 def _apart(min_sim: float):  # noqa: ANN202
-    """A function of a bucket (h, node, n, at, root, parity): candidate pairs (u, v), u < v, of nodes with different roots."""
+    """A function of a group (h, node, n, at, root, mine, a, b, parity): candidate pairs (u, v), u < v, of nodes with different roots.
+
+    Where a < b, only pairs between these two blocks.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = pa.Table.from_batches(list(batches))
-        h, node, n, at, root = (t.column(c).to_numpy() for c in ("h", "node", "n", "at", "root"))
-        odd = np.frombuffer(b"".join(t.column("parity").to_pylist()), np.uint64).reshape(len(h), -1)
+        odd = np.frombuffer(b"".join(t.column("parity").to_pylist()), np.uint64).reshape(t.num_rows, -1)
+        h, node, n, at, root, mine, a, b = (t.column(c).to_numpy() for c in ("h", "node", "n", "at", "root", "mine", "a", "b"))
+        across = len(a) > 0 and a[0] != b[0]
         order = np.lexsort((node, n, h))
         odd = odd[order]
-        h, node, n, at, root = (x[order] for x in (h, node, n, at, root))
+        h, node, n, at, root, mine = (x[order] for x in (h, node, n, at, root, mine))
         edge = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
         for a, z in zip(edge, np.append(edge[1:], len(h))):
             if (root[a:z] == root[a]).all():
@@ -382,6 +438,8 @@ def _apart(min_sim: float):  # noqa: ANN202
                 # the first shared hash of a pair as similar as min_sim leaves room for its overlap
                 need = np.ceil((n[p] + n[q]) * (min_sim / (1 + min_sim)) - 1e-6)
                 ok = (root[p] != root[q]) & (np.minimum(n[p] - at[p], n[q] - at[q]) >= need)
+                if across:
+                    ok &= mine[p] != mine[q]
                 p, q, need = p[ok], q[ok], need[ok]
                 ok = np.bitwise_count(odd[p] ^ odd[q]).sum(1, dtype=np.int64) <= n[p] + n[q] - 2 * need
                 u, v = node[p[ok]], node[q[ok]]
@@ -392,6 +450,19 @@ def _apart(min_sim: float):  # noqa: ANN202
     return run
 
 
+def _blocks(entries: DataFrame) -> DataFrame:
+    """entries (bucket, h, node, ...) of hashes with several roots, with the group (bucket, a, b) they are compared in and their block, mine.
+
+    A list of up to LIST entries is compared in its bucket; a longer one is cut
+    into blocks by a hash of the node, and each pair of blocks is a group.
+    """
+    lists = entries.groupBy("h").agg(F.count("*").alias("k"), (F.min("root") != F.max("root")).alias("open")).where("open")
+    some = entries.join(lists.select("h", F.ceil(F.col("k") / LIST).cast("int").alias("s")), "h")
+    mine = some.withColumn("mine", F.pmod(F.xxhash64("node"), F.col("s")).cast("int"))
+    dealt = mine.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("s") - 1)))
+    return dealt.select(F.when(F.col("s") > 1, F.col("h")).otherwise(F.col("bucket")).alias("bucket"), F.least("mine", "other").alias("a"), F.greatest("mine", "other").alias("b"), "mine", "h", "node", "n", "at", "root")
+
+
 def _linked(pairs: DataFrame, sets: DataFrame, min_sim: float) -> DataFrame:
     """The pairs (u, v) whose sets (node, hashes) have a Jaccard similarity of min_sim or more."""
 
@@ -417,19 +488,23 @@ def near_groups(docs: DataFrame, shingle: int = 5, min_sim: float = 0.8) -> Data
     Rows whose texts have equal shingle sets (copies, up to case and white
     space) are always together. doc_id must not be null.
     """
-    sk = stored(prefixes(docs, shingle, min_sim), "prefixes")
+    sk = stored(shared_sets(docs, shingle, min_sim), "sets")
     reps = stored(sk.groupBy("key").agg(F.min("doc_id").alias("node")), "reps")
-    first = sk.where("n > 0").join(reps.withColumnRenamed("node", "doc_id"), ["key", "doc_id"], "left_semi").withColumnRenamed("doc_id", "node")
-    shared = stored(_shared_hashes(first), "shared")
-    nodes = reps.join(shared.select("node").distinct(), "node", "left_semi")
-    texts_of = docs.withColumn("doc_id", F.col("doc_id").cast("bigint")).join(nodes.select(F.col("node").alias("doc_id")), "doc_id", "left_semi")
-    sets = stored(shingle_sets(texts_of, shingle).join(nodes.withColumnRenamed("node", "doc_id"), ["key", "doc_id"], "left_semi").select(F.col("doc_id").alias("node"), "hashes").distinct(), "sets")
-    near = shared.where("node <> prev").select(F.least("node", "prev").alias("u"), F.greatest("node", "prev").alias("v")).distinct()
+    live = sk.where("hashes is not null").join(reps.withColumnRenamed("node", "doc_id"), ["key", "doc_id"], "left_semi")
+    sets = stored(live.dropDuplicates(["key", "doc_id"]).select(F.col("doc_id").alias("node"), "n", "hashes"), "live")
+    ranks = _ranks(sets)
+    often = ranks[1] * _one_in(sets)  # in all sets, about
+    first = stored(prefixes(sets, ranks, min_sim), "prefixes")
+    shared = stored(_shared_hashes(first, (ranks[0][often > BUCKET], -(-often[often > BUCKET] // BUCKET))), "shared")
+    heads = shared.where("node = prev")
+    heads = heads.join(heads.groupBy("h").agg(F.min("node").alias("least"), F.count("*").alias("k")).where("k > 1").select("h", "least"), "h").select("node", F.col("least").alias("prev"))
+    pairs = shared.select("node", "prev").unionByName(heads).where("node <> prev")
+    near = pairs.select(F.least("node", "prev").alias("u"), F.greatest("node", "prev").alias("v")).distinct()
     links = stored(_linked(near, sets, min_sim), "links")
     comp = components(links).select(F.col("u").alias("node"), F.col("v").alias("root"))
-    maps = first.select("node", F.col("n"), "parity").distinct()  # an id with several texts has a map for each size
-    rooted = shared.join(maps, ["node", "n"]).join(comp, "node", "left").select("bucket", "h", "node", "n", "at", F.coalesce("root", "node").alias("root"), "parity")
-    rest = rooted.groupBy("bucket").applyInArrow(_apart(min_sim), "u bigint, v bigint").distinct()
+    rooted = stored(shared.join(comp, "node", "left").select("bucket", "h", "node", "n", "at", F.coalesce("root", "node").alias("root")), "rooted")
+    maps = first.select("node", "n", "parity").distinct()  # an id with several texts has a map for each size
+    rest = _blocks(rooted).join(maps, ["node", "n"]).groupBy("bucket", "a", "b").applyInArrow(_apart(min_sim), "u bigint, v bigint").distinct()
     comp = components(links.unionByName(_linked(rest, sets, min_sim)))
     roots = reps.join(comp.select(F.col("u").alias("node"), "v"), "node", "left").select("key", F.coalesce("v", "node").alias("group"))
     return sk.join(roots, "key").select("doc_id", "group")

@@ -162,7 +162,10 @@ def test_near_groups_at_exactly_the_threshold(spark, shingles):
     assert got == want
 
 
-def test_near_groups_equal_brute_force(spark):
+@pytest.mark.parametrize("limits", [{}, {"LIST": 4, "BUCKET": 16, "STEP": 64}])
+def test_near_groups_equal_brute_force(spark, monkeypatch, limits):
+    for name, value in limits.items():  # long lists in blocks, frequent hashes in several buckets
+        monkeypatch.setattr(simhash, name, value)
     rng = random.Random(5)
     rows = []
     for b in range(30):
@@ -186,3 +189,20 @@ def test_near_groups_equal_brute_force(spark):
                 root[max(find(i), find(j))] = min(find(i), find(j))
     df = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(rows)], "doc_id long, text string").repartition(3)
     assert {r.doc_id: r.group for r in near_groups(df).collect()} == {i: find(i) for i in range(len(rows))}
+
+
+def test_only_sets_shared_enough_go_on(spark):
+    """Sets that are 79 % shared are left out, sets that are 80 % shared are not; of equal sets in a group one is given."""
+    words = [f"w{i}" for i in range(100)]
+    rows = [(1, " ".join(words)), (2, " ".join(words[:80] + [f"a{i}" for i in range(20)])), (3, " ".join(words[:79] + [f"b{i}" for i in range(21)])), (4, " ".join(words).upper()), (5, ""), (6, "alone")]
+    got = {r.doc_id: r for r in simhash.shared_sets(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), shingle=1).collect()}
+    assert got[2].hashes is not None and got[3].hashes is None and got[5].hashes is None and got[6].hashes is None
+    assert got[1].key == got[4].key and got[1].hashes is not None and got[4].hashes is None
+    assert [got[i].n for i in range(1, 7)] == [100, 100, 100, 100, 0, 1]
+
+
+def test_repeated_ids_and_empty_sets(spark):
+    rows = [(1, "a b c d e f g"), (1, "h i j k l m n"), (2, "h i j k l m n"), (3, ""), (4, None), (5, "  "), (2, "h i j k l m n")]
+    got = sorted((r.doc_id, r.group) for r in near_groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect())
+    assert got == [(1, 1), (1, 1), (2, 1), (2, 1), (3, 3), (4, 3), (5, 3)]
+    assert near_groups(spark.createDataFrame([], "doc_id long, text string")).count() == 0
