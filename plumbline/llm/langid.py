@@ -8,9 +8,15 @@ a column each: one lookup of the highest known order scores a character under
 every language.
 
 A text goes to the language of the lowest cross-entropy per character. It is
-rejected if that exceeds the language's threshold, calibrated on the training
-texts: a high quantile of their own cross-entropy plus a margin that shrinks
-with the root of the length.
+rejected if that exceeds the language's limit for texts of its length.
+
+Limits are calibrated by leaving each language out: all training texts are cut
+into windows of LENGTHS characters, each scored under its own language and
+under the best of the others, which is what it would get if its own were
+unknown. The limit of a language and length is where REFUSED times the share of
+own windows beyond it plus the share of foreign windows within it is least (the
+middle, if a range is). Between lengths it is interpolated. Texts shorter than
+the first length are not rejected for their distance.
 
 All counts are kept. A model of more than SHARD_GRAMS counts is cut into shards
 by the two middle symbols of a 4-gram: continuation counts, contexts and
@@ -35,8 +41,12 @@ from plumbline.llm.common import mix, slices, stored, text_arrays, texts
 ORDER = 4
 #: Counts of one shard of the model, about: bounds what is broadcast at once, not what is kept.
 SHARD_GRAMS = 1_200_000
-#: Own-language quantile, margin at one character, and sharpness of the score.
-QUANTILE, MARGIN, SHARP = 0.999, 8.0, 12.0
+#: Characters of calibration windows, nats a bin and bins of their histograms, windows a limit needs at least.
+LENGTHS, BIN, BINS, LEAST = (8, 32, 128, 512, 2048), 0.05, 320, 20
+#: Weight of a refused own window against an accepted foreign one; nats beyond all but a thousandth of the own windows, with no other language.
+REFUSED, ALONE = 10.0, 1.0
+#: Sharpness of the score.
+SHARP = 12.0
 SPACE, OTHER = 32, 0xFFFF
 UND = "und"
 
@@ -118,21 +128,6 @@ def count_grams(train: DataFrame) -> DataFrame:
     return train.select("text", "lang").mapInArrow(run, "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
-def bounded(counts: DataFrame, most: int) -> DataFrame:
-    """The most frequent grams of each language, at most `most` (whole frequency classes)."""
-    total: dict[str, int] = {}
-    cut: dict[str, int] = {}
-    for r in counts.groupBy("lang", "n").count().orderBy("lang", F.desc("n")).toLocalIterator():  # a row a frequency
-        if r["lang"] not in cut:
-            total[r["lang"]] = total.get(r["lang"], 0) + r["count"]
-            if total[r["lang"]] > most:
-                cut[r["lang"]] = r["n"]
-    keep = F.lit(True)
-    for lang, n in sorted(cut.items()):
-        keep = keep & ((F.col("lang") != lang) | (F.col("n") > n))
-    return counts.where(keep)
-
-
 # --- the model
 
 class Lookup:
@@ -235,15 +230,15 @@ class Model:
             out[miss] = low + np.where(hit[:, None], self.bow[o].values[at], 0)
         return out
 
-    def entropies(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Characters scored of each text and nats per character under each language (0 where none)."""
-        keys, cut = grams(texts)
-        n = np.diff(cut)
-        out = np.zeros((len(n), len(self.langs)))
-        some = np.flatnonzero(n > 0)
-        if len(some) and self.langs:
-            out[some] = np.add.reduceat(self.logs(keys), cut[some], axis=0, dtype=np.float64) / -n[some, None]
-        return n, out
+
+def entropies(logs: np.ndarray, cut: np.ndarray) -> np.ndarray:
+    """Nats per character of each text under each language (0 where none), from the logs of its characters."""
+    n = np.diff(cut)
+    out = np.zeros((len(n), logs.shape[1]))
+    some = np.flatnonzero(n > 0)
+    if len(some) and logs.shape[1]:
+        out[some] = np.add.reduceat(logs, cut[some], axis=0, dtype=np.float64) / -n[some, None]
+    return out
 
 
 def shard_of(keys: np.ndarray, shards: int) -> np.ndarray:
@@ -268,11 +263,9 @@ def _tables(counts: DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray]]:
     return rows
 
 
-def train_models(train: DataFrame, max_grams: int | None = None) -> Iterator[tuple[int, Model]]:
-    """(number of shards, shard of the model) of the texts of train (text, lang not null), one after the other; max_grams: `bounded`, if given."""
+def train_models(train: DataFrame) -> Iterator[tuple[int, Model]]:
+    """(number of shards, shard of the model) of the texts of train (text, lang not null), one after the other."""
     counts = stored(count_grams(train.where("lang is not null and text is not null")), "grams")
-    if max_grams is not None:
-        counts = bounded(counts, max_grams)
     shards = max(1, -(-counts.count() // SHARD_GRAMS))
     if shards == 1:
         yield 1, Model(_tables(counts))
@@ -292,21 +285,82 @@ def train_models(train: DataFrame, max_grams: int | None = None) -> Iterator[tup
         yield shards, Model({x: (*own.get(x, none), {2: two[x], 1: one[x]}, discounts[x]) for x in discounts})
 
 
-def sharded_entropies(texts: list[str], shards: int, langs: int, shard) -> tuple[np.ndarray, np.ndarray]:
-    """`Model.entropies` with a model of several shards; shard(k) gives one."""
-    keys, cut = grams(texts)
-    n, which = np.diff(cut), shard_of(keys, shards)
-    out = np.zeros((len(n), langs))
+def sharded_logs(keys: np.ndarray, shards: int, langs: int, shard) -> np.ndarray:
+    """`Model.logs` with a model of several shards; shard(k) gives one."""
+    if not langs:
+        return np.zeros((len(keys), 0), np.float32)
+    if shards == 1:
+        return shard(0).logs(keys)
+    which = shard_of(keys, shards)
+    out = np.zeros((len(keys), langs), np.float32)
     for k in range(shards):
         mine = np.flatnonzero(which == k)
         if len(mine):
-            at = np.searchsorted(mine, cut)
-            some = np.flatnonzero(np.diff(at))
-            out[some] += np.add.reduceat(shard(k).logs(keys[mine]), at[some], axis=0, dtype=np.float64)
-    return n, out / -np.maximum(n, 1)[:, None]
+            out[mine] = shard(k).logs(keys[mine])
+    return out
+
 
+# --- calibration
 
-def identify(docs: DataFrame, train: Column | None = None, max_grams: int | None = None) -> DataFrame:
+def histograms(logs: np.ndarray, cut: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """Counts [length, side, language, bin] of the windows of texts whose language is own (-1: left out).
+
+    Side 0: nats per character under the own language. Side 1: under the best other one, counted for that one.
+    """
+    langs = logs.shape[1]
+    out = np.zeros((len(LENGTHS), 2, langs, BINS), np.int64)
+    total = np.concatenate([np.zeros((1, langs)), -np.cumsum(logs, axis=0, dtype=np.float64)])
+    n = np.diff(cut)
+    for x, size in enumerate(LENGTHS):
+        k = np.where(own >= 0, n // size, 0)
+        if not k.sum():
+            continue
+        text = np.repeat(np.arange(len(n)), k)
+        start = cut[text] + size * (np.arange(len(text)) - np.repeat(np.cumsum(k) - k, k))
+        h = (total[start + size] - total[start]) / size
+        mine, row = own[text], np.arange(len(text))
+        for side in range(2 if langs > 1 else 1):
+            best = mine if side == 0 else h.argmin(1)
+            at = np.minimum(h[row, best] / BIN, BINS - 1).astype(np.int64)
+            out[x, side] = np.bincount(best * BINS + at, minlength=langs * BINS).reshape(langs, BINS)
+            h[row, mine] = np.inf
+    return out
+
+
+def limit_of(own: np.ndarray, other: np.ndarray) -> float | None:
+    """Where to reject, from the histograms of own and foreign windows; None if there are too few own ones."""
+    if own.sum() < LEAST:
+        return None
+    beyond = 1 - np.cumsum(own) / own.sum()
+    if other.sum() < LEAST:
+        return float((np.flatnonzero(beyond <= 1e-3)[0] + 1) * BIN + ALONE)
+    cost = REFUSED * beyond + np.cumsum(other) / other.sum()
+    best = np.flatnonzero(cost <= cost.min() + 1e-9)
+    return float((best[0] + best[-1] + 2) / 2 * BIN)
+
+
+def _limits(counted: DataFrame, langs: list[str]) -> list[tuple[str, list[float]]]:
+    """(language, limit of each of LENGTHS) of the languages that have one; counted: lang, length, side, bin, k."""
+    held = np.zeros((len(LENGTHS), 2, len(langs), BINS), np.int64)
+    for r in counted.groupBy("lang", "length", "side", "bin").agg(F.sum("k").alias("k")).toLocalIterator():  # bounded by the bins
+        held[r["length"], r["side"], langs.index(r["lang"]), r["bin"]] = r["k"]
+    out = []
+    for x, lang in enumerate(langs):
+        each: list[float] = []
+        for k in range(len(LENGTHS)):
+            t = limit_of(held[k, 0, x], held[k, 1, x])
+            if t is None and not each:
+                break
+            each.append(each[-1] if t is None else t)
+        if each:
+            out.append((lang, each))
+    return out
+
+
+OUT = "md5 binary, doc_id bigint, train boolean, n bigint, lang_pred string, score double, h double, lang string, length int, side int, bin int, k bigint"
+
+
+def identify(docs: DataFrame, train: Column | None = None) -> DataFrame:
     """doc_id, train, n, lang_pred, score, rejected and md5 (of the text) of each row of docs (doc_id, text, lang; other columns ignored).
 
     `train` says which rows to learn from (default: all); of these, the ones
@@ -314,17 +368,22 @@ def identify(docs: DataFrame, train: Column | None = None, max_grams: int | None
     null or have no letter get `und`, score 0, and are rejected; so is every
     text if there is nothing to learn from. score is the share of the best
     language in a softmax of cross-entropies. rejected also holds for texts
-    whose cross-entropy is beyond the best language's threshold; lang_pred
+    whose cross-entropy is beyond the best language's limit; lang_pred
     stays the best guess for them.
     """
     spark = docs.sparkSession
     src = texts(docs, F.col("lang").cast("string").alias("lang"), F.coalesce(train if train is not None else F.lit(True), F.lit(False)).alias("train"))
     shared, langs = [], []
-    for _, model in train_models(src.where("train"), max_grams):
+    for _, model in train_models(src.where("train")):
         shared.append(spark.sparkContext.broadcast(model))
         langs = model.langs
         shared[-1].__dict__.pop("_value", None)  # the driver holds a shard at a time
         del model
+    names = pa.schema([("md5", pa.binary()), ("doc_id", pa.int64()), ("train", pa.bool_()), ("n", pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64()), ("h", pa.float64()),
+                       ("lang", pa.string()), ("length", pa.int32()), ("side", pa.int32()), ("bin", pa.int32()), ("k", pa.int64())])
+
+    def rows(count: int, **cols) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(cols[f.name], f.type) if f.name in cols else pa.nulls(count, f.type) for f in names], schema=names)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def shard(k: int) -> Model:
@@ -333,30 +392,42 @@ def identify(docs: DataFrame, train: Column | None = None, max_grams: int | None
                 shared[k].__dict__.pop("_value", None)
             return m
 
+        held = np.zeros((len(LENGTHS), 2, len(langs), BINS), np.int64)
+        index = {x: k for k, x in enumerate(langs)}
+        room = max(1 << 18, (1 << (20 if len(shared) == 1 else 22)) * 4 // max(4, len(langs)))
         for b in it:
             _, off = text_arrays(b.column(1))
-            for i, j in slices(off, 1 << (20 if len(shared) == 1 else 22)):
+            for i, j in slices(off, room):
                 body = [t or "" for t in b.column(1).slice(i, j - i).to_pylist()]
-                n, h = shard(0).entropies(body) if len(shared) == 1 else sharded_entropies(body, len(shared), len(langs), shard)
+                learn = b.column(3).slice(i, j - i).to_pylist()
+                keys, cut = grams(body)
+                n = np.diff(cut)
+                logs = sharded_logs(keys, len(shared), len(langs), shard)
+                h = entropies(logs, cut)
                 if langs:
                     best = h.argmin(1)
                     low = h[np.arange(len(h)), best]
                     score = 1 / np.exp(-SHARP * (h - low[:, None])).sum(1)
+                    own = np.array([index.get(x, -1) if t else -1 for x, t in zip(b.column(2).slice(i, j - i).to_pylist(), learn)], np.int64)
+                    held += histograms(logs, cut, own)
                 else:
                     best, low, score, n = np.zeros(len(n), int), np.zeros(len(n)), np.zeros(len(n)), n * 0
-                pred = [langs[k] if c else UND for k, c in zip(best, n)]
-                own = [h[k, langs.index(x)] if c and x in langs else None for k, (c, x) in enumerate(zip(n, b.column(2).slice(i, j - i).to_pylist()))]
-                md5 = [hashlib.md5(t.encode(), usedforsecurity=False).digest() for t in body]
-                yield pa.RecordBatch.from_arrays([pa.array(md5, pa.binary()), b.column(0).slice(i, j - i), b.column(3).slice(i, j - i), pa.array(n), pa.array(pred, pa.string()), pa.array(np.where(n > 0, score, 0.0)), pa.array(low), b.column(2).slice(i, j - i), pa.array(own, pa.float64())],
-                                                 ["md5", "doc_id", "train", "n", "lang_pred", "score", "h", "lang", "own"])
-
-    out = stored(src.select("doc_id", "text", "lang", "train").mapInArrow(run, "md5 binary, doc_id bigint, train boolean, n bigint, lang_pred string, score double, h double, lang string, own double"), "languages")
-    limits = {r["lang"]: r["limit"] for r in out.where("train and own is not null").groupBy("lang").agg(F.percentile_approx("own", QUANTILE, 10_000).alias("limit")).collect()}  # a row a language
-    limit = F.lit(None).cast("double")
-    for lang, q in sorted(limits.items()):
-        limit = F.when(F.col("lang_pred") == lang, F.lit(q)).otherwise(limit)
-    far = F.col("h") > limit + F.lit(0.5) + F.lit(MARGIN) / F.sqrt("n")
-    return out.select("doc_id", "train", "n", "lang_pred", "score", ((F.col("n") == 0) | F.coalesce(far, F.lit(False))).alias("rejected"), "md5")
+                yield rows(j - i, md5=[hashlib.md5(t.encode(), usedforsecurity=False).digest() for t in body], doc_id=b.column(0).slice(i, j - i).to_pylist(), train=learn, n=n,
+                           lang_pred=[langs[k] if c else UND for k, c in zip(best, n)], score=np.where(n > 0, score, 0.0), h=low)
+        length, side, lang, at = np.nonzero(held)
+        if len(at):
+            yield rows(len(at), lang=[langs[x] for x in lang], length=length, side=side, bin=at, k=held[length, side, lang, at])
+
+    out = stored(src.select("doc_id", "text", "lang", "train").mapInArrow(run, OUT), "languages")
+    limits = _limits(out.where("length is not null"), langs)
+    told = out.where("length is null").drop("lang", "length", "side", "bin", "k")
+    table = F.broadcast(spark.createDataFrame(limits, "lang_pred string, limits array<double>"))  # a row a language
+    place = F.log(F.col("n") / LENGTHS[0]) / F.log(F.lit(LENGTHS[1] / LENGTHS[0]))
+    place = F.least(F.greatest(place, F.lit(0.0)), F.lit(len(LENGTHS) - 1.0))
+    low, high = (F.element_at("limits", f.cast("int") + 1) for f in (F.floor(place), F.ceil(place)))
+    limit = low + (high - low) * (place - F.floor(place))
+    far = F.coalesce((F.col("n") >= LENGTHS[0]) & (F.col("h") > limit), F.lit(False))
+    return told.join(table, "lang_pred", "left").select("doc_id", "train", "n", "lang_pred", "score", ((F.col("n") == 0) | far).alias("rejected"), "md5")
 
 
 def keep_known_languages(docs: DataFrame) -> DataFrame:

@@ -67,7 +67,8 @@ def test_model_matches_textbook():
     texts = {"x": ["".join(rng.choice("abc d") for _ in range(60)) for _ in range(4)], "y": ["".join(rng.choice("abzé ") for _ in range(60)) for _ in range(4)]}
     m = langid.Model({k: counts_of(v) for k, v in texts.items()})
     probe = ["abc zé q", "dd", "é", "unseen words here", texts["x"][0]]
-    n, h = m.entropies(probe)
+    keys, cut = langid.grams(probe)
+    n, h = np.diff(cut), langid.entropies(m.logs(keys), cut)
     for col, lang in enumerate(m.langs):
         plain = Plain(texts[lang])
         for k, t in enumerate(probe):
@@ -114,12 +115,6 @@ def test_odd_rows_and_filter(spark):
     assert {r.lang_pred for r in none} == {"und"} and all(r.rejected for r in none)
 
 
-def test_bound_keeps_whole_frequency_classes(spark):
-    c = spark.createDataFrame([("a", 1, 5), ("a", 2, 3), ("a", 3, 3), ("a", 4, 1), ("b", 1, 1)], "lang string, gram long, n long")
-    assert sorted((r.lang, r.gram) for r in langid.bounded(c, 2).collect()) == [("a", 1), ("b", 1)]
-    assert langid.bounded(c, 9).count() == 5
-
-
 def test_shards_score_as_the_whole_model_and_keep_all_counts(spark, sf, monkeypatch):
     df = spark.read.parquet(f"{sf}/documents.parquet").where("lang is not null and text is not null")
     texts = {}
@@ -132,9 +127,51 @@ def test_shards_score_as_the_whole_model_and_keep_all_counts(spark, sf, monkeypa
     shards = [m for _, m in made]
     assert len(shards) == made[0][0] > 2 and all(m.langs == whole.langs for m in shards)
     assert sum(len(m.p[4].hash) for m in shards) == len(whole.p[4].hash)
-    n, h = whole.entropies(probe)
-    n2, h2 = langid.sharded_entropies(probe, len(shards), len(whole.langs), shards.__getitem__)
-    assert (n == n2).all() and abs(h - h2).max() < 1e-4
+    keys, _ = langid.grams(probe)
+    assert abs(whole.logs(keys) - langid.sharded_logs(keys, len(shards), len(whole.langs), shards.__getitem__)).max() < 1e-4
     got = {r.doc_id: r.lang_pred for r in identify(df).collect()}
     monkeypatch.setattr(langid, "SHARD_GRAMS", 1 << 30)
     assert got == {r.doc_id: r.lang_pred for r in identify(df).collect()}
+
+
+def test_histograms_count_every_window():
+    rng = np.random.default_rng(0)
+    cut = np.array([0, 100, 100, 3000, 3007])
+    logs = -rng.random((3007, 3)).astype(np.float32) * 9
+    own = np.array([1, 0, 2, 0])
+    got = langid.histograms(logs, cut, own)
+    for x, size in enumerate(langid.LENGTHS):
+        want = np.zeros((2, 3, langid.BINS), int)
+        for i, o in enumerate(own):
+            for a in range(cut[i], cut[i + 1] - size + 1, size):
+                h = -logs[a : a + size].astype(float).mean(0)
+                want[0, o, int(h[o] / langid.BIN)] += 1
+                h[o] = np.inf
+                want[1, h.argmin(), int(h.min() / langid.BIN)] += 1
+        assert abs(got[x] - want).sum() <= 4  # sums in another order may cross an edge of a bin
+
+
+def test_limit_separates():
+    own, other = np.zeros(100, int), np.zeros(100, int)
+    own[40:50], other[70:80] = 100, 100
+    assert abs(langid.limit_of(own, other) - 60 * langid.BIN) < 2 * langid.BIN
+    own[75] = 5  # a few windows in another language do not move it
+    assert langid.limit_of(own, other) < 71 * langid.BIN
+    assert langid.limit_of(own[:40], other) is None
+    assert langid.limit_of(own, other * 0) > 50 * langid.BIN
+
+
+def test_unknown_languages_and_junk_are_rejected(spark):
+    """Each language in turn is unknown: its texts are rejected, those of the others are not."""
+    df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    text = {r.doc_id: (r.lang, r.text) for r in df.collect()}
+    rng = random.Random(1)
+    junk = [(10**6 + i, "".join(rng.choice("bcdfghjklmnpqrstvwxz ") for _ in range(300)), None) for i in range(50)]
+    for left_out in ("en", "es"):
+        both = df.select("doc_id", "text", "lang").unionByName(spark.createDataFrame(junk, "doc_id long, text string, lang string"))
+        got = {r.doc_id: r for r in identify(both, (F.col("lang") != left_out) & (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0)).collect()}
+        unknown = [got[i].rejected for i, (lang, t) in text.items() if lang == left_out and len(t) >= 100]
+        known = [got[i].rejected for i, (lang, t) in text.items() if lang != left_out and held(i)]
+        print(left_out, sum(unknown) / len(unknown), len(unknown), sum(known) / len(known), len(known))
+        assert sum(unknown) / len(unknown) > 0.95 and sum(known) / len(known) < 0.01
+        assert all(got[i].rejected for i, _, _ in junk)
