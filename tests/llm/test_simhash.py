@@ -95,7 +95,10 @@ def test_table_and_empty(spark, sf):
     assert simhash_dedup(df.limit(0)).count() == 0
 
 
-def test_forest_and_components(spark):
+@pytest.mark.parametrize("one_task", [0, 1 << 18])
+def test_forest_and_components(spark, monkeypatch, one_task):
+    monkeypatch.setattr("plumbline.llm.components.ONE_TASK", one_task)
+    assert components(spark.createDataFrame([], "u long, v long")).count() == 0
     rng = random.Random(3)
     edges = [(i, i + 1) for i in range(0, 300) if i % 50] + [(1000, 1000 + k) for k in range(1, 200)] + [(rng.randrange(2000, 2100), rng.randrange(2000, 2100)) for _ in range(60)]
     u, v = forest(np.array([e[0] for e in edges]), np.array([e[1] for e in edges]))
