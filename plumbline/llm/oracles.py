@@ -56,23 +56,28 @@ luhn AS (
   SELECT dig, sum(CASE WHEN (length(dig) - j) % 2 = 0 THEN c ELSE 2 * c - 9 * (c > 4)::INT END) % 10 = 0 AS ok
   FROM (SELECT dig, unnest(generate_series(1, length(dig))) AS j, substr(dig, j::INT, 1)::INT AS c FROM (SELECT DISTINCT dig FROM p WHERE kind = 2 AND length(dig) BETWEEN 12 AND 19)) GROUP BY dig),
 b AS (
-  SELECT r, text, kind, v, z - length(v) AS a, z, CASE kind WHEN 0 THEN '0:' || lower(v) WHEN 1 THEN '1:' || v ELSE kind || ':' || p.dig END AS e
-  FROM p LEFT JOIN luhn ON p.kind = 2 AND p.dig = luhn.dig
+  SELECT r, text, kind, v, z - length(v) AS a, z, p.dig FROM p LEFT JOIN luhn ON p.kind = 2 AND p.dig = luhn.dig
   WHERE kind = 0 OR kind = 1 AND list_max(list_transform(string_split(v, '.'), lambda x: coalesce(try_cast(x AS BIGINT), 999))) <= 255
     OR kind = 2 AND luhn.ok OR kind = 3 AND length(p.dig) BETWEEN 9 AND 15),
 c0 AS (
-  SELECT r, text, e,
+  SELECT r, CASE kind
+      WHEN 0 THEN ['email:' || lower(v), 'user:' || split_part(lower(v), '@', 1), 'domain:' || split_part(lower(v), '@', 2)]
+      WHEN 1 THEN ['ip:' || v, 'network:' || regexp_replace(v, '\.[0-9]+$', '')]
+      WHEN 2 THEN ['card:' || dig] ELSE ['phone:' || dig, 'exchange:' || regexp_replace(dig, '[0-9]{{4}}$', '')] END AS es,
     regexp_extract_all(lower(CASE WHEN a > 96 THEN regexp_replace(substr(text, a - 95, 96), '^\p{{L}}+', '') ELSE substr(text, 1, a) END), '\p{{L}}{{3,}}') AS lw,
     regexp_extract_all(lower(regexp_replace(substr(text, z + 1, 96), '\p{{L}}+$', '')), '\p{{L}}{{3,}}') AS rw FROM b),
-c AS (SELECT r, text, e, list_concat(lw[greatest(len(lw) - 5, 1):], rw[:6]) AS ctx FROM c0),
-t AS (SELECT DISTINCT r, text, e, ctx, unnest(ctx) AS term FROM c),
-te AS (SELECT e, term, count(DISTINCT r) AS n_te, count(DISTINCT ctx) AS contexts FROM t GROUP BY e, term HAVING count(DISTINCT ctx) >= 3),
-ne AS (SELECT e, count(DISTINCT r) AS n_e FROM b GROUP BY e),
-nt AS (SELECT term, count(*) AS n_t FROM (SELECT DISTINCT r, unnest(regexp_extract_all(lower(text), '\p{{L}}{{3,}}')) AS term FROM d) WHERE term IN (SELECT term FROM te) GROUP BY term),
+c AS (SELECT r, unnest(es) AS e, list_concat(lw[greatest(len(lw) - 5, 1):], rw[:6]) AS ctx FROM c0),
+pairs AS (SELECT e, term FROM (SELECT DISTINCT e, ctx, unnest(ctx) AS term FROM c) GROUP BY e, term HAVING count(DISTINCT ctx) >= 3),
+re AS (SELECT DISTINCT r, e FROM c),
+said AS (SELECT DISTINCT r, unnest(regexp_extract_all(lower(text), '\p{{L}}{{3,}}')) AS term FROM d),
+te AS (SELECT pairs.e, pairs.term, count(*) AS n_te FROM pairs JOIN re ON pairs.e = re.e JOIN said ON said.r = re.r AND said.term = pairs.term GROUP BY pairs.e, pairs.term),
+ne AS (SELECT e, count(*) AS n_e FROM re GROUP BY e),
+nt AS (SELECT term, count(*) AS n_t FROM said WHERE term IN (SELECT term FROM te) GROUP BY term),
 tells AS (
   SELECT te.e, te.term FROM te JOIN ne ON te.e = ne.e JOIN nt ON te.term = nt.term, (SELECT count(*)::DOUBLE AS n FROM d)
   WHERE n_e < n AND ln(n * n_te / (n_t::DOUBLE * n_e)) / ln(n / n_e) >= 0.9),
-own AS (SELECT DISTINCT t.r, t.text, t.term FROM t JOIN tells ON t.e = tells.e AND t.term = tells.term),
+own AS (
+  SELECT DISTINCT re.r, d.text, tells.term FROM tells JOIN re ON re.e = tells.e JOIN said ON said.r = re.r AND said.term = tells.term JOIN d ON d.r = re.r),
 w AS (
   SELECT r, 4 AS kind, unnest(regexp_extract_all(text, '\p{{L}}+')) AS v, unnest(regexp_split_to_array(text, '\p{{L}}+')[:-2]) AS gap, generate_subscripts(regexp_extract_all(text, '\p{{L}}+'), 1) AS i
   FROM (SELECT DISTINCT r, text FROM own)),

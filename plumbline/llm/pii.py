@@ -1,6 +1,9 @@
 """Information-theoretic sanitisation of personal data, in DataFrame functions only.
 
-Patterns find the entities to protect (email, ip, card, phone). The method
+Patterns find what to protect (email, ip, card, phone). An entity is such a
+value, and what it shares with its like: the user and the domain of an address,
+the network of an ip, the exchange of a phone number. So entities recur even
+where values do not. The method
 then asks the corpus which other terms give an entity away. With n documents,
 a term t and an entity e, the pointwise mutual information
 
@@ -22,7 +25,9 @@ documents with disclosing terms are too many to broadcast (Spark checks).
 A match's offsets come from the lengths of the pieces around it, so they are
 code points. The patterns are written so that each text is scanned once:
 matches start where a run of their characters starts (or the last match
-ended), which leaves the leftmost matches as they are.
+ended), which leaves the leftmost matches as they are. Spans are worked through
+in blocks of BLOCK with a piece of the text each, so that a text of a hundred
+thousand matches takes seconds.
 """
 
 from __future__ import annotations
@@ -47,6 +52,8 @@ PATTERNS = {
 NEEDS = {"email": "@", "phone": "+"}
 OCTET = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 SPAN = "array<struct<start:int,kind:int,end:int,value:string>>"
+#: Spans of a block; terms that a table of them is broadcast for.
+BLOCK, FEW = 256, 10_000
 
 
 def _luhn(digits: Column) -> Column:
@@ -70,26 +77,46 @@ def _checker(kind: str):
     return lambda s: _valid(kind, s["value"])
 
 
-def _located(found: Column, pieces: Column, kind: int) -> Column:
-    """Matches with their offsets in code points, by running sums over the pieces between them."""
-    pairs = F.zip_with(F.slice(pieces, 1, F.size(found)), found, lambda p, m: F.struct(F.length(p).alias("p"), m.alias("v")))
+def _let(value: Column, use) -> Column:
+    """use(value), with value computed once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _blocks(items: str) -> Column:
+    """Column items cut into arrays of BLOCK; empty: none."""
+    n = F.size(items)
+    return F.when(n > 0, F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)), F.lit(BLOCK)), lambda i: F.slice(items, i + 1, BLOCK))).otherwise(F.slice(F.array(F.col(items)), 1, 0))
+
+
+def _carried(blocks: str, step) -> Column:
+    """For each block, what step(value so far, block) has made of 0 before it."""
     return F.aggregate(
-        pairs,
-        F.struct(F.lit(0).alias("at"), F.expr(f"CAST(array() AS {SPAN})").alias("out")),
-        lambda acc, x: F.struct(
-            (acc["at"] + x["p"] + F.length(x["v"])).alias("at"),
-            F.array_append(acc["out"], F.struct((acc["at"] + x["p"]).alias("start"), F.lit(kind).alias("kind"), (acc["at"] + x["p"] + F.length(x["v"])).alias("end"), x["v"].alias("value"))).alias("out")),
-        lambda acc: acc["out"])
+        blocks, F.struct(F.lit(0).alias("at"), F.expr("CAST(array() AS array<int>)").alias("out")),
+        lambda a, b: F.struct(step(a["at"], b).alias("at"), F.array_append(a["out"], a["at"]).alias("out")), lambda a: a["out"])
+
+
+def _located(blocks: str, kind: int) -> Column:
+    """Matches with their offsets in code points, by running sums over the pieces between them; blocks of (gap, value)."""
+    after = lambda at, x: at + F.length(x["gap"]) + F.length(x["value"])
+    starts = _carried(blocks, lambda at, b: F.aggregate(b, at, after))
+    within = lambda b, s: F.aggregate(
+        b, F.struct(s.alias("at"), F.expr(f"CAST(array() AS {SPAN})").alias("out")),
+        lambda a, x: F.struct(after(a["at"], x).alias("at"), F.array_append(a["out"], F.struct((a["at"] + F.length(x["gap"])).alias("start"), F.lit(kind).alias("kind"), after(a["at"], x).alias("end"), x["value"].alias("value"))).alias("out")),
+        lambda a: a["out"])
+    return F.flatten(F.zip_with(blocks, starts, within))
 
 
 def _with_matches(df: DataFrame, jobs: list[tuple[str, int, Column, Column]]) -> DataFrame:
-    """df (text and others) with a span column for each (name, kind, pattern, condition). Matches and pieces are
-    columns of their own first, so that each regular expression runs once."""
+    """df (text and others) with a span column for each (name, kind, pattern, condition). Matches, pieces and blocks are
+    columns of their own first, each used twice, so that each is computed once."""
     cols = df.columns
     none = F.expr("CAST(array() AS array<string>)")
     out = df.select(*cols, *[F.when(c, F.regexp_extract_all("text", p, F.lit(0))).otherwise(none).alias(f"{n}_f") for n, _, p, c in jobs])
     out = out.select(*out.columns, *[F.when(F.size(f"{n}_f") > 0, F.split("text", p, -1)).otherwise(none).alias(f"{n}_p") for n, _, p, _ in jobs])
-    return out.select(*cols, *[F.filter(_located(F.col(f"{n}_f"), F.col(f"{n}_p"), k), _checker(KINDS[k])).alias(n) for n, k, _, _ in jobs])
+    both = lambda n: F.zip_with(F.slice(F.col(f"{n}_p"), 1, F.size(f"{n}_f")), F.col(f"{n}_f"), lambda p, m: F.struct(p.alias("gap"), m.alias("value")))
+    out = out.select(*cols, *[both(n).alias(f"{n}_b") for n, *_ in jobs])
+    out = out.select(*cols, *[_blocks(f"{n}_b").alias(f"{n}_b") for n, *_ in jobs])
+    return out.select(*cols, *[F.filter(_located(f"{n}_b", k), _checker(KINDS[k])).alias(n) for n, k, _, _ in jobs])
 
 
 def with_base_spans(df: DataFrame) -> DataFrame:
@@ -102,32 +129,46 @@ def with_base_spans(df: DataFrame) -> DataFrame:
     return _with_matches(df, jobs).select(*df.columns, F.array_sort(F.concat(*[n for n, *_ in jobs])).alias("spans"))
 
 
-def _entity(span: Column) -> Column:
-    """What a span stands for, however it is written."""
-    value = F.when(span["kind"] == 0, F.lower(span["value"])).when(span["kind"] == 1, span["value"]).otherwise(F.regexp_replace(span["value"], "[^0-9]", ""))
-    return F.concat(span["kind"].cast("string"), F.lit(":"), value)
+def _entities(span: Column) -> Column:
+    """What a span stands for, however it is written: the value, and what it shares with its like."""
+    value, kind = span["value"], span["kind"]
+    low, digits = F.lower(value), F.regexp_replace(value, "[^0-9]", "")
+    key = lambda name, v: F.concat(F.lit(f"{name}:"), v)
+    return (F.when(kind == 0, F.array(key("email", low), key("user", F.substring_index(low, "@", 1)), key("domain", F.substring_index(low, "@", -1))))
+            .when(kind == 1, F.array(key("ip", value), key("network", F.substring_index(value, ".", 3))))
+            .when(kind == 2, F.array(key("card", digits)))
+            .otherwise(F.array(key("phone", digits), key("exchange", F.regexp_replace(digits, "[0-9]{4}$", "")))))
 
 
 def _words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(r"\p{L}{3,}+"), F.lit(0))
 
 
-def _context(text: Column, s: Column) -> Column:
-    """CONTEXT words on either side, from a window of 16 characters a word; words that its edge cuts are left out."""
-    near = 16 * CONTEXT
-    left = F.substring(text, F.greatest(s["start"] - near, F.lit(0)) + 1, F.least(s["start"], F.lit(near)))
-    left = F.when(s["start"] > near, F.regexp_replace(left, r"^\p{L}+", "")).otherwise(left)
-    right = F.regexp_replace(F.substring(text, s["end"] + 1, F.lit(near)), r"\p{L}+$", "")
-    lw = _words(left)
-    return F.concat(F.slice(lw, F.greatest(F.size(lw) - CONTEXT, F.lit(0)) + 1, F.lit(CONTEXT)), F.slice(_words(right), 1, CONTEXT))
+#: Characters on either side of a span that may be its context.
+NEAR = 16 * CONTEXT
+
+
+def _context(piece: Column, at: Column, s: Column) -> Column:
+    """CONTEXT words on either side, from a window of NEAR characters; words that its edge cuts are left out. piece is the text from `at` on."""
+    left = F.substring(piece, F.greatest(s["start"] - NEAR, F.lit(0)) - at + 1, F.least(s["start"], F.lit(NEAR)))
+    left = F.when(s["start"] > NEAR, F.regexp_replace(left, r"^\p{L}+", "")).otherwise(left)
+    right = F.regexp_replace(F.substring(piece, s["end"] - at + 1, F.lit(NEAR)), r"\p{L}+$", "")
+    return _let(_words(left), lambda lw: F.concat(F.slice(lw, F.greatest(F.size(lw) - CONTEXT, F.lit(0)) + 1, F.lit(CONTEXT)), F.slice(_words(right), 1, CONTEXT)))
 
 
 def mentions(docs: DataFrame) -> DataFrame:
-    """(md5, pairs, entities, words) of each row with a base span; pairs are its distinct (entity, term, context hash), words all its words."""
-    m = with_base_spans(docs.select("text")).where(F.size("spans") > 0)
-    m = m.select("text", F.transform("spans", lambda s: F.struct(_entity(s).alias("entity"), _context(F.col("text"), s).alias("words"))).alias("near"))
-    pairs = F.flatten(F.transform("near", lambda x: F.transform(x["words"], lambda t: F.struct(x["entity"].alias("entity"), t.alias("term"), F.xxhash64(x["words"]).alias("context")))))
-    return m.select(_key("text").alias("md5"), F.array_distinct(pairs).alias("pairs"), F.array_distinct(F.transform("near", lambda x: x["entity"])).alias("entities"), F.array_distinct(_words(F.col("text"))).alias("words"))
+    """(md5, m, near, entities, words) of each text with a base span, and of how many rows it is (m).
+
+    near has the entities and the context words of each span, words all words of the text.
+    """
+    found = with_base_spans(docs.select("text")).withColumn("_at", F.monotonically_increasing_id())
+    found = found.where((F.size("spans") > 0) & (F.col("_at") >= 0))  # the number keeps Catalyst from computing the spans again within the filter
+    found = found.select("text", "spans").select("text", _blocks("spans").alias("blocks"))
+    first = lambda b: F.greatest(F.element_at(b, 1)["start"] - NEAR, F.lit(0))
+    piece = lambda b: F.substring(F.col("text"), first(b) + 1, F.array_max(F.transform(b, lambda s: s["end"])) + NEAR - first(b))
+    near = F.flatten(F.transform("blocks", lambda b: _let(piece(b), lambda p: F.transform(b, lambda s: F.struct(_entities(s).alias("entities"), _context(p, first(b), s).alias("words"))))))
+    out = found.select("text", near.alias("near")).select(_key("text").alias("md5"), "near", F.array_distinct(F.flatten(F.transform("near", lambda x: x["entities"]))).alias("entities"), F.array_distinct(_words(F.col("text"))).alias("words"))
+    return out.groupBy("md5").agg(F.count("*").alias("m"), *[F.first(c).alias(c) for c in ("near", "entities", "words")])
 
 
 def _key(text: str) -> Column:
@@ -135,22 +176,26 @@ def _key(text: str) -> Column:
 
 
 def held_terms(said: DataFrame, terms: DataFrame) -> DataFrame:
-    """(md5, entity, term) of each row of said and each of the terms (entity, term) whose entity and term it holds."""
-    of = terms.groupBy("entity").agg(F.collect_set("term").alias("terms"))
-    held = said.select("md5", "words", F.explode("entities").alias("entity")).join(of, "entity")
-    return held.select("md5", "entity", F.explode(F.array_intersect("words", "terms")).alias("term"))
+    """(md5, m, entity, term) of each text of said and each of the terms (entity, term) whose entity and term it holds."""
+    asked = said.select("md5", "m", F.explode("entities").alias("entity")).join(terms, "entity")
+    held = said.select("md5", F.explode("words").alias("term")).join(terms.select("term").distinct(), "term", "left_semi")
+    return asked.join(held, ["md5", "term"])
 
 
 def disclosing_terms(docs: DataFrame, said: DataFrame) -> DataFrame:
     """(entity, term, disclosure) of the terms that reach DISCLOSURE; said is `mentions` of docs."""
     n = docs.count()
-    contexts = said.select(F.explode("pairs").alias("p")).select("p.*").distinct().groupBy("entity", "term").agg(F.count("*").alias("contexts"))
-    n_e = said.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("n_e"))
+    spans = said.select(F.explode("near").alias("s")).select("s.words", F.xxhash64("s.words").alias("context"), F.explode("s.entities").alias("entity"))
+    contexts = spans.select("entity", "context", F.explode("words").alias("term")).distinct().groupBy("entity", "term").agg(F.count("*").alias("contexts"))
+    n_e = said.select("m", F.explode("entities").alias("entity")).groupBy("entity").agg(F.sum("m").alias("n_e"))
     seen = stored(contexts.where(F.col("contexts") >= SUPPORT).select("entity", "term"), "supported")
-    n_te = held_terms(said, seen).groupBy("entity", "term").agg(F.count("*").alias("n_te"))
+    n_te = held_terms(said, seen).groupBy("entity", "term").agg(F.sum("m").alias("n_te"))
     cand = stored(n_te.join(n_e, "entity"), "candidates")
     terms = stored(cand.select("term").distinct(), "terms")
-    n_t = docs.select(F.explode(F.array_distinct(_words(F.col("text")))).alias("term")).groupBy("term").agg(F.count("*").alias("n_t")).join(terms, "term")
+    each = docs.select(F.explode(F.array_distinct(_words(F.col("text")))).alias("term"))
+    if terms.count() <= FEW:  # else all words are counted, combined before the shuffle, and joined then
+        each = each.join(F.broadcast(terms), "term", "left_semi")
+    n_t = each.groupBy("term").agg(F.count("*").alias("n_t")).join(terms, "term")
     num = lambda c: F.col(c).cast("double")
     pmi = F.log(F.lit(float(n)) * num("n_te") / (num("n_t") * num("n_e")))
     share = pmi / F.log(F.lit(float(n)) / num("n_e"))
@@ -172,7 +217,7 @@ def _find(src: DataFrame) -> DataFrame:
     """src (text and others) with spans and base."""
     said = stored(mentions(src), "mentions")
     reveal = stored(disclosing_terms(src.select("text"), said).select("entity", "term"), "disclosing")
-    own = stored(held_terms(said, reveal).groupBy("md5").agg(F.array_join(F.array_sort(F.collect_set("term")), "|").alias("terms")), "own_terms")
+    own = stored(held_terms(said, reveal.distinct()).groupBy("md5").agg(F.array_join(F.array_sort(F.collect_set("term")), "|").alias("terms")), "own_terms")
     rest = [c for c in src.columns if c != "text"]
     keyed = src.select(F.struct(*rest).alias("_rest"), "text", _key("text").alias("_md5"))
     joined = keyed.join(own.withColumnRenamed("md5", "_md5"), "_md5", "left").select("_rest", "text", "terms")
@@ -192,6 +237,23 @@ def counts(spans: str, kind: int) -> Column:
     return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("bigint")
 
 
+def replaced(df: DataFrame, cols: list[str]) -> DataFrame:
+    """cols of df (text, spans) and _new: the text with every span replaced by its kind in brackets."""
+    labels = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
+    out = df.select(*cols, "text", "spans").select(*cols, "text", "spans", _blocks("spans").alias("_blocks"))
+    ends = _carried("_blocks", lambda at, b: F.greatest(at, F.array_max(F.transform(b, lambda x: x["end"]))))
+    out = out.select(*cols, "text", "spans", "_blocks", ends.alias("_ends"))
+    step = lambda piece, s: lambda a, x: F.struct(
+        F.greatest(a["at"], x["end"]).alias("at"),
+        F.when(x["start"] >= a["at"], F.array_append(a["out"], F.concat(F.substring(piece, a["at"] - s + 1, x["start"] - a["at"]), F.element_at(labels, x["kind"] + 1)))).otherwise(a["out"]).alias("out"))
+    within = lambda b, s: _let(
+        F.substring(F.col("text"), s + 1, F.greatest(F.element_at(b, -1)["start"] - s, F.lit(0))),
+        lambda piece: F.array_join(F.aggregate(b, F.struct(s.alias("at"), F.expr("CAST(array() AS array<string>)").alias("out")), step(piece, s), lambda a: a["out"]), ""))
+    last = F.array_max(F.transform("spans", lambda x: x["end"]))
+    new = F.concat(F.array_join(F.zip_with("_blocks", "_ends", within), ""), F.substring(F.col("text"), last + 1, F.length("text")))
+    return out.select(*cols, F.when(F.size("spans") > 0, new).otherwise(F.col("text")).alias("_new"))
+
+
 def sanitise(docs: DataFrame) -> DataFrame:
     """docs with every span of its text replaced by its kind in brackets: [EMAIL], [IP], [CARD], [PHONE], [TERM].
 
@@ -199,14 +261,7 @@ def sanitise(docs: DataFrame) -> DataFrame:
     n_chars, if there, becomes the new length. Null texts stay null.
     """
     src = docs.select(F.struct(*[c for c in docs.columns if c != "text"]).alias("_row"), "text")
-    labels = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
-    text = F.col("text")
-    new = F.aggregate(
-        "spans", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
-        lambda a, s: F.when(s["start"] >= a["at"], F.struct(s["end"].alias("at"), F.concat(a["out"], F.substring(text, a["at"] + 1, s["start"] - a["at"]), F.element_at(labels, s["kind"] + 1)).alias("out")))
-        .otherwise(F.struct(F.greatest(a["at"], s["end"]).alias("at"), a["out"].alias("out"))),
-        lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))))
-    out = _find(src).select("_row", F.when(F.size("spans") > 0, new).otherwise(text).alias("_new"))
+    out = replaced(_find(src), ["_row"])
     cols = []
     for f in docs.schema.fields:
         c = F.col("_new") if f.name == "text" else F.col(f"_row.`{f.name}`")
