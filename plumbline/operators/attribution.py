@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.storage import new_path
+
 
 def linear_shapley(df: DataFrame, id_col: str, x_col: str, y_col: str) -> DataFrame:
     """Exact Shapley value of the single feature of a least-squares line: slope * (x - mean x).
@@ -34,13 +36,10 @@ def _weights(n: int) -> list[float]:
 
 def forest_nodes(model) -> list[list[dict]]:
     """Nodes of an MLlib forest, by tree and node id, through the model's public save format."""
-    import tempfile
-
     from pyspark.sql import SparkSession
 
     session = SparkSession.getActiveSession()
-    base = session.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="forest-")
-    path = f"{base.rstrip('/')}/forest-{np.random.default_rng().integers(1 << 62):x}"
+    path = new_path(session, "forest")
     model.write().overwrite().save(path)
     rows = session.read.parquet(f"{path}/data").select("treeID", "nodeData.*").orderBy("treeID", "id").collect()
     trees: dict[int, list[dict]] = {}
@@ -53,13 +52,13 @@ def forest_nodes(model) -> list[list[dict]]:
 
 
 def _expected(tree: list[dict], x: np.ndarray, known: frozenset[int]) -> np.ndarray:
-    """Class distribution of a tree when only the known features are given (path-dependent cover weights)."""
+    """Class distributions of a tree for the rows of x when only the known features are given (path-dependent cover weights)."""
     def walk(i: int) -> np.ndarray:
         node = tree[i]
         if node["left"] < 0:
-            return node["stats"] / max(node["stats"].sum(), 1e-300)
+            return np.broadcast_to(node["stats"] / max(node["stats"].sum(), 1e-300), (len(x), len(node["stats"])))
         if node["feature"] in known:
-            return walk(node["left"] if x[node["feature"]] <= node["cut"] else node["right"])
+            return np.where((x[:, node["feature"]] <= node["cut"])[:, None], walk(node["left"]), walk(node["right"]))
         lw, rw = tree[node["left"]]["stats"].sum(), tree[node["right"]]["stats"].sum()
         return (lw * walk(node["left"]) + rw * walk(node["right"])) / max(lw + rw, 1e-300)
 
@@ -79,23 +78,22 @@ def tree_shapley(df: DataFrame, id_col: str, features: list[str], model, labels:
         raise ValueError("a tree splits on more than 12 features; grow shallower trees")
 
     def explain(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        phi, base, pred = np.zeros((len(labels), len(features))), np.zeros(len(labels)), np.zeros(len(labels))
+        phi, base, pred = np.zeros((len(x), len(labels), len(features))), np.zeros((len(x), len(labels))), np.zeros((len(x), len(labels)))
         for tree, own in zip(trees, used):
             value = {frozenset(s): _expected(tree, x, frozenset(s)) for r in range(len(own) + 1) for s in itertools.combinations(own, r)}
             base += value[frozenset()]
             pred += value[frozenset(own)]
             for f, (s, v) in itertools.product(own, list(value.items())):
                 if f not in s:
-                    phi[:, f] += _weights(len(own))[len(s)] * (value[s | {f}] - v)
+                    phi[:, :, f] += _weights(len(own))[len(s)] * (value[s | {f}] - v)
         return phi / len(trees), base / len(trees), pred / len(trees)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            out = []
-            for rid, x in zip(pdf[id_col], pdf[features].to_numpy(float)):
-                phi, base, pred = explain(x)
-                out += [(rid, c, f, phi[i, j], base[i], pred[i]) for i, c in enumerate(labels) for j, f in enumerate(features)]
-            yield pd.DataFrame(out, columns=["row_id", "class", "feature", "phi", "base", "prediction"])
+            phi, base, pred = explain(pdf[features].to_numpy(float))
+            n, k = len(features), len(labels)
+            yield pd.DataFrame({"row_id": np.repeat(pdf[id_col].to_numpy(), n * k), "class": np.tile(np.repeat(labels, n), len(pdf)), "feature": np.tile(features, len(pdf) * k),
+                                "phi": phi.ravel(), "base": np.repeat(base.ravel(), n), "prediction": np.repeat(pred.ravel(), n)})
 
     schema = f"row_id {df.schema[id_col].dataType.simpleString()}, class string, feature string, phi double, base double, prediction double"
     return df.dropna(subset=features).select(id_col, *features).mapInPandas(run, schema)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from plumbline.storage import written
+
 TIERS = ("weak", "medium", "strong")
 
 
@@ -12,21 +14,23 @@ def strength_tier(df: DataFrame, id_col: str, value_col: str, cuts: tuple[float,
     """Weak, medium or strong by value: fixed cut points, or thirds of the ranked rows.
 
     Without cuts the thirds equal ntile(3) over (value, id). A global ntile
-    would sort every row in one task, so ranks come from range-partitioned
-    counts: the two boundary rows are found by a distributed sort and the rest
-    is a comparison. Tiers order responses; they are not a measure of damage.
+    would sort every row in one task, so rows are dealt by ranges once, counted
+    by range, and only the ranges that hold one of the two boundary rows are
+    sorted; the rest is a comparison. Tiers order responses; they are not a
+    measure of damage. A null value has no tier; no rows give no rows.
     """
     x = F.col(value_col)
     if cuts is None:
-        rows = df.where(x.isNotNull()).select(id_col, value_col)
-        n = rows.count()
-        sizes = [n // 3 + (i < n % 3) for i in range(3)]
-        edges = []
-        if n:
-            ranked = rows.orderBy(value_col, id_col).rdd.zipWithIndex()
-            wanted = {sizes[0], sizes[0] + sizes[1]}
-            edges = [(r[0][value_col], r[0][id_col]) for r in sorted(
-                ranked.filter(lambda p: p[1] in wanted).collect(), key=lambda p: p[1])]
+        rows = written(df.where(x.isNotNull()).select(x.alias("v"), F.col(id_col).alias("i")).repartitionByRange("v", "i").withColumn("part", F.spark_partition_id()), "ranges")
+        sizes = {r["part"]: r["count"] for r in rows.groupBy("part").count().collect()}  # a row a partition
+        n = sum(sizes.values())
+        edges, before = [], 0
+        for part in sorted(sizes):
+            for rank in sorted({n // 3 + (n % 3 > 0), 2 * (n // 3) + n % 3}):
+                if before <= rank < before + sizes[part]:
+                    ranked = rows.where(F.col("part") == part).withColumn("k", F.row_number().over(Window.partitionBy("part").orderBy("v", "i")))
+                    edges.append(tuple(ranked.where(F.col("k") == rank - before + 1).select("v", "i").first()))
+            before += sizes[part]
         below = [(x < v) | ((x == v) & (F.col(id_col) < i)) for v, i in edges]
         below += [F.lit(True)] * (2 - len(below))
         tier = F.when(x.isNull(), None).when(below[0], TIERS[0]).when(below[1], TIERS[1]).otherwise(TIERS[2])

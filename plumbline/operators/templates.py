@@ -18,6 +18,8 @@ from plumbline.operators.curves import curve_resample
 
 #: Largest template table that is broadcast, in rows (class x bucket).
 MAX_TEMPLATE_ROWS = 100_000
+#: Most class means that are broadcast as one row.
+MAX_CLASSES = 1_000
 
 
 def _small(templates: DataFrame) -> DataFrame:
@@ -59,36 +61,37 @@ def template_assign(shapes: DataFrame, templates: DataFrame, tau: float, reject:
 
 
 def nearest_centroid(vectors: DataFrame, id_col: str, vec_col: str, class_col: str) -> DataFrame:
-    """Nearest class mean of each dense vector; the class means are learned from the labelled rows."""
-    long = vectors.select(id_col, class_col, F.posexplode(vec_col).alias("bucket", "x"))
-    means = long.where(F.col(class_col).isNotNull()).groupBy(class_col, "bucket").agg(F.avg("x").alias("c"))
-    means = _small(means.select(F.col(class_col).alias("nearest"), "bucket", "c"))
-    d = (
-        long.join(means, "bucket")
-        .groupBy(id_col, "nearest")
-        .agg(F.sum((F.col("x") - F.col("c")) * (F.col("x") - F.col("c"))).alias("d"))
-    )
-    return d.groupBy(id_col).agg(F.min(F.struct("d", "nearest")).alias("m")).select(
-        id_col, F.col("m.nearest").alias("nearest"), F.round("m.d", 4).alias("distance"))
+    """Nearest class mean of each dense vector; the class means are learned from the labelled rows.
 
-
-def _dtw(a: np.ndarray, b: np.ndarray, band: int) -> float:
-    """Banded dynamic time warping cost; the row recurrence runs over numpy slices where it can."""
-    n, m = len(a), len(b)
+    Equal distances go to the class that sorts first; null and empty vectors have no row.
+    """
+    long = vectors.where(F.col(class_col).isNotNull()).select(class_col, F.posexplode(vec_col).alias("bucket", "x"))
+    means = long.groupBy(class_col, "bucket").agg(F.avg("x").alias("c")).groupBy(F.col(class_col).alias("nearest")).agg(F.array_sort(F.collect_list(F.struct("bucket", "c"))).alias("m"))
+    means = means.select("nearest", F.transform("m", lambda s: s["c"]).alias("c"))
+    gap = lambda x, c: F.coalesce((x - c) * (x - c), F.lit(0.0))
+    to = lambda c: F.aggregate(F.zip_with(vec_col, c, gap), F.lit(0.0), lambda a, d: a + d)
+    rows = vectors.where(F.size(vec_col) > 0)
+    if means.limit(MAX_CLASSES + 1).count() <= MAX_CLASSES:  # one broadcast row of all means, one row a vector
+        table = means.agg(F.collect_list(F.struct("nearest", "c")).alias("_means"))
+        near = F.array_min(F.transform("_means", lambda s: F.struct(to(s["c"]).alias("d"), s["nearest"].alias("nearest"))))
+        best = rows.join(F.broadcast(table), F.lit(True)).select(id_col, near.alias("m")).where("m is not null")
+    else:
+        best = rows.join(means, F.lit(True)).select(id_col, F.struct(to(F.col("c")).alias("d"), "nearest").alias("m")).groupBy(id_col).agg(F.min("m").alias("m"))
+    return best.select(id_col, F.col("m.nearest").alias("nearest"), F.round("m.d", 4).alias("distance"))
+
+
+def _dtw(a: np.ndarray, b: np.ndarray, band: int) -> np.ndarray:
+    """Banded dynamic time warping cost of each row of a to b; the recurrence runs over all rows at once."""
+    n, m = a.shape[1], len(b)
     band = max(band, abs(n - m))
-    prev = np.full(m + 1, np.inf)
+    prev = np.full((m + 1, len(a)), np.inf)
     prev[0] = 0.0
     for i in range(1, n + 1):
-        row = np.full(m + 1, np.inf)
-        lo, hi = max(1, i - band), min(m, i + band)
-        cost = np.abs(a[i - 1] - b[lo - 1 : hi])
-        up = np.minimum(prev[lo - 1 : hi], prev[lo : hi + 1])
-        left = np.inf
-        for j, c, u in zip(range(lo, hi + 1), cost, up):
-            left = c + min(u, left)
-            row[j] = left
+        row = np.full((m + 1, len(a)), np.inf)
+        for j in range(max(1, i - band), min(m, i + band) + 1):
+            row[j] = np.abs(a[:, i - 1] - b[j - 1]) + np.minimum(np.minimum(prev[j - 1], prev[j]), row[j - 1])
         prev = row
-    return float(prev[m])
+    return prev[m]
 
 
 def dtw_assign(shapes: DataFrame, templates: DataFrame, tau: float, band: int = 3, reject: str = "extra") -> DataFrame:
@@ -103,12 +106,17 @@ def dtw_assign(shapes: DataFrame, templates: DataFrame, tau: float, band: int =
 
     def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            out = []
-            for cid, vec in zip(pdf.curve_id, pdf.vec):
-                best = min(((_dtw(np.asarray(vec), v, band), c, t) for c, t, v in table), default=(np.inf, reject, False))
-                d, c, t = best
-                out.append((cid, c, t, round(d, 6)) if d <= tau else (cid, reject, False, round(d, 6)))
-            yield pd.DataFrame(out, columns=["curve_id", "class", "is_target", "distance"])
+            size = pdf.vec.map(len)
+            for n in sorted(size.unique()):  # curves of one length together
+                own = pdf[size == n]
+                a = np.array([np.asarray(v, float) for v in own.vec]).reshape(len(own), n)
+                cost = np.stack([_dtw(a, v, band) for _, _, v in table]) if table else np.full((1, len(own)), np.inf)
+                best = cost.argmin(0)  # classes are sorted: ties go to the first
+                low = cost.min(0)
+                near = (low <= tau) & bool(table)
+                yield pd.DataFrame({
+                    "curve_id": own.curve_id.to_numpy(), "class": [table[k][0] if ok else reject for k, ok in zip(best, near)],
+                    "is_target": [bool(table[k][1]) if ok else False for k, ok in zip(best, near)], "distance": np.round(low, 6)})
 
     packed = shapes.groupBy("curve_id").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("bucket", "value"))), lambda s: s["value"]).alias("vec"))

@@ -7,9 +7,11 @@ library's conventions.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from plumbline.storage import written
+
 #: Largest number of validation groups; group tables are collected and broadcast below it.
 MAX_GROUPS = 100_000
 
@@ -65,6 +67,7 @@ def class_metrics(pred: DataFrame, label_col: str = "label", prediction_col: str
 
 
 def class_recall(pred: DataFrame, label_col: str = "label", prediction_col: str = "prediction") -> DataFrame:
+    """Support and recall of every class that occurs as a label; rows without a prediction count as missed."""
     return class_metrics(pred, label_col, prediction_col).where("support > 0").select("class", "support", "recall")
 
 
@@ -78,30 +81,41 @@ def macro_f1(pred: DataFrame, label_col: str = "label", prediction_col: str = "p
     return m.agg(F.round(F.avg("f1"), 6).alias("macro_f1"), F.count("*").alias("n_classes"))
 
 
-def forest_grouped_cv(df: DataFrame, features: list[str], label_col: str, group_col: str, k: int = 5, trees: int = 10, depth: int = 4, seed: int = 7) -> DataFrame:
+def baseline_report(pred: DataFrame, group_col: str = "fold", label_col: str = "label", prediction_col: str = "prediction") -> DataFrame:
+    """Per class: support, recall, precision and F1 of the predictions, and recall of the majority class of the other groups."""
+    base = pred.join(logo_majority(pred, group_col, label_col), group_col)
+    own = class_metrics(pred, label_col, prediction_col).select("class", "support", "recall", "precision", F.round("f1", 6).alias("f1"))
+    return own.join(class_metrics(base, label_col, "majority").select("class", F.col("recall").alias("majority_recall")), "class", "left").na.fill(0.0, ["majority_recall"])
+
+
+def forest_grouped_cv(df: DataFrame, features: list[str], label_col: str, group_col: str, k: int = 5, trees: int = 10, depth: int = 4, seed: int = 7, balanced: bool = False) -> DataFrame:
     """Out-of-fold random-forest predictions: (row_id, fold, label, prediction). Each fold's model never sees its groups.
 
-    Label order is learned from all rows, trees only from the training folds.
-    Rows with a missing label, group or feature are left out.
+    Label order is learned from all rows, trees only from the training folds;
+    with `balanced`, a row weighs in inverse proportion to its class there.
+    Rows with a missing label, group or feature are left out. Features and
+    folds are computed once and written.
     """
     from pyspark.ml.classification import RandomForestClassifier
     from pyspark.ml.feature import IndexToString, StringIndexer, VectorAssembler
 
     rows = group_folds(df, group_col, k).where(F.col(label_col).isNotNull() & F.col("fold").isNotNull()).dropna(subset=features)
     indexer = StringIndexer(inputCol=label_col, outputCol="_y", stringOrderType="alphabetAsc").fit(rows)
-    data = VectorAssembler(inputCols=features, outputCol="_x").transform(indexer.transform(rows))
-    folds = sorted(r[0] for r in data.select("fold").distinct().limit(MAX_GROUPS).collect())
+    indexed = indexer.transform(rows)
+    data = written(VectorAssembler(inputCols=features, outputCol="_x").transform(indexed).select("row_id", "fold", label_col, "_x", "_y"), "folds")
+    folds = sorted(r[0] for r in data.select("fold").distinct().collect())  # a row a fold: a model is grown for each
     back = IndexToString(inputCol="_p", outputCol="prediction", labels=indexer.labels)
     out = None
     for f in folds:
         train, test = data.where(F.col("fold") != f), data.where(F.col("fold") == f)
         if train.isEmpty():
             continue
-        model = RandomForestClassifier(featuresCol="_x", labelCol="_y", predictionCol="_p", numTrees=trees, maxDepth=depth, seed=seed).fit(train)
+        forest = RandomForestClassifier(featuresCol="_x", labelCol="_y", predictionCol="_p", numTrees=trees, maxDepth=depth, seed=seed)
+        if balanced:
+            of = train.groupBy("_y").agg(F.count("*").alias("_c")).withColumn("_w", F.sum("_c").over(Window.partitionBy()) / (F.col("_c") * F.count("*").over(Window.partitionBy())))
+            train, forest = train.join(F.broadcast(of.select("_y", "_w")), "_y"), forest.setWeightCol("_w")  # a row a class
+        model = forest.fit(train)
         part = back.transform(model.transform(test)).select("row_id", "fold", F.col(label_col).alias("label"), "prediction")
         out = part if out is None else out.unionByName(part)
     return out if out is not None else data.select("row_id", "fold", F.col(label_col).alias("label"), F.lit(None).cast("string").alias("prediction")).limit(0)
 
-
-def empty_predictions(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([], "row_id bigint, fold int, label string, prediction string")

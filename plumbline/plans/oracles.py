@@ -85,6 +85,28 @@ m AS (SELECT f.fold, class, count(*) FILTER (WHERE label = class) AS support, co
 SELECT fold, round(avg(coalesce(2.0::DOUBLE * tp / nullif((support + predicted)::DOUBLE, 0), 0)), 6) AS macro_f1 FROM m GROUP BY fold""",
     "class_recall": f"""WITH {_PRED}, {_METRICS}
 SELECT class, support::BIGINT AS support, round(tp::DOUBLE / support::DOUBLE, 6) AS recall FROM m WHERE support > 0""",
+    "baseline_report": f"""WITH {_PRED}, {_METRICS},
+own AS (SELECT fold, label, count(*) AS n FROM p GROUP BY 1, 2), tot AS (SELECT label, sum(n) AS n FROM own GROUP BY 1), g AS (SELECT DISTINCT fold FROM p),
+r AS (SELECT g.fold, tot.label, tot.n - coalesce(own.n, 0) AS n_rest FROM g CROSS JOIN tot LEFT JOIN own ON own.fold = g.fold AND own.label = tot.label),
+maj AS (SELECT fold, label AS majority FROM (SELECT *, row_number() OVER (PARTITION BY fold ORDER BY n_rest DESC, label) AS k FROM r) WHERE k = 1),
+b AS (SELECT p.label AS class, count(*) FILTER (WHERE p.label = majority) AS tp FROM p JOIN maj ON p.fold = maj.fold GROUP BY 1)
+SELECT m.class, support::BIGINT AS support, round(coalesce(m.tp::DOUBLE / nullif(support, 0)::DOUBLE, 0), 6) AS recall, round(coalesce(m.tp::DOUBLE / nullif(predicted, 0)::DOUBLE, 0), 6) AS "precision",
+  round(coalesce(2.0::DOUBLE * m.tp / nullif((support + predicted)::DOUBLE, 0), 0), 6) AS f1,
+  round(coalesce(b.tp::DOUBLE / nullif(support, 0)::DOUBLE, 0), 6) AS majority_recall FROM m LEFT JOIN b ON m.class = b.class""",
+    "interval_join": """SELECT event_id, o_orderkey FROM events JOIN orders ON user_id = o_custkey AND ts >= o_orderdate AND ts < o_orderdate + INTERVAL 10 DAY""",
+    "with_match": "SELECT c_custkey, c_nationkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders)",
+    "without_match": "SELECT c_custkey, c_nationkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL)",
+    "roll_up": """SELECT c_mktsegment, c_nationkey, grouping(c_mktsegment, c_nationkey)::BIGINT AS level, count(*) AS n, round(sum(c_acctbal), 2) AS total
+FROM customer GROUP BY ROLLUP (c_mktsegment, c_nationkey)""",
+    "cube": "SELECT c_mktsegment, c_nationkey, grouping(c_mktsegment, c_nationkey)::BIGINT AS level, count(*) AS n FROM customer GROUP BY CUBE (c_mktsegment, c_nationkey)",
+    "pivot_counts": """SELECT c_nationkey, count(*) FILTER (WHERE c_mktsegment = 'AUTOMOBILE') AS "AUTOMOBILE", count(*) FILTER (WHERE c_mktsegment = 'BUILDING') AS "BUILDING",
+  count(*) FILTER (WHERE c_mktsegment = 'MACHINERY') AS "MACHINERY" FROM customer GROUP BY 1""",
+    "top_rows": """SELECT c_custkey, c_nationkey, c_acctbal, rank::INT AS rank FROM
+  (SELECT *, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC, c_custkey) AS rank FROM customer) WHERE rank <= 3""",
+    "documents_of_fields": "SELECT c_custkey, c_name, c_acctbal, c_nationkey, NULL::VARCHAR AS absent FROM customer",
+    "string_functions": """SELECT c_custkey, upper(c_name) AS up, length(c_name)::INT AS n, substr(c_name, 1, 4) AS head, regexp_replace(c_name, '[0-9]+', '#', 'g') AS masked, reverse(c_name) AS backward FROM customer""",
+    "set_operations": """WITH o AS (SELECT DISTINCT o_custkey::BIGINT AS id FROM orders), e AS (SELECT DISTINCT user_id::BIGINT AS id FROM events)
+SELECT id, 'both' AS side FROM o SEMI JOIN e USING (id) UNION ALL SELECT id, 'orders' FROM o ANTI JOIN e USING (id) UNION ALL SELECT id, 'events' FROM e ANTI JOIN o USING (id)""",
     "linear_shapley": """WITH s AS (SELECT avg(c_nationkey::DOUBLE) AS mx, avg(c_acctbal) AS my, regr_slope(c_acctbal, c_nationkey::DOUBLE) AS b FROM customer)
 SELECT c_custkey, round(b * (c_nationkey::DOUBLE - mx), 4) AS phi, round(my, 4) AS base, round(my + b * (c_nationkey::DOUBLE - mx), 4) AS prediction FROM customer, s""",
 }

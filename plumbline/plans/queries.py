@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from plumbline.operators import attribution, curves, factors, templates, validation
+from plumbline.operators import attribution, curves, factors, tables, templates, validation
 from plumbline.sources import event_curves, table
 
 #: Reject distance of the fixture templates, in squared scaled units.
@@ -76,6 +76,33 @@ def _tree_shapley(spark: SparkSession, sf_dir: str) -> DataFrame:
     return attribution.tree_shapley(rows, "curve_id", names, model, list(ix.labels))
 
 
+def _report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return validation.baseline_report(_predictions(spark, sf_dir))
+
+
+def _interval(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("user_id"), "o_orderkey", F.col("o_orderdate").cast("timestamp_ntz").alias("start")).withColumn("end", F.expr("start + interval 10 days"))
+    e = table(spark, sf_dir, "events").select("event_id", "user_id", F.col("ts").cast("timestamp_ntz").alias("ts"))
+    return tables.interval_join(e, o, "user_id", "ts", "start", "end").select("event_id", "o_orderkey")
+
+
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "customer")
+    return tables.from_document(tables.to_document(c, "c_custkey", ["c_name", "c_acctbal", "c_nationkey"]), "c_custkey", {"c_name": "string", "c_acctbal": "double", "c_nationkey": "int", "absent": "string"})
+
+
+def _names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = F.col("c_name")
+    return table(spark, sf_dir, "customer").select(
+        "c_custkey", F.upper(c).alias("up"), F.length(c).alias("n"), F.substring(c, 1, 4).alias("head"), F.regexp_replace(c, "[0-9]+", "#").alias("masked"), F.reverse(c).alias("backward"))
+
+
+def _set_operations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders").select(F.col("o_custkey").cast("bigint").alias("id"))
+    e = table(spark, sf_dir, "events").select(F.col("user_id").cast("bigint").alias("id"))
+    return o.intersect(e).withColumn("side", F.lit("both")).unionByName(o.subtract(e).withColumn("side", F.lit("orders"))).unionByName(e.subtract(o).withColumn("side", F.lit("events")))
+
+
 def _shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return templates.shape_vectors(event_curves(spark, sf_dir))
 
@@ -107,6 +134,18 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "macro_f1_by_fold": lambda s, d: validation.macro_f1(_predictions(s, d), per_fold="fold"),
     "class_recall": lambda s, d: validation.class_recall(_predictions(s, d)),
     "linear_shapley": lambda s, d: attribution.linear_shapley(table(s, d, "customer").select("c_custkey", "c_nationkey", "c_acctbal"), "c_custkey", "c_nationkey", "c_acctbal"),
+    "baseline_report": _report,
+    "interval_join": _interval,
+    "with_match": lambda s, d: tables.with_match(table(s, d, "customer").select("c_custkey", "c_nationkey"), table(s, d, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey"),
+    "without_match": lambda s, d: tables.without_match(table(s, d, "customer").select("c_custkey", "c_nationkey"), table(s, d, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey"),
+    "roll_up": lambda s, d: tables.roll_up(table(s, d, "customer"), ["c_mktsegment", "c_nationkey"], [F.count("*").alias("n"), F.round(F.sum("c_acctbal"), 2).alias("total")]),
+    "cube": lambda s, d: tables.roll_up(table(s, d, "customer"), ["c_mktsegment", "c_nationkey"], [F.count("*").alias("n")], "cube"),
+    "pivot_counts": lambda s, d: tables.pivot_counts(table(s, d, "customer"), "c_nationkey", "c_mktsegment", ["AUTOMOBILE", "BUILDING", "MACHINERY"]),
+    "top_rows": lambda s, d: tables.top_rows(table(s, d, "customer").select("c_custkey", "c_nationkey", "c_acctbal"), "c_nationkey", [F.desc("c_acctbal"), F.asc("c_custkey")], 3),
+    "documents_of_fields": _documents,
+    "string_functions": _names,
+    "set_operations": _set_operations,
+    "approx_distinct": lambda s, d: tables.approx_distinct(table(s, d, "events"), "event_type", "user_id"),
     "forest_grouped_cv": _forest,
     "tree_shapley": _tree_shapley,
 }

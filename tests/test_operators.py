@@ -54,7 +54,7 @@ def test_dtw_matches_plain_recursion():
     rng = np.random.default_rng(0)
     for _ in range(20):
         a, b = list(rng.normal(size=5)), list(rng.normal(size=4))
-        assert abs(templates._dtw(np.array(a), np.array(b), 9) - plain(a, b)) < 1e-9
+        assert abs(templates._dtw(np.array([a, a[::-1]]), np.array(b), 9)[0] - plain(a, b)) < 1e-9
 
 
 def test_tiers_equal_ntile(spark):
@@ -138,3 +138,45 @@ def test_stream_equals_batch_on_closed_windows(spark, sf, tmp_path):
     last = got.agg(F.max("end")).first()[0]
     assert batch.where(F.col("end") <= last).exceptAll(got).count() == 0
     assert sessions(c.withColumn("ts", F.col("ts").cast("timestamp"))).agg(F.sum("n")).first()[0] == c.count()
+
+
+def test_interval_join_against_pairs(spark):
+    import datetime as dt
+    import random
+
+    from plumbline.operators.tables import interval_join
+
+    rng = random.Random(4)
+    day = lambda x: dt.datetime(2024, 1, 1) + dt.timedelta(hours=x)
+    points = [(i, rng.choice("ab"), day(rng.randrange(300))) for i in range(80)] + [(90, "a", None), (91, None, day(3))]
+    spans = [(i, rng.choice("ab"), day(s := rng.randrange(300)), day(s + rng.randrange(-3, 90))) for i in range(40)] + [(50, "a", None, day(9)), (51, "a", day(5), day(5)), (52, "a", day(24), day(48)), (52, "a", day(24), day(48))]
+    p = spark.createDataFrame(points, "p int, k string, at timestamp_ntz")
+    q = spark.createDataFrame(spans, "q int, k string, a timestamp_ntz, z timestamp_ntz")
+    got = sorted((r.p, r.q) for r in interval_join(p, q, "k", "at", "a", "z").collect())
+    assert got == sorted((x, y) for x, k, t in points for y, l, a, z in spans if t and a and k == l and a <= t < z)
+
+
+def test_strength_tier_ties_and_small_tables(spark):
+    for n in (0, 1, 2, 3, 7, 50):
+        rows = [(i, float(i % 3)) for i in range(n)] + [(1000, None)]
+        got = {r.id: r.tier for r in factors.strength_tier(spark.createDataFrame(rows, "id int, v double").repartition(5), "id", "v").collect()}
+        ranked = sorted(rows[:-1], key=lambda r: (r[1], r[0]))
+        sizes = [n // 3 + (i < n % 3) for i in range(3)]
+        want = [t for t, k in zip(factors.TIERS, sizes) for _ in range(k)]
+        assert [got[i] for i, _ in ranked] == want and got[1000] is None
+
+
+def test_balanced_forest_and_tables_of_odd_rows(spark):
+    from plumbline.operators import tables
+    from plumbline.operators.validation import baseline_report, forest_grouped_cv
+
+    rows = [(i, i % 4, "rare" if i % 9 == 0 else "common", float(i % 9 == 0) + i % 5 * 0.1) for i in range(120)] + [(200, None, "rare", 1.0), (201, 1, None, 1.0), (202, 1, "rare", None)]
+    df = spark.createDataFrame(rows, "row_id long, g int, label string, x double")
+    pred = forest_grouped_cv(df, ["x"], "label", "g", k=4, trees=5, depth=2, balanced=True)
+    report = {r["class"]: r for r in baseline_report(pred).collect()}
+    assert pred.count() == 120 and report["rare"].recall > 0.9 and report["rare"].majority_recall == 0 and report["common"].majority_recall == 1
+    empty = df.limit(0)
+    assert tables.pivot_counts(empty, "g", "label", ["rare"]).count() == 0 and tables.top_rows(empty, "g", [F.asc("x")], 2).count() == 0
+    assert {r.g: r.rare for r in tables.pivot_counts(df, "g", "label", ["rare"]).collect()}[None] == 1
+    assert tables.without_match(df, df.where("g = 1").select("g"), "g").where("g is null").count() == 1
+    assert [r["rank"] for r in tables.top_rows(df.where("g = 2"), "g", [F.desc("x"), F.asc("row_id")], 3).collect()] == [1, 2, 3]
