@@ -5,16 +5,13 @@ partition, group and bucket count from it, so that each task's data stays of
 the same size on any input.
 
 Storage. `stored` cuts lineage by writing Parquet into the folder named by
-spark.checkpoint.dir, which all executors share. Only where that is unset (as
-in tests) is a local temporary folder used.
+spark.checkpoint.dir, which all executors share. Only where that is unset and
+the master is local (as in tests) is a local temporary folder used.
 """
 
 from __future__ import annotations
 
-import atexit
 import math
-import shutil
-import tempfile
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -24,20 +21,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-U64 = np.uint64
-_LOCAL: list[str] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    given = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if given:
-        return given.rstrip("/")
-    if not _LOCAL:
-        _LOCAL.append(tempfile.mkdtemp(prefix="plumbline-"))
-        atexit.register(shutil.rmtree, _LOCAL[0], True)
-    return f"file://{_LOCAL[0]}"
-
+from plumbline.storage import shared_dir
 
+U64 = np.uint64
 _WRITTEN: list[str] = []
 
 

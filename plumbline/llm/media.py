@@ -12,6 +12,7 @@ them back through the same validator.
 
 from __future__ import annotations
 
+import bisect
 import functools
 import hashlib
 import struct
@@ -146,28 +147,52 @@ def _gzip(b: bytes, at: int) -> int | None:
     return None
 
 
-def _zip(b: bytes, at: int) -> int | None:
-    end = b.find(b"PK\x05\x06", at)
-    while end >= 0:
-        if end + 22 <= len(b):
-            size, start, note = struct.unpack_from("<IIH", b, end + 12)
-            if at + start + size == end and b[at + start : at + start + 4] == b"PK\x01\x02" and end + 22 + note <= len(b):
-                return end + 22 + note - at
-        end = b.find(b"PK\x05\x06", end + 1)
-    return None
+def _places(b: bytes, mark: bytes) -> list[int]:
+    out, at = [], b.find(mark)
+    while at >= 0:
+        out.append(at)
+        at = b.find(mark, at + 1)
+    return out
 
 
-def _pdf(b: bytes, at: int) -> int | None:
-    end = b.find(b"%%EOF", at)
-    while end >= 0:
-        s = b.rfind(b"startxref", at, end)
-        try:
-            ref = at + int(b[s + 9 : end].strip()) if s >= 0 else -1
-        except ValueError:
-            ref = -1
+class Ends:
+    """End marks of a value, collected once: each magic then looks at its own ones only."""
+
+    def __init__(self, b: bytes):
+        self.b = b
+
+    @functools.cached_property
+    def zips(self) -> dict[int, int]:
+        """Start of a zip file -> its end, by its first end record, which says how far back the file begins."""
+        b, out = self.b, {}
+        for end in _places(b, b"PK\x05\x06"):
+            if end + 22 <= len(b):
+                size, start, note = struct.unpack_from("<IIH", b, end + 12)
+                if end - size >= 0 and b[end - size : end - size + 4] == b"PK\x01\x02" and end + 22 + note <= len(b):
+                    out.setdefault(end - size - start, end + 22 + note)
+        return out
+
+    @functools.cached_property
+    def pdfs(self) -> tuple[list[int], list[int]]:
+        """Places of %PDF- and of %%EOF."""
+        return _places(self.b, b"%PDF-"), _places(self.b, b"%%EOF")
+
+
+def _zip(b: bytes, at: int, ends: Ends) -> int | None:
+    end = ends.zips.get(at)
+    return end - at if end else None
+
+
+def _pdf(b: bytes, at: int, ends: Ends) -> int | None:
+    """The first end whose cross-references are where it says, before the next header."""
+    heads, marks = ends.pdfs
+    k = bisect.bisect_right(heads, at)
+    for end in marks[bisect.bisect_left(marks, at) : bisect.bisect_left(marks, heads[k] if k < len(heads) else len(b))]:
+        s = b.rfind(b"startxref", max(at, end - 64), end)
+        digits = b[s + 9 : end].strip() if s >= 0 else b""
+        ref = at + int(digits) if digits.isdigit() else -1
         if at < ref < end and (b[ref : ref + 4] == b"xref" or b" obj" in b[ref : ref + 24]):
             return end + 5 - at
-        end = b.find(b"%%EOF", end + 1)
     return None
 
 
@@ -184,7 +209,7 @@ def _ogg(b: bytes, at: int) -> int | None:
 
 
 #: Magic bytes, media type, validator.
-SIGNATURES: tuple[tuple[bytes, str, Callable[[bytes, int], int | None]], ...] = (
+SIGNATURES: tuple[tuple[bytes, str, Callable[..., int | None]], ...] = (
     (b"RIFF", "audio/wav", _wav),
     (b"\x89PNG\r\n\x1a\n", "image/png", _png),
     (b"GIF87a", "image/gif", _gif),
@@ -209,14 +234,14 @@ def automaton() -> ahocorasick.Automaton:
 
 def sniff_bytes(b: bytes) -> tuple[str, int, int, list[tuple[str, int, int]]]:
     """Type and length of the file at offset 0 (UNKNOWN, 0: none), magic hits, and valid files elsewhere (outermost, in order)."""
-    detected, length, hits, carved, free = UNKNOWN, 0, 0, [], 1
+    detected, length, hits, carved, free, ends = UNKNOWN, 0, 0, [], 1, Ends(b)
     for end, (size, kind, check) in automaton().iter(b.decode("latin-1")):
         at = end + 1 - size
         hits += 1
         if at and at < free:
             continue
         try:
-            n = check(b, at)
+            n = check(b, at, ends) if check in (_zip, _pdf) else check(b, at)
         except (IndexError, struct.error, zlib.error):
             n = None
         if n:

@@ -72,3 +72,15 @@ def test_payload_comes_back(spark, sf):
     t = spark.read.parquet(f"{sf}/documents.parquet")
     assert rows_of(text_media(t)) == want([(r.doc_id, r.text) for r in t.collect()])
     assert text_media(t.limit(0)).count() == 0
+
+
+def test_many_magics_take_linear_time():
+    import time
+
+    from plumbline.llm.media import sniff_bytes
+
+    for part in (b"%PDF- ", b"%PDF- startxref 9 %%EOF ", b"PK\x03\x04PK\x05\x06" + b"\0" * 18, b"RIFF", b"BM", b"GIF89a", b"OggS\0"):
+        body = part * (1_000_000 // len(part)) + b"%%EOF " * 50_000
+        t = time.time()
+        sniff_bytes(body)
+        assert time.time() - t < 20, part
