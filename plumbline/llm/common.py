@@ -11,6 +11,8 @@ the master is local (as in tests) is a local temporary folder used.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import math
 import uuid
 from collections.abc import Iterator
@@ -113,6 +115,13 @@ def text_arrays(col: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray
     return d, o - o[0]
 
 
+def give_back() -> None:
+    """Hand freed memory back to the system: a Python worker stays for later tasks, beside the executor's JVM."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def slices(offsets: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
     """Row ranges of about `limit` bytes (one row at least)."""
     i, n = 0, len(offsets) - 1

@@ -7,13 +7,15 @@ back-off form in sorted arrays of hashed n-grams shared by all languages, with
 a column each: one lookup of the highest known order scores a character under
 every language.
 
-A text goes to the language of the lowest cross-entropy per character. It is
-rejected if that exceeds the language's limit for texts of its length.
+A text goes to the language of the lowest cross-entropy per character. Whether
+it is rejected depends on its distance: it is cut into parts of PART characters,
+each counts under the language that suits it best (so a text that mixes known
+languages is close), and their mean must not exceed the limit of the text's
+language for its length.
 
 Limits are calibrated by leaving each language out: all training texts are cut
-into windows of LENGTHS characters, each scored under its own language and
-under the best of the others, which is what it would get if its own were
-unknown. The limit of a language and length is where REFUSED times the share of
+into windows of LENGTHS characters, and the distance of each is taken with all
+languages and without its own, which is what it would get if that were unknown. The limit of a language and length is where REFUSED times the share of
 own windows beyond it plus the share of foreign windows within it is least (the
 middle, if a range is). Between lengths it is interpolated. Texts shorter than
 the first length are not rejected for their distance.
@@ -36,13 +38,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import mix, slices, stored, text_arrays, texts
+from plumbline.llm.common import give_back, mix, slices, stored, text_arrays, texts
 
 ORDER = 4
 #: Counts of one shard of the model, about: bounds what is broadcast at once, not what is kept.
 SHARD_GRAMS = 1_200_000
 #: Characters of calibration windows, nats a bin and bins of their histograms, windows a limit needs at least.
 LENGTHS, BIN, BINS, LEAST = (8, 32, 128, 512, 2048), 0.05, 320, 20
+#: Characters of a part.
+PART = 128
 #: Weight of a refused own window against an accepted foreign one; nats beyond all but a thousandth of the own windows, with no other language.
 REFUSED, ALONE = 10.0, 1.0
 #: Sharpness of the score.
@@ -231,13 +235,30 @@ class Model:
         return out
 
 
-def entropies(logs: np.ndarray, cut: np.ndarray) -> np.ndarray:
-    """Nats per character of each text under each language (0 where none), from the logs of its characters."""
+def sums(logs: np.ndarray) -> np.ndarray:
+    """Running sums of the nats of each character, one more row than logs."""
+    out = np.zeros((len(logs) + 1, logs.shape[1]))
+    np.cumsum(logs, axis=0, dtype=np.float64, out=out[1:])
+    return np.negative(out, out=out)
+
+
+def entropies(total: np.ndarray, cut: np.ndarray) -> np.ndarray:
+    """Nats per character of each text under each language (0 where none)."""
+    return (total[cut[1:]] - total[cut[:-1]]) / np.maximum(np.diff(cut), 1)[:, None]
+
+
+def distances(total: np.ndarray, cut: np.ndarray) -> np.ndarray:
+    """Mean nats per character of each text, every part under its best language; the last part takes the rest."""
     n = np.diff(cut)
-    out = np.zeros((len(n), logs.shape[1]))
-    some = np.flatnonzero(n > 0)
-    if len(some) and logs.shape[1]:
-        out[some] = np.add.reduceat(logs, cut[some], axis=0, dtype=np.float64) / -n[some, None]
+    k = np.where(n > 0, np.maximum(n // PART, 1), 0)
+    out = np.zeros(len(n))
+    if not total.shape[1] or not k.sum():
+        return out
+    text, last = np.repeat(np.arange(len(n)), k), np.cumsum(k) - 1
+    a = cut[text] + PART * (np.arange(len(text)) - np.repeat(np.cumsum(k) - k, k))
+    z = a + PART
+    z[last[k > 0]] = cut[1:][k > 0]
+    out[k > 0] = np.add.reduceat((total[z] - total[a]).min(1), (np.cumsum(k) - k)[k > 0]) / n[k > 0]
     return out
 
 
@@ -302,14 +323,13 @@ def sharded_logs(keys: np.ndarray, shards: int, langs: int, shard) -> np.ndarray
 
 # --- calibration
 
-def histograms(logs: np.ndarray, cut: np.ndarray, own: np.ndarray) -> np.ndarray:
+def histograms(total: np.ndarray, cut: np.ndarray, own: np.ndarray) -> np.ndarray:
     """Counts [length, side, language, bin] of the windows of texts whose language is own (-1: left out).
 
-    Side 0: nats per character under the own language. Side 1: under the best other one, counted for that one.
+    Side 0: distance with all languages, counted for the own one. Side 1: without it, counted for the best other one.
     """
-    langs = logs.shape[1]
+    langs = total.shape[1]
     out = np.zeros((len(LENGTHS), 2, langs, BINS), np.int64)
-    total = np.concatenate([np.zeros((1, langs)), -np.cumsum(logs, axis=0, dtype=np.float64)])
     n = np.diff(cut)
     for x, size in enumerate(LENGTHS):
         k = np.where(own >= 0, n // size, 0)
@@ -317,13 +337,15 @@ def histograms(logs: np.ndarray, cut: np.ndarray, own: np.ndarray) -> np.ndarray
             continue
         text = np.repeat(np.arange(len(n)), k)
         start = cut[text] + size * (np.arange(len(text)) - np.repeat(np.cumsum(k) - k, k))
-        h = (total[start + size] - total[start]) / size
-        mine, row = own[text], np.arange(len(text))
+        each = min(size, PART)
+        part = (start[:, None] + each * np.arange(size // each + 1)).ravel()
+        h = np.diff(total[part].reshape(len(start), -1, langs), axis=1) / each
+        mine = own[text]
         for side in range(2 if langs > 1 else 1):
-            best = mine if side == 0 else h.argmin(1)
-            at = np.minimum(h[row, best] / BIN, BINS - 1).astype(np.int64)
+            at = np.minimum(h.min(2).mean(1) / BIN, BINS - 1).astype(np.int64)
+            best = mine if side == 0 else h.mean(1).argmin(1)
             out[x, side] = np.bincount(best * BINS + at, minlength=langs * BINS).reshape(langs, BINS)
-            h[row, mine] = np.inf
+            h[np.arange(len(h)), :, mine] = np.inf
     return out
 
 
@@ -368,8 +390,8 @@ def identify(docs: DataFrame, train: Column | None = None) -> DataFrame:
     null or have no letter get `und`, score 0, and are rejected; so is every
     text if there is nothing to learn from. score is the share of the best
     language in a softmax of cross-entropies. rejected also holds for texts
-    whose cross-entropy is beyond the best language's limit; lang_pred
-    stays the best guess for them.
+    whose distance is beyond the best language's limit; lang_pred stays the
+    best guess for them.
     """
     spark = docs.sparkSession
     src = texts(docs, F.col("lang").cast("string").alias("lang"), F.coalesce(train if train is not None else F.lit(True), F.lit(False)).alias("train"))
@@ -394,7 +416,7 @@ def identify(docs: DataFrame, train: Column | None = None) -> DataFrame:
 
         held = np.zeros((len(LENGTHS), 2, len(langs), BINS), np.int64)
         index = {x: k for k, x in enumerate(langs)}
-        room = max(1 << 18, (1 << (20 if len(shared) == 1 else 22)) * 4 // max(4, len(langs)))
+        room = (1 << (18 if len(shared) == 1 else 22)) * 4 // max(4, len(langs))
         for b in it:
             _, off = text_arrays(b.column(1))
             for i, j in slices(off, room):
@@ -402,18 +424,20 @@ def identify(docs: DataFrame, train: Column | None = None) -> DataFrame:
                 learn = b.column(3).slice(i, j - i).to_pylist()
                 keys, cut = grams(body)
                 n = np.diff(cut)
-                logs = sharded_logs(keys, len(shared), len(langs), shard)
-                h = entropies(logs, cut)
+                total = sums(sharded_logs(keys, len(shared), len(langs), shard))
+                h = entropies(total, cut)
                 if langs:
                     best = h.argmin(1)
                     low = h[np.arange(len(h)), best]
                     score = 1 / np.exp(-SHARP * (h - low[:, None])).sum(1)
                     own = np.array([index.get(x, -1) if t else -1 for x, t in zip(b.column(2).slice(i, j - i).to_pylist(), learn)], np.int64)
-                    held += histograms(logs, cut, own)
+                    held += histograms(total, cut, own)
+                    low = distances(total, cut)
                 else:
                     best, low, score, n = np.zeros(len(n), int), np.zeros(len(n)), np.zeros(len(n)), n * 0
                 yield rows(j - i, md5=[hashlib.md5(t.encode(), usedforsecurity=False).digest() for t in body], doc_id=b.column(0).slice(i, j - i).to_pylist(), train=learn, n=n,
                            lang_pred=[langs[k] if c else UND for k, c in zip(best, n)], score=np.where(n > 0, score, 0.0), h=low)
+        give_back()
         length, side, lang, at = np.nonzero(held)
         if len(at):
             yield rows(len(at), lang=[langs[x] for x in lang], length=length, side=side, bin=at, k=held[length, side, lang, at])

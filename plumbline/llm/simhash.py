@@ -48,7 +48,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm import matching as M
-from plumbline.llm.common import Layout, mix, slices, stored, text_arrays, texts
+from plumbline.llm.common import Layout, give_back, mix, slices, stored, text_arrays, texts
 from plumbline.llm.components import components, forest
 
 SEED = 42
@@ -94,7 +94,7 @@ def majority(h: np.ndarray, cut: np.ndarray) -> np.ndarray:
     return out
 
 
-def _hash_lists(data: np.ndarray, offsets: np.ndarray, size: int, limit: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def _hash_lists(data: np.ndarray, offsets: np.ndarray, size: int, limit: int = 1 << 18) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     raw = data.tobytes()
     for i, j in slices(offsets, limit):
         lists = [shingle_hashes(raw[offsets[k] : offsets[k + 1]], size) for k in range(i, j)]
@@ -163,6 +163,7 @@ def shared_sets(docs: DataFrame, shingle: int = 5, min_sim: float = 0.8) -> Data
 
     def send(key: tuple, t: pa.Table) -> pa.Table:
         _, sets = _distinct_sets(t.column("text"), shingle)
+        give_back()
         return M.pack(key[0].as_py(), M.keys32(np.concatenate([np.zeros(0, np.uint64), *sets.values()]), nb))
 
     def pick(key: tuple, t: pa.Table, answers: pa.Table) -> pa.Table:
@@ -175,12 +176,14 @@ def shared_sets(docs: DataFrame, shingle: int = 5, min_sim: float = 0.8) -> Data
         first: dict[bytes, int] = {}
         for i, k in zip(ids, keys):
             first[k] = min(i, first.get(k, i))
+        del found, often, again, elsewhere
         body, given = [], set()
         for i, k in zip(ids, keys):
             ok = k in live and i == first[k] and k not in given
             body.append(sets[k].tobytes() if ok else None)
             if ok:
                 given.add(k)
+        give_back()
         return pa.table([t.column("doc_id").cast(pa.int64()), pa.array(keys, pa.binary()), pa.array([len(sets[k]) for k in keys], pa.int64()), pa.array(body, pa.binary())], names=["doc_id", "key", "n", "hashes"])
 
     shared = M.shared_values(keyed.groupBy("bid").applyInArrow(send, M.SENT_DDL), lay.partitions)

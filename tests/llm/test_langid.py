@@ -68,7 +68,7 @@ def test_model_matches_textbook():
     m = langid.Model({k: counts_of(v) for k, v in texts.items()})
     probe = ["abc zé q", "dd", "é", "unseen words here", texts["x"][0]]
     keys, cut = langid.grams(probe)
-    n, h = np.diff(cut), langid.entropies(m.logs(keys), cut)
+    n, h = np.diff(cut), langid.entropies(langid.sums(m.logs(keys)), cut)
     for col, lang in enumerate(m.langs):
         plain = Plain(texts[lang])
         for k, t in enumerate(probe):
@@ -134,21 +134,27 @@ def test_shards_score_as_the_whole_model_and_keep_all_counts(spark, sf, monkeypa
     assert got == {r.doc_id: r.lang_pred for r in identify(df).collect()}
 
 
-def test_histograms_count_every_window():
+def test_histograms_and_distances_of_every_window():
     rng = np.random.default_rng(0)
     cut = np.array([0, 100, 100, 3000, 3007])
     logs = -rng.random((3007, 3)).astype(np.float32) * 9
     own = np.array([1, 0, 2, 0])
-    got = langid.histograms(logs, cut, own)
+    total = langid.sums(logs)
+    got = langid.histograms(total, cut, own)
+    parts = lambda a, z: [-logs[x : min(x + 128, z)].astype(float).mean(0) for x in range(a, z, 128)]
     for x, size in enumerate(langid.LENGTHS):
         want = np.zeros((2, 3, langid.BINS), int)
         for i, o in enumerate(own):
             for a in range(cut[i], cut[i + 1] - size + 1, size):
-                h = -logs[a : a + size].astype(float).mean(0)
-                want[0, o, int(h[o] / langid.BIN)] += 1
-                h[o] = np.inf
-                want[1, h.argmin(), int(h.min() / langid.BIN)] += 1
+                h = np.array(parts(a, a + size))
+                want[0, o, int(h.min(1).mean() / langid.BIN)] += 1
+                h[:, o] = np.inf
+                want[1, h.mean(0).argmin(), int(h.min(1).mean() / langid.BIN)] += 1
         assert abs(got[x] - want).sum() <= 4  # sums in another order may cross an edge of a bin
+    d = langid.distances(total, cut)
+    assert d[1] == 0 and abs(d[0] + logs[:100].mean(0).max()) < 1e-5 and abs(d[3] + logs[3000:].mean(0).max()) < 1e-5
+    edges = [*range(100, 100 + 22 * 128, 128), 3000]
+    assert abs(d[2] - sum(-logs[a:z].sum(0).max() for a, z in zip(edges[:-1], edges[1:])) / 2900) < 1e-4
 
 
 def test_limit_separates():
@@ -175,3 +181,8 @@ def test_unknown_languages_and_junk_are_rejected(spark):
         print(left_out, sum(unknown) / len(unknown), len(unknown), sum(known) / len(known), len(known))
         assert sum(unknown) / len(unknown) > 0.95 and sum(known) / len(known) < 0.01
         assert all(got[i].rejected for i, _, _ in junk)
+    long = {x: " ".join(t for lang, t in text.values() if lang == x and len(t) > 800)[:900] for x in ("en", "de", "fr", "es")}
+    mixed = [(2 * 10**6 + k, f"{long[a]} {long[b]}", None) for k, (a, b) in enumerate((a, b) for a in long for b in long if a != b)]
+    both = df.select("doc_id", "text", "lang").unionByName(spark.createDataFrame(mixed, "doc_id long, text string, lang string"))
+    rejected = {r.doc_id for r in identify(both).collect() if r.rejected}
+    assert not rejected & {i for i, _, _ in mixed} and len(rejected) <= 2  # texts in several known languages stay
