@@ -177,9 +177,10 @@ def _key(text: str) -> Column:
 
 def held_terms(said: DataFrame, terms: DataFrame) -> DataFrame:
     """(md5, m, entity, term) of each text of said and each of the terms (entity, term) whose entity and term it holds."""
-    asked = said.select("md5", "m", F.explode("entities").alias("entity")).join(terms, "entity")
+    asked = said.select("md5", "m", F.explode("entities").alias("entity")).join(terms.select("entity").distinct(), "entity", "left_semi")
     held = said.select("md5", F.explode("words").alias("term")).join(terms.select("term").distinct(), "term", "left_semi")
-    return asked.join(held, ["md5", "term"])
+    # by text, so that rows are bounded by what each text holds, not by the terms of an entity times its texts
+    return asked.join(held, "md5").join(terms, ["entity", "term"], "left_semi").select("md5", "m", "entity", "term")
 
 
 def disclosing_terms(docs: DataFrame, said: DataFrame) -> DataFrame:
@@ -188,7 +189,13 @@ def disclosing_terms(docs: DataFrame, said: DataFrame) -> DataFrame:
     spans = said.select(F.explode("near").alias("s")).select("s.words", F.xxhash64("s.words").alias("context"), F.explode("s.entities").alias("entity"))
     contexts = spans.select("entity", "context", F.explode("words").alias("term")).distinct().groupBy("entity", "term").agg(F.count("*").alias("contexts"))
     n_e = said.select("m", F.explode("entities").alias("entity")).groupBy("entity").agg(F.sum("m").alias("n_e"))
-    seen = stored(contexts.where(F.col("contexts") >= SUPPORT).select("entity", "term"), "supported")
+    num = lambda c: F.col(c).cast("double")
+    bits = F.log(F.lit(float(n)) / num("n_e"))
+    # n_te is n_e at most, and n_t at least the texts with a base span that hold t: terms too common to disclose e go now
+    n_in = said.select("m", F.explode("words").alias("term")).groupBy("term").agg(F.sum("m").alias("n_in"))
+    can = (F.col("n_e") < n) & (F.log(F.least(F.lit(1.0), num("n_e") / num("n_in"))) + bits >= F.lit(DISCLOSURE) * bits - 1e-9)
+    seen = contexts.where(F.col("contexts") >= SUPPORT).join(n_e, "entity").join(n_in, "term")
+    seen = stored(seen.where(can).select("entity", "term"), "supported")
     n_te = held_terms(said, seen).groupBy("entity", "term").agg(F.sum("m").alias("n_te"))
     cand = stored(n_te.join(n_e, "entity"), "candidates")
     terms = stored(cand.select("term").distinct(), "terms")
@@ -196,10 +203,8 @@ def disclosing_terms(docs: DataFrame, said: DataFrame) -> DataFrame:
     if terms.count() <= FEW:  # else all words are counted, combined before the shuffle, and joined then
         each = each.join(F.broadcast(terms), "term", "left_semi")
     n_t = each.groupBy("term").agg(F.count("*").alias("n_t")).join(terms, "term")
-    num = lambda c: F.col(c).cast("double")
     pmi = F.log(F.lit(float(n)) * num("n_te") / (num("n_t") * num("n_e")))
-    share = pmi / F.log(F.lit(float(n)) / num("n_e"))
-    return cand.join(n_t, "term").where(F.col("n_e") < n).select("entity", "term", share.alias("disclosure")).where(F.col("disclosure") >= DISCLOSURE)
+    return cand.join(n_t, "term").where(F.col("n_e") < n).select("entity", "term", (pmi / bits).alias("disclosure")).where(F.col("disclosure") >= DISCLOSURE)
 
 
 def find_spans(docs: DataFrame) -> DataFrame:
