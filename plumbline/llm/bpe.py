@@ -32,7 +32,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import Layout, slices, text_arrays, texts
+from plumbline.llm.common import Layout, give_back, slices, text_arrays, texts
 
 BATCH_BYTES = 4 << 20
 PACK, UNPACK = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
@@ -116,6 +116,7 @@ def _batches(it: Iterator[pa.RecordBatch], pattern: str, buckets: int) -> Iterat
         for i, j in slices(off, BATCH_BYTES):
             ids = b.column(0).slice(i, j - i)
             yield ids, Batch(ids, data[off[i] : off[j]], off[i : j + 1] - off[i], pat, buckets)
+            give_back()
 
 
 def by_bucket(bucket: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
@@ -158,6 +159,8 @@ def bpe_round_trip(docs: DataFrame, path: str, pattern: str, keep: bool = True)
                 size.append(len(x))
                 ids += x
             out.append(planes(np.array([len(size), *size, *ids], np.uint32)))
+        del ids_of
+        give_back()
         return pa.table([t.column("name"), pa.array([key[0].as_py()] * t.num_rows, pa.int32()), pa.array(out, pa.binary())], names=["name", "bucket", "answer"])
 
     def assemble(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -193,6 +196,7 @@ def bpe_round_trip(docs: DataFrame, path: str, pattern: str, keep: bool = True)
                     for c, v in zip(cols, (int(ids[d]) if known[d] else None, len(mine), hashlib.sha256(mine.astype("<u4").tobytes()).hexdigest(),
                                            hashlib.sha256(body).hexdigest(), mine.astype(np.int32) if keep else None, body.decode("utf-8", "replace") if keep else None)):
                         c.append(v)
+        give_back()
         types = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.int32()), pa.string())
         return pa.table([pa.array(c, t) for c, t in zip(cols, types)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded"])
 
