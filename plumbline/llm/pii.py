@@ -52,8 +52,8 @@ PATTERNS = {
 NEEDS = {"email": "@", "phone": "+"}
 OCTET = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 SPAN = "array<struct<start:int,kind:int,end:int,value:string>>"
-#: Spans of a block; terms that a table of them is broadcast for.
-BLOCK, FEW = 256, 10_000
+#: Spans of a block.
+BLOCK = 256
 
 
 def _luhn(digits: Column) -> Column:
@@ -200,8 +200,6 @@ def disclosing_terms(docs: DataFrame, said: DataFrame) -> DataFrame:
     cand = stored(n_te.join(n_e, "entity"), "candidates")
     terms = stored(cand.select("term").distinct(), "terms")
     each = docs.select(F.explode(F.array_distinct(_words(F.col("text")))).alias("term"))
-    if terms.count() <= FEW:  # else all words are counted, combined before the shuffle, and joined then
-        each = each.join(F.broadcast(terms), "term", "left_semi")
     n_t = each.groupBy("term").agg(F.count("*").alias("n_t")).join(terms, "term")
     pmi = F.log(F.lit(float(n)) * num("n_te") / (num("n_t") * num("n_e")))
     return cand.join(n_t, "term").where(F.col("n_e") < n).select("entity", "term", (pmi / bits).alias("disclosure")).where(F.col("disclosure") >= DISCLOSURE)
