@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import stored
+from plumbline.llm.common import give_back, stored
 
 
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -42,6 +42,7 @@ def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:  # a batch at a time: memory stays bounded
         u, v = forest(b.column(0).to_numpy(), b.column(1).to_numpy())
         yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
+        give_back()
 
 
 #: Edges that one task may hold whole.
@@ -52,6 +53,8 @@ def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     t = pa.Table.from_batches(list(batches), pa.schema([("u", pa.int64()), ("v", pa.int64())]))
     u, v = forest(t.column("u").to_numpy(), t.column("v").to_numpy())
     yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
+    del t
+    give_back()
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:

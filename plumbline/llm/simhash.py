@@ -111,6 +111,8 @@ def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
             fp = [majority(h, cut) for _, _, h, cut in _hash_lists(data, off, shingle)]
             fp = np.concatenate(fp) if fp else np.zeros(0, np.uint64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
+            del data
+            give_back()
 
     return texts(docs).mapInArrow(run, "doc_id bigint, fp bigint")
 
@@ -270,10 +272,14 @@ def _compare_tiles(reps: DataFrame, n: int, reach: int, match) -> DataFrame:
             first, k = known.value.get(c, (0, 0))
             for x in range(first, first + k):  # a row at a time: one copy of the tile is held
                 yield pa.RecordBatch.from_arrays([*[pa.array([v], pa.int32()) for v in (min(me, x), max(me, x), int(x < me))], *body], ["a", "b", "side", "nodes", "items"])
+        del t, body
+        give_back()
 
     def compare(key: tuple, t: pa.Table) -> pa.Table:
         rows = sorted(zip(t.column("side").to_pylist(), t.column("nodes").to_pylist(), t.column("items").to_pylist()))
         u, v, left, right = _compare_sides(rows[0][1:], rows[-1][1:], match)
+        del rows
+        give_back()
         a, b = key[0].as_py(), key[1].as_py()
         sides = [(left, 0)] + ([(right, 1)] if a != b else [])
         m, k = len(u), sum(len(x) for x, _ in sides)
@@ -295,7 +301,7 @@ def _compare_sides(left: tuple[bytes, bytes], right: tuple[bytes, bytes], match)
     x, y = (np.frombuffer(r[1], np.uint8).reshape(-1, size) for r in (left, right))
     u, v = np.zeros(0, np.int64), np.zeros(0, np.int64)
     open_a, open_b = np.zeros(len(a), bool), np.zeros(len(b), bool)
-    step = max(1, (1 << 20) // max(len(b), 1))
+    step = max(1, (1 << 18) // max(len(b), 1))  # all of them may link
     for i in range(0, len(a), step):
         (p, q), (op, oq) = match(x[i : i + step], y)
         if len(p):
