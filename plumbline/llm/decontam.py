@@ -18,7 +18,7 @@ from collections.abc import Iterator
 
 import ahocorasick
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm.common import slices, stored, text_arrays, texts
@@ -81,7 +81,7 @@ def best_distance(pattern: str, text: str, stop: int = -1) -> int:
 class Matcher:
     """Finds items within their budgets in a text."""
 
-    def __init__(self, items: list[tuple[int, str]], rate: float = RATE):
+    def __init__(self, items: list[tuple[int | bytes, str]], rate: float = RATE):
         self.items = [(i, t, budget(len(t), rate)) for i, t in items if t]
         where: dict[str, list[tuple[int, int]]] = {}
         for n, (_, t, k) in enumerate(self.items):
@@ -94,8 +94,8 @@ class Matcher:
             self.auto.make_automaton()
         self.empty = not where
 
-    def find(self, text: str) -> list[tuple[int, int]]:
-        """(item_id, distance) of every item found, once each."""
+    def find(self, text: str) -> list[tuple[int | bytes, int]]:
+        """(item, distance) of every item found, once each."""
         if self.empty:
             return []
         starts: dict[int, set[int]] = {}
@@ -121,15 +121,15 @@ class Matcher:
         return [(self.items[n][0], d) for n, d in sorted(found.items())]
 
 
-def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
-    """Items in blocks of BLOCK_CHARS, streamed; equal texts keep their smallest id."""
-    rows = benchmark.where("text is not null").groupBy("text").agg(F.min(F.col("item_id").cast("bigint")).alias("item_id")).orderBy("item_id", "text").toLocalIterator()
+def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[bytes, str]]]:
+    """Distinct texts of items and their MD5, in blocks of BLOCK_CHARS, streamed; texts that differ in case or white space alone are distinct."""
+    rows = benchmark.where("text is not null").select("text").distinct().select(_md5("text").alias("md5"), "text").orderBy("md5").toLocalIterator()
     held, size = [], 0
     for r in rows:
         t = clean(r["text"])
         if not t:
             continue
-        held.append((r["item_id"] if r["item_id"] is not None else -1, t))
+        held.append((bytes(r["md5"]), t))
         size += len(t)
         if size >= BLOCK_CHARS:
             yield held
@@ -138,14 +138,12 @@ def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
         yield held
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> DataFrame:
-    """(doc_id, md5, item_id, distance) of each document row and item found in it.
+def _md5(text: str) -> Column:
+    return F.unhex(F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")))
 
-    Takes doc_id and text of docs, item_id and text of benchmark; null and
-    blank texts match nothing. Items shorter than 2 * LEAST characters, or
-    with a budget below one edit, must occur unaltered. Items with equal texts
-    are one, under the smallest id; an item without an id is -1.
-    """
+
+def hits(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> DataFrame:
+    """(doc_id, md5, item, distance) of each document row and distinct item text found in it; md5 and item are MD5s of the two texts."""
     src = texts(docs)
     spark, out = docs.sparkSession, None
     for block in _blocks(benchmark):
@@ -160,18 +158,31 @@ def matches(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> DataFr
                 for i, j in slices(off, 2 << 20):
                     ids, rows = b.column(0).slice(i, j - i).to_pylist(), []
                     for d, t in zip(ids, b.column(1).slice(i, j - i).to_pylist()):
-                        if t and (hits := m.find(clean(t))):
+                        if t and (found := m.find(clean(t))):
                             key = hashlib.md5(t.encode(), usedforsecurity=False).digest()
-                            rows += [(d, key, n, dist) for n, dist in hits]
+                            rows += [(d, key, n, dist) for n, dist in found]
                     if rows:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.binary(), pa.int64(), pa.int32()))], ["doc_id", "md5", "item_id", "distance"])
+                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.binary(), pa.binary(), pa.int32()))], ["doc_id", "md5", "item", "distance"])
 
-        part = src.mapInArrow(run, MATCH_DDL)
+        part = src.mapInArrow(run, HIT_DDL)
         out = part if out is None else out.unionByName(part)
-    return out if out is not None else spark.createDataFrame([], MATCH_DDL)
+    return out if out is not None else spark.createDataFrame([], HIT_DDL)
+
 
+HIT_DDL = "doc_id bigint, md5 binary, item binary, distance int"
 
-MATCH_DDL = "doc_id bigint, md5 binary, item_id bigint, distance int"
+
+def matches(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> DataFrame:
+    """(doc_id, md5, item_id, distance) of each document row and item found in it.
+
+    Takes doc_id and text of docs, item_id and text of benchmark; null and
+    blank texts match nothing. Items shorter than 2 * LEAST characters, or
+    with a budget below one edit, must occur unaltered. Each text is searched
+    once; every item that has it gets its rows, an item without an id as -1.
+    Items equal in id and text are one; rows of docs that repeat keep a row each.
+    """
+    known = benchmark.where("text is not null").select(_md5("text").alias("item"), F.coalesce(F.col("item_id").cast("bigint"), F.lit(-1).cast("bigint")).alias("item_id")).distinct()
+    return hits(docs, benchmark, rate).join(known, "item").select("doc_id", "md5", "item_id", "distance")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> DataFrame:
@@ -180,6 +191,5 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) ->
     Rows are told apart by their text; the join moves texts only if the texts
     to drop are too many to broadcast (Spark checks the size).
     """
-    gone = stored(matches(docs, benchmark, rate).select("md5").distinct(), "leaks")
-    key = F.unhex(F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary")))
-    return docs.join(gone, key == gone["md5"], "left_anti")
+    gone = stored(hits(docs, benchmark, rate).select("md5").distinct(), "leaks")
+    return docs.join(gone, _md5("text") == gone["md5"], "left_anti")

@@ -1,9 +1,11 @@
+import functools
 import random
 
 import pytest
 
 from plumbline.llm import decontam
 from plumbline.llm.decontam import Matcher, best_distance, budget, clean, decontaminate, matches, pieces
+from plumbline.llm.queries import QUERIES
 
 
 def plain_distance(p, t):
@@ -65,11 +67,35 @@ def test_rows_blocks_and_odd_values(spark, monkeypatch):
     assert decontaminate(df, bench.limit(0)).count() == len(docs) and decontaminate(df.limit(0), bench).count() == 0
 
 
-def test_table(spark, sf):
-    df, b = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "benchmark"))
-    items = {}
-    for r in sorted(b.collect(), key=lambda r: r.item_id):
-        items.setdefault(r.text, r.item_id)
-    want = {(r.doc_id, i) for r in df.collect() for t, i in items.items() if clean(t) in clean(r.text)}
-    got = matches(df, b).collect()
-    assert want and want == {(r.doc_id, r.item_id) for r in got if r.distance == 0} and want <= {(r.doc_id, r.item_id) for r in got}
+def test_items_with_one_text_each_get_their_rows(spark):
+    text = "the quick brown fox jumps over the lazy dog again"
+    bench = spark.createDataFrame([(7, text), (3, text), (3, text), (None, text), (3, "another item of the benchmark, not found anywhere")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, f"x {text} y"), (2, "nothing"), (1, f"x {text} y")], "doc_id long, text string")
+    assert sorted((r.doc_id, r.item_id, r.distance) for r in matches(docs, bench).collect()) == [(1, i, 0) for i in (-1, -1, 3, 3, 7, 7)]
+
+
+def test_very_long_text(spark):
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randrange(2, 8)))
+    item = " ".join(word() for _ in range(40))
+    long = " ".join(word() for _ in range(200_000))
+    docs = spark.createDataFrame([(1, long[:400_000] + " " + edit(rng, item, budget(len(item))) + " " + long[400_000:]), (2, long)], "doc_id long, text string")
+    assert [r.doc_id for r in matches(docs, spark.createDataFrame([(5, item)], "item_id long, text string")).collect()] == [1]
+
+
+def test_whole_table_against_brute_force(spark, sf, tmp_path):
+    """op2's rows are all pairs of a document and an item within its budget, by Myers' distance over whole texts without pieces.
+
+    The benchmark is the table's, with every second item edited about as often as is allowed.
+    """
+    rng = random.Random(11)
+    docs, bench = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "benchmark"))
+    rows = [(r.item_id, edit(rng, r.text, max(0, budget(len(clean(r.text))) - rng.randrange(-2, 3))) if r.item_id % 2 else r.text) for r in bench.collect()]
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(rows, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    items = [(i, clean(t)) for i, t in rows if clean(t)]
+    distance = functools.lru_cache(maxsize=None)(best_distance)
+    want = {(r.doc_id, i, d) for r in docs.collect() for i, t in items if (d := 0 if t in clean(r.text) else distance(t, clean(r.text))) <= budget(len(t))}
+    got = [tuple(r) for r in QUERIES["op2_decontamination"](spark, str(tmp_path)).select("doc_id", "item_id", "distance").collect()]
+    assert set(got) == want and len(got) == len(want)
+    assert any(d for _, _, d in want) and any(not d for _, _, d in want)
