@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from plumbline.storage import written
 
 TIERS = ("weak", "medium", "strong")
+#: Most folds that get cut points of their own; counts and cut points of each go through the driver.
+MAX_FOLDS = 1_000
 
 
 def strength_tier(df: DataFrame, id_col: str, value_col: str, cuts: tuple[float, float] | None = None) -> DataFrame:
@@ -39,6 +42,45 @@ def strength_tier(df: DataFrame, id_col: str, value_col: str, cuts: tuple[float,
     return df.select(id_col, value_col, tier.alias("tier"))
 
 
+def strength_tier_by_fold(df: DataFrame, id_col: str, value_col: str, fold_col: str) -> DataFrame:
+    """Weak, medium or strong by thirds of the rows of all other folds, so that no fold takes part in its own cut points.
+
+    A cut point is the value of the first row of a third over (value, id), as
+    in strength_tier; a value equal to it belongs above. Rows are dealt by
+    ranges once and counted by range and fold; only the ranges that hold a cut
+    point are sorted. A null value or fold has no tier, nor has a fold beside
+    which there is no row. Raises an error for more than MAX_FOLDS folds.
+    """
+    x, fold = F.col(value_col), F.col(fold_col)
+    rows = written(df.where(x.isNotNull() & fold.isNotNull()).select(x.alias("v"), F.col(id_col).alias("i"), fold.alias("f")).repartitionByRange("v", "i").withColumn("part", F.spark_partition_id()), "ranges")
+    folds = [r["f"] for r in rows.select("f").distinct().limit(MAX_FOLDS + 1).collect()]
+    if len(folds) > MAX_FOLDS:
+        raise ValueError(f"more than {MAX_FOLDS} folds; merge groups with group_folds(k=...)")
+    sizes: dict = {}
+    for r in rows.groupBy("part", "f").count().toLocalIterator():  # a row a range and fold
+        sizes.setdefault(r["part"], {})[r["f"]] = r["count"]
+    asked = []
+    for f in folds:
+        others = [(part, sum(sizes[part].values()) - sizes[part].get(f, 0)) for part in sorted(sizes)]
+        n = sum(k for _, k in others)
+        for edge, rank in enumerate((n // 3 + (n % 3 > 0), 2 * (n // 3) + n % 3)):
+            before = 0
+            for part, k in others:
+                if before <= rank < before + k:
+                    asked.append((f, edge, part, rank - before + 1))
+                before += k
+    spark = df.sparkSession
+    table = spark.createDataFrame(asked, T.StructType([T.StructField("_f", df.schema[fold_col].dataType), *[T.StructField(c, T.IntegerType()) for c in ("edge", "part", "k")]]))
+    near = rows.join(F.broadcast(table), "part").where(F.col("f") != F.col("_f"))
+    found = near.withColumn("at", F.row_number().over(Window.partitionBy("_f", "edge").orderBy("v", "i"))).where("at = k")
+    cuts = {(r["_f"], r["edge"]): r["v"] for r in found.select("_f", "edge", "v").collect()}
+    known = spark.createDataFrame([(f, cuts.get((f, 0)), cuts.get((f, 1))) for f in folds if len(folds) > 1],
+                                  T.StructType([T.StructField("_f", df.schema[fold_col].dataType), T.StructField("_lo", df.schema[value_col].dataType), T.StructField("_hi", df.schema[value_col].dataType)]))
+    below = lambda c: F.col(c).isNull() | (x < F.col(c))
+    tier = F.when(x.isNull() | F.col("_f").isNull(), None).when(below("_lo"), TIERS[0]).when(below("_hi"), TIERS[1]).otherwise(TIERS[2])
+    return df.select(id_col, value_col, fold_col).join(F.broadcast(known), fold == F.col("_f"), "left").select(id_col, value_col, fold_col, tier.alias("tier"))
+
+
 def factor_join(curves: DataFrame, factors: DataFrame, left_key: str, right_key: str) -> DataFrame:
     """Every curve row with its factors; nulls where a factor row is missing (Spark picks the join by size)."""
     return curves.join(factors, curves[left_key] == factors[right_key], "left").drop(factors[right_key])

@@ -60,6 +60,27 @@ def template_assign(shapes: DataFrame, templates: DataFrame, tau: float, reject:
     )
 
 
+def template_assign_by_fold(shapes: DataFrame, labels: DataFrame, tau: float | None = None, reject: str = "extra") -> DataFrame:
+    """Nearest class mean of each labelled shape, where the means are those of the other folds only.
+
+    labels: curve_id, class, fold, one row a curve. The mean of a class is
+    taken bucket by bucket; distance and ties are as in template_assign. A
+    shape farther than tau, or without any class in other folds, gets
+    `reject`. Rows without a class or fold learn nothing; those without a fold
+    are left out. Sums are reduced to one row a class, bucket and fold before folds meet.
+    """
+    own = shapes.join(labels.select("curve_id", F.col("class").alias("_class"), "fold").where("fold is not null"), "curve_id")
+    sums = own.where("_class is not null").groupBy("_class", "bucket", F.col("fold").alias("_from")).agg(F.sum("value").alias("_s"), F.count("value").alias("_n"))
+    folds = own.select("fold").distinct()
+    means = folds.join(sums, F.col("fold") != F.col("_from")).groupBy("fold", "bucket", F.col("_class").alias("nearest")).agg(F.try_divide(F.sum("_s"), F.sum("_n")).alias("_m"))
+    gap = F.col("value") - F.col("_m")
+    d = own.join(means, ["fold", "bucket"]).groupBy("curve_id", "nearest").agg(F.avg(gap * gap).alias("d"))
+    best = d.where("d is not null").groupBy("curve_id").agg(F.min(F.struct("d", "nearest")).alias("m"))
+    far = F.col("m").isNull() if tau is None else F.col("m").isNull() | (F.col("m.d") > F.lit(float(tau)))
+    return own.select("curve_id", "fold").distinct().join(best, "curve_id", "left").select(
+        "curve_id", "fold", F.when(far, F.lit(reject)).otherwise(F.col("m.nearest")).alias("class"), F.round("m.d", 6).alias("distance"))
+
+
 def nearest_centroid(vectors: DataFrame, id_col: str, vec_col: str, class_col: str) -> DataFrame:
     """Nearest class mean of each dense vector; the class means are learned from the labelled rows.
 

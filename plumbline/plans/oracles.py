@@ -18,6 +18,12 @@ _METRICS = """k AS (SELECT label AS class FROM p UNION SELECT prediction FROM p)
 m AS (SELECT class, (SELECT count(*) FROM p WHERE label = class) AS support,
         (SELECT count(*) FROM p WHERE prediction = class) AS predicted,
         (SELECT count(*) FROM p WHERE label = class AND prediction = class) AS tp FROM k)"""
+_SHAPES = """s AS (SELECT curve_id, bucket, CASE WHEN max(value) OVER w > min(value) OVER w
+        THEN (value - min(value) OVER w) / (max(value) OVER w - min(value) OVER w) ELSE 0.0 END AS value
+      FROM r WINDOW w AS (PARTITION BY curve_id))"""
+_FOLDS = """y AS (SELECT user_id AS curve_id, round(avg(value), 6) AS mean_value FROM events GROUP BY 1),
+l AS (SELECT curve_id, mean_value, c_mktsegment AS class, ((dense_rank() OVER (ORDER BY c_nationkey) - 1) % 5)::INT AS fold FROM y JOIN customer ON curve_id = c_custkey),
+f AS (SELECT DISTINCT fold FROM l)"""
 
 ORACLES: dict[str, str] = {
     "curve_features": f"""WITH {_CURVES},
@@ -43,10 +49,7 @@ SELECT curve_id, day, last_value(value IGNORE NULLS) OVER (PARTITION BY curve_id
 g AS (SELECT *, CASE WHEN us - lag(us) OVER (PARTITION BY curve_id ORDER BY ts) > 43200000000 THEN 1 ELSE 0 END AS new FROM c),
 s AS (SELECT *, sum(new) OVER (PARTITION BY curve_id ORDER BY ts RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)::BIGINT AS session FROM g)
 SELECT curve_id, session, count(*) AS n, min(ts) AS first_ts, max(ts) AS last_ts FROM s GROUP BY 1, 2""",
-    "template_assign": f"""WITH {_RESAMPLE},
-s AS (SELECT curve_id, bucket, CASE WHEN max(value) OVER w > min(value) OVER w
-        THEN (value - min(value) OVER w) / (max(value) OVER w - min(value) OVER w) ELSE 0.0 END AS value
-      FROM r WINDOW w AS (PARTITION BY curve_id)),
+    "template_assign": f"""WITH {_RESAMPLE}, {_SHAPES},
 t AS (SELECT 'rise' AS class, i::INT AS bucket, i / 15.0::DOUBLE AS value, true AS is_target FROM range(16) q(i)
   UNION ALL SELECT 'fall', i::INT, 1.0::DOUBLE - i / 15.0::DOUBLE, true FROM range(16) q(i)
   UNION ALL SELECT 'level', i::INT, 0.5::DOUBLE, false FROM range(16) q(i)),
@@ -62,6 +65,15 @@ SELECT vec_id, nearest, round(d, 4) AS distance FROM m WHERE k = 1""",
     "strength_tier": """WITH m AS (SELECT user_id AS curve_id, round(avg(value), 6) AS mean_value FROM events GROUP BY 1),
 t AS (SELECT *, ntile(3) OVER (ORDER BY mean_value, curve_id) AS k FROM m)
 SELECT curve_id, mean_value, CASE k WHEN 1 THEN 'weak' WHEN 2 THEN 'medium' ELSE 'strong' END AS tier FROM t""",
+    "strength_tier_by_fold": f"""WITH {_FOLDS},
+t AS (SELECT f.fold, mean_value, ntile(3) OVER (PARTITION BY f.fold ORDER BY mean_value, curve_id) AS k FROM f JOIN l ON f.fold <> l.fold),
+c AS (SELECT fold, min(mean_value) FILTER (WHERE k = 2) AS lo, min(mean_value) FILTER (WHERE k = 3) AS hi FROM t GROUP BY 1)
+SELECT curve_id, mean_value, l.fold, CASE WHEN mean_value < lo THEN 'weak' WHEN mean_value < hi THEN 'medium' ELSE 'strong' END AS tier FROM l JOIN c ON l.fold = c.fold""",
+    "template_assign_by_fold": f"""WITH {_RESAMPLE}, {_SHAPES}, {_FOLDS},
+m AS (SELECT f.fold, class, bucket, avg(value) AS v FROM f JOIN l ON f.fold <> l.fold JOIN s ON s.curve_id = l.curve_id GROUP BY 1, 2, 3),
+d AS (SELECT l.curve_id, l.fold, m.class, avg((s.value - v) * (s.value - v)) AS d FROM l JOIN s ON s.curve_id = l.curve_id JOIN m ON m.fold = l.fold AND m.bucket = s.bucket GROUP BY 1, 2, 3),
+k AS (SELECT *, row_number() OVER (PARTITION BY curve_id ORDER BY d, class) AS k FROM d)
+SELECT curve_id, fold, CASE WHEN d > {2 * TAU} THEN 'extra' ELSE class END AS class, round(d, 6) AS distance FROM k WHERE k = 1""",
     "factor_join": """WITH m AS (SELECT user_id AS curve_id, round(avg(value), 6) AS mean_value FROM events GROUP BY 1)
 SELECT curve_id, mean_value, c_nationkey, c_acctbal, c_mktsegment FROM m LEFT JOIN customer ON curve_id = c_custkey""",
     "factor_coverage": """SELECT lang, count(*) AS n, count(quality) AS n_quality, count(toxic) AS n_toxic

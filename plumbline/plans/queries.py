@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from plumbline.operators import attribution, curves, factors, tables, templates, validation
 from plumbline.sources import event_curves, table
+from plumbline.storage import written
 
 #: Reject distance of the fixture templates, in squared scaled units.
 TAU = 0.18
@@ -107,6 +108,17 @@ def _shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return templates.shape_vectors(event_curves(spark, sf_dir))
 
 
+def _folds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """curve_id, mean_value, class and one of five folds of nations of each curve of a customer."""
+    c = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", F.col("c_mktsegment").alias("class"))
+    rows = _means(spark, sf_dir).join(c, F.col("curve_id") == F.col("c_custkey"))
+    return validation.group_folds(rows, "c_nationkey", 5).select("curve_id", "mean_value", "class", "fold")
+
+
+def _forest_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return validation.baseline_report(written(_forest(spark, sf_dir), "predictions"))
+
+
 def _of_curves(f: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     return lambda s, d: f(event_curves(s, d))
 
@@ -124,6 +136,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "nearest_centroid": lambda s, d: templates.nearest_centroid(table(s, d, "embeddings"), "vec_id", "embedding", "label"),
     "dtw_assign": lambda s, d: templates.dtw_assign(_shapes(s, d), _templates(s), 4.0),
     "strength_tier": lambda s, d: factors.strength_tier(_means(s, d), "curve_id", "mean_value"),
+    "strength_tier_by_fold": lambda s, d: factors.strength_tier_by_fold(_folds(s, d).drop("class"), "curve_id", "mean_value", "fold"),
+    "template_assign_by_fold": lambda s, d: templates.template_assign_by_fold(_shapes(s, d), _folds(s, d), 2 * TAU),
     "factor_join": _factor_rows,
     "factor_coverage": _coverage,
     "asof_factor": _asof,
@@ -147,5 +161,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "set_operations": _set_operations,
     "approx_distinct": lambda s, d: tables.approx_distinct(table(s, d, "events"), "event_type", "user_id"),
     "forest_grouped_cv": _forest,
+    "forest_report": _forest_report,
     "tree_shapley": _tree_shapley,
 }

@@ -180,3 +180,39 @@ def test_balanced_forest_and_tables_of_odd_rows(spark):
     assert {r.g: r.rare for r in tables.pivot_counts(df, "g", "label", ["rare"]).collect()}[None] == 1
     assert tables.without_match(df, df.where("g = 1").select("g"), "g").where("g is null").count() == 1
     assert [r["rank"] for r in tables.top_rows(df.where("g = 2"), "g", [F.desc("x"), F.asc("row_id")], 3).collect()] == [1, 2, 3]
+
+
+def test_tiers_of_a_fold_are_cut_by_the_others(spark):
+    rows = [(i, float(i % 7), i % 3) for i in range(60)] + [(100, None, 0), (101, 2.0, None)]
+    df = spark.createDataFrame(rows, "id long, x double, part int")  # a column named as one of the operator's own
+    got = {r.id: r.tier for r in factors.strength_tier_by_fold(df, "id", "x", "part").collect()}
+    for i, x, f in rows:
+        others = sorted((v, k) for k, v, g in rows if g is not None and v is not None and g != f)
+        n = len(others)
+        lo, hi = (others[k][0] for k in (n // 3 + (n % 3 > 0), 2 * (n // 3) + n % 3))
+        assert got[i] == (None if x is None or f is None else "weak" if x < lo else "medium" if x < hi else "strong")
+    alone = spark.createDataFrame([(1, 1.0, 4), (2, 2.0, 4)], "id long, x double, fold int")
+    assert [r.tier for r in factors.strength_tier_by_fold(alone, "id", "x", "fold").collect()] == [None, None]
+    assert factors.strength_tier_by_fold(alone.limit(0), "id", "x", "fold").count() == 0
+
+
+def test_templates_of_a_fold_come_from_the_others(spark):
+    shapes = spark.createDataFrame([(i, b, v) for i, vs in enumerate([(0.0, 1.0), (0.0, 0.9), (1.0, 0.0), (0.9, 0.0), (0.5, None), (1.0, 0.1)]) for b, v in enumerate(vs)], "curve_id long, bucket int, value double")
+    labels = spark.createDataFrame([(0, "rise", 0), (1, "rise", 1), (2, "fall", 0), (3, "fall", 1), (4, None, 1), (5, "fall", None)], "curve_id long, class string, fold int")
+    got = {r.curve_id: (r["class"], r.distance) for r in templates.template_assign_by_fold(shapes, labels).collect()}
+    assert got == {0: ("rise", 0.005), 1: ("rise", 0.005), 2: ("fall", 0.005), 3: ("fall", 0.005), 4: ("fall", 0.25)}  # 4: both are as near, the first wins
+    strict = {r.curve_id: r["class"] for r in templates.template_assign_by_fold(shapes, labels, 0.1).collect()}
+    assert strict[4] == "extra" and strict[0] == "rise"
+    only = labels.where("fold = 0")
+    assert {r["class"] for r in templates.template_assign_by_fold(shapes, only).collect()} == {"extra"}
+
+
+def test_forest_report_compares_with_the_majority(spark, sf):
+    from plumbline.plans.queries import QUERIES
+
+    pred = QUERIES["forest_grouped_cv"](spark, sf).collect()
+    out = {r["class"]: r for r in QUERIES["forest_report"](spark, sf).collect()}
+    assert set(out) == {r.label for r in pred} | {r.prediction for r in pred}
+    for c, r in out.items():
+        mine = [p for p in pred if p.label == c]
+        assert r.support == len(mine) and r.recall == round(sum(p.prediction == c for p in mine) / max(1, len(mine)), 6)
