@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -97,17 +99,21 @@ def asof_factor(left: DataFrame, right: DataFrame, key: str, ts: str, value: str
 
     Union, sort within the key and carry the last right value forward: one
     shuffle and linear work, where an inequality join is quadratic in the
-    rows of a key. Left rows keep their own columns; unmatched ones get null.
+    rows of a key. Left rows keep their own columns, whatever their names, but
+    for one called asof_<value>, which is replaced; unmatched ones get null, and
+    so do rows with a null time, unless right has such rows with the key.
     """
+    left = left.drop(f"asof_{value}")
     cols = left.columns
-    lhs = left.select(*cols, F.lit(1).alias("_side"), F.lit(None).cast(right.schema[value].dataType).alias("_v"))
+    side, held = (next(n for k in itertools.count() if (n := f"_{name}{k}") not in cols) for name in ("side", "v"))
+    lhs = left.select(*cols, F.lit(1).alias(side), F.lit(None).cast(right.schema[value].dataType).alias(held))
     rhs = right.select(
         *[(F.col(c) if c in (key, ts) else F.lit(None).cast(left.schema[c].dataType).alias(c)) for c in cols],
-        F.lit(0).alias("_side"), F.col(value).alias("_v"))
-    w = Window.partitionBy(key).orderBy(ts, "_side").rowsBetween(Window.unboundedPreceding, 0)
+        F.lit(0).alias(side), F.col(value).alias(held))
+    w = Window.partitionBy(key).orderBy(ts, side).rowsBetween(Window.unboundedPreceding, 0)
     return (
         lhs.unionByName(rhs)
-        .withColumn("asof", F.last_value("_v", True).over(w))
-        .where("_side = 1")
-        .select(*cols, F.col("asof").alias(f"asof_{value}"))
+        .select(*cols, side, F.last_value(held, True).over(w).alias(f"asof_{value}"))
+        .where(F.col(side) == 1)
+        .drop(side)
     )

@@ -19,8 +19,13 @@ MAX_GROUPS = 100_000
 def group_folds(df: DataFrame, group_col: str, k: int | None = None) -> DataFrame:
     """A fold for every row such that no group is on both sides: dense rank of the group, modulo k (default: one fold a group).
 
-    Ranks are given to the distinct groups, so no window gathers all rows.
+    Ranks are given to the distinct groups, so no window gathers all rows. A
+    column `fold` of df is replaced; the group must not be called so. Rows with
+    a null group have a null fold.
     """
+    if group_col == "fold":
+        raise ValueError("the group column must not be called fold")
+    df = df.drop("fold")
     w = Window.orderBy(group_col)
     groups = df.select(group_col).where(F.col(group_col).isNotNull()).distinct()
     ranked = groups.withColumn("fold", (F.dense_rank().over(w) - 1).cast("int"))

@@ -216,3 +216,15 @@ def test_forest_report_compares_with_the_majority(spark, sf):
     for c, r in out.items():
         mine = [p for p in pred if p.label == c]
         assert r.support == len(mine) and r.recall == round(sum(p.prediction == c for p in mine) / max(1, len(mine)), 6)
+
+
+def test_clashing_names_of_folds_and_asof(spark):
+    df = spark.createDataFrame([(1, "a", 9), (2, "b", 9), (3, None, 9)], "id long, g string, fold int")
+    assert sorted((r.id, r.fold) for r in validation.group_folds(df, "g").collect()) == [(1, 0), (2, 1), (3, None)]
+    with pytest.raises(ValueError, match="fold"):
+        validation.group_folds(df, "fold")
+    left = spark.createDataFrame([(1, 5, "x", "y", "z", 0.0), (1, None, "x", None, "z", 0.0), (2, 5, None, "y", "z", 0.0)], "k long, t long, _side0 string, _v0 string, asof string, asof_p double")
+    right = spark.createDataFrame([(1, 3, 0.5), (1, 5, 0.7), (1, 6, 0.9)], "k long, t long, p double")
+    out = factors.asof_factor(left, right, "k", "t", "p")
+    assert out.columns == ["k", "t", "_side0", "_v0", "asof", "asof_p"]
+    assert {(r.k, r.t, r["_side0"], r["_v0"], r.asof): r.asof_p for r in out.collect()} == {(1, 5, "x", "y", "z"): 0.7, (1, None, "x", None, "z"): None, (2, 5, None, "y", "z"): None}
