@@ -92,4 +92,23 @@ SELECT doc_id, {" ".join(f"coalesce(n_{n}, 0)::BIGINT AS n_{n}," for n in [*_KIN
   sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN g ON d.r = g.r
 """
 
-ORACLES: dict[str, str] = {"op1_substring_dedup": _OP1, "op6_suffix_dedup": _OP6, "op10_pii": _OP10}
+_OP12 = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+t AS (SELECT r, lang, source, unnest(w) AS term FROM d),
+kept AS (SELECT lang, term FROM t GROUP BY 1, 2 HAVING count(DISTINCT r) >= 30),
+g AS (SELECT DISTINCT lang, source FROM d),
+c AS (SELECT lang, source, term, count(*) AS c FROM t SEMI JOIN kept USING (lang, term) GROUP BY 1, 2, 3),
+grid AS (SELECT g.lang, g.source, kept.term, coalesce(c, 0)::HUGEINT AS c FROM g JOIN kept USING (lang) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = kept.term),
+p AS (SELECT lang, source, term, c, 1 + (1000000000 * (c + 5)) // (sum(c) OVER w + 5 * count(*) OVER w)::HUGEINT AS p FROM grid WINDOW w AS (PARTITION BY lang, source)),
+whole AS (SELECT lang, term, sum(c)::HUGEINT AS c FROM grid GROUP BY 1, 2),
+q AS (SELECT lang, term, 1 + (1000000000 * (c + 5)) // (sum(c) OVER w + 5 * count(*) OVER w)::HUGEINT AS q FROM whole WINDOW w AS (PARTITION BY lang)),
+diff AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY 1, 2, 3),
+pair AS (SELECT g.lang, g.source, h.source AS item, coalesce(value, 0)::BIGINT AS value FROM g JOIN g h ON g.lang = h.lang AND g.source <> h.source LEFT JOIN diff ON diff.lang = g.lang AND diff.source = g.source AND diff.item = h.source),
+term AS (SELECT p.lang, p.source, p.term AS item, (p - q)::BIGINT AS value FROM p JOIN q ON p.lang = q.lang AND p.term = q.term WHERE c > 0 AND p > q),
+r AS (SELECT lang, source, 'pair' AS part, item, value FROM pair UNION ALL SELECT lang, source, 'term', item, value FROM term)
+SELECT lang, source, part, item, value, k::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS k FROM r) WHERE part = 'pair' OR k <= 50
+"""
+
+ORACLES: dict[str, str] = {"op1_substring_dedup": _OP1, "op6_suffix_dedup": _OP6, "op10_pii": _OP10, "op12_source_divergence": _OP12}

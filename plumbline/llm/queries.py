@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -84,6 +85,42 @@ def _op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *n[:4], F.sha2(pii.written("base"), 256).alias("base_sha256"), pii.written("spans").alias("spans"), n[4])
 
 
+def _op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from plumbline.llm.jaccard import jaccard_components
+
+    return jaccard_components(common.documents(spark, sf_dir))
+
+
+def _op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from plumbline.llm.divergence import source_divergence
+
+    return source_divergence(common.documents(spark, sf_dir))
+
+
+def repeat_words(doc_id: int | None, words: list[bytes]) -> list[bytes]:
+    """The rewriting that the query of op13 is defined with: every tenth document gets a period by its id; no id, no change."""
+    h = zlib.crc32(str(doc_id).encode())
+    n, g = len(words), h // 10
+    if doc_id is None or h % 10 or not n:
+        return words
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return words[:a] + [words[a + (i - a) % p] for i in range(a, n)]
+
+
+def _op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from plumbline.llm.periodic import periodic_runs
+
+    out = periodic_runs(common.documents(spark, sf_dir), rewrite=repeat_words, keep_text=False)
+    size = lambda x, y: x["length"] * y["period"]
+    before = lambda x, y: (size(x, y) > size(y, x)) | ((size(x, y) == size(y, x)) & ((x["start"] < y["start"]) | ((x["start"] == y["start"]) & (x["period"] < y["period"]))))
+    best = F.get(F.array_sort("runs", lambda x, y: F.when(before(x, y), -1).when(before(y, x), 1).otherwise(0)), F.lit(0))
+    line = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    return out.withColumn("best", best).select(
+        "doc_id", F.size("runs").cast("bigint").alias("n_runs"), "best.start", "best.length", "best.period", F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(F.array_join(line, ""), 256).alias("runs_sha256"), "collapsed_sha256")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": _op1,
     "op2_decontamination": _op2,
@@ -95,4 +132,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_byte_bpe": _op8,
     "op9_media_columns": _op9,
     "op10_pii": _op10,
+    "op11_jaccard_join": _op11,
+    "op12_source_divergence": _op12,
+    "op13_periodic_runs": _op13,
 }
