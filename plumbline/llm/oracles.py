@@ -92,6 +92,18 @@ SELECT doc_id, {" ".join(f"coalesce(n_{n}, 0)::BIGINT AS n_{n}," for n in [*_KIN
   sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN g ON d.r = g.r
 """
 
+_OP11 = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 3], ' ') AS x FROM (SELECT doc_id, w, unnest(generate_series(1, greatest(len(w) - 3, 1))) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+pair AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS k FROM s a JOIN s b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY 1, 2),
+link AS (SELECT u, v FROM pair JOIN n a ON a.doc_id = u JOIN n b ON b.doc_id = v WHERE 100 * k >= 85 * (a.n + b.n - k)),
+edge AS (SELECT u, v FROM link UNION ALL SELECT v, u FROM link),
+reach AS (SELECT doc_id, doc_id AS r FROM d UNION SELECT edge.v, reach.r FROM reach JOIN edge ON edge.u = reach.doc_id)
+SELECT d.doc_id, coalesce(any_value(n.n), 0)::BIGINT AS n_shingles, min(r)::BIGINT AS component_id FROM d LEFT JOIN n ON n.doc_id = d.doc_id JOIN reach ON reach.doc_id = d.doc_id GROUP BY d.doc_id
+"""
+
 _OP12 = r"""
 WITH d AS (
   SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
@@ -111,4 +123,4 @@ r AS (SELECT lang, source, 'pair' AS part, item, value FROM pair UNION ALL SELEC
 SELECT lang, source, part, item, value, k::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS k FROM r) WHERE part = 'pair' OR k <= 50
 """
 
-ORACLES: dict[str, str] = {"op1_substring_dedup": _OP1, "op6_suffix_dedup": _OP6, "op10_pii": _OP10, "op12_source_divergence": _OP12}
+ORACLES: dict[str, str] = {"op1_substring_dedup": _OP1, "op6_suffix_dedup": _OP6, "op10_pii": _OP10, "op11_jaccard_join": _OP11, "op12_source_divergence": _OP12}
