@@ -50,7 +50,7 @@ def strength_tier_by_fold(df: DataFrame, id_col: str, value_col: str, fold_col:
     A cut point is the value of the first row of a third over (value, id), as
     in strength_tier; a value equal to it belongs above. Rows are dealt by
     ranges once and counted by range and fold; only the ranges that hold a cut
-    point are sorted. A null value or fold has no tier, nor has a fold beside
+    point are sorted, once for all folds. A null value or fold has no tier, nor has a fold beside
     which there is no row. Raises an error for more than MAX_FOLDS folds.
     """
     x, fold = F.col(value_col), F.col(fold_col)
@@ -73,8 +73,13 @@ def strength_tier_by_fold(df: DataFrame, id_col: str, value_col: str, fold_col:
                 before += k
     spark = df.sparkSession
     table = spark.createDataFrame(asked, T.StructType([T.StructField("_f", df.schema[fold_col].dataType), *[T.StructField(c, T.IntegerType()) for c in ("edge", "part", "k")]]))
-    near = rows.join(F.broadcast(table), "part").where(F.col("f") != F.col("_f"))
-    found = near.withColumn("at", F.row_number().over(Window.partitionBy("_f", "edge").orderBy("v", "i"))).where("at = k")
+    # ranked once in its range: of its first k + j rows, j are the fold's own where j of these have less than k others before them
+    near = written(rows.join(F.broadcast(table.select("part").distinct()), "part", "left_semi").withColumn("_all", F.row_number().over(Window.partitionBy("part").orderBy("v", "i"))).withColumn(
+        "_own", F.row_number().over(Window.partitionBy("part", "f").orderBy("v", "i"))), "ranked")
+    own = near.select("part", F.col("f").alias("_f"), (F.col("_all") - F.col("_own")).alias("_others"))
+    place = F.broadcast(table).join(own, ["part", "_f"], "right").where("k is not null").groupBy("_f", "edge", "part", "k").agg(F.count(F.when(F.col("_others") < F.col("k"), 1)).alias("_j"))
+    where = table.join(place, ["_f", "edge", "part", "k"], "left").select("_f", "edge", "part", (F.col("k") + F.coalesce("_j", F.lit(0))).cast("int").alias("_all"))
+    found = near.join(F.broadcast(where), ["part", "_all"])
     cuts = {(r["_f"], r["edge"]): r["v"] for r in found.select("_f", "edge", "v").collect()}
     known = spark.createDataFrame([(f, cuts.get((f, 0)), cuts.get((f, 1))) for f in folds if len(folds) > 1],
                                   T.StructType([T.StructField("_f", df.schema[fold_col].dataType), T.StructField("_lo", df.schema[value_col].dataType), T.StructField("_hi", df.schema[value_col].dataType)]))

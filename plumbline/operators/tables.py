@@ -6,18 +6,53 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def interval_join(points: DataFrame, spans: DataFrame, key: str, at: str, start: str, end: str, width: str = "day") -> DataFrame:
-    """Points with every span of their key that holds them: start <= at < end.
-
-    Spans are laid over calendar cells (`width`), so the join is on key and
-    cell; a point is in one cell, so no pair comes twice. Nulls match nothing;
-    a span that ends before it starts holds nothing. spans must not share
-    column names with points except the key.
+#: Levels of the dyadic tree over cells; the highest nodes hold all others.
+LEVELS = 62
+#: Microseconds of a cell.
+WIDTHS = {"minute": 60_000_000, "hour": 3_600_000_000, "day": 86_400_000_000}
+
+
+def range_join(points: DataFrame, spans: DataFrame, key: str, at: str, start: str, end: str, width: int = 1) -> DataFrame:
+    """Points with every span of their key that holds them: start <= at < end, all whole numbers.
+
+    Numbers fall into cells of `width`, the leaves of a dyadic tree. A span is
+    cut into the fewest tree nodes that cover its cells, at most two a level,
+    so a span of any length makes a logarithmic number of rows; a point is
+    joined by its ancestors on the levels that some span uses (counted first,
+    LEVELS at most). A span covers a point by one node, so no pair comes twice.
+    A long span meets many points only where it holds them, but for its two
+    outer cells. Nulls match nothing; a span that ends before it starts holds
+    nothing. spans must not share column names with points except the key.
     """
-    cell = lambda c: F.date_trunc(width, c)
-    last = F.greatest(cell(F.col(start)), cell(F.col(end)))
-    covered = spans.where(F.col(start) < F.col(end)).withColumn("_cell", F.explode(F.sequence(cell(F.col(start)), last, F.expr(f"interval 1 {width}"))))
-    return points.withColumn("_cell", cell(F.col(at))).join(covered, [key, "_cell"]).where((F.col(at) >= F.col(start)) & (F.col(at) < F.col(end))).drop("_cell")
+    lo, hi = F.floor(F.col(start) / F.lit(width)), F.floor((F.col(end) - 1) / F.lit(width)) + 1
+    if width == 1:
+        lo, hi = F.col(start).cast("bigint"), F.col(end).cast("bigint")
+    cells = spans.where(F.col(start) < F.col(end)).withColumn("_lo", lo).withColumn("_hi", hi)
+
+    def nodes(level: Column) -> Column:
+        # what the levels below have not covered, in nodes of this one: [up, down)
+        up = -F.call_function("shiftright", -F.col("_lo"), level)
+        down = F.call_function("shiftright", F.col("_hi"), level)
+        left = F.when((up < down) & (F.pmod(up, F.lit(2)) == 1), up)
+        right = F.when((up < down) & (F.pmod(down, F.lit(2)) == 1), down - 1)
+        return F.transform(F.filter(F.array(left, right), lambda n: n.isNotNull()), lambda n: F.struct(level.alias("level"), n.alias("node")))
+
+    top = F.least(F.floor(F.log2(F.col("_hi") - F.col("_lo"))).cast("int") + 1, F.lit(LEVELS))  # no node is larger than its span
+    cut = F.flatten(F.transform(F.sequence(F.lit(0), top), nodes))
+    cells = cells.select(*spans.columns, F.inline(cut).alias("_level", "_node"))
+    used = sorted(r[0] for r in cells.select("_level").distinct().collect())  # LEVELS + 1 rows at most
+    cell = F.floor(F.col(at) / F.lit(width)) if width > 1 else F.col(at).cast("bigint")
+    above = F.array(*[F.struct(F.lit(n).alias("level"), F.shiftright(F.col("_cell"), n).alias("node")) for n in used]).cast("array<struct<level: int, node: bigint>>")
+    laid = points.where(F.col(at).isNotNull()).withColumn("_cell", cell).select(*points.columns, F.inline(above).alias("_level", "_node"))
+    return laid.join(cells, [key, "_level", "_node"]).where((F.col(at) >= F.col(start)) & (F.col(at) < F.col(end))).drop("_level", "_node")
+
+
+def interval_join(points: DataFrame, spans: DataFrame, key: str, at: str, start: str, end: str, width: str = "day") -> DataFrame:
+    """`range_join` of timestamps, in cells of a minute, an hour or a day."""
+    us = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    p = points.withColumn("_at", us(at))
+    s = spans.withColumn("_start", us(start)).withColumn("_end", us(end))
+    return range_join(p, s, key, "_at", "_start", "_end", WIDTHS[width]).drop("_at", "_start", "_end")
 
 
 def with_match(df: DataFrame, other: DataFrame, on: str | list[str]) -> DataFrame:

@@ -67,14 +67,16 @@ def template_assign_by_fold(shapes: DataFrame, labels: DataFrame, tau: float | N
     taken bucket by bucket; distance and ties are as in template_assign. A
     shape farther than tau, or without any class in other folds, gets
     `reject`. Rows without a class or fold learn nothing; those without a fold
-    are left out. Sums are reduced to one row a class, bucket and fold before folds meet.
+    are left out. A mean of the other folds is the total less the own fold's part,
+    one row a class, bucket and fold, so folds never meet each other.
     """
     own = shapes.join(labels.select("curve_id", F.col("class").alias("_class"), "fold").where("fold is not null"), "curve_id")
-    sums = own.where("_class is not null").groupBy("_class", "bucket", F.col("fold").alias("_from")).agg(F.sum("value").alias("_s"), F.count("value").alias("_n"))
-    folds = own.select("fold").distinct()
-    means = folds.join(sums, F.col("fold") != F.col("_from")).groupBy("fold", "bucket", F.col("_class").alias("nearest")).agg(F.try_divide(F.sum("_s"), F.sum("_n")).alias("_m"))
-    gap = F.col("value") - F.col("_m")
-    d = own.join(means, ["fold", "bucket"]).groupBy("curve_id", "nearest").agg(F.avg(gap * gap).alias("d"))
+    sums = own.where("_class is not null").groupBy(F.col("_class").alias("nearest"), "bucket", "fold").agg(F.sum("value").alias("_s"), F.count("value").alias("_n"))
+    total = sums.groupBy("nearest", "bucket").agg(F.sum("_s").alias("_ts"), F.sum("_n").alias("_tn"))
+    met = own.join(total, "bucket").join(sums, ["nearest", "bucket", "fold"], "left")
+    others = F.col("_tn") - F.coalesce("_n", F.lit(0))
+    gap = F.col("value") - (F.coalesce("_ts", F.lit(0.0)) - F.coalesce("_s", F.lit(0.0))) / others
+    d = met.where(others > 0).groupBy("curve_id", "nearest").agg(F.avg(gap * gap).alias("d"))
     best = d.where("d is not null").groupBy("curve_id").agg(F.min(F.struct("d", "nearest")).alias("m"))
     far = F.col("m").isNull() if tau is None else F.col("m").isNull() | (F.col("m.d") > F.lit(float(tau)))
     return own.select("curve_id", "fold").distinct().join(best, "curve_id", "left").select(

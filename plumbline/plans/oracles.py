@@ -62,6 +62,16 @@ c AS (SELECT label AS nearest, b, avg(x) AS c FROM l GROUP BY 1, 2),
 d AS (SELECT vec_id, nearest, sum((x - c) * (x - c)) AS d FROM l JOIN c USING (b) GROUP BY 1, 2),
 m AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY d, nearest) AS k FROM d)
 SELECT vec_id, nearest, round(d, 4) AS distance FROM m WHERE k = 1""",
+    "shape_assign": f"""WITH {_RESAMPLE}, {_SHAPES},
+t AS (SELECT 0 AS cluster, i::INT AS bucket, 1.0::DOUBLE - i / 15.0::DOUBLE AS value FROM range(16) q(i)
+  UNION ALL SELECT 1, i::INT, 0.5::DOUBLE FROM range(16) q(i) UNION ALL SELECT 2, i::INT, i / 15.0::DOUBLE FROM range(16) q(i)),
+tz AS (SELECT cluster, bucket, CASE WHEN stddev_pop(value) OVER w > 1e-12 THEN (value - avg(value) OVER w) / stddev_pop(value) OVER w ELSE 0 END AS z FROM t WINDOW w AS (PARTITION BY cluster)),
+sz AS (SELECT curve_id, bucket, CASE WHEN stddev_pop(value) OVER w > 1e-12 THEN (value - avg(value) OVER w) / stddev_pop(value) OVER w ELSE 0 END AS z FROM s WINDOW w AS (PARTITION BY curve_id)),
+n AS (SELECT curve_id, sqrt(sum(z * z)) AS l FROM sz GROUP BY 1), tn AS (SELECT cluster, sqrt(sum(z * z)) AS l FROM tz GROUP BY 1),
+cc AS (SELECT curve_id, cluster, tz.bucket - sz.bucket AS shift, sum(sz.z * tz.z) AS v FROM sz, tz GROUP BY 1, 2, 3),
+d AS (SELECT cc.curve_id, cc.cluster, 1 - coalesce(max(v) / nullif(any_value(n.l) * any_value(tn.l), 0), 0) AS d FROM cc JOIN n ON n.curve_id = cc.curve_id JOIN tn ON tn.cluster = cc.cluster GROUP BY 1, 2),
+k AS (SELECT *, row_number() OVER (PARTITION BY curve_id ORDER BY round(d, 9), cluster) AS k FROM d)
+SELECT curve_id, cluster::INT AS cluster, round(d, 6) AS distance FROM k WHERE k = 1""",
     "strength_tier": """WITH m AS (SELECT user_id AS curve_id, round(avg(value), 6) AS mean_value FROM events GROUP BY 1),
 t AS (SELECT *, ntile(3) OVER (ORDER BY mean_value, curve_id) AS k FROM m)
 SELECT curve_id, mean_value, CASE k WHEN 1 THEN 'weak' WHEN 2 THEN 'medium' ELSE 'strong' END AS tier FROM t""",
@@ -105,9 +115,14 @@ b AS (SELECT p.label AS class, count(*) FILTER (WHERE p.label = majority) AS tp
 SELECT m.class, support::BIGINT AS support, round(coalesce(m.tp::DOUBLE / nullif(support, 0)::DOUBLE, 0), 6) AS recall, round(coalesce(m.tp::DOUBLE / nullif(predicted, 0)::DOUBLE, 0), 6) AS "precision",
   round(coalesce(2.0::DOUBLE * m.tp / nullif((support + predicted)::DOUBLE, 0), 0), 6) AS f1,
   round(coalesce(b.tp::DOUBLE / nullif(support, 0)::DOUBLE, 0), 6) AS majority_recall FROM m LEFT JOIN b ON m.class = b.class""",
-    "interval_join": """SELECT event_id, o_orderkey FROM events JOIN orders ON user_id = o_custkey AND ts >= o_orderdate AND ts < o_orderdate + INTERVAL 10 DAY""",
+    "interval_join": """SELECT p.o_orderkey, s.o_orderkey AS after FROM orders p JOIN orders s
+  ON p.o_custkey = s.o_custkey AND p.o_orderdate >= s.o_orderdate AND p.o_orderdate < s.o_orderdate + CASE WHEN s.o_orderkey % 7 = 0 THEN INTERVAL 700 DAY ELSE INTERVAL 20 DAY END""",
+    "hot_key_scan": """WITH e AS (SELECT event_id, event_type, ts, CASE WHEN event_id % 3 <> 0 THEN value END AS value FROM events)
+SELECT event_id, round(sum(value) OVER w, 4) AS total, last_value(value IGNORE NULLS) OVER w AS known,
+  round(avg(value) OVER (PARTITION BY event_type ORDER BY ts, event_id ROWS BETWEEN 4 PRECEDING AND CURRENT ROW), 6) AS rolling
+FROM e WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""",
     "with_match": "SELECT c_custkey, c_nationkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders)",
-    "without_match": "SELECT c_custkey, c_nationkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL)",
+    "without_match": "SELECT c_custkey, c_nationkey FROM customer WHERE c_custkey NOT IN (SELECT user_id FROM events WHERE user_id IS NOT NULL)",
     "roll_up": """SELECT c_mktsegment, c_nationkey, grouping(c_mktsegment, c_nationkey)::BIGINT AS level, count(*) AS n, round(sum(c_acctbal), 2) AS total
 FROM customer GROUP BY ROLLUP (c_mktsegment, c_nationkey)""",
     "cube": "SELECT c_mktsegment, c_nationkey, grouping(c_mktsegment, c_nationkey)::BIGINT AS level, count(*) AS n FROM customer GROUP BY CUBE (c_mktsegment, c_nationkey)",

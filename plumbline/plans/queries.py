@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from plumbline.operators import attribution, curves, factors, tables, templates, validation
+from plumbline.operators import attribution, boosting, clustering, curves, factors, scans, tables, templates, validation
 from plumbline.sources import event_curves, table
 from plumbline.storage import written
 
@@ -55,26 +56,37 @@ def _asof(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return validation.forest_grouped_cv(_class_rows(spark, sf_dir), SHAPE, *CLASS, k=5)
+
+
+def _boosted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return boosting.boosted_grouped_cv(_class_rows(spark, sf_dir), SHAPE, *CLASS, k=5, rounds=5, balanced=True)
+
+
+def _class_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shape features, class (market segment) and group (nation) of each curve."""
     f = curves.curve_features(event_curves(spark, sf_dir)).fillna(0.0)
     c = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
     rows = factors.factor_join(f, c, "curve_id", "c_custkey").withColumnRenamed("curve_id", "row_id")
-    return validation.forest_grouped_cv(
-        rows.repartition(8, "row_id").sortWithinPartitions("row_id"), ["v_median", "v_max", "rel_peak", "slope_per_hour"],
-        "c_mktsegment", "c_nationkey", k=5)
+    return rows.repartition(8, "row_id").sortWithinPartitions("row_id")
 
 
-def _tree_shapley(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.ml.classification import RandomForestClassifier
-    from pyspark.ml.feature import StringIndexer, VectorAssembler
+SHAPE = ["v_median", "v_max", "rel_peak", "slope_per_hour"]
+CLASS = ("c_mktsegment", "c_nationkey")
 
-    names = ["v_median", "rel_peak", "slope_per_hour"]
-    f = curves.curve_features(event_curves(spark, sf_dir)).fillna(0.0)
-    c = table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment")
-    rows = factors.factor_join(f, c, "curve_id", "c_custkey").repartition(8, "curve_id").sortWithinPartitions("curve_id")
-    ix = StringIndexer(inputCol="c_mktsegment", outputCol="_y", stringOrderType="alphabetAsc").fit(rows)
-    data = VectorAssembler(inputCols=names, outputCol="_x").transform(ix.transform(rows))
-    model = RandomForestClassifier(featuresCol="_x", labelCol="_y", numTrees=5, maxDepth=3, seed=7).fit(data)
-    return attribution.tree_shapley(rows, "curve_id", names, model, list(ix.labels))
+
+def _extra_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clusters of the curves that no reference shape fits."""
+    shapes = written(_shapes(spark, sf_dir), "shapes")
+    extra = templates.template_assign(shapes, _templates(spark), TAU / 2).where("class = 'extra'").select("curve_id")
+    return clustering.shape_clusters(shapes.join(extra, "curve_id", "left_semi"), 3)
+
+
+def _shape_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nearest reference shape whatever the shift in time: cluster 0 falls, 1 is level, 2 rises."""
+    known = clustering.scaled_shapes(_templates(spark).withColumnRenamed("class", "curve_id")).orderBy("curve_id").collect()  # three rows
+    model = clustering.Shapes(np.array([r["vec"] for r in known]), 0, True)
+    return model.assign(clustering.scaled_shapes(_shapes(spark, sf_dir))).drop("shift")
 
 
 def _report(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,9 +94,21 @@ def _report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _interval(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("user_id"), "o_orderkey", F.col("o_orderdate").cast("timestamp_ntz").alias("start")).withColumn("end", F.expr("start + interval 10 days"))
-    e = table(spark, sf_dir, "events").select("event_id", "user_id", F.col("ts").cast("timestamp_ntz").alias("ts"))
-    return tables.interval_join(e, o, "user_id", "ts", "start", "end").select("event_id", "o_orderkey")
+    """Orders that a customer places within 20 days of another (of every seventh: within 700 days)."""
+    o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("user_id"), "o_orderkey", F.col("o_orderdate").cast("timestamp_ntz").alias("at"))
+    days = F.when(F.col("o_orderkey") % 7 == 0, 700).otherwise(20)
+    spans = o.select("user_id", F.col("o_orderkey").alias("after"), F.col("at").alias("start"), (F.col("at") + F.make_dt_interval(days)).alias("end"))
+    return tables.interval_join(o, spans, "user_id", "at", "start", "end").select("o_orderkey", "after")
+
+
+def _running(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Running total, last known value and rolling mean of every event of a type: five keys hold all rows."""
+    e = table(spark, sf_dir, "events").select("event_id", "event_type", "ts", F.when(F.col("event_id") % 3 != 0, F.col("value")).alias("value"))
+    t = scans.pieces(e, "event_type", ["ts", "event_id"])
+    t = scans.running_sum(t, "value", "total")
+    t = scans.last_known(t, "value", "known")
+    t = scans.rolling_mean(t, "value", 4, "rolling")
+    return t.rows.select("event_id", F.round("total", 4).alias("total"), "known", F.round("rolling", 6).alias("rolling"))
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -150,8 +174,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "linear_shapley": lambda s, d: attribution.linear_shapley(table(s, d, "customer").select("c_custkey", "c_nationkey", "c_acctbal"), "c_custkey", "c_nationkey", "c_acctbal"),
     "baseline_report": _report,
     "interval_join": _interval,
+    "hot_key_scan": _running,
+    "balanced_folds": lambda s, d: validation.balanced_folds(table(s, d, "customer").select("c_custkey", "c_nationkey", "c_mktsegment"), "c_nationkey", "c_mktsegment", 5).groupBy("fold", "c_nationkey").agg(F.count("*").alias("n")),
     "with_match": lambda s, d: tables.with_match(table(s, d, "customer").select("c_custkey", "c_nationkey"), table(s, d, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey"),
-    "without_match": lambda s, d: tables.without_match(table(s, d, "customer").select("c_custkey", "c_nationkey"), table(s, d, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey"),
+    "without_match": lambda s, d: tables.without_match(table(s, d, "customer").select("c_custkey", "c_nationkey"), table(s, d, "events").select(F.col("user_id").alias("c_custkey")), "c_custkey"),
     "roll_up": lambda s, d: tables.roll_up(table(s, d, "customer"), ["c_mktsegment", "c_nationkey"], [F.count("*").alias("n"), F.round(F.sum("c_acctbal"), 2).alias("total")]),
     "cube": lambda s, d: tables.roll_up(table(s, d, "customer"), ["c_mktsegment", "c_nationkey"], [F.count("*").alias("n")], "cube"),
     "pivot_counts": lambda s, d: tables.pivot_counts(table(s, d, "customer"), "c_nationkey", "c_mktsegment", ["AUTOMOBILE", "BUILDING", "MACHINERY"]),
@@ -162,5 +188,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "approx_distinct": lambda s, d: tables.approx_distinct(table(s, d, "events"), "event_type", "user_id"),
     "forest_grouped_cv": _forest,
     "forest_report": _forest_report,
-    "tree_shapley": _tree_shapley,
+    "boosted_grouped_cv": _boosted,
+    "boosted_report": lambda s, d: validation.baseline_report(written(_boosted(s, d), "predictions")),
+    "tree_shapley": lambda s, d: attribution.forest_shapley_by_fold(_class_rows(s, d), SHAPE, *CLASS),
+    "boosted_shapley": lambda s, d: attribution.boosted_shapley_by_fold(_class_rows(s, d), SHAPE, *CLASS, rounds=3, depth=2),
+    "extra_clusters": _extra_clusters,
+    "shape_assign": _shape_assign,
 }
