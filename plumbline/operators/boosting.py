@@ -184,6 +184,8 @@ def boosted_models(data: DataFrame, folds: list[int], labels: list[str], feature
     """
     if len(folds) * len(labels) * 2 ** (depth - 1) * len(features) * bins > MAX_CELLS:
         raise ValueError("too many histogram cells; use fewer folds, bins or levels")
+    if not folds:
+        return Boosted(features, labels, {})
     k = len(labels)
     cuts = _cuts(data, folds, features, bins)
     count = {f: np.zeros(k) for f in folds}

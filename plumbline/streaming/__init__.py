@@ -37,3 +37,33 @@ def sessions(curves: DataFrame, gap: str = "12 hours", late: str = "1 hour") ->
         .agg(F.count("*").alias("n"), F.sum("value").alias("total"))
         .select("curve_id", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n", F.round("total", 6).alias("total"))
     )
+
+
+def matched_streams(left: DataFrame, right: DataFrame, key: str, before: str = "1 hour", after: str = "0 seconds", late: str = "1 hour") -> DataFrame:
+    """Rows of left with rows of right of the same key, at `right_ts` from `before` earlier to `after` later than ts.
+
+    Both have ts (timestamp) and key; the other columns of right must not be
+    named as columns of left. On streams each side waits `late` for late rows
+    and keeps a row only while the other side's watermark can still meet it,
+    so state is bounded by the rows of before + after + late. Null times and
+    keys match nothing.
+    """
+    r = right.withColumnsRenamed({"ts": "right_ts", key: "_key"})
+    if left.isStreaming:
+        left = left.withWatermark("ts", late)
+    if right.isStreaming:
+        r = r.withWatermark("right_ts", late)
+    near = (F.col("right_ts") >= F.col("ts") - F.expr(f"interval {before}")) & (F.col("right_ts") <= F.col("ts") + F.expr(f"interval {after}"))
+    return left.join(r, (F.col(key) == F.col("_key")) & near).drop("_key")
+
+
+def first_seen(rows: DataFrame, keys: list[str], late: str = "1 hour") -> DataFrame:
+    """Rows of a stream without those whose keys came before within the watermark's delay; on a batch, one row a key, the earliest ts.
+
+    On a stream a key is forgotten once the watermark has passed its row by
+    `late`, so state is bounded; a repeat after that is a new row.
+    """
+    if rows.isStreaming:
+        return rows.withWatermark("ts", late).dropDuplicatesWithinWatermark(keys)
+    rest = [c for c in rows.columns if c not in keys]
+    return rows.groupBy(*keys).agg(F.min(F.struct("ts", *[c for c in rest if c != "ts"])).alias("_r")).select(*[F.col(c) if c in keys else F.col(f"_r.{c}").alias(c) for c in rows.columns])
