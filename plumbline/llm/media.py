@@ -69,39 +69,70 @@ def _wav(b: bytes, at: int) -> int | None:
     return 8 + _u32(b, at + 4) if ok else None
 
 
-def _png(b: bytes, at: int) -> int | None:
-    p, first = at + 8, True
+def _along(known: dict[int, int], p: int, step: Callable[[int], tuple[int, bool]]) -> int:
+    """Where the chain from place p ends (-1: nowhere): step gives the next place of the chain, or its end and True.
+
+    Every place has one outcome, whichever magic its chain began at; it is
+    remembered for all places on the way, so no link is followed twice.
+    """
+    way, end = [], -1
     while True:
+        if p in known:
+            end = known[p]
+            break
+        way.append(p)
+        try:
+            p, done = step(p)
+        except (IndexError, struct.error):
+            break
+        if p < 0 or done:
+            end = p
+            break
+    for q in way:
+        known[q] = end
+    return end
+
+
+def _length(end: int, at: int) -> int | None:
+    return end - at if end >= 0 else None
+
+
+def _png(b: bytes, at: int, ends: Ends) -> int | None:
+    def chunk(p: int) -> tuple[int, bool]:
         n, tag = _u32(b, p, True), b[p + 4 : p + 8]
-        if p + 12 + n > len(b) or first != (tag == b"IHDR") or zlib.crc32(b[p + 4 : p + 8 + n]) != _u32(b, p + 8 + n, True):
-            return None
-        p, first = p + 12 + n, False
-        if tag == b"IEND":
-            return p - at
+        if p + 12 + n > len(b) or zlib.crc32(b[p + 4 : p + 8 + n]) != _u32(b, p + 8 + n, True):
+            return -1, True
+        return p + 12 + n, tag == b"IEND"
+
+    def later(p: int) -> tuple[int, bool]:
+        return (-1, True) if b[p + 4 : p + 8] == b"IHDR" else chunk(p)
+
+    if _u32(b, at + 8, True) != 13 or b[at + 12 : at + 16] != b"IHDR" or chunk(at + 8)[0] < 0:
+        return None
+    return _length(_along(ends.known("png"), at + 33, later), at)
 
 
-def _gif(b: bytes, at: int) -> int | None:
+def _gif(b: bytes, at: int, ends: Ends) -> int | None:
     width, height, flags = struct.unpack_from("<HHB", b, at + 6)
     if not width or not height:
         return None
-    p = at + 13 + (3 << (flags & 7) + 1 if flags & 0x80 else 0)
+    inner = ends.known("gif data")
 
     def blocks(p: int) -> int:
-        while b[p]:
-            p += 1 + b[p]
-        return p + 1
+        return _along(inner, p, lambda p: (p + 1 + b[p], not b[p]))
 
-    while True:
+    def block(p: int) -> tuple[int, bool]:
         kind = b[p]
         if kind == 0x3B:
-            return p + 1 - at
+            return p + 1, True
         if kind == 0x21:
-            p = blocks(p + 2)
-        elif kind == 0x2C:
+            return blocks(p + 2), False
+        if kind == 0x2C:
             local = b[p + 9]
-            p = blocks(p + 10 + (3 << (local & 7) + 1 if local & 0x80 else 0) + 1)
-        else:
-            return None
+            return blocks(p + 10 + (3 << (local & 7) + 1 if local & 0x80 else 0) + 1), False
+        return -1, True
+
+    return _length(_along(ends.known("gif"), at + 13 + (3 << (flags & 7) + 1 if flags & 0x80 else 0), block), at)
 
 
 def _bmp(b: bytes, at: int) -> int | None:
@@ -114,25 +145,25 @@ def _bmp(b: bytes, at: int) -> int | None:
     return size if packed or start + (width * bits + 31) // 32 * 4 * abs(height) <= size else None
 
 
-def _jpeg(b: bytes, at: int) -> int | None:
-    p = at + 2
-    while b[p] == 0xFF:
-        kind = b[p + 1]
-        size = int.from_bytes(b[p + 2 : p + 4], "big")
-        if kind < 0xC0 or size < 2:
-            return None
+def _jpeg(b: bytes, at: int, ends: Ends) -> int | None:
+    def coded(p: int) -> tuple[int, bool]:
+        """From a 0xFF of entropy-coded data to the next one, up to a marker that is neither stuffing nor a restart."""
+        if b[p + 1] and not 0xD0 <= b[p + 1] <= 0xD7:
+            return p, True
+        return b.find(b"\xff", p + 2), False
+
+    def segment(p: int) -> tuple[int, bool]:
+        kind, size = b[p + 1], int.from_bytes(b[p + 2 : p + 4], "big")
+        if b[p] != 0xFF or kind < 0xC0 or size < 2:
+            return -1, True
         p += 2 + size
-        if kind == 0xDA:
-            while True:  # entropy-coded data up to a marker that is neither stuffing nor a restart
-                p = b.find(b"\xff", p)
-                if p < 0 or p + 1 >= len(b):
-                    return None
-                if b[p + 1] == 0xD9:
-                    return p + 2 - at
-                if b[p + 1] and not 0xD0 <= b[p + 1] <= 0xD7:
-                    break
-                p += 2
-    return None
+        if kind != 0xDA:
+            return p, False
+        p = b.find(b"\xff", p)
+        p = _along(ends.known("jpeg data"), p, coded) if p >= 0 else p
+        return (p + 2, True) if p >= 0 and b[p + 1] == 0xD9 else (p, False)
+
+    return _length(_along(ends.known("jpeg"), at + 2, segment), at)
 
 
 def _gzip(b: bytes, at: int) -> int | None:
@@ -156,10 +187,15 @@ def _places(b: bytes, mark: bytes) -> list[int]:
 
 
 class Ends:
-    """End marks of a value, collected once: each magic then looks at its own ones only."""
+    """What the magics of a value share: end marks, collected once, and where chains of blocks lead."""
 
     def __init__(self, b: bytes):
         self.b = b
+        self.chains: dict[str, dict[int, int]] = {}
+
+    def known(self, what: str) -> dict[int, int]:
+        """Outcomes of the chain places of a format."""
+        return self.chains.setdefault(what, {})
 
     @functools.cached_property
     def zips(self) -> dict[int, int]:
@@ -196,16 +232,15 @@ def _pdf(b: bytes, at: int, ends: Ends) -> int | None:
     return None
 
 
-def _ogg(b: bytes, at: int) -> int | None:
-    p, last = at, False
-    while not last:
+def _ogg(b: bytes, at: int, ends: Ends) -> int | None:
+    def page(p: int) -> tuple[int, bool]:
         if b[p : p + 4] != b"OggS" or b[p + 4]:
-            return None
-        last, n = bool(b[p + 5] & 4), b[p + 26]
-        p += 27 + n + sum(b[p + 27 : p + 27 + n])
-        if p > len(b):
-            return None
-    return p - at
+            return -1, True
+        n = b[p + 26]
+        end = p + 27 + n + sum(b[p + 27 : p + 27 + n])
+        return (-1, True) if end > len(b) else (end, bool(b[p + 5] & 4))
+
+    return _length(_along(ends.known("ogg"), at, page), at)
 
 
 #: Magic bytes, media type, validator.
@@ -223,6 +258,10 @@ SIGNATURES: tuple[tuple[bytes, str, Callable[..., int | None]], ...] = (
 )
 
 
+#: Validators that use what other magics of the value have found.
+SHARING = {_zip, _pdf, _png, _gif, _jpeg, _ogg}
+
+
 @functools.cache
 def automaton() -> ahocorasick.Automaton:
     a = ahocorasick.Automaton()
@@ -241,7 +280,7 @@ def sniff_bytes(b: bytes) -> tuple[str, int, int, list[tuple[str, int, int]]]:
         if at and at < free:
             continue
         try:
-            n = check(b, at, ends) if check in (_zip, _pdf) else check(b, at)
+            n = check(b, at, ends) if check in SHARING else check(b, at)
         except (IndexError, struct.error, zlib.error):
             n = None
         if n:

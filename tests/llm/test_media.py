@@ -84,3 +84,47 @@ def test_many_magics_take_linear_time():
         t = time.time()
         sniff_bytes(body)
         assert time.time() - t < 20, part
+
+
+def long_chains():
+    """Values of 1 MB where every magic starts a chain that runs to the end; those of GIF and OGG are valid UTF-8 texts."""
+    ogg = b"OggS" + b"\0" * 22 + b"\x01" + b"\x04" + b"text"  # a page, not the last
+    gif = b"GIF89a" + b"\x01\0\x01\0\0\0\0" + b"!\x01" + b"\x0c"  # header, then an extension whose data runs over the next header
+    jpeg = b"\xff\xd8\xff\xe1\0\x06\xff\xd8\xff\xe1"
+    scan = b"\xff\xd8\xff\xda\0\x02" + b"\xff\0"
+    png = b"\x89PNG\r\n\x1a\n" + struct.pack(">I", 13) + b"IHDR" + b"\0" * 13
+    return {k: v * (1_000_000 // len(v)) for k, v in {"ogg": ogg, "gif": gif, "jpeg": jpeg, "scan": scan, "png": png + zlib.crc32(png[12:]).to_bytes(4, "big") + b"\0\0\0\0text" + zlib.crc32(b"text").to_bytes(4, "big")}.items()}
+
+
+def test_shared_chains_take_linear_time():
+    import time
+
+    for name, body in long_chains().items():
+        if name in ("ogg", "gif"):
+            body.decode()
+        t = time.time()
+        media.sniff_bytes(body)
+        assert time.time() - t < 20, name
+
+
+def test_shared_chains_end_where_each_alone_would():
+    """Every magic of random chains, judged with what others found and by itself."""
+    import random
+
+    rng = random.Random(8)
+    parts = [GIF, FILES["image/png"], FILES["image/jpeg"], FILES["audio/ogg"], GIF[:-1], FILES["image/png"][:40], FILES["image/jpeg"][:-2], FILES["audio/ogg"][:20], b"GIF89a", b"\xff\xd8\xff", b"OggS\0", b"\0", b"!\x01", b";"]
+    checks = {k: c for _, k, c in media.SIGNATURES if c in media.SHARING - {media._zip, media._pdf}}
+    for _ in range(300):
+        b = b"".join(rng.choice(parts) for _ in range(rng.randrange(1, 9)))
+        shared = media.Ends(b)
+        for magic, kind, check in media.SIGNATURES:
+            if kind not in checks:
+                continue
+            for at in media._places(b, magic):
+                out = []
+                for ends in (shared, media.Ends(b)):
+                    try:
+                        out.append(check(b, at, ends))
+                    except (IndexError, struct.error, zlib.error):
+                        out.append(None)
+                assert out[0] == out[1]
