@@ -1,14 +1,14 @@
 """Source divergence audit: term rates of each source of a language, compared with each other and with the language.
 
 Counting. A map task counts the terms of its documents and puts them into one
-radix trie of bytes a language: an edge carries a run of bytes, a leaf holds
-how many documents have the term and a counter for each source. The tries are
-cut by prefix range (language and first bytes of the term) and written, front
-coded: a leaf says how many bytes it shares with the one before, which is all
-that a trie's shape is. Sorted by prefix range, the pieces of a range follow
-each other, so a reader merges them into one trie at a time and walks it in
-UTF-8 order. Its memory is one range's terms; how often a term occurs does not
-matter, and no group is gathered.
+radix trie of bytes a language; a leaf holds how many documents have the term
+and a counter for each source. A trie is kept as its leaves in byte order, each
+with the number of bytes it shares with the leaf before, which is all that a
+trie's shape is. The tries are cut by prefix range (language and first bytes of
+the term) and written. Sorted by prefix range, the pieces of a range follow
+each other, so a reader merges them into one trie, some pieces at a time, and
+walks it in UTF-8 order. Its memory is one range's terms; how often a term
+occurs does not matter, and no group is gathered.
 
 Rates. The kept terms, with the counter of each source, are written once in
 that order. Totals of (language, source) follow from them, and a second walk
@@ -27,7 +27,7 @@ from __future__ import annotations
 import itertools
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -42,6 +42,10 @@ PARTS = 1_000_000_000
 LEAD = 3
 #: (language, source, term) counters that a task holds before it hands its tries over.
 HELD = 1 << 18
+#: Pieces of a prefix range that are merged at a time.
+AT_ONCE = 64
+#: Bytes of terms that are compared at once for what they share.
+HEAD = 16
 #: Words of one text that are counted at a time.
 CHUNK = 1 << 16
 #: Most sources of a language in one matrix, and most groups whose totals one walk gets.
@@ -55,98 +59,117 @@ PIECE = pa.schema([
 PIECE_DDL = "lang string, lead binary, names array<string>, shared array<int>, tails array<binary>, docs array<bigint>, width array<int>, source array<int>, count array<bigint>"
 
 
-@dataclass(slots=True)
-class Node:
-    """An edge's bytes, the leaf at its end (documents; 0: none) with a counter for each source, and the nodes below by first byte."""
-
-    label: bytes = b""
-    docs: int = 0
-    counts: dict[str, int] = field(default_factory=dict)
-    below: dict[int, Node] = field(default_factory=dict)
-
-    def add(self, term: bytes, docs: int, counts: dict[str, int]) -> None:
-        """Add to the leaf of a term, which is made where there is none."""
-        node, i = self, 0
-        while i < len(term):
-            kid = node.below.get(term[i])
-            if kid is None:
-                node.below[term[i]] = Node(term[i:], docs, dict(counts))
-                return
-            if term.startswith(kid.label, i):
-                node, i = kid, i + len(kid.label)
-                continue
-            j = 1  # the edge parts here
-            while i + j < len(term) and kid.label[j] == term[i + j]:
-                j += 1
-            mid = node.below[term[i]] = Node(kid.label[:j], below={kid.label[j]: kid})
-            kid.label = kid.label[j:]
-            node, i = mid, i + j
-        node.docs += docs
-        for s, n in counts.items():
-            node.counts[s] = node.counts.get(s, 0) + n
-
-    def walk(self) -> Iterator[tuple[bytes, Node]]:
-        """Terms and their leaves in byte order."""
-        stack = [(self, self.label)]
-        while stack:
-            node, term = stack.pop()
-            if node.counts:
-                yield term, node
-            for b in sorted(node.below, reverse=True):
-                stack.append((node.below[b], term + node.below[b].label))
-
-
-def _pieces(lang: str, trie: Node) -> Iterator[dict]:
-    """The trie as front-coded leaves, a piece for each prefix range."""
-    for lead, leaves in itertools.groupby(trie.walk(), lambda x: x[0][:LEAD]):
-        row: dict = {f.name: [] for f in PIECE} | {"lang": lang, "lead": lead}
-        at: dict[str, int] = {}
-        before = b""
-        for term, leaf in leaves:
-            k = 0
-            while k < min(len(before), len(term)) and before[k] == term[k]:
+def shared_prefix(terms: list[bytes]) -> np.ndarray:
+    """How many bytes each of the sorted terms shares with the one before: with the terms, the shape of their radix trie."""
+    out = np.zeros(len(terms), np.int32)
+    if len(terms) > 1:
+        head = np.array(terms, f"S{HEAD}").view(np.uint8).reshape(len(terms), HEAD)  # no term holds a zero byte
+        differs = head[1:] != head[:-1]
+        out[1:] = np.where(differs.any(1), differs.argmax(1), HEAD)
+        for i in np.flatnonzero(out == HEAD):
+            x, y, k = terms[i - 1], terms[i], HEAD
+            while k < len(x) and x[k] == y[k]:
                 k += 1
-            row["shared"].append(k)
-            row["tails"].append(term[k:])
-            row["docs"].append(leaf.docs)
-            row["width"].append(len(leaf.counts))
-            for s, n in leaf.counts.items():
-                row["source"].append(at.setdefault(s, len(at)))
-                row["count"].append(n)
-            before = term
-        yield row | {"names": list(at)}
+            out[i] = k
+    return out
 
 
-def _merge(trie: Node, row: dict) -> None:
-    term, at = b"", 0
-    for k, tail, docs, width in zip(row["shared"], row["tails"], row["docs"], row["width"]):
-        term = term[:k] + tail
-        trie.add(term, docs, {row["names"][s]: n for s, n in zip(row["source"][at : at + width], row["count"][at : at + width])})
-        at += width
+@dataclass(frozen=True)
+class Trie:
+    """A radix trie as its leaves in byte order, with the numbers that each holds.
+
+    docs: documents with the term. Leaf i has the next width[i] counters of
+    source (number in names) and count, by source.
+    """
+
+    terms: list[bytes]
+    docs: np.ndarray
+    width: np.ndarray
+    source: np.ndarray
+    count: np.ndarray
+    names: list[str]
+
+    @staticmethod
+    def of(terms: list[bytes], docs: np.ndarray, leaf: np.ndarray, source: np.ndarray, count: np.ndarray, names: list[str]) -> Trie:
+        """From counters in any order, several of one leaf and source too."""
+        key, inverse = np.unique(leaf * len(names) + source, return_inverse=True)
+        total = np.zeros(len(key), np.int64)
+        np.add.at(total, inverse, count)
+        return Trie(terms, docs, np.bincount(key // max(1, len(names)), minlength=len(terms)), key % max(1, len(names)), total, names)
+
+    @staticmethod
+    def grown(in_docs: Counter, groups: dict[str, Counter]) -> Trie:
+        """From the documents of each term and its occurrences by source."""
+        terms = sorted(in_docs)
+        at = dict(zip(terms, range(len(terms))))
+        names = sorted(groups)
+        numbers = lambda values, n: np.fromiter(values, np.int64, n)
+        leaf = [numbers(map(at.__getitem__, groups[s]), len(groups[s])) for s in names]
+        count = [numbers(groups[s].values(), len(groups[s])) for s in names]
+        none = np.zeros(0, np.int64)
+        source = np.repeat(np.arange(len(names)), [len(x) for x in leaf])
+        return Trie.of(terms, numbers(map(in_docs.__getitem__, terms), len(terms)), np.concatenate([none, *leaf]), source, np.concatenate([none, *count]), names)
+
+    @staticmethod
+    def merged(tries: list[Trie], least: int = 1) -> Trie:
+        """The tries in one, with the leaves that `least` documents have."""
+        at: dict[bytes, int] = {}
+        place = [np.fromiter((at.setdefault(t, len(at)) for t in trie.terms), np.int64, len(trie.terms)) for trie in tries]
+        docs = np.zeros(len(at), np.int64)
+        for trie, own in zip(tries, place):
+            docs[own] += trie.docs  # a trie has a term once
+        terms = sorted(t for t, k in at.items() if docs[k] >= least)
+        new = np.full(len(at), -1, np.int64)
+        new[[at[t] for t in terms]] = np.arange(len(terms))
+        names = sorted({s for trie in tries for s in trie.names})
+        known = {s: k for k, s in enumerate(names)}
+        cells = [np.zeros((3, 0), np.int64)]
+        for trie, own in zip(tries, place):
+            leaf = new[np.repeat(own, trie.width)]
+            cells.append(np.stack([leaf, np.array([known[s] for s in trie.names], np.int64)[trie.source], trie.count])[:, leaf >= 0])
+        leaf, source, count = np.concatenate(cells, axis=1)
+        return Trie.of(terms, docs[new >= 0][np.argsort(new[new >= 0])], leaf, source, count, names)
+
+    def pieces(self, lang: str) -> pa.RecordBatch:
+        """The trie cut by prefix range, front coded, a row a piece."""
+        lead = np.array(self.terms, f"S{LEAD}")
+        first = np.append(True, lead[1:] != lead[:-1])
+        shared = np.where(first, 0, shared_prefix(self.terms))
+        cut = np.append(np.flatnonzero(first), len(self.terms))
+        inner = np.append(0, np.cumsum(self.width))[cut]
+        names, source = [], np.empty(len(self.source), np.int32)
+        for i, j in zip(inner[:-1], inner[1:]):
+            used, source[i:j] = np.unique(self.source[i:j], return_inverse=True)
+            names.append([self.names[k] for k in used])
+        listed = lambda values, off: pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), pa.array(values))
+        tails = pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), pa.array([t[k:] for t, k in zip(self.terms, shared.tolist())], pa.binary()))
+        return pa.RecordBatch.from_arrays([
+            pa.array([lang] * len(names), pa.string()), pa.array([self.terms[k][:LEAD] for k in cut[:-1]], pa.binary()), pa.array(names, pa.list_(pa.string())), listed(shared.astype(np.int32), cut), tails,
+            listed(self.docs, cut), listed(self.width.astype(np.int32), cut), listed(source, inner), listed(self.count, inner)], schema=PIECE)
+
+    @staticmethod
+    def read(row: dict[str, pa.Scalar]) -> Trie:
+        """The trie of a piece."""
+        numbers = {c: row[c].values.to_numpy().astype(np.int64) for c in ("docs", "width", "source", "count")}
+        terms, t = [], b""
+        for k, tail in zip(row["shared"].values.to_pylist(), row["tails"].values.to_pylist()):
+            t = t[:k] + tail
+            terms.append(t)
+        return Trie(terms, **numbers, names=row["names"].as_py())
 
 
 def term_tries(docs: DataFrame) -> DataFrame:
     """Pieces of the tries of each map task, by language and prefix range."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        said: dict[str, Counter] = {}
         in_docs: dict[str, Counter] = {}
-        groups: dict[tuple[str, str], Counter] = {}
+        groups: dict[str, dict[str, Counter]] = {}
 
         def hand_over() -> Iterator[pa.RecordBatch]:
             for lang in sorted(in_docs):
-                trie = Node()
-                for term, n in in_docs[lang].items():
-                    trie.add(term, n, {})
-                for (_, source), counts in ((g, c) for g, c in groups.items() if g[0] == lang):
-                    for term, n in counts.items():
-                        trie.add(term, 0, {source: n})
-                rows = list(_pieces(lang, trie))
-                for i in range(0, len(rows), 1024):
-                    yield pa.RecordBatch.from_pylist(rows[i : i + 1024], schema=PIECE)
-            in_docs.clear()
-            groups.clear()
-            said.clear()
+                rows = Trie.grown(in_docs.pop(lang), groups.pop(lang)).pieces(lang)
+                for i in range(0, rows.num_rows, 1024):
+                    yield rows.slice(i, 1024)
             give_back()
 
         for b in batches:
@@ -154,14 +177,14 @@ def term_tries(docs: DataFrame) -> DataFrame:
                 words = value.as_buffer().to_pybytes().translate(FOLD).split() if value.is_valid else []
                 if not words:
                     continue
-                group = groups.setdefault((lang, source), Counter())
+                group = groups.setdefault(lang, {}).setdefault(source, Counter())
                 seen: set[bytes] = set()
                 for i in range(0, len(words), CHUNK):
                     group.update(words[i : i + CHUNK])
                     seen.update(words[i : i + CHUNK])
                 in_docs.setdefault(lang, Counter()).update(seen)
                 del words, seen
-            if sum(map(len, groups.values())) > HELD:
+            if sum(len(c) for g in groups.values() for c in g.values()) > HELD:
                 yield from hand_over()
         yield from hand_over()
 
@@ -177,25 +200,31 @@ def kept_terms(docs: DataFrame, least: int = 30) -> DataFrame:
     """lang, term, sources, counts: the terms in at least `least` documents of a language, merged and walked by prefix range."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, trie, out = None, Node(), []
+        now, tries, out = None, [], []
 
         def walked() -> None:
-            for term, leaf in trie.walk():
-                if leaf.docs >= least:
-                    out.append({"lang": now[0], "term": term, "sources": list(leaf.counts), "counts": list(leaf.counts.values())})
+            trie = Trie.merged(tries, least)
+            ends = np.cumsum(trie.width)
+            for term, i, j in zip(trie.terms, (ends - trie.width).tolist(), ends.tolist()):
+                out.append({"lang": now[0], "term": term, "sources": [trie.names[k] for k in trie.source[i:j]], "counts": trie.count[i:j].tolist()})
+            tries.clear()
 
         for b in batches:
-            for row in b.to_pylist():
-                if (row["lang"], row["lead"]) != now:
-                    walked()
-                    now, trie = (row["lang"], row["lead"]), Node()
-                _merge(trie, row)
+            cols = {c: b.column(c) for c in PIECE.names}
+            for k, at in enumerate(zip(cols["lang"].to_pylist(), cols["lead"].to_pylist())):
+                if at != now or len(tries) >= AT_ONCE:
+                    if at == now:  # many pieces of a range: one trie for all so far
+                        tries[:] = [Trie.merged(tries)]
+                    else:
+                        walked()
+                    now = at
+                tries.append(Trie.read({c: v[k] for c, v in cols.items()}))
             if out:
                 yield pa.RecordBatch.from_pylist(out, schema=KEPT)
                 out.clear()
         walked()
         yield pa.RecordBatch.from_pylist(out, schema=KEPT)
-        del trie
+        tries.clear()
         give_back()
 
     pieces = stored(term_tries(docs), "tries")  # counted once: the sample that sets the ranges reads what is written

@@ -56,6 +56,7 @@ def frame(spark, rows):
 @pytest.mark.parametrize("seed,least", [(0, 30), (1, 3), (2, 1)])
 def test_same_as_brute_force(spark, monkeypatch, seed, least):
     monkeypatch.setattr(D, "HELD", 400)
+    monkeypatch.setattr(D, "AT_ONCE", 3)
     rows = corpus(seed)
     assert got(D.source_divergence(frame(spark, rows).repartition(6), least)) == brute(rows, least)
 
@@ -84,19 +85,28 @@ def test_rates_are_exact():
         assert D.rates(np.array([c]), np.array([total]))[0] == 1 + 10**9 * c // total
 
 
-def test_tries_merge_whatever_their_order():
+def test_tries_merge_whatever_their_order(monkeypatch):
+    monkeypatch.setattr(D, "HEAD", 4)
     rng = random.Random(2)
-    words = [bytes(rng.choices(b"ab\xc3\xa9", k=rng.randrange(1, 9))) for _ in range(400)]
-    want = Counter(words)
+    words = [bytes(rng.choices(b"ab\xc3\xa9", k=rng.randrange(1, 12))) for _ in range(400)]
+    want, by_source = Counter(words), Counter()
     for _ in range(4):
         rng.shuffle(words)
-        parts = [D.Node() for _ in range(3)]
+        parts = [(Counter(), {}) for _ in range(3)]
+        by_source.clear()
         for k, w in enumerate(words):
-            parts[k % 3].add(w, 1, {f"s{k % 2}": 1})
-        whole = D.Node()
-        for part in parts:
-            for row in D._pieces("en", part):
-                D._merge(whole, row)
-        leaves = list(whole.walk())
-        assert [t for t, _ in leaves] == sorted(want)
-        assert {t: sum(x.counts.values()) for t, x in leaves} == want and all(x.docs == want[t] for t, x in leaves)
+            docs, groups = parts[k % 3]
+            docs[w] += 1
+            groups.setdefault(f"s{k % 2}", Counter())[w] += 1
+            by_source[w, f"s{k % 2}"] += 1
+        rows = [D.Trie.grown(*p).pieces("en") for p in parts]
+        tries = [D.Trie.read({c: b.column(c)[k] for c in D.PIECE.names}) for b in rows for k in range(b.num_rows)]
+        rng.shuffle(tries)
+        whole = D.Trie.merged([D.Trie.merged(tries[:9]), *tries[9:]])
+        assert whole.terms == sorted(want) and whole.docs.tolist() == [want[t] for t in whole.terms]
+        leaf = np.repeat(np.arange(len(whole.terms)), whole.width)
+        assert {(whole.terms[i], whole.names[s]): n for i, s, n in zip(leaf, whole.source, whole.count.tolist())} == by_source
+        some = D.Trie.merged(tries, 3)
+        assert some.terms == [t for t in sorted(want) if want[t] >= 3] and some.docs.tolist() == [want[t] for t in some.terms]
+        shared = D.shared_prefix(whole.terms)
+        assert all(a[:k] == b[:k] and a[k : k + 1] != b[k : k + 1] for a, b, k in zip(whole.terms, whole.terms[1:], shared[1:].tolist()))
