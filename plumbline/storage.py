@@ -11,6 +11,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL: list[str] = []
+_WRITTEN: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -27,7 +28,18 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, what: str) -> str:
-    return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
+    _WRITTEN.append(f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}")
+    return _WRITTEN[-1]
+
+
+def clear(spark: SparkSession) -> int:
+    """Delete what this process wrote to shared storage, once results that read it are no longer needed; says how many folders went."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()  # noqa: SLF001
+    n = 0
+    while _WRITTEN:
+        p = jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        n += bool(p.getFileSystem(conf).delete(p, True))
+    return n
 
 
 def written(df: DataFrame, what: str) -> DataFrame:
