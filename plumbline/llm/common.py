@@ -14,7 +14,6 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import math
-import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -23,15 +22,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.storage import shared_dir
+from plumbline.storage import clear, new_path  # noqa: F401  operators take them from here
 
 U64 = np.uint64
-_WRITTEN: list[str] = []
-
-
-def new_path(spark: SparkSession, what: str) -> str:
-    _WRITTEN.append(f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}")
-    return _WRITTEN[-1]
 
 
 def stored(df: DataFrame, what: str, compression: str = "snappy") -> DataFrame:
@@ -41,16 +34,6 @@ def stored(df: DataFrame, what: str, compression: str = "snappy") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def clear(spark: SparkSession) -> int:
-    """Delete what `stored` and other writers of this process left in shared storage, once its results are no longer read."""
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()  # noqa: SLF001
-    n = 0
-    while _WRITTEN:
-        p = jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
-        n += bool(p.getFileSystem(conf).delete(p, True))
-    return n
-
-
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

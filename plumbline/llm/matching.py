@@ -6,9 +6,9 @@ sends each distinct value once, packed by hash bucket into one binary row per
 others. However often a value occurs, a bucket holds it once per group, so hot
 values cost no more than the number of groups, and there is no list of pairs.
 
-Two rounds: `shared_values` on 32-bit anchors in buckets of bounded size (a
-filter, false hits allowed), then `flag_classes` on wide hashes of whole
-windows.
+`shared_values` does so with 32-bit keys, as a filter: false hits are allowed.
+Callers that need more then compare wide hashes of whole windows in the same
+way (`by_bucket`).
 """
 
 from __future__ import annotations
@@ -43,7 +43,6 @@ def _answer_shared(key: tuple, t: pa.Table) -> pa.Table:
     blobs, bids = t.column("vals").to_pylist(), t.column("bid").to_numpy()
     vals = np.frombuffer(b"".join(blobs), np.uint32)
     size = np.array([len(b) // 4 for b in blobs])
-    who = np.repeat(np.arange(len(blobs)), size)
     order = np.argsort(vals, kind="stable")
     v = vals[order]
     same = np.zeros(len(v), bool)
@@ -54,7 +53,6 @@ def _answer_shared(key: tuple, t: pa.Table) -> pa.Table:
     hit[order] = same
     ends = np.cumsum(size)
     out = [(bids[i], vals[e - s : e][m].tobytes()) for i, (s, e) in enumerate(zip(size, ends)) if (m := hit[e - s : e]).any()]
-    del who
     k = len(out)
     return pa.table([pa.array([o[0] for o in out], pa.int32()), pa.array([0] * k, pa.int32()),
                      pa.array([key[0].as_py()] * k, pa.int32()), pa.array([o[1] for o in out], pa.binary())], schema=ANSWER)
@@ -81,7 +79,7 @@ def member(keys: np.ndarray, sorted_keys: np.ndarray) -> np.ndarray:
     return sorted_keys[at] == keys
 
 
-#: One class entry: wide hash, then (first place only) document and place.
+#: A wide hash of a window: 64 bits and 32 more.
 ENTRY = np.dtype([("h", "<u8"), ("g", "<u4")])
 
 
