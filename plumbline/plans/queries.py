@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from plumbline.operators import attribution, boosting, clustering, curves, factors, scans, tables, templates, validation
+from plumbline.operators import attribution, boosting, clustering, curves, factors, scans, tables, templates, validation, warping
 from plumbline.sources import event_curves, table
 from plumbline.storage import written
 
@@ -193,5 +193,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "tree_shapley": lambda s, d: attribution.forest_shapley_by_fold(_class_rows(s, d), SHAPE, *CLASS),
     "boosted_shapley": lambda s, d: attribution.boosted_shapley_by_fold(_class_rows(s, d), SHAPE, *CLASS, rounds=3, depth=2),
     "extra_clusters": _extra_clusters,
+    "warped_by_fold": lambda s, d: warping.warped_by_fold(_shapes(s, d), _folds(s, d)),
     "shape_assign": _shape_assign,
 }

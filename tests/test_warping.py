@@ -1,0 +1,94 @@
+import random
+
+import numpy as np
+import pytest
+
+from plumbline.operators import warping as W
+
+
+def plain(x, t, band):
+    """The warped distance by its recursion."""
+    n, m = len(x), len(t)
+    band = max(band, abs(n - m))
+    d = {(0, 0): 0.0}
+    for i in range(1, n + 1):
+        for j in range(1, m + 1):
+            if abs(i - j) <= band:
+                d[i, j] = (x[i - 1] - t[j - 1]) ** 2 + min(d.get(p, np.inf) for p in ((i - 1, j - 1), (i - 1, j), (i, j - 1)))
+    return d[n, m]
+
+
+def path_sums(x, t, band):
+    d = W.costs(np.array([x]), t, band)[:, :, 0]
+    i, j, total, count = len(x), len(t), np.zeros(len(t)), np.zeros(len(t))
+    while i and j:
+        total[j - 1] += x[i - 1]
+        count[j - 1] += 1
+        k = int(np.argmin([d[i - 1, j - 1], d[i - 1, j], d[i, j - 1]]))
+        i, j = i - (k < 2), j - (k != 1)
+    return total, count
+
+
+def test_bounds_distances_and_alignments():
+    rng = np.random.default_rng(0)
+    for _ in range(60):
+        n, m, band = rng.integers(1, 9), rng.integers(1, 9), int(rng.integers(0, 4))
+        x, t = rng.integers(0, 4, (5, n)).astype(float), rng.integers(0, 4, m).astype(float)
+        want = [plain(v, t, band) for v in x]
+        assert np.allclose(W.warped(x, t, band), want) and np.allclose(W.costs(x, t, band)[n, m], want)
+        assert (W.lower_bounds(x, t, band) <= np.array(want) + 1e-9).all()
+        each = [path_sums(v, t, band) for v in x]
+        assert np.allclose(W.aligned_sums(x, t, band), np.sum(each, axis=0))
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_pruned_search_equals_all_comparisons(seed):
+    rng = np.random.default_rng(seed)
+    templates = [(f"c{k}", np.cumsum(rng.normal(size=12))) for k in range(9)] + [("same", np.zeros(12)), ("same again", np.zeros(12))]
+    x = np.concatenate([np.cumsum(rng.normal(size=(150, 12)), axis=1), np.zeros((2, 12)), np.stack([t for _, t in templates])])
+    who, best, full = W.nearest_warped(x, templates, 2)
+    for v, k, d in zip(x, who, best):
+        every = [plain(v, t, 2) for _, t in templates]
+        assert abs(min(every) - d) < 1e-9 and k == int(np.argmin(np.round(every, 9)))
+    assert full.mean() < 0.7 * len(templates)  # the rest is pruned
+
+
+def rows_of(seed):
+    rng = random.Random(seed)
+    rows, labels = [], []
+    for i in range(80):
+        cls, s = ("bump", "ramp")[i % 2], rng.randrange(4)
+        for b in range(10):
+            v = (1.0 if s + 1 <= b < s + 4 else 0.0) if cls == "bump" else max(0.0, b - s) / 9
+            rows.append((i, b, v + rng.gauss(0, 0.05)))
+        labels.append((i, cls, i % 3))
+    return rows + [(900, 0, 1.0), (900, 1, None), (901, 3, 0.5), (902, 0, 0.0)], labels + [(900, None, 0), (901, "bump", None)]
+
+
+def test_barycenters_of_the_other_folds(spark):
+    rows, labels = rows_of(1)
+    shapes, named = spark.createDataFrame(rows, "curve_id long, bucket int, value double").repartition(4), spark.createDataFrame(labels, "curve_id long, class string, fold int")
+    got = {r.curve_id: r for r in W.warped_by_fold(shapes, named, 10, 2, 2).collect()}
+    assert set(got) == {*range(80), 900} and sum(r.label == r.prediction for r in got.values() if r.label) > 75
+    x = {i: np.array([v for j, b, v in rows if j == i and v is not None]) for i in got}
+    for f in range(3):
+        templates = []
+        for cls in ("bump", "ramp"):
+            own = [x[i] for i, c, g in labels if c == cls and g is not None and g != f]
+            t = np.mean(own, axis=0)
+            for _ in range(2):
+                sums = np.sum([path_sums(v, t, 2) for v in own], axis=0)
+                t = sums[0] / sums[1]
+            templates.append((cls, t))
+        for i, r in got.items():
+            if r.fold == f:
+                every = [plain(x[i], t, 2) for _, t in templates]
+                assert abs(r.distance - min(every)) < 1e-5 and r.prediction == templates[int(np.argmin(every))][0] and 1 <= r.compared <= 2
+
+
+def test_nothing_to_learn_from(spark):
+    rows, labels = rows_of(2)
+    shapes, named = spark.createDataFrame(rows, "curve_id long, bucket int, value double"), spark.createDataFrame(labels, "curve_id long, class string, fold int")
+    alone = W.warped_by_fold(shapes, named.where("fold = 1"), 10).collect()
+    assert alone and {r.prediction for r in alone} == {None}
+    assert W.warped_by_fold(shapes.limit(0), named, 10).count() == 0
