@@ -58,3 +58,71 @@ def test_odd_rows(spark):
     assert len({r.score for r in classify(df, labels.limit(0)).collect()}) == 1
     assert classify(df.limit(0), labels).count() == 0
     assert quality.features(df).count() == len(rows)
+
+
+def plain_statistics(text):
+    """The statistics of one text, counted word by word and line by line."""
+    import re
+    from collections import Counter
+
+    raw = (text or "").encode()
+    logit = lambda part, whole: np.log((part + 0.5) / (max(whole - part, 0) + 0.5))
+    white, digit, upper, lower = b" \t\n\x0b\x0c\r", b"0123456789", bytes(range(65, 91)), bytes(range(97, 123))
+    mark = b"!\"'(),-.:;?"
+    n = lambda s, of: sum(c in of for c in s)
+    letters = lambda s: sum(c in upper or c in lower or c >= 128 for c in s)
+    odd = lambda c: c < 128 and c not in white + digit + upper + lower + mark
+    w = re.findall(rb"[^\x20\x09-\x0D]+", raw)
+    k, size = [len(x) for x in w], len(w)
+    lines = [x for x in re.findall(rb"[^\n]*\n|[^\n]+", raw) if len(x) > 1]
+    lines = [x[:-1] if x.endswith(b"\n") else x for x in lines]
+    top = lambda items: max(Counter(items).values(), default=0)
+    return [
+        np.log1p(len(raw)), np.log1p(size), np.log1p(np.mean(k) if w else 0), np.log1p(np.std(k) if w else 0),
+        logit(n(raw, upper), len(raw)), logit(n(raw, digit), len(raw)), logit(n(raw, mark), len(raw)), logit(sum(map(odd, raw)), len(raw)), logit(n(raw, white), len(raw)),
+        logit(len(set(w)), size), logit(sum(a == b for a, b in zip(w, w[1:])), size), logit(top(w), size), logit(len(set(lines)), len(lines)), np.log1p(size / max(len(lines), 1)),
+        logit(sum(x <= 3 for x in k), size), logit(sum(odd(x[-1]) for x in w), size), logit(sum(n(x, upper) > 1 and not n(x, lower) for x in w), size),
+        logit(sum(not letters(x) and len(x) == 1 for x in w), size), logit(sum(letters(x) == len(x) for x in w), size), logit(top(zip(w, w[1:])), size)]
+
+
+def test_whole_table_against_plain_counting(spark, sf):
+    """All rows of the query: statistics counted anew, densities from inverse covariances, shares and scale tried one by one."""
+    import itertools
+    import zlib
+
+    from plumbline.llm.queries import QUERIES
+
+    docs = {r.doc_id: plain_statistics(r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    known = [i for i in labels if i in docs and zlib.crc32(str(i).encode()) % 4 != 2]
+    fold = {r.doc_id: r.f for r in quality.features(spark.read.parquet(f"{sf}/documents.parquet")).select("doc_id", F.pmod(F.xxhash64("x"), F.lit(quality.FOLDS)).alias("f")).collect()}
+    d = len(NAMES)
+
+    def model(ids, pooled, diagonal):
+        x = {k: np.array([docs[i] for i in ids if labels[i] == k]) for k in (0, 1)}
+        common = sum((len(v) - 1) * np.cov(v.T) for v in x.values()) / (len(ids) - 2)
+        parts = []
+        for k in (0, 1):
+            a = min(1.0, pooled + d / (d + len(x[k])))
+            cov = (1 - diagonal) * ((1 - a) * np.cov(x[k].T) + a * common) + diagonal * np.diag(np.diag(common) + 1e-3) + 1e-6 * np.eye(d)
+            parts.append((x[k].mean(0), np.linalg.inv(cov), np.linalg.slogdet(cov)[1]))
+        dens = lambda v: [-0.5 * ((v - m) @ c @ (v - m) + g) for m, c, g in parts]
+        return (lambda v: dens(v)[1] - dens(v)[0]), np.log(len(x[1]) / len(x[0]))
+
+    best = None
+    for pooled, diagonal in itertools.product(quality.POOLED, quality.DIAGONAL):
+        losses = np.zeros(len(quality.SCALE))
+        for f in range(quality.FOLDS):
+            odds, prior = model([i for i in known if fold[i] != f], pooled, diagonal)
+            for i in known:
+                if fold[i] == f:
+                    losses += [np.logaddexp(0, -(1 if labels[i] else -1) * (s * odds(np.array(docs[i])) + prior)) for s in quality.SCALE]
+        for s, loss in zip(quality.SCALE, losses):
+            if best is None or round(loss, 6) < best[0]:
+                best = (round(loss, 6), pooled, diagonal, s)
+    odds, prior = model(known, *best[1:3])
+    got = {r.doc_id: r for r in QUERIES["op5_quality"](spark, sf).collect()}
+    assert set(got) == set(docs)
+    for i, x in docs.items():
+        want = 1 / (1 + np.exp(-(best[3] * odds(np.array(x)) + prior)))
+        assert abs(got[i].score - want) < 1e-6 and got[i].predicted == int(got[i].score >= 0.7) and got[i].held_out == (zlib.crc32(str(i).encode()) % 4 == 2)
