@@ -62,6 +62,13 @@ c AS (SELECT label AS nearest, b, avg(x) AS c FROM l GROUP BY 1, 2),
 d AS (SELECT vec_id, nearest, sum((x - c) * (x - c)) AS d FROM l JOIN c USING (b) GROUP BY 1, 2),
 m AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY d, nearest) AS k FROM d)
 SELECT vec_id, nearest, round(d, 4) AS distance FROM m WHERE k = 1""",
+    "robust_trends": """WITH c AS (SELECT user_id AS curve_id, epoch_us(ts) AS us, avg(value) AS v FROM events WHERE value IS NOT NULL GROUP BY 1, 2),
+p AS (SELECT a.curve_id, sign(b.v - a.v) AS s, (b.v - a.v) / ((b.us - a.us) / 3.6e9) AS slope FROM c a JOIN c b ON a.curve_id = b.curve_id AND a.us < b.us),
+m AS (SELECT curve_id, sum(s)::BIGINT AS s, median(slope) AS slope FROM p GROUP BY 1),
+e AS (SELECT curve_id, v, count(*)::DOUBLE AS k FROM c GROUP BY 1, 2),
+n AS (SELECT curve_id, sum(k) AS n, sum(k * (k - 1) * (2 * k + 5)) AS tied FROM e GROUP BY 1)
+SELECT n.curve_id, n::BIGINT AS n, coalesce(s, 0)::BIGINT AS s, round(coalesce((s - sign(s)) / nullif(sqrt((n * (n - 1) * (2 * n + 5) - tied) / 18), 0), 0), 6) AS z, round(slope, 6) AS slope_per_hour
+FROM n LEFT JOIN m ON m.curve_id = n.curve_id""",
     "shape_assign": f"""WITH {_RESAMPLE}, {_SHAPES},
 t AS (SELECT 0 AS cluster, i::INT AS bucket, 1.0::DOUBLE - i / 15.0::DOUBLE AS value FROM range(16) q(i)
   UNION ALL SELECT 1, i::INT, 0.5::DOUBLE FROM range(16) q(i) UNION ALL SELECT 2, i::INT, i / 15.0::DOUBLE FROM range(16) q(i)),

@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from plumbline.operators import attribution, boosting, clustering, curves, factors, scans, segments, sketches, tables, templates, validation, warping
+from plumbline.operators import attribution, boosting, clustering, curves, factors, scans, segments, sketches, tables, templates, trends, validation, warping
 from plumbline.sources import event_curves, table
 from plumbline.storage import written
 
@@ -192,6 +192,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "boosted_report": lambda s, d: validation.baseline_report(written(_boosted(s, d), "predictions")),
     "tree_shapley": lambda s, d: attribution.forest_shapley_by_fold(_class_rows(s, d), SHAPE, *CLASS),
     "boosted_shapley": lambda s, d: attribution.boosted_shapley_by_fold(_class_rows(s, d), SHAPE, *CLASS, rounds=3, depth=2),
+    "robust_trends": _of_curves(trends.robust_trends),
     "change_points": lambda s, d: segments.change_points(event_curves(s, d), 4000.0),
     "curve_sketches": lambda s, d: sketches.estimates(sketches.merged(sketches.daily_sketches(event_curves(s, d)), ["curve_id"]), ["curve_id"]),
     "extra_clusters": _extra_clusters,
