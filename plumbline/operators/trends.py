@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Pairs of a range that are made at once, for each sample.
-FEW = 16
+FEW = 64
 #: Where the range is cut: not at its middle, lest cuts fall on round slopes that many pairs share.
 CUT = 0.4990231
 DDL = "curve_id bigint, n bigint, s bigint, z double, slope_per_hour double"
