@@ -89,7 +89,14 @@ def strength_tier_by_fold(df: DataFrame, id_col: str, value_col: str, fold_col:
 
 
 def factor_join(curves: DataFrame, factors: DataFrame, left_key: str, right_key: str) -> DataFrame:
-    """Every curve row with its factors; nulls where a factor row is missing (Spark picks the join by size)."""
+    """Every curve row with its factors; nulls where a factor row is missing (Spark picks the join by size).
+
+    A curve row comes once for each factor row of its key, and a null key has
+    none. Names that both sides have, the keys apart, raise an error: rename
+    one of them first.
+    """
+    if both := sorted(set(curves.columns) & set(factors.columns) - {right_key}):
+        raise ValueError(f"both sides have {', '.join(both)}")
     return curves.join(factors, curves[left_key] == factors[right_key], "left").drop(factors[right_key])
 
 

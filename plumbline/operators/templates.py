@@ -86,7 +86,9 @@ def template_assign_by_fold(shapes: DataFrame, labels: DataFrame, tau: float | N
 def nearest_centroid(vectors: DataFrame, id_col: str, vec_col: str, class_col: str) -> DataFrame:
     """Nearest class mean of each dense vector; the class means are learned from the labelled rows.
 
-    Equal distances go to the class that sorts first; null and empty vectors have no row.
+    Equal distances go to the class that sorts first; null and empty vectors
+    have no row. A dimension that the vector or the mean lacks, or has as null,
+    adds nothing to a distance.
     """
     long = vectors.where(F.col(class_col).isNotNull()).select(class_col, F.posexplode(vec_col).alias("bucket", "x"))
     means = long.groupBy(class_col, "bucket").agg(F.avg("x").alias("c")).groupBy(F.col(class_col).alias("nearest")).agg(F.array_sort(F.collect_list(F.struct("bucket", "c"))).alias("m"))
