@@ -12,7 +12,9 @@
    minima of counts leave open. A list beyond LIST sets is cut by size class
    into blocks; a block with its upper corner is a node of a tree over tasks,
    and only pairs of blocks that pass the same bound are brought together.
-4. Every open pair is decided on its two whole sets.
+4. Open pairs are decided on their two whole sets: first the likeliest pair of
+   each two components in a list; then, in lists where two that had more pairs
+   are still apart, every such pair.
 
 No list is sampled or cut off, and no pair within a component is listed. What
 grows faster than the input are open pairs: sets that share a rare n-gram and
@@ -34,7 +36,7 @@ from plumbline.llm import matching as M
 from plumbline.llm import simhash as S
 from plumbline.llm.common import Layout, give_back, mix, prefix, spans_hash, stored, text_arrays, words_of
 from plumbline.llm.components import components
-from plumbline.llm.rtree import GROUPS, RTree, count_vector, may_link
+from plumbline.llm.rtree import GROUPS, RTree, count_vector, may_link, overlap_bound
 
 #: Sets of one list that one task compares; longer lists are cut into blocks of about as many.
 LIST = 4096
@@ -119,7 +121,7 @@ def live_sets(docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
 
 
 def _points(sets: DataFrame) -> DataFrame:
-    """(node, point) of each set (node, hashes): its counts by group as packed 32-bit integers."""
+    """(node, point) of each set (node, hashes): its counts by group as packed 16-bit integers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -129,19 +131,26 @@ def _points(sets: DataFrame) -> DataFrame:
 
 
 def _vectors(col: pa.ChunkedArray | pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(col.to_pylist()), np.int32).reshape(-1, GROUPS)
+    return np.frombuffer(b"".join(col.to_pylist()), np.uint16).reshape(-1, GROUPS)
 
 
-def _decided(pairs: DataFrame, sets: DataFrame, points: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs (u, v) that are linked: by the bound of their points, then on their whole sets (node, n, hashes)."""
+def _bounded(pairs: DataFrame, sets: DataFrame, points: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs (u, v) that the bound of their points leaves open."""
 
     def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             n, m = (b.column(k).to_numpy() for k in (2, 4))
-            most = np.minimum(_vectors(b.column(3)), _vectors(b.column(5))).sum(1, dtype=np.int64)
-            keep = pa.array(may_link(most, n, m, num, den))
+            keep = pa.array(may_link(overlap_bound(_vectors(b.column(3)), _vectors(b.column(5)), n, m), n, m, num, den))
             yield pa.RecordBatch.from_arrays([b.column(0).filter(keep), b.column(1).filter(keep)], ["u", "v"])
 
+    sized = points.join(sets.select("node", "n"), "node")
+    near = [sized.select(F.col("node").alias(c), F.col("n").alias(f"{c}_n"), F.col("point").alias(f"{c}_p")) for c in "uv"]
+    return pairs.join(near[0], "u").join(near[1], "v").select("u", "v", "u_n", "u_p", "v_n", "v_p").mapInArrow(bound, "u bigint, v bigint")
+
+
+def _decided(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs (u, v) that are linked, by their whole sets (node, hashes)."""
+
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ok = []
@@ -153,20 +162,32 @@ def _decided(pairs: DataFrame, sets: DataFrame, points: DataFrame, num: int, den
             keep = pa.array(ok, pa.bool_())
             yield pa.RecordBatch.from_arrays([b.column(0).filter(keep), b.column(1).filter(keep)], ["u", "v"])
 
-    sized = points.join(sets.select("node", "n"), "node")
-    near = [sized.select(F.col("node").alias(c), F.col("n").alias(f"{c}_n"), F.col("point").alias(f"{c}_p")) for c in "uv"]
-    some = pairs.join(near[0], "u").join(near[1], "v").select("u", "v", "u_n", "u_p", "v_n", "v_p").mapInArrow(bound, "u bigint, v bigint")
-    some = stored(some, "bounded")
     left, right = (sets.select(F.col("node").alias(c), F.col("hashes").alias(f"{c}_set")) for c in "uv")
-    return some.join(left, "u").join(right, "v").select("u", "v", "u_set", "v_set").mapInArrow(decide, "u bigint, v bigint")
+    return pairs.join(left, "u").join(right, "v").select("u", "v", "u_set", "v_set").mapInArrow(decide, "u bigint, v bigint")
 
 
-def _pair_batch(node: np.ndarray, i: np.ndarray, j: np.ndarray) -> pa.RecordBatch:
-    u, v = node[i], node[j]
-    return pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], ["u", "v"])
+PAIR_DDL = "u bigint, v bigint, h bigint, more boolean"
 
 
-def _in_lists(num: int, den: int):  # noqa: ANN202
+def _pairs(tree: RTree, h: int, node: np.ndarray, n: np.ndarray, root: np.ndarray, points: np.ndarray, num: int, den: int, one: bool, across: bool = False, at: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
+    """The tree's pairs as (u, v), u < v, of the list h; one: of each two components met in a step only the pair with the largest bound for its sizes, and whether there are more."""
+    for i, j in tree.pairs(num, den, across):
+        if at is not None:  # the first shared hash of a pair leaves room for its overlap
+            ok = may_link(np.minimum(n[i] - at[i], n[j] - at[j]), n[i], n[j], num, den)
+            i, j = i[ok], j[ok]
+        more = np.zeros(len(i), bool)
+        if one and len(i):
+            share = overlap_bound(points[i], points[j], n[i], n[j]) / (n[i] + n[j])
+            a, b = np.minimum(root[i], root[j]), np.maximum(root[i], root[j])
+            order = np.lexsort((-share, b, a))
+            first = np.flatnonzero(np.append(True, (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1])))
+            more = np.diff(np.append(first, len(i))) > 1
+            i, j = i[order[first]], j[order[first]]
+        u, v = node[i], node[j]
+        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v)), pa.array(np.full(len(i), h)), pa.array(more)], ["u", "v", "h", "more"])
+
+
+def _in_lists(num: int, den: int, one: bool):  # noqa: ANN202
     """A function of a bucket's rows (h, node, n, at, root, point): open pairs of each list."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -178,12 +199,8 @@ def _in_lists(num: int, den: int):  # noqa: ANN202
         edge = np.flatnonzero(np.append(True, h[order][1:] != h[order][:-1]))
         for a, z in zip(edge, np.append(edge[1:], len(h))):
             own = order[a:z]
-            for i, j in RTree(points[own], n[own], root[own]).pairs(num, den):
-                i, j = own[i], own[j]
-                # the first shared hash of a pair leaves room for its overlap
-                room = np.minimum(n[i] - at[i], n[j] - at[j])
-                ok = may_link(room, n[i], n[j], num, den)
-                yield _pair_batch(node, i[ok], j[ok])
+            tree = RTree(points[own], n[own], root[own])
+            yield from _pairs(tree, h[own[0]], node[own], n[own], root[own], points[own], num, den, one, at=at[own])
         del points
         give_back()
 
@@ -204,7 +221,7 @@ def _block(t: pa.Table) -> pa.Table:
         pa.schema([("h", pa.int64()), ("class", pa.int32()), ("sub", pa.int32()), *[(c, pa.int64()) for c in ("least", "most", "root0", "root1")], *[(c, pa.binary()) for c in ("top", "nodes", "sizes", "roots", "points")]]))
 
 
-def _in_blocks(entries: DataFrame, num: int, den: int) -> DataFrame:
+def _in_blocks(entries: DataFrame, num: int, den: int, one: bool) -> DataFrame:
     """Open pairs (u, v) of lists that are too long for a task: entries (h, node, n, root, point)."""
     cls = F.floor(F.log("n") / math.log(den / num) + 1e-9).cast("int")  # linked sets differ by one class at most
     parts = entries.withColumn("class", cls)
@@ -214,8 +231,8 @@ def _in_blocks(entries: DataFrame, num: int, den: int) -> DataFrame:
 
     def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            col = {c: b.column(c).to_numpy() for c in ("a_least", "b_least", "a_root0", "a_root1", "b_root0", "b_root1")}
-            most = np.minimum(_vectors(b.column("a_top")), _vectors(b.column("b_top"))).sum(1, dtype=np.int64)
+            col = {c: b.column(c).to_numpy() for c in ("a_least", "b_least", "a_most", "b_most", "a_root0", "a_root1", "b_root0", "b_root1")}
+            most = overlap_bound(_vectors(b.column("a_top")), _vectors(b.column("b_top")), col["a_most"], col["b_most"])
             keep = may_link(most, col["a_least"], col["b_least"], num, den) & ((col["a_root0"] != col["b_root1"]) | (col["a_root1"] != col["b_root0"]))
             yield b.select(["h", "a_class", "a_sub", "b_class", "b_sub"]).filter(pa.array(keep))
 
@@ -225,19 +242,35 @@ def _in_blocks(entries: DataFrame, num: int, den: int) -> DataFrame:
                 same = (r["a_class"], r["a_sub"]) == (r["b_class"], r["b_sub"])
                 sides = "a" if same else "ab"
                 node, n, root = (np.concatenate([np.frombuffer(r[f"{s}_{c}"], np.int64) for s in sides]) for c in ("nodes", "sizes", "roots"))
-                points = np.concatenate([np.frombuffer(r[f"{s}_points"], np.int32).reshape(-1, GROUPS) for s in sides])
+                points = np.concatenate([np.frombuffer(r[f"{s}_points"], np.uint16).reshape(-1, GROUPS) for s in sides])
                 side = np.concatenate([np.full(len(r[f"{s}_nodes"]) // 8, k) for k, s in enumerate(sides)])
-                for i, j in RTree(points, n, root, side).pairs(num, den, across=not same):
-                    yield _pair_batch(node, i, j)
+                yield from _pairs(RTree(points, n, root, side), r["h"], node, n, root, points, num, den, one, across=not same)
             give_back()
 
     named = lambda s, cols: blocks.select("h", *[F.col(c).alias(f"{s}_{c}") for c in ("class", "sub", *cols)])
-    corner, body = ("least", "root0", "root1", "top"), ("nodes", "sizes", "roots", "points")
+    corner, body = ("least", "most", "root0", "root1", "top"), ("nodes", "sizes", "roots", "points")
     after = (F.col("a_class") < F.col("b_class")) | (F.col("a_sub") <= F.col("b_sub"))
     nodes = named("a", corner).join(named("b", corner), "h").where(F.col("b_class").between(F.col("a_class"), F.col("a_class") + 1) & after)
     some = nodes.mapInArrow(bounded, "h bigint, a_class int, a_sub int, b_class int, b_sub int")
     met = some.join(named("a", body), ["h", "a_class", "a_sub"]).join(named("b", body), ["h", "b_class", "b_sub"])
-    return met.mapInArrow(compare, "u bigint, v bigint")
+    return met.mapInArrow(compare, PAIR_DDL)
+
+
+def _open_pairs(rooted: DataFrame, points: DataFrame, num: int, den: int, one: bool) -> DataFrame:
+    """Pairs (u, v) of different roots that the bounds leave open in the lists of rooted (bucket, h, node, n, at, root); see `_pairs` for one."""
+    lists = stored(rooted.groupBy("h").agg(F.count("*").alias("k"), (F.min("root") != F.max("root")).alias("open")).where("open").select("h", "k"), "lists")
+    entries = rooted.join(lists, "h").join(points, "node")
+    parts = int(rooted.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cols = ("bucket", "h", "node", "n", "at", "root", "point")
+    out = entries.where(F.col("k") <= LIST).select(*cols).repartition(parts, "bucket").groupBy("bucket").applyInArrow(_in_lists(num, den, one), PAIR_DDL)
+    long = lists.where(F.col("k") > LIST)
+    return out if long.isEmpty() else out.unionByName(_in_blocks(entries.where(F.col("k") > LIST), num, den, one))
+
+
+def _rooted(entries: DataFrame, comp: DataFrame) -> DataFrame:
+    """entries with the root of their node's component."""
+    roots = comp.select(F.col("u").alias("node"), F.col("v").alias("root"))
+    return entries.join(roots, "node", "left").select("bucket", "h", "node", "n", "at", F.coalesce("root", "node").alias("root"))
 
 
 def jaccard_components(docs: DataFrame, shingle: int = 4, num: int = 85, den: int = 100) -> DataFrame:
@@ -266,14 +299,18 @@ def jaccard_components(docs: DataFrame, shingle: int = 4, num: int = 85, den: in
     heads = heads.join(heads.groupBy("h").agg(F.min("node").alias("least"), F.count("*").alias("k")).where("k > 1").select("h", "least"), "h").select("node", F.col("least").alias("prev"))
     pairs = shared.select("node", "prev").unionByName(heads).where("node <> prev")
     near = pairs.select(F.least("node", "prev").alias("u"), F.greatest("node", "prev").alias("v")).distinct()
-    links = stored(_decided(near, sets, points, num, den), "links")
-    comp = components(links).select(F.col("u").alias("node"), F.col("v").alias("root"))
-    rooted = stored(shared.join(comp, "node", "left").select("bucket", "h", "node", "n", "at", F.coalesce("root", "node").alias("root")), "rooted")
-    lists = rooted.groupBy("h").agg(F.count("*").alias("k"), (F.min("root") != F.max("root")).alias("open")).where("open").select("h", "k")
-    entries = stored(rooted.join(lists, "h").join(points, "node"), "entries")
-    short = entries.where(F.col("k") <= LIST).select("bucket", "h", "node", "n", "at", "root", "point").groupBy("bucket").applyInArrow(_in_lists(num, den), "u bigint, v bigint")
-    long = _in_blocks(entries.where(F.col("k") > LIST), num, den)
-    rest = stored(short.unionByName(long).distinct(), "open")
-    comp = components(links.unionByName(_decided(rest, sets, points, num, den)))
+    links = stored(_decided(stored(_bounded(near, sets, points, num, den), "bounded"), sets, num, den), "links")
+    rooted = stored(_rooted(shared, components(links)), "rooted")
+    # of two components that meet in a list the likeliest pair first; most are one component then
+    found = stored(_open_pairs(rooted, points, num, den, True), "open")
+    links = stored(links.unionByName(_decided(found.select("u", "v").distinct(), sets, num, den)), "links")
+    comp = components(links)
+    end = [comp.select(F.col("u").alias(c), F.col("v").alias(f"{c}_root")) for c in "uv"]
+    apart = found.where("more").join(end[0], "u", "left").join(end[1], "v", "left").where(F.coalesce("u_root", "u") != F.coalesce("v_root", "v"))
+    lists = stored(apart.select("h").distinct(), "unfinished")
+    if not lists.isEmpty():  # those that are still two: all their pairs
+        rest = stored(_rooted(rooted.join(lists, "h", "left_semi").drop("root"), comp), "rest")
+        found = stored(_open_pairs(rest, points, num, den, False).select("u", "v").distinct(), "open")
+        comp = components(links.unionByName(_decided(found, sets, num, den)))
     roots = reps.join(comp.select(F.col("u").alias("node"), "v"), "node", "left").select("key", F.coalesce("v", "node").alias("group"))
     return sk.join(roots, "key", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce(F.when(F.col("n") > 0, F.col("group")), "doc_id")).alias("component_id"))

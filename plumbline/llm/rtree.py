@@ -6,7 +6,8 @@ of their counts there, so the sum of the coordinates' minima bounds their
 overlap, and the sum over the upper corners of two boxes bounds it for all
 points within. A Jaccard similarity of num/den or more needs an overlap of
 num * (n + m) / (num + den) for sizes n and m, so boxes and points whose bound
-is less are passed over; all numbers are whole.
+is less are passed over; all numbers are whole. Neighbouring groups are added
+up for a coarser bound first.
 
 The tree is packed once (sort, tile, recurse): by size, then by the coordinate
 that varies most, into leaves of LEAF points and nodes of FAN children.
@@ -18,15 +19,23 @@ from collections.abc import Iterator
 
 import numpy as np
 
-#: Coordinates of a point.
-GROUPS = 64
+#: Coordinates of a point, and of the coarser one that is looked at first.
+GROUPS, COARSE = 256, 32
+#: Largest count that a coordinate holds; only sets with more items can exceed it, and they have no bound by groups.
+MOST = 65535
 #: Points of a leaf, children of a node, cells (pairs times coordinates) of one step.
-LEAF, FAN, STEP = 16, 8, 1 << 22
+LEAF, FAN, STEP = 16, 8, 1 << 23
 
 
 def count_vector(h: np.ndarray, groups: int = GROUPS) -> np.ndarray:
     """How many of the hashes fall into each group."""
-    return np.bincount((h >> np.uint64(8)) % np.uint64(groups), minlength=groups).astype(np.int32)
+    return np.minimum(np.bincount((h >> np.uint64(8)) % np.uint64(groups), minlength=groups), MOST).astype(np.uint16)
+
+
+def overlap_bound(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """Most items that sets (or sets below nodes) of up to n and m items can share, row by row of their counts."""
+    least = np.minimum(n, m).astype(np.int64)
+    return np.where(least > MOST, least, np.minimum(least, np.minimum(a, b).sum(1, dtype=np.int64)))
 
 
 def may_link(bound: np.ndarray, n: np.ndarray, m: np.ndarray, num: int, den: int) -> np.ndarray:
@@ -51,31 +60,33 @@ class RTree:
     def __init__(self, points: np.ndarray, size: np.ndarray, root: np.ndarray, side: np.ndarray | None = None):
         self.order = packed_order(points, size)
         side = np.zeros(len(size), np.int64) if side is None else side
-        top, low, roots, sides = points[self.order], size[self.order], root[self.order], side[self.order]
-        # a level: upper corners, least and largest size, least and largest root and side
-        self.levels = [(top, low, low, roots, roots, sides, sides)]
+        fine, low, roots, sides = points[self.order], size[self.order], root[self.order], side[self.order]
+        coarse = fine.reshape(len(fine), COARSE, -1).sum(2, dtype=np.int64)
+        # a level: upper corners, coarse and fine; least and largest size, root and side
+        self.levels = [(coarse, fine, low, low, roots, roots, sides, sides)]
         while len(self.levels[-1][0]) > 1:
             cut = np.arange(0, len(self.levels[-1][0]), LEAF if len(self.levels) == 1 else FAN)
             least, most = np.minimum.reduceat, np.maximum.reduceat
-            self.levels.append(tuple(f(x, cut) for f, x in zip((most, least, most, least, most, least, most), self.levels[-1])))
+            self.levels.append(tuple(f(x, cut) for f, x in zip((most, most, least, most, least, most, least, most), self.levels[-1])))
 
     def _open(self, level: int, i: np.ndarray, j: np.ndarray, num: int, den: int, across: bool) -> np.ndarray:
         """Which pairs of nodes of a level may hold a pair of linked points with different roots (and sides)."""
-        top, least, most, r0, r1, s0, s1 = self.levels[level]
+        coarse, fine, least, most, r0, r1, s0, s1 = self.levels[level]
         ok = (r0[i] != r1[j]) | (r1[i] != r0[j])
         if across:
             ok &= (s0[i] != s1[j]) | (s1[i] != s0[j])
         ok &= may_link(np.minimum(most[i], most[j]).astype(np.int64), least[i], least[j], num, den)
-        at = np.flatnonzero(ok)
-        bound = np.minimum(top[i[at]], top[j[at]]).sum(1, dtype=np.int64)
-        ok[at] = may_link(bound, least[i[at]], least[j[at]], num, den)
+        for top in (coarse, fine):
+            at = np.flatnonzero(ok)
+            a, b = i[at], j[at]
+            ok[at] = may_link(overlap_bound(top[a], top[b], most[a], most[b]), least[a], least[b], num, den)
         return ok
 
     def pairs(self, num: int, den: int, across: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Index pairs of points with different roots (across: and sides) whose overlap may suffice; each pair once."""
         zero = np.zeros(1, np.int64)
         todo = [(len(self.levels) - 1, zero, zero)] if len(self.order) > 1 else []
-        step = max(1, STEP // self.levels[0][0].shape[1])
+        step = max(1, STEP // self.levels[0][1].shape[1])
         while todo:
             level, i, j = todo.pop()
             if len(i) > step:

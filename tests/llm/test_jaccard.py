@@ -119,7 +119,7 @@ def test_tree_gives_the_pairs_of_the_bound():
         root, side = rng.integers(0, max(1, n // 2), n), rng.integers(0, 2, n)
         for across in (False, True):
             out = [(min(a, b), max(a, b)) for i, j in RTree(p, size, root, side).pairs(85, 100, across) for a, b in zip(i.tolist(), j.tolist())]
-            want = {(a, b) for a in range(n) for b in range(a + 1, n) if root[a] != root[b] and (not across or side[a] != side[b]) and may_link(np.minimum(p[a], p[b]).sum(), size[a], size[b], 85, 100)}
+            want = {(a, b) for a in range(n) for b in range(a + 1, n) if root[a] != root[b] and (not across or side[a] != side[b]) and may_link(np.minimum(p[a], p[b]).sum(dtype=np.int64), size[a], size[b], 85, 100)}
             assert len(out) == len(set(out)) and set(out) == want
             for a, b in [(a, b) for a in range(min(n, 40)) for b in range(a)]:
                 both = len(np.intersect1d(sets[a], sets[b]))
