@@ -42,6 +42,8 @@ PARTS = 1_000_000_000
 LEAD = 3
 #: (language, source, term) counters that a task holds before it hands its tries over.
 HELD = 1 << 18
+#: Leaves that one task merges, about; prefix ranges with more are cut further.
+LEAVES = 1 << 19
 #: Pieces of a prefix range that are merged at a time.
 AT_ONCE = 64
 #: Bytes of terms that are compared at once for what they share.
@@ -130,9 +132,9 @@ class Trie:
         leaf, source, count = np.concatenate(cells, axis=1)
         return Trie.of(terms, docs[new >= 0][np.argsort(new[new >= 0])], leaf, source, count, names)
 
-    def pieces(self, lang: str) -> pa.RecordBatch:
-        """The trie cut by prefix range, front coded, a row a piece."""
-        lead = np.array(self.terms, f"S{LEAD}")
+    def pieces(self, lang: str, size: int = LEAD) -> pa.RecordBatch:
+        """The trie cut by prefix range (terms that share `size` bytes), front coded, a row a piece."""
+        lead = np.array(self.terms, f"S{size}")
         first = np.append(True, lead[1:] != lead[:-1])
         shared = np.where(first, 0, shared_prefix(self.terms))
         cut = np.append(np.flatnonzero(first), len(self.terms))
@@ -144,7 +146,7 @@ class Trie:
         listed = lambda values, off: pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), pa.array(values))
         tails = pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), pa.array([t[k:] for t, k in zip(self.terms, shared.tolist())], pa.binary()))
         return pa.RecordBatch.from_arrays([
-            pa.array([lang] * len(names), pa.string()), pa.array([self.terms[k][:LEAD] for k in cut[:-1]], pa.binary()), pa.array(names, pa.list_(pa.string())), listed(shared.astype(np.int32), cut), tails,
+            pa.array([lang] * len(names), pa.string()), pa.array([self.terms[k][:size] for k in cut[:-1]], pa.binary()), pa.array(names, pa.list_(pa.string())), listed(shared.astype(np.int32), cut), tails,
             listed(self.docs, cut), listed(self.width.astype(np.int32), cut), listed(source, inner), listed(self.count, inner)], schema=PIECE)
 
     @staticmethod
@@ -228,7 +230,19 @@ def kept_terms(docs: DataFrame, least: int = 30) -> DataFrame:
         give_back()
 
     pieces = stored(term_tries(docs), "tries")  # counted once: the sample that sets the ranges reads what is written
-    dealt = pieces.repartitionByRange("lang", "lead").sortWithinPartitions("lang", "lead")
+    ranges = stored(pieces.groupBy("lang", "lead").agg(F.sum(F.size("docs")).alias("leaves")), "ranges")
+    leaves, most = ranges.agg(F.sum("leaves"), F.max("leaves")).first()
+    if most and most > LEAVES:  # a range that is too large for a task is cut by more bytes, in all its pieces
+        hot = ranges.where(F.col("leaves") > LEAVES).select("lang", "lead")
+
+        def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for k, lang in enumerate(b.column(0).to_pylist()):
+                    yield Trie.read({c: b.column(c)[k] for c in PIECE.names}).pieces(lang, 3 * LEAD)
+
+        pieces = stored(pieces.join(hot, ["lang", "lead"], "left_anti").unionByName(pieces.join(hot, ["lang", "lead"], "left_semi").select(*PIECE.names).mapInArrow(cut, PIECE_DDL)), "tries")
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-(leaves or 0) // LEAVES))
+    dealt = pieces.repartitionByRange(parts, "lang", "lead").sortWithinPartitions("lang", "lead")
     return dealt.mapInArrow(run, KEPT_DDL)
 
 

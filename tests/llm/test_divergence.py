@@ -53,8 +53,9 @@ def frame(spark, rows):
     return spark.createDataFrame([(k // 2 or None, *r, "x", 5) for k, r in enumerate(rows)], "doc_id long, text string, lang string, source string, term string, count int")
 
 
-@pytest.mark.parametrize("seed,least", [(0, 30), (1, 3), (2, 1)])
-def test_same_as_brute_force(spark, monkeypatch, seed, least):
+@pytest.mark.parametrize("seed,least,leaves", [(0, 30, 1 << 19), (1, 3, 40), (2, 1, 3)])
+def test_same_as_brute_force(spark, monkeypatch, seed, least, leaves):
+    monkeypatch.setattr(D, "LEAVES", leaves)  # with few, some ranges are cut further
     monkeypatch.setattr(D, "HELD", 400)
     monkeypatch.setattr(D, "AT_ONCE", 3)
     rows = corpus(seed)
