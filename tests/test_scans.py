@@ -1,10 +1,12 @@
 import random
 
+import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from plumbline.operators import scans
+from plumbline.operators import scans, tables
 from plumbline.operators.tables import range_join
+from plumbline.plans.queries import QUERIES
 
 
 def rows_of(seed, n=400):
@@ -50,3 +52,25 @@ def test_range_join_against_pairs(spark):
     for width in (1, 10, 1000):
         assert sorted((r.p, r.q) for r in range_join(p, q, "k", "at", "a", "z", width).collect()) == want
     assert range_join(p, q.limit(0), "k", "at", "a", "z").count() == 0
+
+
+@pytest.mark.parametrize("pairs", [0, 12, 90])
+def test_range_join_of_keys_with_few_and_many_rows(spark, monkeypatch, pairs):
+    """All keys through the tree, some of them, and none; a key may have many points or many spans."""
+    monkeypatch.setattr(tables, "PAIRS", pairs)
+    rng = random.Random(pairs)
+    points = [(i, k, rng.randrange(-99, 99)) for k, n in ((1, 80), (2, 3), (3, 9), (4, 5), (None, 9)) for i in range(n)] + [(900, 1, None)]
+    spans = [(i, k, a := rng.randrange(-99, 99), a + rng.choice([-1, 0, 1, 9, 200])) for k, n in ((1, 3), (2, 85), (3, 9), (5, 40), (None, 9)) for i in range(n)]
+    p, q = spark.createDataFrame(points, "p int, k int, at long"), spark.createDataFrame(spans, "q int, k int, a long, z long")
+    want = sorted((x, k, y) for x, k, t in points for y, m, a, z in spans if None not in (t, k) and k == m and a <= t < z)
+    for width in (1, 10):
+        got = range_join(p, q, "k", "at", "a", "z", width)
+        assert got.columns == ["k", "p", "at", "q", "a", "z"]
+        assert sorted((r.p, r.k, r.q) for r in got.collect()) == want
+
+
+def test_range_join_copies_and_broadcasts_nothing_for_small_keys(spark, sf):
+    """A broadcast of copied rows took the driver's memory: Spark takes the table for as small as its stored columns."""
+    for df in (QUERIES["interval_join"](spark, sf), range_join(*[spark.range(9000).select((F.col("id") % 2000).alias("k"), *c) for c in ([F.col("id").alias("at")], [F.col("id").alias("a"), (F.col("id") + 700).alias("z")])], "k", "at", "a", "z")):
+        plan = df._jdf.queryExecution().executedPlan().toString()  # noqa: SLF001
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan and "Generate" not in plan
