@@ -22,8 +22,9 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays: five-word shingles, similarity 0.8 or more.
 
-    Decided on whole shingle sets behind exact filters (`simhash.near_groups`),
-    not on SimHash distances, which would miss pairs at the threshold.
+    Texts that share enough shingles with others are put together by their
+    SimHashes, and whole shingle sets decide; pairs that lie too far apart for
+    SimHash are found by exact filters (`simhash.near_groups`).
     """
     return simhash.simhash_dedup(docs)
 

@@ -23,9 +23,10 @@ Two kinds of link:
   (population count of an exclusive-or, as above), are candidates, and every
   candidate pair is decided on its two whole sets. Hashes frequent in a sample
   come last in the order, so they rarely make candidates; the order does not
-  affect the result. Pairs of neighbours are decided first and their
-  components found; then all pairs that these leave in different components,
-  a list of more than LIST entries in pairs of blocks.
+  affect the result. Pairs whose SimHashes differ in RADIUS bits or fewer
+  (fingerprints of the sets in tiles, as above) and pairs of neighbours are
+  decided first and their components found; then all pairs that these leave
+  in different components, a list of more than LIST entries in pairs of blocks.
 
 The comparison of tiles is quadratic in the distinct fingerprints of
 neighbouring cells. It is dealt over tile pairs, so it spreads over any
@@ -62,6 +63,8 @@ LIST = 4096
 PARITY = 512
 #: Prefix entries of a bucket, pairs of one step.
 BUCKET, STEP = 1 << 19, 1 << 20
+#: Differing bits up to which SimHash puts sets together, before the whole sets decide.
+RADIUS = 3
 #: Ids from here on stand for rows without one.
 NULL_ID = (1 << 63) - (1 << 41)
 
@@ -211,24 +214,25 @@ def _ranks(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def prefixes(sets: DataFrame, ranks: tuple[np.ndarray, np.ndarray], min_sim: float = 0.8) -> DataFrame:
-    """(node, n, prefix, parity) of each set (node, n, hashes): its first hashes in the order of the ranks, and its parity map."""
+    """(node, n, fp, prefix, parity) of each set (node, n, hashes): its SimHash, its first hashes in the order of the ranks, and its parity map."""
     shared = sets.sparkSession.sparkContext.broadcast(ranks)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, often = shared.value
         for b in batches:
-            first, odd = [], []
+            first, odd, fp = [], [], []
             for x in b.column(2).to_pylist():
                 h = np.frombuffer(x, np.uint64)
+                fp.append(majority(h, np.array([0, len(h)]))[0])
                 odd.append(np.packbits((np.bincount((mix(h) % np.uint64(PARITY)).astype(np.int64), minlength=PARITY) & 1).astype(bool)).tobytes())
                 rank = np.zeros(len(h), np.int64)
                 if len(known):
                     at = np.minimum(np.searchsorted(known, h), len(known) - 1)
                     rank = np.where(known[at] == h, often[at], 0)
                 first.append(h[np.lexsort((h, rank))][: len(h) - least_overlap(np.array(len(h)), min_sim) + 1].tobytes())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(first, pa.binary()), pa.array(odd, pa.binary())], ["node", "n", "prefix", "parity"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(np.array(fp, np.uint64).view(np.int64)), pa.array(first, pa.binary()), pa.array(odd, pa.binary())], ["node", "n", "fp", "prefix", "parity"])
 
-    return sets.select("node", "n", "hashes").mapInArrow(run, "node bigint, n bigint, prefix binary, parity binary")
+    return sets.select("node", "n", "hashes").mapInArrow(run, "node bigint, n bigint, fp bigint, prefix binary, parity binary")
 
 
 def _ball(cell: tuple[int, ...], reach: int) -> Iterator[tuple[int, ...]]:
@@ -326,6 +330,22 @@ def _parts_for(n: int) -> int:
     return 1 if n < 300_000 else 2 if n < 3_000_000 else 4
 
 
+def _tile_links(reps: DataFrame, radius: int) -> DataFrame:
+    """Forest links (u, v) of reps (fp, node), each fingerprint once, that differ in at most `radius` bits: all pairs of tiles that can hold such."""
+    n = reps.count()
+    k = _parts_for(n)
+    bits = 64 // k
+    mask = (1 << bits) - 1
+    count = [F.bit_count(F.shiftrightunsigned("fp", i * bits).bitwiseAND(F.lit(mask if bits < 64 else -1))) for i in range(k)]
+    cells = reps.select("node", F.array(*count).alias("cell"), F.unhex(F.lpad(F.hex("fp"), 16, "0")).alias("item"))
+
+    def match(x: np.ndarray, y: np.ndarray) -> tuple:
+        a, b = (np.ascontiguousarray(z).view(np.uint64).ravel() for z in (x, y))
+        return np.nonzero(np.bitwise_count(a[:, None] ^ b[None, :]) <= radius), NONE
+
+    return _compare_tiles(cells, n, radius, match).select("u", "v")
+
+
 def simhash_components(docs: DataFrame, shingle: int = 3, radius: int = 2) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id of each row of docs (doc_id, text; other columns ignored).
 
@@ -338,18 +358,7 @@ def simhash_components(docs: DataFrame, shingle: int = 3, radius: int = 2) -> Da
     fps = stored(fingerprints(docs, shingle), "fingerprints")
     no_id = F.lit(NULL_ID) + F.xxhash64("fp").bitwiseAND(F.lit((1 << 40) - 1))
     reps = stored(fps.groupBy("fp").agg(F.min("doc_id").alias("m")).select("fp", F.coalesce("m", no_id).alias("node")), "reps")
-    n = reps.count()
-    k = _parts_for(n)
-    bits = 64 // k
-    mask = (1 << bits) - 1
-    count = [F.bit_count(F.shiftrightunsigned("fp", i * bits).bitwiseAND(F.lit(mask if bits < 64 else -1))) for i in range(k)]
-    cells = reps.select("node", F.array(*count).alias("cell"), F.unhex(F.lpad(F.hex("fp"), 16, "0")).alias("item"))
-
-    def match(x: np.ndarray, y: np.ndarray) -> tuple:
-        a, b = (np.ascontiguousarray(z).view(np.uint64).ravel() for z in (x, y))
-        return np.nonzero(np.bitwise_count(a[:, None] ^ b[None, :]) <= radius), NONE
-
-    comp = components(_compare_tiles(cells, n, radius, match).select("u", "v"))
+    comp = components(_tile_links(reps, radius))
     roots = reps.join(comp.select(F.col("u").alias("node"), "v"), "node", "left").select("fp", F.coalesce("v", "node").alias("root"))
     return fps.join(roots, "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
@@ -491,9 +500,22 @@ def _linked(pairs: DataFrame, sets: DataFrame, min_sim: float) -> DataFrame:
     return pairs.join(left, "u").join(right, "v").select("u", "v", "u_set", "v_set").mapInArrow(decide, "u bigint, v bigint")
 
 
-def near_groups(docs: DataFrame, shingle: int = 5, min_sim: float = 0.8) -> DataFrame:
+def simhash_pairs(prints: DataFrame, radius: int) -> DataFrame:
+    """Pairs (u, v) of nodes of prints (node, fp) that SimHash puts together: each with the first of its fingerprint, and those of fingerprints within `radius` bits along the forests of `_tile_links`."""
+    reps = stored(prints.groupBy("fp").agg(F.min("node").alias("first")), "reps")
+    same = prints.join(reps, "fp").select(F.col("node").alias("u"), F.col("first").alias("v"))
+    return same.unionByName(_tile_links(reps.select("fp", F.col("first").alias("node")), radius)).where("u <> v")
+
+
+def near_groups(docs: DataFrame, shingle: int = 5, min_sim: float = 0.8, radius: int = RADIUS) -> DataFrame:
     """doc_id and group (smallest doc_id of the rows linked by similarity `min_sim` or more) of each row.
 
+    The sets that may have a partner get SimHash fingerprints; what these put
+    together within `radius` bits is decided on the whole sets first. Pairs as
+    similar as min_sim often lie further apart (about ten bits at 0.8), so
+    neighbours in lists of shared hashes are decided with them, and after that
+    all pairs still in different components: the radius changes no result.
+
     Rows whose texts have equal shingle sets (copies, up to case and white
     space) are always together. doc_id must not be null.
     """
@@ -507,7 +529,8 @@ def near_groups(docs: DataFrame, shingle: int = 5, min_sim: float = 0.8) -> Data
     shared = stored(_shared_hashes(first, (ranks[0][often > BUCKET], -(-often[often > BUCKET] // BUCKET))), "shared")
     heads = shared.where("node = prev")
     heads = heads.join(heads.groupBy("h").agg(F.min("node").alias("least"), F.count("*").alias("k")).where("k > 1").select("h", "least"), "h").select("node", F.col("least").alias("prev"))
-    pairs = shared.select("node", "prev").unionByName(heads).where("node <> prev")
+    alike = simhash_pairs(first.select("node", "fp"), radius).select(F.col("u").alias("node"), F.col("v").alias("prev"))
+    pairs = alike.unionByName(shared.select("node", "prev")).unionByName(heads).where("node <> prev")
     near = pairs.select(F.least("node", "prev").alias("u"), F.greatest("node", "prev").alias("v")).distinct()
     links = stored(_linked(near, sets, min_sim), "links")
     comp = components(links).select(F.col("u").alias("node"), F.col("v").alias("root"))
@@ -520,7 +543,7 @@ def near_groups(docs: DataFrame, shingle: int = 5, min_sim: float = 0.8) -> Data
 
 
 def simhash_dedup(docs: DataFrame, shingle: int = 5, min_sim: float = 0.8) -> DataFrame:
-    """The rows of docs with one row of each near-duplicate group kept, the one with the smallest doc_id.
+    """The rows of docs with one row of each near-duplicate group (`near_groups`: SimHash in tiles, then whole sets) kept, the one with the smallest doc_id.
 
     Columns stay as they are. Rows with a null or empty text are alike and one
     stays. Rows with the same doc_id are one document; the row with the

@@ -209,3 +209,38 @@ def test_repeated_ids_and_empty_sets(spark):
     got = sorted((r.doc_id, r.group) for r in near_groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect())
     assert got == [(1, 1), (1, 1), (2, 1), (2, 1), (3, 3), (4, 3), (5, 3)]
     assert near_groups(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_near_groups_go_through_simhash(spark, monkeypatch):
+    """Sets get fingerprints, those within the radius are put together, and the whole sets decide; any radius gives the same groups."""
+    rng = random.Random(8)
+    rows = []
+    for b in range(25):
+        base = [f"b{b}w{i}" for i in range(rng.choice((30, 200, 900)))]
+        for k in (0, 1, 1, 2):
+            w = list(base)
+            for _ in range(k):
+                w[rng.randrange(len(w))] = f"n{rng.randrange(10**6)}"
+            rows.append(w)
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(rows)], "doc_id long, text string").repartition(3)
+    seen, pairs_of = [], simhash.simhash_pairs
+
+    def pairs(prints, radius):
+        out = pairs_of(prints, radius)
+        seen.append(({r.node: r.fp for r in prints.collect()}, {(r.u, r.v) for r in out.collect()}))
+        return out
+
+    monkeypatch.setattr(simhash, "simhash_pairs", pairs)
+    groups = []
+    for radius in (0, 3, 9):
+        groups.append({r.doc_id: r.group for r in near_groups(df, radius=radius).collect()})
+        fp, got = seen[-1]
+        shingles = {i: {" ".join(rows[i][k : k + 5]) for k in range(len(rows[i]) - 4)} for i in fp}
+        for i, sh in shingles.items():
+            h = [xxhash.xxh64_intdigest(x.encode(), 42) for x in sh]
+            assert fp[i] & (1 << 64) - 1 == sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+        close = [(i, j) for i in fp for j in fp if j < i and ((fp[i] ^ fp[j]) & (1 << 64) - 1).bit_count() <= radius]
+        edges = [(np.array([e[k] for e in x]), np.array([e[1 - k] for e in x])) for x, k in ((close, 0), (sorted(got), 0))]
+        want, have = (dict(zip(*map(np.ndarray.tolist, forest(*e)))) for e in edges)
+        assert have == want and close
+    assert groups[0] == groups[1] == groups[2] and len(seen) == 3
