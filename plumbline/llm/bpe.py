@@ -20,6 +20,7 @@ from __future__ import annotations
 import base64
 import functools
 import hashlib
+import itertools
 from collections import Counter
 from collections.abc import Iterator
 
@@ -35,6 +36,10 @@ from pyspark.sql import functions as F
 from plumbline.llm.common import Layout, give_back, slices, text_arrays, texts
 
 BATCH_BYTES = 4 << 20
+#: Text of a batch whose words are held one by one at a time.
+PIECE_BYTES = 1 << 18
+#: Words that are decoded at a time.
+PIECE_WORDS = 1 << 16
 PACK, UNPACK = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
 OUT_DDL = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string, ids array<int>, decoded string"
 
@@ -93,15 +98,22 @@ class Batch:
 
     def __init__(self, ids: pa.Array, data: np.ndarray, offsets: np.ndarray, pattern: regex.Pattern, buckets: int):
         raw = data.tobytes()
-        lists = [pattern.findall(raw[i:j].decode("utf-8", "replace")) for i, j in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
         count: Counter = Counter()
-        for x in lists:
-            count.update(x)
+        seen: dict[str, int] = {}  # in the order they come
+        parts, sizes = [], []
+        for i, j in slices(offsets, PIECE_BYTES):  # the words of a piece at a time, not of the batch
+            lists = [pattern.findall(raw[x:y].decode("utf-8", "replace")) for x, y in itertools.pairwise(offsets[i : j + 1].tolist())]
+            for x in lists:
+                count.update(x)
+            seen.update(zip(itertools.islice(count, len(seen), None), itertools.count(len(seen))))
+            sizes += map(len, lists)
+            parts.append(np.fromiter(map(seen.__getitem__, itertools.chain.from_iterable(lists)), np.uint32, sum(sizes[i:j])))
         words = sorted(count, key=count.__getitem__, reverse=True)
-        code = {w: k for k, w in enumerate(words)}
+        code = np.empty(len(words), np.uint32)
+        code[np.fromiter(map(seen.__getitem__, words), np.int64, len(words))] = np.arange(len(words), dtype=np.uint32)
         self.words = [w.encode() for w in words]
-        self.cut = np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int64)
-        self.codes = np.fromiter((code[w] for x in lists for w in x), np.uint32, self.cut[-1])
+        self.cut = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+        self.codes = code[np.concatenate(parts)] if parts else np.zeros(0, np.uint32)
         self.bucket = np.fromiter((xxhash.xxh3_64_intdigest(w) % buckets for w in self.words), np.uint32, len(self.words))
         name = xxhash.xxh3_128(raw)
         name.update(np.ascontiguousarray(offsets).tobytes())
@@ -182,7 +194,7 @@ def bpe_round_trip(docs: DataFrame, path: str, pattern: str, keep: bool = True)
             order = np.concatenate([a for a, _ in parts]) if parts else np.zeros(0, np.int64)
             begin = np.zeros(len(bucket), np.int64)
             begin[order] = np.cumsum(size[order]) - size[order]
-            for i, j in slices(cut, 1 << 18):
+            for i, j in slices(cut, PIECE_WORDS):
                 part = codes[cut[i] : cut[j]]
                 n = size[part]
                 off = np.concatenate([[0], np.cumsum(n)])

@@ -128,6 +128,7 @@ def count_grams(train: DataFrame) -> DataFrame:
                             yield rows(lang)
         for lang in list(held):
             yield rows(lang)
+        give_back()
 
     return train.select("text", "lang").mapInArrow(run, "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 

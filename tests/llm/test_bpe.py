@@ -1,12 +1,15 @@
 import hashlib
+import tracemalloc
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 import regex
 
 from plumbline.llm import bpe
 from plumbline.llm.bpe import bpe_round_trip
+from plumbline.llm.common import text_arrays
 
 PATH = P.path("byte_bpe_multi_50k.tiktoken")
 ODD = ["", None, " ", "\n\n  x", "a b  c", "\x1c\x1d\x85 y", "it's we'll I'D", "٣٤ ½ 一二三 नमस्ते", "👩‍👩‍👧 <|endoftext|>", "\x00\x00a", "tab\tend   ", "word " * 3000, "é" * 5000, "ab" * 20000, "​　z"]
@@ -51,3 +54,19 @@ def test_white_space_class_agrees():
         for s in (chr(c), f"a{chr(c)}b", f" {chr(c)} "):
             pieces = [k for w in pat.findall(s) for k in enc._encode_single_piece(w.encode())]
             assert pieces == enc.encode_ordinary(s), hex(c)
+
+
+def test_batch_holds_few_words_at_a_time():
+    """The words of a batch are not all in memory at once: by themselves they take about twelve times the text."""
+    docs = [" ".join(f"w{(7 * i + k * k) % 900}" for k in range(4000)) for i in range(150)] + ["", "x"]
+    data, off = text_arrays(pa.array(docs))
+    pat = regex.compile(P.PATTERN)
+    tracemalloc.start()
+    b = bpe.Batch(pa.array(range(len(docs))), data, off, pat, 7)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    words = [w.decode() for w in b.words]
+    assert ["".join(words[c] for c in b.codes[i:j]) for i, j in zip(b.cut[:-1], b.cut[1:])] == docs
+    often = np.bincount(b.codes, minlength=len(words))
+    assert (np.diff(often) <= 0).all() and len(set(words)) == len(words)
+    assert peak < 8 * len(data)
