@@ -91,3 +91,29 @@ def test_rows_without_ids(spark, monkeypatch):
     monkeypatch.setattr(common.Layout, "of", staticmethod(lambda d, *a, **k: old(d, "text", 2000, 9000, 900)))
     rows = [(None if i != 97 else 5, t) for i, t in corpus(6)]
     assert rows_of(suffix_dedup(spark.createDataFrame(rows, "doc_id long, text string"))) == brute(rows)
+
+
+def test_long_shared_prefixes_take_few_rounds(monkeypatch):
+    """Suffixes that agree in hundreds of bytes, and then not, are not sorted anew every few bytes."""
+    rng = random.Random(3)
+    make = lambda n: bytes(rng.choice(b"ab") for _ in range(n))
+    shared = make(700)
+    t = b"".join(shared[: rng.choice((420, 560, 700))] + make(20) for _ in range(60))
+    a, sorts, argsort = np.frombuffer(t, np.uint8), [], np.argsort
+    monkeypatch.setattr(np, "argsort", lambda x, *more, **named: sorts.append(len(x)) or argsort(x, *more, **named))
+    sa = suffix.two_stage_suffix_array(a, suffix.eights(a, 400), 400).tolist()
+    assert sorted(sa) == list(range(len(t)))
+    heads = [(t[k : k + 400] + bytes(400))[:400] for k in sa]
+    assert heads == sorted(heads)
+    assert len(sorts) < 50
+
+
+def test_hashes_that_say_nothing_only_cost_time(monkeypatch):
+    """Equal 64-bit hashes of windows that differ in 32 more bits are told apart; so are adjacent places whose hashes agree."""
+    ent = np.array([(5, 2), (1, 9), (5, 1), (5, 2), (0, 0)], suffix.M.ENTRY)
+    assert ent[suffix._ranked(ent)].tolist() == sorted(ent.tolist())
+    a = np.frombuffer(b"abcabcabdabc" * 9, np.uint8)
+    e, alike = suffix.eights(a, 56), np.zeros(len(a), np.uint64)
+    sa = suffix.two_stage_suffix_array(a, e, 56)
+    want = [False] + [bytes(a[x : x + 56]).ljust(56, b"\0") == bytes(a[y : y + 56]).ljust(56, b"\0") for x, y in zip(sa[1:], sa[:-1])]
+    assert suffix.common_prefixes(sa, e, 56, alike).tolist() == want
