@@ -175,7 +175,7 @@ def bpe_round_trip(docs: DataFrame, path: str, pattern: str, keep: bool = True)
         give_back()
         return pa.table([t.column("name"), pa.array([key[0].as_py()] * t.num_rows, pa.int32()), pa.array(out, pa.binary())], names=["name", "bucket", "answer"])
 
-    def assemble(left: pa.Table, right: pa.Table) -> pa.Table:
+    def joined(left: pa.Table, right: pa.Table) -> pa.Table:
         got = dict(zip(right.column("bucket").to_pylist(), right.column("answer").to_pylist()))
         tab, tab_off = token_bytes(path, pattern)
         cols: list[list] = [[], [], [], [], [], []]
@@ -208,10 +208,14 @@ def bpe_round_trip(docs: DataFrame, path: str, pattern: str, keep: bool = True)
                     for c, v in zip(cols, (int(ids[d]) if known[d] else None, len(mine), hashlib.sha256(mine.astype("<u4").tobytes()).hexdigest(),
                                            hashlib.sha256(body).hexdigest(), mine.astype(np.int32) if keep else None, body.decode("utf-8", "replace") if keep else None)):
                         c.append(v)
-        give_back()
         types = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.int32()), pa.string())
         return pa.table([pa.array(c, t) for c, t in zip(cols, types)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded"])
 
+    def assemble(left: pa.Table, right: pa.Table) -> pa.Table:
+        out = joined(left, right)
+        give_back()  # here all but the result is free
+        return out
+
     asked = src.mapInArrow(words, "bucket int, name binary, words binary").repartition(lay.partitions, "bucket")
     answers = asked.groupBy("bucket").applyInArrow(encode, "name binary, bucket int, answer binary").repartition(lay.partitions, "name")
     at = src.mapInArrow(positions, "name binary, ids binary, known binary, cut binary, codes binary, buckets binary").repartition(lay.partitions, "name")
