@@ -2,17 +2,18 @@
 
 Texts are cut by the tokenizer's pattern into pre-tokens. A batch of about
 4 MB of text turns them into codes of its own dictionary, commonest first.
-Two things leave a batch: its distinct words, packed by hash bucket, and its
-code at every position. A bucket gathers each word of the corpus once per
-batch, encodes it once, and answers each batch in the order it asked; ids and
-positions of a batch meet again by the batch's content hash, and documents are
-reassembled by position. Decoding joins ids with the table of token bytes,
-whose size the vocabulary fixes.
+Two things leave a batch, in one row: its distinct words and its code at every
+position. The rows are shuffled by name and read twice from there: once to send
+the words on by hash bucket, once to meet the answers. A bucket gathers each
+word of the corpus once per batch, encodes it once, and answers each batch in
+the order it asked; ids and positions of a batch meet again by the batch's
+content hash, and documents are reassembled by position. Decoding joins ids
+with the table of token bytes, whose size the vocabulary fixes.
 
 No text is shuffled: dictionaries, byte planes of codes, and ids are, each
-compressed. The scan runs once for words and once for positions; a batch is
-named by a hash of its rows, so a batch cut differently by the second scan
-would be found missing and fail the job, not mix answers.
+compressed. Texts are cut once. A batch is named by a hash of its rows, so one
+that is cut differently when a lost task runs again would be found missing and
+fail the job, not mix answers.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ import base64
 import functools
 import hashlib
 import itertools
-from collections import Counter
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,7 +41,8 @@ BATCH_BYTES = 4 << 20
 PIECE_BYTES = 1 << 18
 #: Words that are decoded at a time.
 PIECE_WORDS = 1 << 16
-PACK, UNPACK = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
+PACK, UNPACK = zstandard.ZstdCompressor(level=3), zstandard.ZstdDecompressor()
+CUT_DDL = "name binary, ids binary, known binary, cut binary, codes binary, buckets binary, words binary"
 OUT_DDL = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string, ids array<int>, decoded string"
 
 
@@ -98,20 +100,19 @@ class Batch:
 
     def __init__(self, ids: pa.Array, data: np.ndarray, offsets: np.ndarray, pattern: regex.Pattern, buckets: int):
         raw = data.tobytes()
-        count: Counter = Counter()
-        seen: dict[str, int] = {}  # in the order they come
+        seen: dict[str, int] = defaultdict(itertools.count().__next__)  # in the order they come
         parts, sizes = [], []
         for i, j in slices(offsets, PIECE_BYTES):  # the words of a piece at a time, not of the batch
             lists = [pattern.findall(raw[x:y].decode("utf-8", "replace")) for x, y in itertools.pairwise(offsets[i : j + 1].tolist())]
-            for x in lists:
-                count.update(x)
-            seen.update(zip(itertools.islice(count, len(seen), None), itertools.count(len(seen))))
             sizes += map(len, lists)
             parts.append(np.fromiter(map(seen.__getitem__, itertools.chain.from_iterable(lists)), np.uint32, sum(sizes[i:j])))
-        words = sorted(count, key=count.__getitem__, reverse=True)
+        words, often = list(seen), np.zeros(len(seen), np.int64)
+        for x in parts:
+            often += np.bincount(x, minlength=len(words))
+        order = np.argsort(-often, kind="stable")
         code = np.empty(len(words), np.uint32)
-        code[np.fromiter(map(seen.__getitem__, words), np.int64, len(words))] = np.arange(len(words), dtype=np.uint32)
-        self.words = [w.encode() for w in words]
+        code[order] = np.arange(len(words), dtype=np.uint32)
+        self.words = [words[k].encode() for k in order.tolist()]
         self.cut = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
         self.codes = code[np.concatenate(parts)] if parts else np.zeros(0, np.uint32)
         self.bucket = np.fromiter((xxhash.xxh3_64_intdigest(w) % buckets for w in self.words), np.uint32, len(self.words))
@@ -150,16 +151,20 @@ def bpe_round_trip(docs: DataFrame, path: str, pattern: str, keep: bool = True)
     buckets = max(4 * lay.partitions, lay.bytes // (32 << 20))
     src = texts(docs)
 
-    def words(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, b in _batches(it, pattern, buckets):
-            rows = [(k, pack_words([b.words[x] for x in at.tolist()])) for k, at in by_bucket(b.bucket)]
-            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.int32()), pa.array([b.name] * len(rows), pa.binary()), pa.array([w for _, w in rows], pa.binary())], ["bucket", "name", "words"])
-
-    def positions(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def cut(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, b in _batches(it, pattern, buckets):
             known = np.array([x is not None for x in ids.to_pylist()], np.uint8)
-            rows = [b.name, ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64).tobytes(), known.tobytes(), b.cut.tobytes(), planes(b.codes), planes(b.bucket)]
-            yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in rows], ["name", "ids", "known", "cut", "codes", "buckets"])
+            row = [b.name, ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64).tobytes(), known.tobytes(), b.cut.tobytes(), planes(b.codes), planes(b.bucket), pack_words(b.words)]
+            yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in row], ["name", "ids", "known", "cut", "codes", "buckets", "words"])
+
+    def ask(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in it:
+            for name, bucket, blob in zip(t.column("name"), t.column("buckets"), t.column("words")):
+                words = unpack_words(blob.as_py())
+                rows = [(k, pack_words([words[x] for x in at.tolist()])) for k, at in by_bucket(unplanes(bucket.as_py(), np.uint32))]
+                yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.int32()), pa.array([name.as_py()] * len(rows), pa.binary()), pa.array([w for _, w in rows], pa.binary())], ["bucket", "name", "words"])
+                del words
+                give_back()
 
     def encode(key: tuple, t: pa.Table) -> pa.Table:
         enc, ids_of, out = encoding(path, pattern), {}, []
@@ -186,7 +191,7 @@ def bpe_round_trip(docs: DataFrame, path: str, pattern: str, keep: bool = True)
             parts = []
             for k, at in by_bucket(bucket):
                 if k not in got:
-                    raise RuntimeError("a batch was cut differently by the second scan; run again")
+                    raise RuntimeError("a batch was cut differently when its task ran again; run the job again")
                 a = unplanes(got[k], np.uint32)
                 size[at] = a[1 : 1 + a[0]]
                 parts.append((at, a[1 + a[0] :]))
@@ -216,7 +221,7 @@ def bpe_round_trip(docs: DataFrame, path: str, pattern: str, keep: bool = True)
         give_back()  # here all but the result is free
         return out
 
-    asked = src.mapInArrow(words, "bucket int, name binary, words binary").repartition(lay.partitions, "bucket")
+    batches = src.mapInArrow(cut, CUT_DDL).repartition(lay.partitions, "name")  # one exchange, read twice: no column is left out before it
+    asked = batches.mapInArrow(ask, "bucket int, name binary, words binary").repartition(lay.partitions, "bucket")
     answers = asked.groupBy("bucket").applyInArrow(encode, "name binary, bucket int, answer binary").repartition(lay.partitions, "name")
-    at = src.mapInArrow(positions, "name binary, ids binary, known binary, cut binary, codes binary, buckets binary").repartition(lay.partitions, "name")
-    return at.groupBy("name").cogroup(answers.groupBy("name")).applyInArrow(assemble, OUT_DDL)
+    return batches.groupBy("name").cogroup(answers.groupBy("name")).applyInArrow(assemble, OUT_DDL)

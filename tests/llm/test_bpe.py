@@ -44,6 +44,20 @@ def test_table_as_the_library(spark, sf, monkeypatch, size):
     assert rows_of(bpe_round_trip(df, PATH, P.PATTERN, keep=False)) == want([(r.doc_id, r.text) for r in df.collect()])
 
 
+def test_texts_are_cut_once(spark, tmp_path):
+    rows = [(i, f"text {i} of {i % 7}  words") for i in range(50)]
+
+    def seen(it):
+        for b in it:
+            with open(tmp_path / "seen", "a") as f:
+                f.write(f"{b.num_rows}\n")
+            yield b
+
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).mapInArrow(seen, "doc_id long, text string")
+    assert rows_of(bpe_round_trip(df, PATH, P.PATTERN, keep=False)) == want(rows)
+    assert sum(map(int, (tmp_path / "seen").read_text().split())) == 2 * len(rows)  # measured once, cut once
+
+
 def test_empty(spark, sf):
     assert bpe_round_trip(spark.read.parquet(f"{sf}/documents.parquet").limit(0), PATH, P.PATTERN).count() == 0
 
